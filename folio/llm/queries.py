@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import ngram_join
+from folio.llm import ngram_join, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_ngram_jaccard": ngram_join.op6_ngram_jaccard}
+    return {"op1_substring_dedup": substring_dedup.op1_substring_dedup, "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:

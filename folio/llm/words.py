@@ -133,11 +133,14 @@ def words(chunk: Chunk, lut: np.ndarray = NOT_SPACE) -> Words:
 
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k consecutive values; empty if there are fewer."""
-    if len(hashes) < k:
-        return np.zeros(0, np.uint64)
-    sums, up = _prefix(hashes, _WORDS)
     n = len(hashes) - k + 1
-    return mix((sums[k:] - sums[:n]) * up[:n] + np.uint64(k))
+    return stretches(hashes, slice(0, n), slice(k, k + n), k) if n > 0 else np.zeros(0, np.uint64)
+
+
+def stretches(hashes: np.ndarray, start, end, size=None) -> np.ndarray:
+    """Hash of the values from each start to each end."""
+    sums, up = _prefix(hashes, _WORDS)
+    return mix((sums[end] - sums[start]) * up[start] + np.asarray(end - start if size is None else size).astype(np.uint64))
 
 
 def whole(hashes: np.ndarray) -> np.uint64:

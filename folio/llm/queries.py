@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import ngram_join, substring_dedup
+from folio.llm import ngram_join, secret_scan, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": substring_dedup.op1_substring_dedup, "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard}
+    return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op5_secret_scan": secret_scan.op5_secret_scan,
+        "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_secret_scan": secret_scan.SQL}

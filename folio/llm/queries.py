@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import ngram_join, secret_scan, substring_dedup
+from folio.llm import decontamination, ngram_join, secret_scan, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
+        "op8_decontamination": decontamination.op8_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_scan": secret_scan.SQL}
+    return {"op5_secret_scan": secret_scan.SQL, "op8_decontamination": decontamination.SQL}

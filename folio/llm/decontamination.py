@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folio.llm.shared import id_text, table
 from folio.llm.words import ALNUM, chunks, words
@@ -270,26 +271,28 @@ def report(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """`docs` without the words of test passages; a document of which no word is left goes. n_chars, if there, follows the text."""
-    names = docs.columns
-    packed = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    df = packed.withColumns({"row_key": F.lit(0).cast("long"), "spans": F.lit(None).cast("array<struct<start:int,end:int>>"), "items": F.lit(None).cast("array<long>")})
+    names, spark = docs.columns, docs.sparkSession
+    df = docs.withColumn("__row", F.struct(*(F.col(f"`{c}`") for c in names))).select("__row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    df = df.select("__row", "doc_id", F.lit(0).cast("long").alias("row_key"), "text", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(None).cast("array<long>").alias("items"))
+    schema = StructType([df.schema["__row"], *StructType.fromDDL(_SCHEMA).fields])
     for block in _blocks(benchmark, window):
-        df = df.mapInArrow(_carry(_step(docs.sparkSession.sparkContext.broadcast(block))), f"row {packed.schema['row'].dataType.simpleString()}, {_SCHEMA}")
+        df = df.mapInArrow(_carried(_step(spark.sparkContext.broadcast(block))), schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    df = df.where((hit == 0) | (hit < F.col("n_words"))).withColumn("new", F.coalesce("kept", F.col("row.text").cast("string")))
-    out = {n: F.col(f"row.`{n}`") for n in names} | {"text": F.col("new")}
+    df = df.where((hit == 0) | (hit < F.col("n_words")))
+    out = {c: F.col(f"__row.`{c}`") for c in names}
+    out["text"] = F.coalesce("kept", out["text"])
     if "n_chars" in names:
-        out["n_chars"] = F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))
-    return df.select(*(out[n].alias(n) for n in names))
+        out["n_chars"] = F.when(F.col("kept").isNull(), out["n_chars"]).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))
+    return df.select(*(out[c].alias(c) for c in names))
 
 
-def _carry(step):
+def _carried(step):
     """The step, with the whole row carried along."""
 
     def run(batches):
         for batch in batches:
             for got in step(iter([batch])):
-                yield pa.RecordBatch.from_arrays([batch.column("row"), *got.columns], ["row", *got.schema.names])
+                yield pa.RecordBatch.from_arrays([batch.column("__row"), *got.columns], ["__row", *got.schema.names])
 
     return run
 

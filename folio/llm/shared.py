@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -36,3 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_text(docs: DataFrame) -> DataFrame:
     """The two columns that the operators read; other columns, whatever their names, stay out of the way."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def carry(docs: DataFrame, fn, schema: str) -> DataFrame:
+    """Runs fn over batches of (row struct, text string); it returns row and the columns of `schema`. All columns of docs
+    travel in `row`, so no name of theirs can clash."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    out = StructType([packed.schema["row"], *StructType.fromDDL(schema).fields])
+    return packed.mapInArrow(fn, out)

@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontamination, ngram_join, packing, quality, secret_scan, substring_dedup
+from folio.llm import decontamination, fingerprint, ngram_join, packing, quality, secret_scan, substring_dedup, token_file
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_quality": quality.op2_quality,
+        "op3_fingerprint": fingerprint.op3_fingerprint,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
+        "op7_token_file": token_file.op7_token_file,
         "op8_decontamination": decontamination.op8_decontamination,
     }
 

@@ -151,3 +151,8 @@ def whole(hashes: np.ndarray) -> np.uint64:
 def shingles(hashes: np.ndarray, k: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles of one text; of its whole sequence, if it has fewer words."""
     return np.unique(runs(hashes, min(k, max(1, len(hashes)))))
+
+
+def piece_hashes(chunk: Chunk, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte stretches of a chunk."""
+    return Words(chunk, start, end, chunk.off).hashes()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontamination, fingerprint, ngram_join, packing, quality, secret_scan, substring_dedup, token_file
+from folio.llm import decontamination, fingerprint, ngram_join, packing, quality, secret_scan, substring_dedup, token_file, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,8 +19,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
         "op7_token_file": token_file.op7_token_file,
         "op8_decontamination": decontamination.op8_decontamination,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_scan": secret_scan.SQL, "op8_decontamination": decontamination.SQL}
+    return {"op5_secret_scan": secret_scan.SQL, "op8_decontamination": decontamination.SQL, "op10_warc": warc.SQL}

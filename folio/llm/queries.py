@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontamination, fingerprint, ngram_join, packing, quality, secret_scan, substring_dedup, token_file, warc
+from folio.llm import decontamination, fingerprint, kneser_ney, ngram_join, packing, quality, secret_scan, substring_dedup, token_file, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
         "op7_token_file": token_file.op7_token_file,
         "op8_decontamination": decontamination.op8_decontamination,
+        "op9_kneser_ney": kneser_ney.op9_kneser_ney,
         "op10_warc": warc.op10_warc,
     }
 

@@ -1,15 +1,269 @@
-"""All registered queries of the library and the SQL that states their results."""
+"""All registered queries of the library, over the driver's tables, and the SQL that states their results.
+
+The word classes, vowels and separators are those of the Latin-script test corpus; the Russian defaults are tested on
+fixtures.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio.functions import text as t
+from folio.operators import chunking, narrative, readability, replies, reports, vectors
+from folio.streaming import tasks
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: English lists for the Latin corpus.
+EN_STOPS = ["the", "of", "and", "a", "to", "in", "is", "was", "that", "it", "for", "on", "with", "he", "are", "this", "be", "from"]
+EN_LINKS = ["for", "that", "with", "from"]
+EN_WORDS = ["the", "of", "and", "that", "with", "from", "was", "are"]
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, d):
+    return read(spark, d, "documents")
+
+
+def _readability(spark, d):
+    return readability.readability(_docs(spark, d), stop_words=EN_STOPS, connectives=EN_LINKS, abstract=EN_LINKS, suffixes=["tion", "ing", "ment"])
+
+
+def readability_by_lang(spark, d):
+    r = F.col("readability")
+    return _readability(spark, d).groupBy("lang").agg(F.count("*").alias("documents"), F.sum(r["words"]).alias("words"), F.sum(r["sentences"]).alias("sentences"), F.sum(r["syllables"]).alias("syllables"), F.round(F.avg(r["words_per_sentence"]), 6).alias("avg_words_per_sentence"), F.round(F.avg(r["flesch"]), 6).alias("avg_flesch"), F.round(F.avg(r["ari"]), 6).alias("avg_ari"))
+
+
+def readability_counts(spark, d):
+    fields = ["chars", "words", "sentences", "paragraphs", "syllables"]
+    rounded = ["words_per_sentence", "syllables_per_word", "chars_per_word", "lexical_diversity", "stop_words_ratio", "flesch", "flesch_kincaid", "smog", "ari", "coleman_liau"]
+    return _readability(spark, d).select("doc_id", *(F.col(f"readability.{x}") for x in fields), *(F.round(f"readability.{x}", 6).alias(x) for x in rounded))
+
+
+def readability_full(spark, d):
+    return _readability(spark, d).select("doc_id", "readability.*")
+
+
+def complexity(spark, d):
+    return readability.complexity(_docs(spark, d), EN_WORDS, conjunctions=EN_LINKS).select("doc_id", "complexity.*")
+
+
+def style(spark, d):
+    return readability.style(_docs(spark, d)).select("doc_id", *(f"style.{x}" for x in ("words", "unique_words", "sentences", "paragraphs")), *(F.round(f"style.{x}", 6).alias(x) for x in ("words_per_sentence", "word_length", "long_words_ratio", "type_token_ratio")))
+
+
+def emotion(spark, d):
+    lists = {"calm": ["the", "and"], "bright": ["tion", "ing"], "dark": ["wh", "th"]}
+    return readability.emotion(_docs(spark, d), emotions=lists, positive=["bright"], negative=["dark"]).select("doc_id", F.col("emotion.dominant"), F.col("emotion.scores")["bright"].alias("bright"), F.col("emotion.scores")["dark"].alias("dark"), "emotion.tone", F.round("emotion.tone_score", 6).alias("tone_score"))
+
+
+def chunks_fixed(spark, d):
+    c = chunking.chunk(_docs(spark, d), chunking.Strategy(1000, 250, 2000, 0.1))
+    return c.select("doc_id", "chunk_index", "total_chunks", "start_pos", "end_pos", F.md5("content").alias("content_md5"))
+
+
+def chunks_by_sentence(spark, d):
+    c = chunking.chunk(_docs(spark, d), chunking.Strategy(1000, 250, 2000, 0.0, "sentence"))
+    return c.select("doc_id", "chunk_index", "total_chunks", "start_pos", "end_pos", F.md5("content").alias("content_md5"))
+
+
+def chunk_statistics(spark, d):
+    return chunking.chunk_stats(chunking.chunk(_docs(spark, d), chunking.Strategy(1000, 250, 2000, 0.1))).withColumn("avg_length", F.round("avg_length", 6))
+
+
+def _chunks(spark, d):
+    return chunking.chunk(_docs(spark, d), chunking.Strategy(1000, 250, 2000, 0.0))
+
+
+def pace(spark, d):
+    return narrative.pace_report(narrative.pace_scores(_chunks(spark, d)))
+
+
+def tension(spark, d):
+    return narrative.tension_report(_chunks(spark, d), peak=2.0)
+
+
+def relevant_chunks(spark, d):
+    return narrative.relevant(_chunks(spark, d), "character", 0.1).select("doc_id", "chunk_index", "score", "coverage")
+
+
+def chunk_scores(spark, d):
+    c = F.col("text")
+    return _docs(spark, d).select("doc_id", F.round(narrative.tension_score(c, EN_WORDS), 6).alias("tension"), F.round(narrative.event_density(c, EN_WORDS, ["ing"], ["ed"]), 6).alias("event_density"), F.round(narrative.dialogue_ratio(c), 6).alias("dialogue_ratio"))
+
+
+def water(spark, d):
+    return narrative.water_report(_chunks(spark, d), patterns={"en": ["of the", "in the", "that the"]})
+
+
+def repetitions(spark, d):
+    return narrative.repetitions(_chunks(spark, d), patterns={"en": ["the", "and"]})
+
+
+def dialogue(spark, d):
+    return narrative.dialogue_report(_docs(spark, d))
+
+
+def structure(spark, d):
+    lists = {"a": ["and"], "b": ["for", "from"]}
+    return narrative.structure_report(_docs(spark, d), links=lists, parts=lists)
+
+
+def coherence(spark, d):
+    return narrative.coherence(_docs(spark, d)).withColumn("coherence", F.round("coherence", 6))
+
+
+def tfidf_terms(spark, d):
+    return narrative.top_terms(_docs(spark, d), stop_words=EN_STOPS).withColumn("score", F.round("score", 6))
+
+
+def complexity_rollup(spark, d):
+    c = readability.complexity(_chunks(spark, d), EN_WORDS, text="content", conjunctions=EN_LINKS)
+    return readability.rollup(c, ["doc_id"], {x: F.col(f"complexity.{x}") for x in ("overall", "flesch", "lexical_diversity")})
+
+
+def _vectors(spark, d):
+    return read(spark, d, "embeddings")
+
 
+def knn(spark, d):
+    v = _vectors(spark, d)
+    return vectors.knn(v.where("vec_id % 20 = 0"), v, 10).withColumn("score", F.round("score", 5)).select("query_id", "vec_id", "score", "rank")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def ivf_recall(spark, d):
+    v = _vectors(spark, d)
+    q = v.where("vec_id % 20 = 0")
+    n = vectors.recommended(v.count())
+    indexed, centres = vectors.ivf(v, n["cells"])
+    found = vectors.ivf_search(q, indexed, centres, max(n["probes"], n["cells"] // 2))
+    exact = vectors.knn(q, v, 10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return exact.join(found.select("query_id", "vec_id", F.lit(1).alias("got")), ["query_id", "vec_id"], "left").groupBy("query_id").agg((F.count("got") / F.count("hit")).alias("recall"))
+
+
+def similar_pairs(spark, d):
+    return vectors.pairs(_vectors(spark, d), "cosine", by=["label"]).where("score >= 0.25").select("label", "text1", "text2", F.round("score", 5).alias("score"))
+
+
+def top_pairs(spark, d):
+    return vectors.top_pairs(vectors.pairs(_vectors(spark, d), "unit", by=["label"]), 20).select("text1", "text2", F.round("score", 5).alias("score"))
+
+
+def label_averages(spark, d):
+    edges = vectors.pairs(_vectors(spark, d), "cosine", by=["label"])
+    return vectors.text_averages(edges).select("text", F.round("average", 5).alias("average"))
+
+
+def mean_vectors(spark, d):
+    v = vectors.mean_vector(_vectors(spark, d), "label")
+    return v.select("label", F.posexplode("embedding").alias("place", "x")).select("label", "place", F.round("x", 5).alias("x"))
+
+
+def vector_water(spark, d):
+    return vectors.density_report(_vectors(spark, d), "label", "vec_id")
+
+
+def chat_prompts(spark, d):
+    return replies.transcripts(read(spark, d, "conversations")).withColumn("tokens", replies.token_estimate(F.col("prompt")))
+
+
+def genre_replies(spark, d):
+    return read(spark, d, "events").select("event_id", replies.genre(F.concat(F.lit('{"main_genre": "'), F.col("event_type"), F.lit('", "confidence": '), F.round("value", 2).cast("string"), F.lit("}"))).alias("g")).select("event_id", "g.main_genre", "g.confidence")
+
+
+def newest_page(spark, d):
+    return reports.page(reports.where_equal(read(spark, d, "orders"), o_orderstatus="O"), [F.col("o_orderdate").desc(), F.col("o_orderkey")], 20, 50).select("o_orderkey", "o_orderstatus")
+
+
+def title_search(spark, d):
+    p = read(spark, d, "part")
+    return p.where(reports.title_contains(F.col("p_name"), "A")).select("p_partkey", "p_name")
+
+
+def size_classes(spark, d):
+    return _docs(spark, d).groupBy(reports.size_class(F.col("n_chars")).alias("size_class")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+def success_by_user(spark, d):
+    e = F.col("event_type")
+    return read(spark, d, "events").groupBy("user_id").agg(F.round(reports.success_rate(e == "purchase", e.isin("purchase", "error")), 6).alias("success_rate"), F.count("*").alias("n"))
+
+
+def usage_counts(spark, d):
+    return reports.counts_by(read(spark, d, "events"), "event_type", 5)
+
+
+def recent_values(spark, d):
+    return reports.recent_times(read(spark, d, "events").withColumn("value", F.round("value", 6)), "value", "ts").select(F.round("avg", 5).alias("avg"), "min", "max", F.round("median", 5).alias("median"), "n")
+
+
+def value_trends(spark, d):
+    return reports.trend(read(spark, d, "events"), ["event_type"], "ts", "value").select("event_type", F.round("early", 5).alias("early"), F.round("late", 5).alias("late"), "trend")
+
+
+def latency_average(spark, d):
+    return reports.moving_average(read(spark, d, "events"), ["user_id"], "ts", "value").select("user_id", F.round("ema", 5).alias("ema"), "n")
+
+
+def order_progress(spark, d):
+    return reports.progress(read(spark, d, "lineitem"), "l_orderkey", F.col("l_linestatus") == "F")
+
+
+def orders_with_lines(spark, d):
+    out = reports.nest(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", {"lines": (read(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), ["l_linenumber", "l_partkey"])})
+    return out.select("o_orderkey", "o_orderstatus", F.size("lines").cast("long").alias("n_lines"), F.array_join(F.transform("lines", lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
+
+
+def missing_customers(spark, d):
+    known, missing = reports.split_known(read(spark, d, "customer").select("c_custkey"), read(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    return known.withColumn("known", F.lit(True)).union(missing.withColumn("known", F.lit(False)))
+
+
+def duplicate_texts(spark, d):
+    return reports.duplicates(_docs(spark, d).withColumn("md5", F.md5("text")), ["md5"])
+
+
+def latest_events(spark, d):
+    return reports.latest(read(spark, d, "events").withColumn("at", F.struct("ts", "event_id")), ["user_id"], "at", 3).select("user_id", "event_id")
+
+
+def best_suppliers(spark, d):
+    return reports.best(read(spark, d, "supplier"), "s_nationkey", "s_suppkey", "s_acctbal")
+
+
+def event_counters(spark, d):
+    return tasks.counters(read(spark, d, "events"), "ts", "event_type", "1 day", ok="purchase", bad="error").select("start", "n", "ok", "bad", F.round("success_rate", 6).alias("success_rate"))
+
+
+def metric_snapshots(spark, d):
+    return tasks.snapshots(read(spark, d, "events"), "ts", "event_type", "value", "6 hours").select("start", "event_type", F.round("avg", 5).alias("avg"), F.round("min", 5).alias("min"), F.round("max", 5).alias("max"), "n")
+
+
+def user_life_cycles(spark, d):
+    e = read(spark, d, "events").withColumn("status", F.when(F.col("event_type") == "purchase", "completed").otherwise("running"))
+    return tasks.life_cycle(e, "user_id", "status", "ts").select("user_id", F.round("seconds", 3).alias("seconds"))
+
+
+def metric_alerts(spark, d):
+    m = read(spark, d, "events").select("event_id", F.col("value").alias("memory_percent"), F.col("value").alias("temperature"), F.col("value").alias("hit_rate"), F.col("value").alias("success_rate"))
+    return tasks.alerts(m).select("event_id", "alert", "severity")
+
+
+def queries() -> dict[str, Query]:
+    names = """readability_by_lang readability_counts readability_full complexity complexity_rollup style emotion chunks_fixed chunks_by_sentence chunk_statistics pace
+    tension relevant_chunks chunk_scores water repetitions dialogue structure coherence tfidf_terms knn ivf_recall similar_pairs top_pairs label_averages mean_vectors vector_water
+    chat_prompts genre_replies newest_page title_search size_classes success_by_user usage_counts recent_values value_trends latency_average order_progress orders_with_lines
+    missing_customers duplicate_texts latest_events best_suppliers event_counters metric_snapshots user_life_cycles metric_alerts"""
+    return {n: globals()[n] for n in names.split()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from folio.plans.sql import SQL
+
+    return dict(SQL)

@@ -5,12 +5,13 @@ has row indexes (least and greatest doc_id for each group of rows) and a Bloom f
 parallel and a look-up by doc_id skips all other row groups.
 
 Encoding caches by piece. The tokenizer never joins characters across a single space between two visible characters, as
-that space always begins a new token; so a text is cut there, and each different piece is encoded once a task by the tokenizer
-itself.
+that space always begins a new token, nor across a letter and the punctuation after it; so a text is cut there, and each
+different piece is encoded once a worker by the tokenizer itself.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from array import array
@@ -27,8 +28,8 @@ from folio.llm.words import Chunk, chunks, piece_hashes
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-#: Pieces that a task keeps encoded.
-CACHE_PIECES = 1 << 20
+#: Pieces that a worker keeps encoded; pieces encoded at once.
+CACHE_PIECES, ENCODE_BATCH = 3 << 20, 4096
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
 
 #: Bytes that can be a neighbour of a cut: visible ASCII, and lead bytes of characters that are never white space.
@@ -36,9 +37,15 @@ _VISIBLE = np.array([0x21 <= b <= 0x7E for b in range(256)])
 _NEXT = np.array([0x21 <= b <= 0x7E or (b >= 0xC3 and b not in (0xE1, 0xE2, 0xE3)) for b in range(256)])
 
 
+#: Punctuation that never joins a letter before it: no apostrophe, and nothing that stands in a special token.
+_POINT = np.array([chr(b) in ".,;:!?)]}*#%&$=" for b in range(256)])
+_LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
+
+
 def _cuts(chunk: Chunk) -> np.ndarray:
-    """Where pieces start: at each text's start, and at single spaces between characters that are surely not white space.
-    A character before the space may take two bytes (lead C3 to DF) or be visible ASCII; others just don't allow a cut."""
+    """Where pieces start: at each text's start; at single spaces between characters that are surely not white space; at
+    punctuation after a letter. A character before a space may be visible ASCII or take two bytes (lead C3 to DF), a letter
+    before punctuation may be ASCII or one of U+00C0 to U+00FF; others just don't allow a cut."""
     b = chunk.buf
     ok = np.zeros(len(b) + 1, bool)
     if len(b) > 3:
@@ -46,12 +53,15 @@ def _cuts(chunk: Chunk) -> np.ndarray:
         ends = _VISIBLE[b].copy()
         ends[1:] |= lead[:-1] & (b[1:] >= 0x80)
         ok[1 : len(b) - 1] = (b[1:-1] == 0x20) & ends[:-2] & _NEXT[b[2:]]
+        letter = _LETTER[b].copy()
+        letter[1:] |= (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] != 0x97) & (b[1:] != 0xB7)
+        ok[1 : len(b)] |= _POINT[b[1:]] & letter[:-1]
     ok[chunk.off] = True
     return np.flatnonzero(ok)
 
 
 class Encoder:
-    """Encodes chunks of texts, remembering pieces."""
+    """Encodes chunks of texts, remembering pieces in sorted arrays: some thirty bytes a piece."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
@@ -61,43 +71,56 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.start = array("I"), array("q", [0])
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes, and which piece each is
+        self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)  # ids of the pieces
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        size, flat = [], array("I")
+        for i in range(0, len(texts), ENCODE_BATCH):
+            for got in self.tokenizer.encode_batch_fast(texts[i : i + ENCODE_BATCH], add_special_tokens=False):
+                ids = got.ids
+                size.append(len(ids))
+                flat.extend(ids)
+        at = np.searchsorted(self.known, hashes)
+        self.place = np.insert(self.place, at, np.arange(len(hashes), dtype=np.int32) + len(self.known))
+        self.known = np.insert(self.known, at, hashes)
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(size)))
+        self.flat = np.concatenate((self.flat, np.array(flat, np.uint32)))
 
     def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's ids start (one more at the end)."""
-        if len(self.known) > CACHE_PIECES:
-            self._forget()
         cut = _cuts(chunk)
         start, end = cut[:-1], cut[1:]
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(chunk) + 1, np.int64)
+        if len(self.known) > CACHE_PIECES:
+            self._forget()
         hashes, at, back = np.unique(piece_hashes(chunk, start, end), return_index=True, return_inverse=True)
-        number = np.array([self.known.get(x, -1) for x in hashes.tolist()])
-        new = np.flatnonzero(number < 0)
+        found = np.searchsorted(self.known, hashes)
+        new = np.flatnonzero(self.known[np.minimum(found, len(self.known) - 1)] != hashes) if len(self.known) else np.arange(len(hashes))
         if len(new):
             raw = chunk.buf.tobytes()
-            texts = [raw[start[i] : end[i]].decode() for i in at[new]]
-            for x, got in zip(hashes[new].tolist(), self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                self.known[x] = len(self.start) - 1
-                self.flat.extend(got.ids)
-                self.start.append(len(self.flat))
-            number[new] = np.arange(len(self.start) - 1 - len(new), len(self.start) - 1)
-        first, flat = np.array(self.start, np.int64), np.array(self.flat, np.uint32)
-        k = number[back]
-        size = first[k + 1] - first[k]
+            self._learn(hashes[new], [raw[i:j].decode() for i, j in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
+            found = np.searchsorted(self.known, hashes)
+        k = self.place[found][back]
+        size = (self.first[1:] - self.first[:-1])[k]
         upto = np.concatenate(([0], np.cumsum(size)))
-        ids = flat[np.arange(upto[-1]) + np.repeat(first[k] - upto[:-1], size)]
+        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.first[k] - upto[:-1], size)]
         return ids, upto[np.searchsorted(start, chunk.off)]
 
 
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """One for each worker process, which serves many tasks."""
+    return Encoder(path)
+
+
 def _encode(path: str, end_id: int):
     def run(batches):
-        encoder, position = None, 0
+        position = 0
         for batch in batches:
-            encoder = encoder or Encoder(path)
             for chunk in chunks(batch.column("text")):
-                ids, first = encoder.encode(chunk)
+                ids, first = _encoder(path).encode(chunk)
                 n = np.diff(first)
                 # room for the end id after each text
                 out = np.full(len(ids) + len(n), end_id, np.int32)

@@ -111,6 +111,11 @@ class Model:
     pairs: int = 0  # different ones
     lower_rest: float = 1.0  # share of the lower order that goes to all words alike
 
+    @property
+    def shift(self) -> int:
+        """Sums are gathered for so many buckets (log2) of words at once."""
+        return (self.bits + 1) // 2
+
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of words, -1 for unknown ones."""
         unique, back = np.unique(hashes, return_inverse=True)
@@ -198,7 +203,7 @@ def _write_words(path: str):
 
 def _write_pairs(model: Model):
     """Writes a bucket's pairs; gives out its sums of counts of counts (bucket -1), and for each word how many different pairs
-    seen once, twice, more often it begins, and how many it ends (buckets of the words)."""
+    seen once, twice, more often it begins, and how many it ends (by group of word buckets: far fewer than buckets)."""
 
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         b = key[0].as_py()
@@ -212,7 +217,8 @@ def _write_pairs(model: Model):
         seen, back = np.unique(ids, return_inverse=True)
         sums = np.bincount(back * 4 + columns, minlength=4 * len(seen)).reshape(-1, 4).astype(np.uint32)
         before = np.array(model.before)
-        out = [_pack(seen.astype(np.uint64), sums, np.searchsorted(before, seen, "right") - 1)] if len(seen) else []
+        group = np.searchsorted(before, seen, "right") - 1 >> model.shift
+        out = [_pack(seen.astype(np.uint64), sums, group)] if len(seen) else []
         times = np.array([[int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n)]], np.uint64)
         out.append(pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([times.tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["bucket", "keys", "counts"]))
         return pa.Table.from_batches(out)
@@ -224,16 +230,20 @@ def _write_sums(model: Model, size: tuple[int, ...]):
     """Sums by word id, laid out densely; gives out counts of counts of the pairs that words end."""
 
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-        b = key[0].as_py()
-        if b < 0:
+        g = key[0].as_py()
+        if g < 0:
             out = np.sum([np.frombuffer(x, np.uint64) for x in part["keys"].to_pylist()], axis=0)
         else:
             ids, sums = _merge(part, 4)
-            dense = np.zeros((size[b], 4), np.uint32)
-            dense[ids.astype(np.int64) - model.before[b]] = sums
-            _write(model.path, f"sums-{b:05d}", dense)
-            out = np.array([int((dense[:, 3] == k).sum()) for k in (1, 2, 3, 4)] + [int(dense[:, 3].sum())])
-        return pa.table({"bucket": pa.array([b], pa.int32()), "times": pa.array([[int(x) for x in out]], pa.list_(pa.int64()))})
+            ids = ids.astype(np.int64)
+            out = np.zeros(5, np.int64)
+            for b in range(g << model.shift, min((g + 1) << model.shift, len(size))):
+                i, j = np.searchsorted(ids, (model.before[b], model.before[b] + size[b]))
+                dense = np.zeros((size[b], 4), np.uint32)
+                dense[ids[i:j] - model.before[b]] = sums[i:j]
+                _write(model.path, f"sums-{b:05d}", dense)
+                out += [*(int((dense[:, 3] == k).sum()) for k in (1, 2, 3, 4)), int(dense[:, 3].sum())]
+        return pa.table({"bucket": pa.array([g], pa.int32()), "times": pa.array([[int(x) for x in out]], pa.list_(pa.int64()))})
 
     return run
 

@@ -250,3 +250,14 @@ def substring_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM d, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS i) WHERE len(w) >= 50),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS low FROM x),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS gone FROM m WHERE low < doc_id GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce((SELECT string_agg(v, ' ' ORDER BY k) FROM (SELECT unnest(w) AS v, unnest(range(1, len(w) + 1)) AS k) WHERE NOT list_contains(gone, k)), '') END) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""

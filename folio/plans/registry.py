@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as t
-from folio.operators import chunking, narrative, readability, replies, reports, vectors
+from folio.operators import chunking, description, narrative, readability, replies, reports, vectors
 from folio.streaming import tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +123,29 @@ def tfidf_terms(spark, d):
     return narrative.top_terms(_docs(spark, d), stop_words=EN_STOPS).withColumn("score", F.round("score", 6))
 
 
+def description_measures(spark, d):
+    return description.description_report(_docs(spark, d), {"a": ["the", "of"], "b": ["and", "was"]}, {"c": ["that"], "d": ["with", "from"]})
+
+
+def chunk_coherence(spark, d):
+    return description.unit_coherence(_chunks(spark, d)).select("doc_id", F.round("transitions", 6).alias("transitions"), F.round("thematic", 6).alias("thematic"))
+
+
+def fact_density(spark, d):
+    c = F.col("text")
+    return _docs(spark, d).select("doc_id", F.round(description.information_density(c, EN_LINKS), 6).alias("information_density"), description.pattern_counts(c, {"x": [r"\?", "!"]})["x"].alias("marks"))
+
+
+def chunk_term_sums(spark, d):
+    return description.chunk_terms(_chunks(spark, d), stop_words=EN_STOPS).withColumn("score", F.round("score", 6))
+
+
+def speech_voices(spark, d):
+    parts = narrative.speech(_docs(spark, d)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("paragraph_index", "parts"))).alias("p"))
+    found = parts.select("doc_id", description.voices(F.flatten(F.transform("p", lambda x: x["parts"]))).alias("voices"))
+    return _docs(spark, d).select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("voices", F.lit(0)).alias("voices"))
+
+
 def complexity_rollup(spark, d):
     c = readability.complexity(_chunks(spark, d), EN_WORDS, text="content", conjunctions=EN_LINKS)
     return readability.rollup(c, ["doc_id"], {x: F.col(f"complexity.{x}") for x in ("overall", "flesch", "lexical_diversity")})
@@ -259,7 +282,7 @@ def queries() -> dict[str, Query]:
     names = """readability_by_lang readability_counts readability_full complexity complexity_rollup style emotion chunks_fixed chunks_by_sentence chunk_statistics pace
     tension relevant_chunks chunk_scores water repetitions dialogue structure coherence tfidf_terms knn ivf_recall similar_pairs top_pairs label_averages mean_vectors vector_water
     chat_prompts genre_replies newest_page title_search size_classes success_by_user usage_counts recent_values value_trends latency_average order_progress orders_with_lines
-    missing_customers duplicate_texts latest_events best_suppliers event_counters metric_snapshots user_life_cycles metric_alerts"""
+    missing_customers duplicate_texts latest_events best_suppliers description_measures chunk_coherence fact_density chunk_term_sums speech_voices event_counters metric_snapshots user_life_cycles metric_alerts"""
     return {n: globals()[n] for n in names.split()}
 
 

@@ -107,4 +107,10 @@ SQL: dict[str, str] = {
     "metric_snapshots": "SELECT time_bucket(INTERVAL '6 hours', ts) AS start, event_type, round(avg(value), 5) AS avg, round(min(value), 5) AS min, round(max(value), 5) AS max, count(*) AS n FROM events GROUP BY 1, 2",
     "user_life_cycles": "SELECT user_id, round(epoch_us(max(ts) FILTER (event_type = 'purchase')) / 1000000.0 - epoch_us(min(ts)) / 1000000.0, 3) AS seconds FROM events GROUP BY 1",
     "metric_alerts": "SELECT event_id, alert, severity FROM (SELECT event_id, 'memory' AS alert, 'critical' AS severity FROM events WHERE value > 90 UNION ALL SELECT event_id, 'temperature', 'warning' FROM events WHERE value > 80 UNION ALL SELECT event_id, 'hit_rate', 'warning' FROM events WHERE value < 30 UNION ALL SELECT event_id, 'success_rate', 'critical' FROM events WHERE value < 70)",
+    "fact_density": f"""SELECT doc_id, round(CASE WHEN len(s) = 0 OR n = 0 THEN 0 ELSE (2 * {_any("lower(text)", ["for", "that", "with", "from"])} / greatest(n, 1) + len(list_filter(s, lambda x: regexp_matches(x, '\\d{{4}}|\\d+%|\\d+\\.\\d+|[А-Я][а-я]+ [А-Я][а-я]+'))) / greatest(len(s), 1)) / 3 END, 6) AS information_density,
+      CAST(length(text) - length(replace(replace(text, '?', ''), '!', '')) AS DOUBLE) AS marks FROM (SELECT doc_id, text, {_pieces("text", "[.!?]+")} AS s, len({_tokens("text")}) AS n FROM documents)""",
+    "chunk_term_sums": f"""WITH w AS (SELECT doc_id, chunk_index, list_filter({_words("content", "\\p{L}{2,}")}, lambda x: NOT list_contains({_STOPS}, x)) AS w FROM ({_chunks(0)})),
+      t AS (SELECT doc_id, chunk_index, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), c AS (SELECT doc_id, chunk_index, term, count(*) AS c FROM t GROUP BY ALL),
+      s AS (SELECT doc_id, term, sum(s) AS score FROM (SELECT *, c / sqrt(sum(c * c) OVER (PARTITION BY doc_id, chunk_index)) AS s FROM c) GROUP BY ALL)
+      SELECT doc_id, term, round(score, 6) AS score, CAST(r AS INT) AS rank, terms FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, encode(term)) AS r, count(*) OVER (PARTITION BY doc_id) AS terms FROM s) WHERE r <= 20""",
 }

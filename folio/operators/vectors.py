@@ -129,11 +129,17 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosi
     return out if threshold is None else out.where(F.col("score") >= threshold)
 
 
+def _sample(data: DataFrame, size: int) -> DataFrame:
+    """About `size` rows, the same ones each time: those whose hash is in a fitting part of the range."""
+    n = data.count()
+    return data if n <= size else data.where(F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // size))) == 0)
+
+
 def ivf(vectors: DataFrame, cells: int, seed: int = 42, sample: int = 100_000) -> tuple[DataFrame, list[list[float]]]:
-    """Vectors with the cell of their nearest centre. Centres are fitted on at most about `sample` vectors, those of the least
-    hashes; all vectors are given cells."""
+    """Vectors with the cell of their nearest centre. Centres are fitted on about `sample` vectors at most, chosen
+    by hash; all vectors are given cells."""
     data = vectors.withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
-    model = KMeans(k=cells, seed=seed, maxIter=10, initSteps=2).fit(data.orderBy(F.xxhash64("vec_id")).limit(sample))
+    model = KMeans(k=cells, seed=seed, maxIter=10, initSteps=2).fit(_sample(data, sample))
     return model.transform(data).drop("features").withColumnRenamed("prediction", "cell"), [c.tolist() for c in model.clusterCenters()]
 
 
@@ -154,7 +160,7 @@ def pq(vectors: DataFrame, parts: int, codes: int = 256, seed: int = 42, sample:
     d, books, out = size // parts, [], vectors
     for p in range(parts):
         out = out.withColumn("features", array_to_vector(F.transform(F.slice("embedding", p * d + 1, d), lambda x: x.cast("double"))))
-        model = KMeans(k=codes, seed=seed + p, maxIter=5, initSteps=1, predictionCol=f"code_{p}").fit(out.orderBy(F.xxhash64("vec_id")).limit(sample))
+        model = KMeans(k=codes, seed=seed + p, maxIter=5, initSteps=1, predictionCol=f"code_{p}").fit(_sample(out, sample))
         out = model.transform(out).drop("features")
         books.append([c.tolist() for c in model.clusterCenters()])
     return out.withColumn("codes", F.array(*(F.col(f"code_{p}").cast("short") for p in range(parts)))).drop(*(f"code_{p}" for p in range(parts))), books

@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions import text as t
 from folio.operators import chunking, description, narrative, readability, replies, reports, vectors
 from folio.streaming import tasks
 

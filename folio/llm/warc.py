@@ -139,7 +139,12 @@ def _base32(batches):
 
 def build_dictionary(pages: DataFrame) -> bytes:
     """From a bounded sample of records, those of the least payload hashes. Too few or too short ones: no dictionary."""
-    sample = pages.select(F.left(F.coalesce(F.col("html").cast("string"), F.lit("")), F.lit(SAMPLE_CHARS)).alias("html"), F.xxhash64("html", "page_id").alias("h")).orderBy("h", "html").limit(SAMPLE_RECORDS)
+    # hashes alone are ordered first, so that no more than one sample of payloads is moved
+    hashed = pages.select(F.left(F.coalesce(F.col("html").cast("string"), F.lit("")), F.lit(SAMPLE_CHARS)).alias("html"), F.xxhash64("page_id", "url").alias("h"))
+    last = hashed.select("h").orderBy("h").limit(SAMPLE_RECORDS).agg(F.max("h")).first()[0]
+    if last is None:
+        return b""
+    sample = hashed.where(F.col("h") <= last).limit(SAMPLE_RECORDS).select("html").orderBy("html")
     samples = [record({"refers_to": None, "record": str(i), "digest": digest(x.encode()), "url": "http://example.com/", "page_id": i}, x.encode()) for i, x in enumerate(r["html"] for r in sample.collect())]
     if len(samples) < 8 or sum(map(len, samples)) < 8 * 1024:
         return b""

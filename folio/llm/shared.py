@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,12 +12,16 @@ from pyspark.sql.types import StructType
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset (tests), under a local folder set as such."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path under spark.checkpoint.dir, with its scheme, so that Spark and workers mean the same place. Only where that is
+    unset (tests), under a local folder that is then set as the session's."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="folio-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folio-"))
+        base = context.getCheckpointDir()
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    full = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return full.replace("file:/", "file:///", 1) if re.match("file:/(?!/)", full) else full
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

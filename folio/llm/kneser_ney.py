@@ -33,7 +33,7 @@ from folio.llm.words import Chunk, chunks, mix, words
 #: Stands for the end of a text; in the place of a word's hash.
 END = np.uint64(0x5D1F00D5EED0E1D5)
 FLUSH = 1 << 21
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def trained(doc_id) -> F.Column:

@@ -52,7 +52,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
+            size = (max(n, len(self.up) * 5 // 4) + 0xFFFF) >> 16 << 16
             self.up, self.down = (np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64)))) for b in (self.base, self.inverse))
         return self.up[:n], self.down[:n]
 

@@ -65,7 +65,9 @@ def _one(b: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> li
     line_again = 1 - len(np.unique(line_sums)) / len(line_sums)
     at = np.arange(0, k, BLOCK)
     per = lambda mask: np.add.reduceat(mask.astype(np.int64), at) / np.diff(np.append(at, k))
-    few = np.array([len(np.unique(h[i : i + BLOCK])) / min(BLOCK, k - i) for i in at]) if k <= 64 * BLOCK else per(np.isin(h, seen[times > max(2, k // 50)]))
+    whole = k // BLOCK * BLOCK
+    kinds = 1 + (np.diff(np.sort(h[:whole].reshape(-1, BLOCK), axis=1), axis=1) != 0).sum(axis=1)
+    few = np.append(kinds, len(np.unique(h[whole:])))[: len(at)] / np.diff(np.append(at, k))
     blocks = [float((per(again | again_2) > 0.3).mean()), float((per(shouted) > 0.5).mean()), float((per(tailed) > 0.3).mean()), float((per(bar) > 0.15).mean()), float((few < 0.5).mean())]
     return [
         np.log1p(len(b)), np.log1p(k), *share, float(size.mean()), float(size.std()), float(size.max()), float((size <= 2).mean()), float((size >= 14).mean()),

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from folio.llm import quality as q
 
@@ -37,6 +38,24 @@ def test_one_class():
     assert (q.fit(np.zeros((9, 3)), np.ones(9)).score(np.zeros((2, 3))) > 0.9).all()
 
 
+def test_blocks_few():
+    few = lambda *texts: q.statistics(pa.array(texts))[:, q.NAMES.index("blocks_few")].tolist()
+    words = [f"w{i}" for i in range(24)]
+    plain, junk = " ".join(words), " ".join(words[:6] * 4)
+    assert few(*(" ".join([plain] * n) for n in (1, 64, 65, 300))) == [0.0] * 4
+    assert few(*(" ".join([junk] * n) for n in (1, 64, 65, 300))) == [1.0] * 4
+    assert few(*(" ".join([plain, junk, plain, junk] * n) for n in (1, 16, 17, 75))) == [0.5] * 4
+
+    def brute(text):
+        w = text.split()
+        blocks = [w[i : i + q.BLOCK] for i in range(0, len(w), q.BLOCK)]
+        return sum(len(set(x)) / len(x) < 0.5 for x in blocks) / len(blocks)
+
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in r.zipf(1.6, k) % 500) for k in (1, 23, 24, 25, 47, 1535, 1536, 1537, 1560, 5000)]
+    assert np.allclose(few(*texts), [brute(x) for x in texts])
+
+
 def test_documents(spark):
     sf = "/root/testdata/sf0.01"
     rows = {x.doc_id: x for x in q.op2_quality(spark, sf).collect()}

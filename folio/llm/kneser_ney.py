@@ -6,7 +6,7 @@ word pair is one integer, `first * words + second`, and packs to a few bytes. Pa
 a word before a third of all others is spread over all buckets, and its statistics are summed from these.
 
 Scoring: workers map the files into memory and look batches of sorted keys up by binary search. The system pages in what is
-asked for, and no worker holds a copy. Where the shared folder is not a local path, a worker copies the files once.
+asked for, and no worker holds a copy. Where the shared folder is not a local path, a worker copies each file when it first needs it.
 
 The order is fixed at two: the pairs of a corpus, counted and stored, take about as much disk as its compressed texts; the
 triples, which are nearly all different, would take more than twice that.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import os
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -81,19 +82,17 @@ def _write(path: str, name: str, values: np.ndarray) -> None:
 
 
 @functools.cache
-def _local(path: str) -> str:
+def _map(path: str, name: str, dtype: str) -> np.ndarray:
+    """A file of the model, which has to be there: callers ask only for what the driver knows to be written. From another
+    store it is copied when first asked for, into a nameless file that ends with the worker."""
     if urlparse(path).scheme in ("", "file"):
-        return urlparse(path).path
+        file = os.path.join(urlparse(path).path, name)
+        return np.memmap(file, dtype, "r") if os.path.getsize(file) else np.zeros(0, dtype)
     store, base = fs.FileSystem.from_uri(path)
-    to = tempfile.mkdtemp(prefix="model-")
-    fs.copy_files(base, to, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
-    return to
-
-
-@functools.cache
-def _map(path: str, name: str, dtype: str) -> np.ndarray:
-    file = os.path.join(_local(path), name)
-    return np.memmap(file, dtype, "r") if os.path.exists(file) and os.path.getsize(file) else np.zeros(0, dtype)
+    with store.open_input_stream(f"{base}/{name}", compression=None) as source, tempfile.TemporaryFile() as to:
+        shutil.copyfileobj(source, to, 1 << 20)
+        to.flush()
+        return np.memmap(to, dtype, "r") if to.tell() else np.zeros(0, dtype)
 
 
 @dataclass(frozen=True)
@@ -110,6 +109,7 @@ class Model:
     lower: tuple[float, ...] = (0.0,) * 4  # of words that follow 1, 2, 3 and more words
     pairs: int = 0  # different ones
     lower_rest: float = 1.0  # share of the lower order that goes to all words alike
+    pairs_in: tuple[int, ...] = ()  # pairs of each bucket
 
     @property
     def shift(self) -> int:
@@ -123,8 +123,8 @@ class Model:
         edges = np.searchsorted(unique >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1))
         for b in np.flatnonzero(np.diff(edges)):
             i, j = edges[b], edges[b + 1]
-            known = _map(self.path, f"words-{b:05d}", "u8")
-            if len(known):
+            if self.before[b + 1] > self.before[b]:
+                known = _map(self.path, f"words-{b:05d}", "u8")
                 at = np.minimum(np.searchsorted(known, unique[i:j]), len(known) - 1)
                 out[i:j] = np.where(known[at] == unique[i:j], self.before[b] + at, -1)
         return out[back]
@@ -146,8 +146,8 @@ class Model:
         out = np.zeros(len(keys), np.int64)
         for b in np.flatnonzero(np.diff(edges)):
             rows = order[edges[b] : edges[b + 1]]
-            known = _map(self.path, f"pairs-{b:05d}", "u8")
-            if len(known):
+            if self.pairs_in[b]:
+                known = _map(self.path, f"pairs-{b:05d}", "u8")
                 at = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
                 out[rows] = np.where(known[at] == keys[rows], _map(self.path, f"pair_counts-{b:05d}", "u4")[at], 0)
         return out[back]
@@ -219,7 +219,7 @@ def _write_pairs(model: Model):
         before = np.array(model.before)
         group = np.searchsorted(before, seen, "right") - 1 >> model.shift
         out = [_pack(seen.astype(np.uint64), sums, group)] if len(seen) else []
-        times = np.array([[int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n)]], np.uint64)
+        times = np.array([[int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n), b]], np.uint64)
         out.append(pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([times.tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["bucket", "keys", "counts"]))
         return pa.Table.from_batches(out)
 
@@ -232,7 +232,9 @@ def _write_sums(model: Model, size: tuple[int, ...]):
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         g = key[0].as_py()
         if g < 0:
-            out = np.sum([np.frombuffer(x, np.uint64) for x in part["keys"].to_pylist()], axis=0)
+            times = np.array([np.frombuffer(x, np.uint64) for x in part["keys"].to_pylist()])
+            out = np.concatenate((times[:, :5].sum(axis=0), np.zeros(1 << model.bits, np.uint64)))
+            out[5 + times[:, 5].astype(np.int64)] = times[:, 4]
         else:
             ids, sums = _merge(part, 4)
             ids = ids.astype(np.int64)
@@ -278,7 +280,7 @@ def train(docs: DataFrame, path: str) -> Model:
     d, lower = discounts(of_pairs[:4]), discounts(of_words[:4])
     n = [*of_words[:2], model.words - of_words[0] - of_words[1]]
     ends = int(texts.count())
-    return Model(path, bits, before, model.words, tokens, ends, d, lower, of_words[4], sum(x * y for x, y in zip(lower[1:], n, strict=True)) / of_words[4])
+    return Model(path, bits, before, model.words, tokens, ends, d, lower, of_words[4], sum(x * y for x, y in zip(lower[1:], n, strict=True)) / of_words[4], tuple(of_pairs[5:]))
 
 
 def log_probabilities(model: Model, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

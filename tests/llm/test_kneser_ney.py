@@ -1,11 +1,17 @@
+import dataclasses
 import math
 import random
 import re
+import shutil
+import tempfile
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyarrow import fs
 
 from folio.llm import kneser_ney as kn
 
@@ -86,3 +92,32 @@ def test_odd(spark, odd_docs, no_docs, tmp_path):
     nothing = kn.train(no_docs, f"file://{tmp_path}/b")
     assert {(x.base_score, x.score) for x in kn.score(odd_docs, nothing).collect() if x.n_tokens == 1} == {(0.0, 0.0)}
     assert kn.score(no_docs, model).count() == 0
+
+
+def test_other_store(spark, tmp_path, monkeypatch):
+    """A worker that lives through all stages, and a folder that is no local path."""
+    learn = ["a b a c", "b a b", "c a b d"]
+    model = kn.train(spark.createDataFrame(list(enumerate(learn)), "doc_id long, text string"), f"file://{tmp_path}/m")
+    (tmp_path / "far").mkdir()
+    far = fs.SubTreeFileSystem(str(tmp_path / "far"), fs.LocalFileSystem())
+    monkeypatch.setattr(kn, "fs", SimpleNamespace(FileSystem=SimpleNamespace(from_uri=lambda uri: (far, "")), LocalFileSystem=fs.LocalFileSystem, copy_files=fs.copy_files))
+    monkeypatch.setattr(tempfile, "tempdir", str(tmp_path / "own"))
+    (tmp_path / "own").mkdir()
+    model = dataclasses.replace(model, path="far://store/m")
+    hashes, first = kn._tokens(next(kn.chunks(pa.array(["a b d", "x c"]))))
+
+    def put(*starts):
+        for file in (tmp_path / "m").iterdir():
+            if file.name.startswith(starts):
+                shutil.copy(file, tmp_path / "far")
+
+    put("words", "counts")
+    assert (model.ids(hashes) >= 0).sum() == 6  # pairs are counted while there are words only
+    with pytest.raises(FileNotFoundError):
+        kn.log_probabilities(model, hashes, first)
+    put("")
+    brute = Brute(learn)
+    p, base, known = kn.log_probabilities(model, hashes, first)
+    got = [(int(b - a), int(known[a:b].sum()), base[a:b].sum(), p[a:b].sum()) for a, b in zip(first, first[1:], strict=False)]
+    assert np.allclose(got, [brute.score("a b d"), brute.score("x c")])
+    assert not list((tmp_path / "own").iterdir())

@@ -134,10 +134,10 @@ def style(df: DataFrame, text: str = "text", separator: str = "\n", name: str =
     return _add(df, text, name, steps, "words unique_words sentences paragraphs words_per_sentence word_length long_words_ratio type_token_ratio".split())
 
 
-def emotion(df: DataFrame, text: str = "text", emotions=lx.EMOTIONS, positive=("радость",), negative=("грусть", "гнев", "страх", "отвращение"), limit: int = 3000, name: str = "emotion") -> DataFrame:
-    """Lexicon emotions of the first `limit` characters (the measure is defined on an opening): occurrences a word, times 10,
-    rounded to 3 places; the dominant one (the first of equals, in the order given), tone and tone score."""
-    c = F.left(F.col(f"`{text}`"), F.lit(limit))
+def emotion(df: DataFrame, text: str = "text", emotions=lx.EMOTIONS, positive=("радость",), negative=("грусть", "гнев", "страх", "отвращение"), limit: int | None = None, name: str = "emotion") -> DataFrame:
+    """Lexicon emotions of the whole text, or of its first `limit` characters: occurrences a word, times 10, rounded to
+    3 places; the dominant one (the first of equals, in the order given), tone and tone score."""
+    c = F.col(f"`{text}`") if limit is None else F.left(F.col(f"`{text}`"), F.lit(limit))
     n = F.greatest(F.size(t.tokens(c)), F.lit(1))
     keys = list(emotions)
     score = {k: F.round(t.count_any(F.lower(c), v) / n * 10, 3) for k, v in emotions.items()}

@@ -57,9 +57,17 @@ def style(spark, d):
     return readability.style(_docs(spark, d)).select("doc_id", *(f"style.{x}" for x in ("words", "unique_words", "sentences", "paragraphs")), *(F.round(f"style.{x}", 6).alias(x) for x in ("words_per_sentence", "word_length", "long_words_ratio", "type_token_ratio")))
 
 
-def emotion(spark, d):
+def _emotion(spark, d, limit):
     lists = {"calm": ["the", "and"], "bright": ["tion", "ing"], "dark": ["wh", "th"]}
-    return readability.emotion(_docs(spark, d), emotions=lists, positive=["bright"], negative=["dark"]).select("doc_id", F.col("emotion.dominant"), F.col("emotion.scores")["bright"].alias("bright"), F.col("emotion.scores")["dark"].alias("dark"), "emotion.tone", F.round("emotion.tone_score", 6).alias("tone_score"))
+    return readability.emotion(_docs(spark, d), emotions=lists, positive=["bright"], negative=["dark"], limit=limit).select("doc_id", F.col("emotion.dominant"), F.col("emotion.scores")["bright"].alias("bright"), F.col("emotion.scores")["dark"].alias("dark"), "emotion.tone", F.round("emotion.tone_score", 6).alias("tone_score"))
+
+
+def emotion(spark, d):
+    return _emotion(spark, d, 3000)  # its SQL states the opening
+
+
+def emotion_full(spark, d):
+    return _emotion(spark, d, None)
 
 
 def chunks_fixed(spark, d):
@@ -278,7 +286,7 @@ def metric_alerts(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    names = """readability_by_lang readability_counts readability_full complexity complexity_rollup style emotion chunks_fixed chunks_by_sentence chunk_statistics pace
+    names = """readability_by_lang readability_counts readability_full complexity complexity_rollup style emotion emotion_full chunks_fixed chunks_by_sentence chunk_statistics pace
     tension relevant_chunks chunk_scores water repetitions dialogue structure coherence tfidf_terms knn ivf_recall similar_pairs top_pairs label_averages mean_vectors vector_water
     chat_prompts genre_replies newest_page title_search size_classes success_by_user usage_counts recent_values value_trends latency_average order_progress orders_with_lines
     missing_customers duplicate_texts latest_events best_suppliers description_measures chunk_coherence fact_density chunk_term_sums speech_voices event_counters metric_snapshots user_life_cycles metric_alerts"""

@@ -63,6 +63,13 @@ def test_emotion(spark):
     assert x[1].emotion.dominant == "радость" and x[1].emotion.tone == "neutral"
 
 
+def test_emotion_whole(spark):
+    df = frame(spark, "слово " * 600 + "радость " * 600)
+    x, y = (readability.emotion(df, **k).first().emotion for k in ({}, {"limit": 3000}))
+    assert x.tone == "positive" and x.scores["радость"] == 5.0
+    assert y.tone == "neutral" and y.scores["радость"] == 0.0
+
+
 def test_chunks(spark):
     cut = lambda text, **k: chunking.chunk(frame(spark, text), chunking.Strategy(**k)).orderBy("chunk_index").collect()
     assert len(cut("A" * 200, base=30, least=1, overlap=0)) == 7 and len(cut("A" * 200, base=100, least=1, overlap=0)) == 2

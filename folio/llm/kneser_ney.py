@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney language model of words, of order 2, counted in Spark.
+"""Interpolated modified Kneser-Ney language model of words, of order 2 or more, counted in Spark.
 
 Counts: tasks count in numpy, and hand on sorted keys packed by hash bucket; a bucket's task merges them into sorted arrays
 and writes these as plain files in the shared folder. Word ids are places in the sorted array of word hashes, so a
@@ -8,8 +8,8 @@ a word before a third of all others is spread over all buckets, and its statisti
 Scoring: workers map the files into memory and look batches of sorted keys up by binary search. The system pages in what is
 asked for, and no worker holds a copy. Where the shared folder is not a local path, a worker copies each file when it first needs it.
 
-The order is fixed at two: the pairs of a corpus, counted and stored, take about as much disk as its compressed texts; the
-triples, which are nearly all different, would take more than twice that.
+Longer runs are built up in the same way: a run of k words has the key `id of the first k - 1 * words + last`, and its id is its
+place among sorted keys. Texts begin with order - 1 starts. Lower orders count how many different words come before a run.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from urllib.parse import urlparse
 
 import numpy as np
@@ -66,7 +66,7 @@ def _merge(part: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts.astype(np.int64), first)
+    return keys[first], np.add.reduceat(counts, first, dtype=np.int64)
 
 
 # ---- files
@@ -104,53 +104,76 @@ class Model:
     before: tuple[int, ...]  # words in earlier buckets
     words: int
     tokens: int
-    texts: int
-    discount: tuple[float, ...] = (0.0,) * 4  # of pairs seen 1, 2, 3 and more times; [0] is for none
+    order: int = 2
+    grams: tuple[tuple[int, ...], ...] = ()  # runs of 2, 3 and more words in earlier buckets
+    discounts: tuple[tuple[float, ...], ...] = ()  # of runs of 2, 3 and more words: of values 1, 2, 3 and more; [0] is for none
     lower: tuple[float, ...] = (0.0,) * 4  # of words that follow 1, 2, 3 and more words
     pairs: int = 0  # different ones
-    lower_rest: float = 1.0  # share of the lower order that goes to all words alike
-    pairs_in: tuple[int, ...] = ()  # pairs of each bucket
+    lower_rest: float = 1.0  # share of the lowest order that goes to all words alike
+
+    @property
+    def discount(self) -> tuple[float, ...]:
+        return self.discounts[-1] if self.discounts else (0.0,) * 4
 
     @property
     def shift(self) -> int:
         """Sums are gathered for so many buckets (log2) of words at once."""
-        return (self.bits + 1) // 2
+        return (self.bits - 1) // 2
+
+    def places(self, k: int) -> tuple[int, ...]:
+        """Runs of k words in earlier buckets. The last number is the id of k text starts, behind all runs."""
+        return self.before if k == 1 else self.grams[k - 2]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of words, -1 for unknown ones."""
-        unique, back = np.unique(hashes, return_inverse=True)
+        return self._find("words", self.before, hashes, hashes)
+
+    def find(self, k: int, keys: np.ndarray) -> np.ndarray:
+        """Ids of runs of k words, -1 for unknown ones."""
+        keys = keys.astype(np.uint64)
+        return self._find(f"grams{k}", self.places(k), keys, mix(keys))
+
+    def _find(self, name: str, before: tuple[int, ...], keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        unique, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        bucket = hashes[at] >> np.uint64(64 - self.bits)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange((1 << self.bits) + 1))
         out = np.full(len(unique), -1, np.int64)
-        edges = np.searchsorted(unique >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1))
         for b in np.flatnonzero(np.diff(edges)):
-            i, j = edges[b], edges[b + 1]
-            if self.before[b + 1] > self.before[b]:
-                known = _map(self.path, f"words-{b:05d}", "u8")
-                at = np.minimum(np.searchsorted(known, unique[i:j]), len(known) - 1)
-                out[i:j] = np.where(known[at] == unique[i:j], self.before[b] + at, -1)
+            rows = order[edges[b] : edges[b + 1]]
+            if before[b + 1] > before[b]:
+                known = _map(self.path, f"{name}-{b:05d}", "u8")
+                at = np.minimum(np.searchsorted(known, unique[rows]), len(known) - 1)
+                out[rows] = np.where(known[at] == unique[rows], before[b] + at, -1)
         return out[back]
 
-    def by_id(self, name: str, dtype: str, ids: np.ndarray, width: int = 1) -> np.ndarray:
-        """Rows of an array that is laid out by word id, in files of the words' buckets."""
+    def by_id(self, k: int, name: str, dtype: str, ids: np.ndarray, width: int = 1) -> np.ndarray:
+        """Rows of an array that is laid out by id of runs of k words, in files of their buckets."""
         out = np.zeros((len(ids), width), np.int64)
-        bucket = np.searchsorted(np.array(self.before), ids, "right") - 1
-        for b in np.unique(bucket):
-            rows = np.flatnonzero(bucket == b)
-            out[rows] = _map(self.path, f"{name}-{b:05d}", dtype).reshape(-1, width)[ids[rows] - self.before[b]]
-        return out
-
-    def pair_counts(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        keys, back = np.unique(first.astype(np.uint64) * np.uint64(self.words) + second.astype(np.uint64), return_inverse=True)
-        bucket = mix(keys) >> np.uint64(64 - self.bits)
+        before = np.array(self.places(k))
+        bucket = np.searchsorted(before, ids, "right") - 1
         order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange((1 << self.bits) + 1))
-        out = np.zeros(len(keys), np.int64)
+        edges = np.searchsorted(bucket[order], np.arange(len(before) + 1))
         for b in np.flatnonzero(np.diff(edges)):
             rows = order[edges[b] : edges[b + 1]]
-            if self.pairs_in[b]:
-                known = _map(self.path, f"pairs-{b:05d}", "u8")
-                at = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
-                out[rows] = np.where(known[at] == keys[rows], _map(self.path, f"pair_counts-{b:05d}", "u4")[at], 0)
-        return out[back]
+            out[rows] = _map(self.path, f"{name}-{b:05d}", dtype).reshape(-1, width)[ids[rows] - before[b]]
+        return out
+
+    def after(self, k: int, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """For each token the id of the k words before it, from the ids of the k words that end at each."""
+        out = np.concatenate(([self.places(k)[-1]], ids[:-1]))
+        out[first[:-1]] = self.places(k)[-1]
+        return out
+
+    def without_first(self, k: int, keys: np.ndarray) -> np.ndarray:
+        """Ids of the last k - 1 words of runs of k."""
+        before, last = keys // self.words, keys % self.words
+        if k == 2:
+            return last
+        middle = np.full(len(keys), self.places(k - 2)[-1], np.int64)
+        inner = before < self.places(k - 1)[-1]
+        middle[inner] = self.without_first(k - 1, self.by_id(k - 1, f"grams{k - 1}", "u8", before[inner])[:, 0])
+        return self.find(k - 1, middle * self.words + last)
 
 
 def _tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +185,8 @@ def _tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return out, w.first + np.arange(len(n) + 1)
 
 
-def _count(model: Model | None, bits: int):
-    """Counts words (model: None) or pairs of their ids."""
+def _count(model: Model | None, bits: int, k: int = 1):
+    """Counts words (model: None), or runs of k: the id of all but the last word, and the last word's."""
 
     def pack(held):
         keys, n = np.unique(np.concatenate(held), return_counts=True)
@@ -175,10 +198,11 @@ def _count(model: Model | None, bits: int):
             for chunk in chunks(batch.column("text"), CHUNK):
                 keys, first = _tokens(chunk)
                 if model is not None:
-                    ids = model.ids(keys)
-                    before = np.concatenate(([model.words], ids[:-1]))
-                    before[first[:-1]] = model.words  # the start of a text is the word after all words
-                    keys = (before * model.words + ids).astype(np.uint64)
+                    ids = runs = model.ids(keys)
+                    for j in range(2, k + 1):
+                        runs = runs if j == 2 else model.find(j - 1, keys)
+                        keys = model.after(j - 1, runs, first) * model.words + ids
+                    keys = keys.astype(np.uint64)
                 held.append(keys)
                 size += len(keys)
                 if size >= FLUSH:
@@ -190,61 +214,63 @@ def _count(model: Model | None, bits: int):
     return run
 
 
-def _write_words(path: str):
+def _write_keys(path: str, name: str, counts: str | None, dtype: str = "u4"):
+    """Writes a bucket's sorted keys, and their counts if these have a name."""
+
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         b = key[0].as_py()
         keys, n = _merge(part, 1)
-        _write(path, f"words-{b:05d}", keys)
-        _write(path, f"counts-{b:05d}", n[:, 0].astype(np.int64))
+        _write(path, f"{name}-{b:05d}", keys)
+        if counts:
+            _write(path, f"{counts}-{b:05d}", np.minimum(n[:, 0], np.iinfo(dtype).max).astype(dtype))
         return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(n.sum())], pa.int64())})
 
     return run
 
 
-def _write_pairs(model: Model):
-    """Writes a bucket's pairs; gives out its sums of counts of counts (bucket -1), and for each word how many different pairs
-    seen once, twice, more often it begins, and how many it ends (by group of word buckets: far fewer than buckets)."""
+def _sums(model: Model, k: int):
+    """Of buckets of runs of k words: counts of counts (bucket -1), and for each run of k - 1 words how many different runs of
+    value 1, 2 and more it begins, how many it ends, and the sum of values of those it begins (by group of buckets: far
+    fewer than buckets). The value is the count for the highest order; else how many different words come before."""
 
-    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-        b = key[0].as_py()
-        keys, n = _merge(part, 1)
-        n = n[:, 0]
-        _write(model.path, f"pairs-{b:05d}", keys)
-        _write(model.path, f"pair_counts-{b:05d}", np.minimum(n, 2**32 - 1).astype(np.uint32))
-        first, second = (keys // np.uint64(model.words)).astype(np.int64), (keys % np.uint64(model.words)).astype(np.int64)
-        ids = np.concatenate((first, second))
-        columns = np.concatenate((np.minimum(n, 3) - 1, np.full(len(n), 3)))
-        seen, back = np.unique(ids, return_inverse=True)
-        sums = np.bincount(back * 4 + columns, minlength=4 * len(seen)).reshape(-1, 4).astype(np.uint32)
-        before = np.array(model.before)
-        group = np.searchsorted(before, seen, "right") - 1 >> model.shift
-        out = [_pack(seen.astype(np.uint64), sums, group)] if len(seen) else []
-        times = np.array([[int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n), b]], np.uint64)
-        out.append(pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([times.tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["bucket", "keys", "counts"]))
-        return pa.Table.from_batches(out)
+    def run(batches):
+        before = np.array(model.places(k - 1))
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                size = model.places(k)[b + 1] - model.places(k)[b]
+                if not size:
+                    continue
+                keys = np.array(_map(model.path, f"grams{k}-{b:05d}", "u8")).astype(np.int64)
+                n = np.array(_map(model.path, f"gram_counts-{b:05d}", "u4") if k == model.order else _map(model.path, f"sums{k}-{b:05d}", "u4").reshape(-1, 5)[:, 3]).astype(np.int64)
+                ids = np.concatenate((keys // model.words, model.without_first(k, keys)))
+                seen, back = np.unique(ids, return_inverse=True)
+                sums = np.bincount(back * 5 + np.concatenate((np.minimum(n, 3) - 1, np.full(size, 3))), minlength=5 * len(seen)).reshape(-1, 5)
+                sums[:, 4] = np.bincount(back[:size], n, len(seen))
+                yield _pack(seen.astype(np.uint64), np.minimum(sums, 2**32 - 1).astype(np.uint32), np.searchsorted(before, seen, "right") - 1 >> model.shift)
+                times = np.array([[int((n == x).sum()) for x in (1, 2, 3, 4)] + [size]], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([times.tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["bucket", "keys", "counts"])
 
     return run
 
 
-def _write_sums(model: Model, size: tuple[int, ...]):
-    """Sums by word id, laid out densely; gives out counts of counts of the pairs that words end."""
+def _write_sums(model: Model, k: int):
+    """Sums by id of runs of k words, laid out densely; gives out counts of counts of the runs that these end."""
+    before = np.array((*model.places(k), model.places(k)[-1] + 1))
 
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         g = key[0].as_py()
         if g < 0:
-            times = np.array([np.frombuffer(x, np.uint64) for x in part["keys"].to_pylist()])
-            out = np.concatenate((times[:, :5].sum(axis=0), np.zeros(1 << model.bits, np.uint64)))
-            out[5 + times[:, 5].astype(np.int64)] = times[:, 4]
+            out = np.sum([np.frombuffer(x, np.uint64) for x in part["keys"].to_pylist()], axis=0)
         else:
-            ids, sums = _merge(part, 4)
+            ids, sums = _merge(part, 5)
             ids = ids.astype(np.int64)
             out = np.zeros(5, np.int64)
-            for b in range(g << model.shift, min((g + 1) << model.shift, len(size))):
-                i, j = np.searchsorted(ids, (model.before[b], model.before[b] + size[b]))
-                dense = np.zeros((size[b], 4), np.uint32)
-                dense[ids[i:j] - model.before[b]] = sums[i:j]
-                _write(model.path, f"sums-{b:05d}", dense)
-                out += [*(int((dense[:, 3] == k).sum()) for k in (1, 2, 3, 4)), int(dense[:, 3].sum())]
+            for b in range(g << model.shift, min((g + 1) << model.shift, len(before) - 1)):
+                i, j = np.searchsorted(ids, before[b : b + 2])
+                dense = np.zeros((before[b + 1] - before[b], 5), np.uint64 if k == 1 else np.uint32)
+                dense[ids[i:j] - before[b]] = sums[i:j]
+                _write(model.path, f"sums{k}-{b:05d}", dense)
+                out += [*(int((dense[:, 3] == x).sum()) for x in (1, 2, 3, 4)), int(dense[:, 3].sum())]
         return pa.table({"bucket": pa.array([g], pa.int32()), "times": pa.array([[int(x) for x in out]], pa.list_(pa.int64()))})
 
     return run
@@ -257,30 +283,38 @@ def discounts(n: list[int]) -> tuple[float, float, float, float]:
     return 0.0, *(float(min(max(x, 0.0), k)) for k, x in zip((1, 2, 3), d, strict=True))
 
 
-def train(docs: DataFrame, path: str) -> Model:
-    """Counts all rows of `docs` and writes the model under `path`, which all machines reach. Only sums by bucket reach the
-    driver."""
+def train(docs: DataFrame, path: str, order: int = 2) -> Model:
+    """Counts all rows of `docs` and writes a model of runs of up to `order` (2 or more) words under `path`, which all machines
+    reach. Each order takes one more pass over the texts. Only sums by bucket reach the driver."""
+    if order < 2:
+        raise ValueError("order: 2 or more")
     store, base = fs.FileSystem.from_uri(path)
     store.create_dir(base)
     spark = docs.sparkSession
     bits = min(12, max(1, (2 * partitions(spark) - 1).bit_length()))
     texts = id_text(docs).select("text")
-    rows = {r["bucket"]: r for r in texts.mapInArrow(_count(None, bits), _PACKED).groupBy("bucket").applyInArrow(_write_words(path), "bucket int, n long, total long").collect()}
-    size = [rows[b]["n"] if b in rows else 0 for b in range(1 << bits)]
-    tokens = sum(r["total"] for r in rows.values())
-    # the start of a text has a place of its own, in a bucket behind all words
-    before = tuple(int(x) for x in np.concatenate(([0], np.cumsum(size))))
-    model = Model(path, bits, before, before[-1], tokens, 0)
+
+    def count(model: Model | None, k: int, *names) -> tuple[tuple[int, ...], int]:
+        rows = {r["bucket"]: r for r in texts.mapInArrow(_count(model, bits, k), _PACKED).groupBy("bucket").applyInArrow(_write_keys(path, *names), "bucket int, n long, total long").collect()}
+        size = [rows[b]["n"] if b in rows else 0 for b in range(1 << bits)]
+        return tuple(int(x) for x in np.concatenate(([0], np.cumsum(size)))), sum(r["total"] for r in rows.values())
+
+    before, tokens = count(None, 1, "words", "counts", "i8")
+    model = Model(path, bits, before, before[-1], tokens, order)
     if not tokens:
         return model
-    pairs = texts.mapInArrow(_count(model, bits), _PACKED).groupBy("bucket").applyInArrow(_write_pairs(model), _PACKED)
-    times = {r["bucket"]: r["times"] for r in pairs.groupBy("bucket").applyInArrow(_write_sums(model, (*size, 1)), "bucket int, times array<long>").collect()}
-    of_pairs = times.pop(-1)
+    for k in range(2, order + 1):
+        if (model.places(k - 1)[-1] + 1) * model.words >= 1 << 63:
+            raise ValueError(f"runs of {k} words: ids do not fit 64 bits")
+        model = replace(model, grams=(*model.grams, count(model, k, f"grams{k}", "gram_counts" if k == order else None)[0]))
+    for k in range(order, 1, -1):  # what a lower order counts are the runs of the next higher one
+        sums = spark.range(0, 1 << bits, 1, partitions(spark)).mapInArrow(_sums(model, k), _PACKED)
+        times = {r["bucket"]: r["times"] for r in sums.groupBy("bucket").applyInArrow(_write_sums(model, k - 1), "bucket int, times array<long>").collect()}
+        model = replace(model, discounts=(discounts(times.pop(-1)[:4]), *model.discounts))
     of_words = np.sum(list(times.values()), axis=0).tolist()
-    d, lower = discounts(of_pairs[:4]), discounts(of_words[:4])
+    lower = discounts(of_words[:4])
     n = [*of_words[:2], model.words - of_words[0] - of_words[1]]
-    ends = int(texts.count())
-    return Model(path, bits, before, model.words, tokens, ends, d, lower, of_words[4], sum(x * y for x, y in zip(lower[1:], n, strict=True)) / of_words[4], tuple(of_pairs[5:]))
+    return replace(model, lower=lower, pairs=of_words[4], lower_rest=sum(x * y for x, y in zip(lower[1:], n, strict=True)) / of_words[4])
 
 
 def log_probabilities(model: Model, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -288,29 +322,31 @@ def log_probabilities(model: Model, hashes: np.ndarray, first: np.ndarray) -> tu
     ids = model.ids(hashes)
     known = ids >= 0
     flat = model.lower_rest / (model.words + 1)
-    lower, count = np.full(len(ids), flat), np.zeros(len(ids), np.int64)
+    p, count = np.full(len(ids), flat), np.zeros(len(ids), np.int64)
     if model.tokens:
         unique, back = np.unique(ids[known], return_inverse=True)
-        ends = model.by_id("sums", "u4", unique, 4)[:, 3]
-        lower[known] += ((ends - np.array(model.lower)[np.minimum(ends, 3)]) / model.pairs)[back]
-        count[known] = model.by_id("counts", "i8", unique)[:, 0][back]
+        ends = model.by_id(1, "sums1", "u8", unique, 5)[:, 3]
+        p[known] += ((ends - np.array(model.lower)[np.minimum(ends, 3)]) / model.pairs)[back]
+        count[known] = model.by_id(1, "counts", "i8", unique)[:, 0][back]
     base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
-    p = lower.copy()
-    if model.tokens and len(ids):
-        before = np.concatenate(([model.words], ids[:-1]))
-        before[first[:-1]] = model.words
+    runs = ids
+    for k in range(2, model.order + 1 if model.tokens and len(ids) else 0):
+        lower, discount = p.copy(), np.array(model.discounts[k - 2])
+        before = model.after(k - 1, runs, first)
         at = np.flatnonzero(before >= 0)
         unique, back = np.unique(before[at], return_inverse=True)
-        total = np.full(len(unique), model.texts, np.int64)
-        inner = unique < model.words
-        total[inner] = model.by_id("counts", "i8", unique[inner])[:, 0]
-        rest = model.by_id("sums", "u4", unique, 4)[:, :3] @ np.array(model.discount[1:])
-        share, total = (rest / np.maximum(total, 1))[back], total[back]
+        sums = model.by_id(k - 1, f"sums{k - 1}", "u8" if k == 2 else "u4", unique, 5)
+        total = sums[:, 4]
+        share, total = (sums[:, :3] @ discount[1:] / np.maximum(total, 1))[back], total[back]
         p[at] = share * lower[at]
-        both = known[at]
-        n = model.pair_counts(before[at][both], ids[at][both])
-        p[at[both]] += (n - np.array(model.discount)[np.minimum(n, 3)]) / total[both]
-        nothing = at[share == 0]  # a word never followed by another
+        runs = np.full(len(ids), -1, np.int64)
+        both = at[known[at]]
+        runs[both] = model.find(k, before[both] * model.words + ids[both])
+        seen = runs[at] >= 0
+        unique, back = np.unique(runs[at[seen]], return_inverse=True)
+        n = (model.by_id(k, "gram_counts", "u4", unique)[:, 0] if k == model.order else model.by_id(k, f"sums{k}", "u4", unique, 5)[:, 3])[back]
+        p[at[seen]] += (n - discount[np.minimum(n, 3)]) / total[seen]
+        nothing = at[share == 0]  # words never followed by another
         p[nothing] = np.where(p[nothing] > 0, p[nothing], lower[nothing])
     return np.log10(p), base, known
 
@@ -343,7 +379,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return got.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
-def op9_kneser_ney(spark, sf_dir: str) -> DataFrame:
+def op9_kneser_ney(spark, sf_dir: str, order: int = 2) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(trained(F.col("doc_id").cast("long"))), folder(spark, "model"))
+    model = train(docs.where(trained(F.col("doc_id").cast("long"))), folder(spark, "model"), order)
     return score(docs, model).select("doc_id", (~trained(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
+def op9_kneser_ney_order3(spark, sf_dir: str) -> DataFrame:
+    """The same with two words of context."""
+    return op9_kneser_ney(spark, sf_dir, 3)

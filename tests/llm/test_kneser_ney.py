@@ -121,3 +121,31 @@ def test_other_store(spark, tmp_path, monkeypatch):
     got = [(int(b - a), int(known[a:b].sum()), base[a:b].sum(), p[a:b].sum()) for a, b in zip(first, first[1:], strict=False)]
     assert np.allclose(got, [brute.score("a b d"), brute.score("x c")])
     assert not list((tmp_path / "own").iterdir())
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_order(spark, tmp_path, order):
+    r = random.Random(6)
+    make = lambda: " ".join(r.choices([f"w{int(r.paretovariate(0.9)) % 30}" for _ in range(20)], k=r.randrange(30)))
+    learn, ask = [*(make() for _ in range(150)), None, ""], [*(make() for _ in range(30)), "never seen words w1 w2 w1", None]
+    pad = ("<s>",) * (order - 1)
+    value = {order: Counter(tuple(x[i : i + order]) for t in learn for x in [[*pad, *tokens(t)]] for i in range(len(x) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        value[k] = Counter(g[1:] for g in value[k + 1])
+    d = {k: kn.discounts([sum(c == j for c in v.values()) for j in (1, 2, 3, 4)]) for k, v in value.items()}
+    after = {k: defaultdict(list) for k in value}
+    for k, v in value.items():
+        for g, c in v.items():
+            after[k][g[:-1]].append(c)
+
+    def p(k, g):
+        rest, total = after[k][g[:-1]], sum(after[k][g[:-1]])
+        if not total:
+            return p(k - 1, g[1:])
+        c = value[k][g]
+        return (c - d[k][min(c, 3)] + sum(d[k][min(x, 3)] for x in rest) * (p(k - 1, g[1:]) if k > 1 else 1 / (len(value[1]) + 1))) / total
+
+    model = kn.train(spark.createDataFrame(list(enumerate(learn)), "doc_id long, text string"), f"file://{tmp_path}/m", order)
+    for x in kn.score(spark.createDataFrame(list(enumerate(ask)), "doc_id long, text string"), model).collect():
+        w = [*pad, *tokens(ask[x.doc_id])]
+        assert x.score == pytest.approx(sum(math.log10(p(order, tuple(w[i : i + order]))) for i in range(len(w) - order + 1)))

@@ -159,17 +159,26 @@ def held_out(doc_id) -> F.Column:
 def _measure(batches):
     for batch in batches:
         x = statistics(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64())), batch.column("y")], ["x", "y"])
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), lists], ["doc_id", "y", "x"])
+
+
+def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """What is learned from: doc_id, y, x (statistics) of at most `rows` labelled documents that are not held out, those with
+    the least hash of doc_id. Rows without a label or an id are not learned from. A label given repeatedly for one id counts
+    once, and each of two different ones once; of documents that share an id, that of least statistics counts. So the bound
+    holds whatever repeats, and nothing depends on the order of rows."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id is not null and y is not null")
+    known = known.where(~held_out(F.col("doc_id"))).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
+    measured = id_text(docs).join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").mapInArrow(_measure, "doc_id long, y double, x array<double>")
+    return measured.groupBy("doc_id", "y").agg(F.min("x").alias("x"))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **options) -> Trees:
-    """Fits on at most `rows` labelled rows that are not held out: those with the least hash of doc_id. Rows without a label or
-    an id are not learned from. Repeated labels count as often as they are there."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id is not null and y is not null").where(~held_out(F.col("doc_id")))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    got = id_text(docs).join(F.broadcast(sample), "doc_id").select("text", "y").mapInArrow(_measure, "x array<double>, y double").toArrow()
+    """Fits on sample(): at most `rows` rows reach the driver."""
+    got = sample(docs, labels, rows).toArrow()
+    x, y = np.array(got["x"].to_pylist()).reshape(-1, len(NAMES)), got["y"].to_numpy()
     # rows arrive in an order that depends on the tasks; sums of floats should not
-    x, y = np.array(got["x"].to_pylist()).reshape(-1, len(NAMES))[: 2 * rows], got["y"].to_numpy()[: 2 * rows]
     order = np.lexsort((*x.T, y))
     return fit(x[order], y[order], **options)
 
@@ -194,15 +203,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     Returns one row a row of `docs`: doc_id, held_out, score, predicted (1 if score >= threshold, else 0).
 
     Null text: scored as the empty text. Null doc_id: held out if the empty text's checksum says so, scored like others.
-    Repeated rows are each returned. No labels, or of one class: all texts get the same score. Empty table: empty
-    result. Other columns are not looked at.
+    Very long texts are measured whole, in blocks. Ties: equal texts have equal scores. Repeated rows are each returned.
+    No labels, or of one class: all texts get the same score. Empty table: empty result. Other columns, whatever their
+    names, are not looked at.
     """
     found = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels, **options))
     return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """`docs` without the rows that score below the threshold."""
+    """`docs` without the rows that score below the threshold. Nulls, very long texts, ties and repeated rows as in
+    quality_scores(): a row stays or goes by its own text, and each repeat with it. All columns are carried, whatever their
+    names. Empty table: empty result."""
     found = score(docs, train(docs, labels, **options)).where(F.col("score") >= threshold)
     return found.select(*(F.col(f"row.`{c}`") for c in docs.columns))
 

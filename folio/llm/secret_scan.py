@@ -49,7 +49,7 @@ def _found(kind: str, pattern: str, group: int, least: int) -> Column:
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), part.alias("part"))
     ok = lambda x: F.length(x["part"]) >= least
     if kind == "key":
-        ok = lambda x: (F.length(x["part"]) >= least) & (F.length(x["part"]) <= 128) & x["part"].rlike("[0-9]") & x["part"].rlike("[a-z]") & x["part"].rlike("[A-Z]")
+        ok = lambda x: (F.length(x["part"]) >= least) & x["part"].rlike("[0-9]") & x["part"].rlike("[a-z]") & x["part"].rlike("[A-Z]")
     rows = F.transform(zipped, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("size"), ok(x).alias("ok")))
     maybe = text.rlike(pattern)
     if kind in ("assign", "account"):
@@ -148,7 +148,7 @@ def _sql() -> str:
     for rank, (kind, role, strong, pattern, group, least) in enumerate(KINDS):
         ok = f"length(part) >= {least}"
         if kind == "key":
-            ok += " AND length(part) <= 128 AND regexp_matches(part, '[0-9]') AND regexp_matches(part, '[a-z]') AND regexp_matches(part, '[A-Z]')"
+            ok += " AND regexp_matches(part, '[0-9]') AND regexp_matches(part, '[a-z]') AND regexp_matches(part, '[A-Z]')"
         unions.append(
             f"SELECT doc_id, '{kind}' AS kind, '{role}' AS role, {strong} AS strong, {rank} AS rnk, i, gap, size, ({ok}) AS ok FROM (SELECT doc_id, i, length(gaps[i]) AS gap, length(m[i]) AS size, g[i] AS part FROM ("
             f"SELECT doc_id, string_split_regex(text, {q(pattern)}) AS gaps, regexp_extract_all(text, {q(pattern)}) AS m, regexp_extract_all(text, {q(pattern)}, {group}) AS g FROM d WHERE regexp_matches(text, {q(pattern)})), LATERAL (SELECT unnest(range(1, len(m) + 1)) AS i))"

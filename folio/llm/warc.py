@@ -27,8 +27,10 @@ DICTIONARY_MAGIC = 0x184D2A5D
 SAMPLE_RECORDS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 8192, 64 << 10
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT = 0
-#: Rows of an archive file, about.
-FILE_ROWS = 10_000
+#: Rows and payload bytes of an archive file, about.
+FILE_ROWS, FILE_BYTES = 10_000, 16 << 20
+#: Bytes of an archive that are read at once; bytes that a reading task gets, where there are many more slices than cores.
+SLICE_BYTES, TASK_BYTES = 1 << 20, 64 << 20
 LEVEL = 6
 #: One date for all records, so that writing again gives the same bytes.
 DATE = "2024-01-01T00:00:00Z"
@@ -117,16 +119,22 @@ def _archive(path: str, dictionary):
     return run
 
 
-def deduplicated(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """`pages` (page_id, url, html) with digest, refers_to and record (a name for the record id). Of pages with equal payloads
-    of at least `least` bytes, the others refer to that with the smallest page_id."""
+def _payloads(pages: DataFrame) -> DataFrame:
+    """`pages` with the columns that are archived, and the payload's hash and size."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    rows = rows.withColumns({"sha": F.sha1("html"), "bytes": F.octet_length("html")})
-    small = rows.select("page_id", "sha", "bytes")
+    return rows.withColumns({"sha": F.sha1("html"), "bytes": F.octet_length("html")})
+
+
+def deduplicated(pages: DataFrame, least: int = LEAST_REVISIT, narrow: DataFrame | None = None) -> DataFrame:
+    """`pages` (page_id, url, html) with sha, refers_to and record (a name for the record id). Of pages with equal payloads
+    of at least `least` bytes, the others refer to that with the smallest page_id. `narrow`: page_id, sha and bytes of all
+    pages, where a table of them is there."""
+    rows = _payloads(pages)
+    small = (rows if narrow is None else narrow).select("page_id", "sha", "bytes").where(F.col("bytes") >= least)
     # digests that repeat, pre-aggregated; joined to narrow rows, then to pages by id
-    first = cut(small.where(F.col("bytes") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"), "first")
-    later = cut(small.where(F.col("bytes") >= least).join(first, "sha").where("page_id > first").select("page_id", "sha", F.col("first").alias("refers_to")).distinct(), "later")
+    first = cut(small.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"), "first")
+    later = cut(small.join(first, "sha").where("page_id > first").select("page_id", "sha", F.col("first").alias("refers_to")).distinct(), "later")
     rows = rows.join(later, ["page_id", "sha"], "left")
     return rows.select("page_id", "url", "html", F.col("sha"), "refers_to", F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "sha", "url").alias("record"))
 
@@ -159,38 +167,43 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> D
     file, offset, length, page_id.
 
     Null html: an empty payload. Null url: a record without target. Null page_id: written as a response and never referred
-    to. Repeated rows: each is written; equal payloads under one page_id are all responses. Empty table: no file.
-    Other columns are not looked at.
+    to. Very long html: one record, whole. Repeated rows and ties: each is written; equal payloads under one page_id are all
+    responses. Empty table: no file. Other columns, whatever their names, are not looked at.
     """
     spark = pages.sparkSession
     store, base = _store(path)
     store.create_dir(base)
     dictionary = spark.sparkContext.broadcast(build_dictionary(pages))
-    rows = deduplicated(pages, least)
-    files = max(1, -(-pages.count() // FILE_ROWS))
+    narrow = cut(_payloads(pages).select("page_id", "sha", "bytes"), "payloads")
+    count, size = narrow.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    rows = deduplicated(pages, least, narrow)
+    files = max(1, -(-count // FILE_ROWS), -(-size // FILE_BYTES))
     dealt = rows.repartition(files, F.xxhash64("page_id", "url")).sortWithinPartitions("page_id", "record")
     coded = dealt.mapInArrow(_base32, "page_id long, url string, html string, digest string, refers_to long, record string")
     return cut(coded.mapInArrow(_archive(path, dictionary), "file string, offset long, length long, page_id long"), "index")
 
 
-def frames(store, name: str, size: int = 4 << 20) -> Iterator[bytes]:
-    """Records of an archive, one after another, read as a stream."""
-    with store.open_input_stream(name, compression=None) as stream:
-        head = stream.read(8)
-        data = None
+def frames(store, name: str, size: int = 4 << 20, start: int = 0, end: int | None = None) -> Iterator[bytes]:
+    """Records of an archive, one after another, read in pieces; or those of a slice, which begins and ends with a record."""
+    with store.open_input_file(name) as file:
+        head, data, body = file.read(8), None, 0
         if len(head) == 8 and struct.unpack("<I", head[:4])[0] == DICTIONARY_MAGIC:
-            data = zstandard.ZstdCompressionDict(stream.read(struct.unpack("<I", head[4:])[0]))
-            head = b""
+            body = struct.unpack("<I", head[4:])[0]
+            data = zstandard.ZstdCompressionDict(file.read(body))
+            body += 8
+        at = max(start, body)
+        file.seek(at)
         decompressor = zstandard.ZstdDecompressor(dict_data=data)
-        left = head
         one, out = decompressor.decompressobj(), []
-        while left or (left := stream.read(size)):
-            out.append(one.decompress(left))
-            left = b""
-            if one.eof:
-                left = one.unused_data
-                yield b"".join(out)
-                one, out = decompressor.decompressobj(), []
+        while left := file.read(size if end is None else min(size, end - at)):
+            at += len(left)
+            while left:
+                out.append(one.decompress(left))
+                left = b""
+                if one.eof:
+                    left = one.unused_data
+                    yield b"".join(out)
+                    one, out = decompressor.decompressobj(), []
 
 
 def _read(path: str):
@@ -202,10 +215,10 @@ def _read(path: str):
 
     def run(batches):
         store, base = _store(path)
-        for files in batches:
-            for name in files.column("file").to_pylist():
+        for slices in batches:
+            for name, start, end in zip(*(slices.column(c).to_pylist() for c in ("file", "start", "end")), strict=True):
                 rows, size = [], 0
-                for raw in frames(store, f"{base}/{name}"):
+                for raw in frames(store, f"{base}/{name}", start=start, end=end):
                     f, payload = parse(raw)
                     number = lambda k, f=f: int(f[k]) if k in f else None
                     if f["warc-type"] == "response":
@@ -227,9 +240,16 @@ def _read(path: str):
 
 def read_archives(index: DataFrame, path: str) -> DataFrame:
     """All records of the archives of an index: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload.
-    Digest and length of a revisit are those of the full payload, as its record states them."""
-    files = index.select("file").distinct().repartition("file")
-    return files.mapInArrow(_read(path), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    Digest and length of a revisit are those of the full payload, as its record states them.
+
+    Archives are read in slices that the index gives, so a large one is read by several tasks. Repeated rows of the index are
+    read once; an empty index gives no rows."""
+    each = index.groupBy("file", F.floor(F.col("offset") / SLICE_BYTES).alias("slice")).agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    slices = cut(each, "slices")
+    count, size = slices.agg(F.count("*"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()
+    tasks = max(1, min(count, max(4 * index.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)))
+    dealt = slices.repartitionByRange(tasks, "file", "start")
+    return dealt.mapInArrow(_read(path), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:

@@ -56,6 +56,57 @@ def test_blocks_few():
     assert np.allclose(few(*texts), [brute(x) for x in texts])
 
 
+def test_sample(spark):
+    """Bounded whatever repeats, and the same however rows are dealt."""
+    docs = [(i % 40, f"text {i % 80} " * (1 + i % 7)) for i in range(2000)] + [(None, "no id"), (3, None)]
+    labels = [(i % 60, i % 2) for i in range(600)] + [(5, 0), (5, 1), (None, 1), (6, None)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    rows = [sorted(map(tuple, q.sample(docs.repartition(n), labels.repartition(n), 25).collect())) for n in (1, 7)]
+    assert rows[0] == rows[1] and 10 < len(rows[0]) <= 25
+    ids = {i for i in range(40) if zlib.crc32(str(i).encode()) % 5}
+    whole = sorted(map(tuple, q.sample(docs, labels).collect()))
+    assert {x[0] for x in whole} == ids and len(whole) == len(ids) + (5 in ids)
+    want = {}
+    for x in docs.collect():
+        if x.doc_id is not None:
+            s = q.statistics(pa.array([x.text], pa.string()))[0].tolist()
+            want[x.doc_id] = min(want.get(x.doc_id, s), s)
+    assert all(x[2] == want[x[0]] for x in whole)
+
+
+def test_fit():
+    """The first tree of two levels, split by split, against all thresholds tried one by one."""
+    r = np.random.default_rng(4)
+    x = r.integers(0, 12, (400, 3)).astype(float)
+    y = ((x[:, 1] > 5) ^ (r.random(400) < 0.1)).astype(float)
+    model = q.fit(x, y, trees=1, depth=2, bins=64, penalty=2.0, least=3.0)
+    p = (y.sum() + 0.5) / (len(y) + 1)
+    g, h = p - y, np.full(len(y), p * (1 - p))
+
+    def best(rows):
+        gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 2.0)
+        out = (1e-6, None)
+        for j in range(3):
+            for t in np.unique(x[:, j])[:-1]:
+                left, right = rows & (x[:, j] <= t), rows & (x[:, j] > t)
+                if min(h[left].sum(), h[right].sum()) >= 3.0:
+                    out = max(out, (gain(left) + gain(right) - gain(rows), (j, t)), key=lambda v: v[0])
+        return out[1]
+
+    def leaf(rows):
+        return -0.15 * g[rows].sum() / (h[rows].sum() + 2.0)
+
+    every = np.ones(len(y), bool)
+    j, t = best(every)
+    want = np.zeros(len(y))
+    for side in (x[:, j] <= t, x[:, j] > t):
+        split = best(side)
+        for rows in [side] if split is None else [side & (x[:, split[0]] <= split[1]), side & (x[:, split[0]] > split[1])]:
+            want[rows] = leaf(rows)
+    assert j == 1 and np.allclose(model.raw(x), model.base + want)
+
+
 def test_documents(spark):
     sf = "/root/testdata/sf0.01"
     rows = {x.doc_id: x for x in q.op2_quality(spark, sf).collect()}

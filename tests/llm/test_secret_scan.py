@@ -1,9 +1,10 @@
 import hashlib
+import random
 import re
 
 import duckdb
 
-from folio.llm.secret_scan import SQL, op5_secret_scan, redact_secrets, secret_report
+from folio.llm.secret_scan import KINDS, SQL, op5_secret_scan, redact_secrets, secret_report
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
@@ -51,6 +52,42 @@ def test_cases(spark):
     assert clean[3] == "[SECRET] x AKIA123 " + "0" * 23 + " [SECRET]"
 
 
+def test_long_key(spark):
+    key = "aB3/" * 50
+    docs = spark.createDataFrame([(1, f"login: alice {key}"), (2, f"plain {key} alone")], "doc_id long, text string")
+    rows = {x.doc_id: x.spans for x in secret_report(docs).collect()}
+    assert rows == {1: f"account:0:12,key:13:{13 + len(key)}", 2: ""}
+
+
+def linked(text, scope):
+    """Each weak part against every other part of the text, one by one."""
+    found = []
+    for rank, (kind, role, strong, pattern, group, least) in enumerate(KINDS):
+        for m in re.finditer(pattern, text):
+            ok = len(m[group]) >= least and (kind != "key" or all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]")))
+            if ok:
+                found.append((m.start(), rank, m.end(), kind, role, strong))
+    out = []
+    for a in found:
+        others = [b for b in found if b is not a]
+        near = [b for b in others if a[0] - b[2] <= scope and b[0] - a[2] <= scope]
+        wanted = {"id", "endpoint"} if a[4] == "secret" else {"secret"}
+        over = any(b[5] and b[0] < a[2] and a[0] < b[2] for b in others)
+        if a[5] or (not over and any(b[4] in wanted for b in near)):
+            out.append(a)
+    return ",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in sorted(out))
+
+
+def test_linking(spark):
+    """The sweep gives what a comparison of all pairs of parts gives."""
+    r = random.Random(3)
+    parts = ["login: alice", "user=bob7", "aB3" * 12, "zZ9/" * 40, "https://db.example.com/x", "token=abcdefgh", "AKIA" + "B" * 18, "f" * 30, "é漢 words " * 3, "filler " * 12, "x " * 60, "secret=abc"]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(150)]
+    for scope in (40, 200):
+        rows = {x.doc_id: x.spans for x in secret_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), scope).collect()}
+        assert [rows[i] for i in range(len(texts))] == [linked(t, scope) for t in texts]
+
+
 def test_many_matches(spark):
     text = "token=abcdefgh, " * 3000
     row = secret_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()

@@ -50,6 +50,19 @@ def test_odd(spark, tmp_path, monkeypatch):
     assert warc.read_archives(empty, f"file://{tmp_path}/none").count() == 0
 
 
+def test_slices(spark, tmp_path, monkeypatch):
+    """One archive is read by several tasks, and each record once."""
+    monkeypatch.setattr(warc, "SLICE_BYTES", 1 << 12)
+    rows = [(i, f"http://x.org/{i}", hashlib.sha512(str(i // 2).encode()).hexdigest() * (1 + i % 40)) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = f"file://{tmp_path}/a"
+    index = warc.write_archives(pages, path)
+    assert index.select("file").distinct().count() == 1
+    got = warc.read_archives(index, path)
+    assert got.rdd.getNumPartitions() >= 8
+    assert sorted(map(tuple, got.drop("url", "payload").collect()), key=str) == brute([(r[0], r[2]) for r in rows])
+
+
 def test_no_dictionary(tmp_path):
     rows = [({"refers_to": None, "record": str(i), "digest": warc.digest(b"p"), "url": None, "page_id": i}, b"p") for i in range(3)]
     warc._write_file(f"file://{tmp_path}", "a", b"", iter(rows))

@@ -7,22 +7,28 @@ phrases at once; occurrences are located through sampled suffix positions and me
 A word that no test phrase has can't lie in an occurrence. So a shard's text is the runs of words known to the phrases, at
 least as long as the shortest phrase, with a terminator after each run: an exact reduction that makes the index small.
 
-The phrases are the query set: they are broadcast in blocks of bounded size, and each block meets all documents.
+The phrases are the query set. Spark tasks cut, hash and dedupe them and write them as blocks of bounded size to the shared
+folder; each searching task reads one block after the other from there, so neither the driver nor a broadcast ever holds them,
+and a lost executor's task finds them again.
 """
 
 from __future__ import annotations
 
+import functools
+import io
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from folio.llm.shared import id_text, table
+from folio.llm.shared import carry, cut, folder, id_text, table
 from folio.llm.words import ALNUM, chunks, words
 
-#: Bytes of test texts in one broadcast block.
-BLOCK_BYTES = 8 << 20
+#: (phrase, item) pairs of a block, at most; a phrase of ten words takes 80 bytes.
+BLOCK_PAIRS = 1 << 18
 #: Words of a shard, at least one document.
 SHARD_WORDS = 1 << 20
 #: Every so many text positions have their suffix position stored.
@@ -111,35 +117,96 @@ class FMIndex:
         return out
 
 
-def _phrases(rows: list[tuple], window: int) -> dict:
-    """Test texts (item_id, text) -> sorted word hashes, and by length the distinct phrases with the items of each."""
-    ids = [r[0] for r in rows]
-    table, hashes = [], []
-    for chunk in chunks(pa.array([r[1] for r in rows], pa.string())):
-        w = words(chunk.lower(), ALNUM)
-        h = w.hashes()
-        table += [(ids[chunk.first + i], h[w.first[i] : w.first[i + 1]]) for i in range(len(chunk))]
-        hashes.append(h)
-    known = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-    by: dict[int, dict[tuple, set]] = {}
-    for item, h in table:
-        symbols = np.searchsorted(known, h) + 1
-        size = min(window, len(symbols))
-        for i in range(len(symbols) - size + 1 if size else 0):
-            by.setdefault(size, {}).setdefault(tuple(symbols[i : i + size].tolist()), set()).add(item)
-    return {"known": known, "by": {k: (np.array(list(v)), [sorted(x for x in s if x is not None) for s in v.values()]) for k, v in by.items()}}
-
-
-def _scan_shard(parts: list, block: dict) -> tuple[np.ndarray, np.ndarray, list[set]]:
-    """parts: (word hashes, words before each document) of whole documents. Returns the hit words, the words before each
-    document, and each document's items."""
-    known, by = block["known"], block["by"]
-    h = np.concatenate([p[0] for p in parts])
-    first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))))
-    items: list[set] = [set() for _ in range(len(first) - 1)]
-    cover = np.zeros(len(h) + 1, np.int32)
+def _windows(window: int):
+    """Test texts in -> their distinct phrases, as bytes of word hashes, with the item."""
+
+    def run(batches):
+        for batch in batches:
+            phrases, rows = [], []
+            for chunk in chunks(batch.column("text")):
+                w = words(chunk.lower(), ALNUM)
+                h = w.hashes()
+                for i in range(len(chunk)):
+                    x = h[w.first[i] : w.first[i + 1]]
+                    if len(x):
+                        raw, size = x.tobytes(), 8 * min(window, len(x))
+                        found = {raw[j : j + size] for j in range(0, len(raw) - size + 1, 8)}
+                        phrases += found
+                        rows += [chunk.first + i] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.binary()), batch.column("item_id").take(pa.array(rows, pa.int64()))], ["phrase", "item_id"])
+
+    return run
+
+
+def _block(phrases: list[bytes], items: list[str | None]) -> bytes:
+    """Pairs of phrase and item as a file: sorted hashes of all words; by length the distinct phrases, as places among these
+    (from 1), with the items of each, one after another."""
+    known = np.unique(np.frombuffer(b"".join(phrases), np.uint64))
+    size, out = np.array([len(x) // 8 for x in phrases]), {"known": known}
+    for k in np.unique(size).tolist():
+        rows = np.flatnonzero(size == k)
+        unique, owner = np.unique(np.frombuffer(b"".join(phrases[r] for r in rows), np.uint64).reshape(-1, k), axis=0, return_inverse=True)
+        named = [(p, items[r]) for p, r in zip(owner.ravel().tolist(), rows.tolist(), strict=True) if items[r] is not None]
+        named.sort()
+        out[f"phrases_{k}"] = (np.searchsorted(known, unique) + 1).astype(np.int64)
+        out[f"first_{k}"] = np.searchsorted([p for p, _ in named], np.arange(len(unique) + 1)) if named else np.zeros(len(unique) + 1, np.int64)
+        out[f"items_{k}"] = np.array([x for _, x in named], np.str_)
+    file = io.BytesIO()
+    np.savez(file, **out)
+    return file.getvalue()
+
+
+def _write_blocks(path: str, limit: int):
+    """Pairs in -> blocks of `limit` pairs at most in the shared folder, their names out. A repeated task writes new files."""
+
+    def write(phrases, items):
+        store, base = fs.FileSystem.from_uri(path)
+        name = f"{uuid.uuid4().hex}.npz"
+        with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+            out.write(_block(phrases, items))
+        return pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    def run(batches):
+        phrases, items = [], []
+        for batch in batches:
+            phrases += batch.column("phrase").to_pylist()
+            items += batch.column("item_id").to_pylist()
+            while len(phrases) >= limit:
+                yield write(phrases[:limit], items[:limit])
+                phrases, items = phrases[limit:], items[limit:]
+        if phrases:
+            yield write(phrases, items)
+
+    return run
+
+
+def phrase_blocks(benchmark: DataFrame, window: int = 10) -> tuple[str, list[str]]:
+    """Writes the phrases of all test texts to the shared folder: where, and the names of the blocks, which are all that the
+    driver gets to know."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    pairs = cut(rows.mapInArrow(_windows(window), "phrase binary, item_id string").distinct(), "phrases")
+    spark = benchmark.sparkSession
+    path = folder(spark, "blocks")
+    store, base = fs.FileSystem.from_uri(path)
+    store.create_dir(base)
+    names = cut(pairs.coalesce(pairs.count() // BLOCK_PAIRS + 1).mapInArrow(_write_blocks(path, BLOCK_PAIRS), "name string"), "names")
+    return path, sorted(r[0] for r in names.collect())
+
+
+@functools.lru_cache(maxsize=2)
+def _load(path: str, name: str) -> tuple[np.ndarray, dict]:
+    store, base = fs.FileSystem.from_uri(path)
+    with store.open_input_file(f"{base}/{name}") as file, np.load(io.BytesIO(file.read())) as got:
+        lengths = sorted(int(x.removeprefix("phrases_")) for x in got.files if x.startswith("phrases_"))
+        return got["known"], {k: (got[f"phrases_{k}"], got[f"first_{k}"], got[f"items_{k}"]) for k in lengths}
+
+
+def _scan_shard(h: np.ndarray, first: np.ndarray, block: tuple[np.ndarray, dict], cover: np.ndarray, items: list[set]) -> None:
+    """Word hashes of whole documents, words before each. Adds what a block finds: +1 in `cover` where an occurrence
+    starts, -1 behind its end; and each document's items."""
+    known, by = block
     if not len(known) or not len(h):
-        return cover[:-1] > 0, first, items
+        return
     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
     symbol = np.where(known[at] == h, at + 1, 0)
     # runs of known words inside a document, long enough for the shortest phrase
@@ -151,14 +218,14 @@ def _scan_shard(parts: list, block: dict) -> tuple[np.ndarray, np.ndarray, list[
     keep = end - start >= min(by)
     start, end = start[keep], end[keep]
     if not len(start):
-        return cover[:-1] > 0, first, items
+        return
     size = end - start + 1
     to = np.cumsum(size) - size
     place = np.arange(size.sum()) - np.repeat(to, size) + np.repeat(start, size)  # of each position in the shard's words
     text = symbol[np.minimum(place, len(h) - 1)]
     text[to + size - 1] = 0
     index = FMIndex(text, len(known) + 1)
-    for length, (phrases, owners) in by.items():
+    for length, (phrases, owner, names) in by.items():
         low, high = index.search(phrases)
         found = np.flatnonzero(high > low)
         if not len(found):
@@ -170,8 +237,7 @@ def _scan_shard(parts: list, block: dict) -> tuple[np.ndarray, np.ndarray, list[
         np.add.at(cover, where + length, -1)
         doc = np.searchsorted(first, where, "right") - 1
         for d, phrase in np.unique(np.stack((doc, np.repeat(found, n))), axis=1).T.tolist():
-            items[d].update(owners[phrase])
-    return np.cumsum(cover[:-1]) > 0, first, items
+            items[d].update(names[owner[phrase] : owner[phrase + 1]].tolist())
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -186,31 +252,32 @@ def _cut_out(text: bytes, start: np.ndarray, end: np.ndarray, spans: list) -> by
     return b"".join(out) + text[last:]
 
 
-def _step(block):
-    """Documents with the hits so far in -> the same with those of one more block of phrases."""
+def _scan(path: str, names: list[str]):
+    """Rows with a text in -> each row with its hits. Documents are indexed a shard at a time, and every block is searched."""
 
-    def shard(batch, held, out):
-        parts = [(h, w.first) for _, w, h in held]
-        hit, first, items = _scan_shard(parts, block.value)
-        d = 0
+    def shard(held, out):
+        h = np.concatenate([x for _, _, x in held])
+        first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(w.first) for _, w, _ in held]))))
+        cover, items = np.zeros(len(h) + 1, np.int32), [set() for _ in range(len(first) - 1)]
+        for name in names:
+            _scan_shard(h, first, _load(path, name), cover, items)
+        hit, d = np.cumsum(cover[:-1]) > 0, 0
         for chunk, w, _ in held:
             for i in range(len(chunk)):
-                r, a, b = chunk.first + i, first[d], first[d + 1]
-                flags = hit[a:b].copy()
-                for x in batch.column("spans")[r].as_py() or ():
-                    flags[x["start"] : x["end"]] = True
-                edge = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False]))))
+                a, b = first[d], first[d + 1]
+                edge = np.flatnonzero(np.diff(np.concatenate(([False], hit[a:b], [False]))))
                 spans = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
                 f, o = int(w.first[i]), int(chunk.off[i])
                 out["n_words"].append(int(b - a))
                 out["spans"].append([{"start": x, "end": y} for x, y in spans])
-                out["items"].append(sorted(items[d].union(batch.column("items")[r].as_py() or ())))
+                out["items"].append(sorted(items[d]))
                 out["kept"].append(_cut_out(chunk.text(i), w.start[f : f + b - a] - o, w.end[f : f + b - a] - o, spans).decode() if spans else None)
                 d += 1
 
     def run(batches):
+        kinds = {"n_words": pa.int64(), "spans": _SPANS, "items": pa.list_(pa.string()), "kept": pa.string()}
         for batch in batches:
-            out: dict[str, list] = {"n_words": [], "spans": [], "items": [], "kept": []}
+            out: dict[str, list] = {k: [] for k in kinds}
             held, size = [], 0
             for chunk in chunks(batch.column("text")):
                 w = words(chunk.lower(), ALNUM)
@@ -218,31 +285,16 @@ def _step(block):
                 held.append((chunk, w, h))
                 size += len(h)
                 if size >= SHARD_WORDS:
-                    shard(batch, held, out)
+                    shard(held, out)
                     held, size = [], 0
             if held:
-                shard(batch, held, out)
-            kinds = {"n_words": pa.int64(), "spans": _SPANS, "items": pa.list_(pa.int64()), "kept": pa.string()}
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row_key", "text")), *(pa.array(out[k], t) for k, t in kinds.items())], ["doc_id", "row_key", "text", *kinds])
+                shard(held, out)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(out[k], t) for k, t in kinds.items())], ["row", *kinds])
 
     return run
 
 
-_SCHEMA = "doc_id long, row_key long, text string, n_words long, spans array<struct<start:int,end:int>>, items array<long>, kept string"
-
-
-def _blocks(benchmark: DataFrame, window: int):
-    """Phrase blocks of bounded size. The test texts stream through the driver, one block at a time."""
-    rows, size, some = [], 0, False
-    wanted = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    for row in wanted.toLocalIterator():
-        rows.append(tuple(row))
-        size += len(row[1])
-        if size >= BLOCK_BYTES:
-            yield _phrases(rows, window)
-            rows, size, some = [], 0, True
-    if rows or not some:
-        yield _phrases(rows, window)
+_FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<string>, kept string"
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -250,53 +302,43 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     Words: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z.
 
     Returns one row a row of `docs`: doc_id, row_key (hash of id and text), text, n_words, spans (hit words, merged, end
-    exclusive), items (ids of the test texts, ascending), kept (the text without the spans; null if there are none).
+    exclusive), items (ids of the test texts as strings, ascending), kept (the text without the spans; null if none).
 
-    Null texts, of either table, have no words. A test text without item_id gives hits but no item. Null doc_id is kept.
-    Repeated rows are each returned; test texts that share an id are one item. Empty documents: empty result; empty
-    benchmark: no hits. Other columns are not looked at.
+    Null texts, of either table, have no words. Very long texts are shards of their own, searched whole. Ties: a phrase of
+    several items counts for each. A test text without item_id gives hits but no item. Null doc_id is kept. Repeated rows are
+    each returned; test texts that share an id are one item. Empty documents: empty result; empty benchmark: no hits.
+    Other columns, whatever their names, are not looked at.
     """
-    df = id_text(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(None).cast("array<long>").alias("items"))
-    for block in _blocks(benchmark, window):
-        df = df.mapInArrow(_step(docs.sparkSession.sparkContext.broadcast(block)), _SCHEMA)
-    return df
+    base = id_text(docs)
+    found = carry(base, _scan(*phrase_blocks(benchmark, window)), _FOUND)
+    return found.select("row.doc_id", F.xxhash64("row.doc_id", "row.text").alias("row_key"), "row.text", "n_words", "spans", "items", "kept")
+
+
+def _hit() -> F.Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
 
 
 def report(found: DataFrame) -> DataFrame:
     """Counts and digest of what decontaminate() returns."""
-    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    hit = _hit()
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """`docs` without the words of test passages; a document of which no word is left goes. n_chars, if there, follows the text."""
-    names, spark = docs.columns, docs.sparkSession
-    df = docs.withColumn("__row", F.struct(*(F.col(f"`{c}`") for c in names))).select("__row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    df = df.select("__row", "doc_id", F.lit(0).cast("long").alias("row_key"), "text", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(None).cast("array<long>").alias("items"))
-    schema = StructType([df.schema["__row"], *StructType.fromDDL(_SCHEMA).fields])
-    for block in _blocks(benchmark, window):
-        df = df.mapInArrow(_carried(_step(spark.sparkContext.broadcast(block))), schema)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    df = df.where((hit == 0) | (hit < F.col("n_words")))
-    out = {c: F.col(f"__row.`{c}`") for c in names}
+    """`docs` without the words of test passages; a document of which no word is left goes. n_chars, if there, follows the text.
+
+    Null texts stay null, empty ones stay. Very long texts are cleaned whole. Ties and repeated rows: each row by its own
+    text. All columns are carried, whatever their names. Empty documents: empty result; empty benchmark: nothing changes.
+    """
+    names = docs.columns
+    df = carry(docs, _scan(*phrase_blocks(benchmark, window)), _FOUND).where((_hit() == 0) | (_hit() < F.col("n_words")))
+    out = {c: F.col(f"row.`{c}`") for c in names}
     out["text"] = F.coalesce("kept", out["text"])
     if "n_chars" in names:
         out["n_chars"] = F.when(F.col("kept").isNull(), out["n_chars"]).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))
     return df.select(*(out[c].alias(c) for c in names))
 
 
-def _carried(step):
-    """The step, with the whole row carried along."""
-
-    def run(batches):
-        for batch in batches:
-            for got in step(iter([batch])):
-                yield pa.RecordBatch.from_arrays([batch.column("__row"), *got.columns], ["__row", *got.schema.names])
-
-    return run
-
-
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     return report(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 

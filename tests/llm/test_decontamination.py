@@ -56,8 +56,8 @@ def test_brute_force(spark, monkeypatch):
             t = (r.choice(items)[1] or "").split()
             w += t[r.randrange(3) :]
         docs.append((i, ", ".join(w)))
-    for size in (dc.BLOCK_BYTES, 200):  # one block of phrases, and several
-        monkeypatch.setattr(dc, "BLOCK_BYTES", size)
+    for size in (dc.BLOCK_PAIRS, 20):  # one block of phrases, and several
+        monkeypatch.setattr(dc, "BLOCK_PAIRS", size)
         found = dc.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
         assert sorted(map(tuple, dc.report(found).collect()), key=str) == brute(docs, items)
 
@@ -80,6 +80,13 @@ def test_clean(spark):
     assert sorted(map(tuple, dc.clean(docs, bench).collect())) == [(1, "before,  after", "en", 14), (3, "", "en", 0), (4, None, "en", None), (5, "a b c d", "en", 7)]
 
 
+def test_names_as_ids(spark):
+    bench = spark.createDataFrame([("b-2", "a b c"), ("b-10", "b c d")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x a b c d")], "doc_id long, text string")
+    row = dc.decontaminate(docs, bench).first()
+    assert row["items"] == ["b-10", "b-2"] and [tuple(x) for x in row.spans] == [(1, 5)]
+
+
 def test_odd(spark, odd_docs, no_docs):
     items = [(1, "one two three four five six seven eight nine ten one"), (2, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")

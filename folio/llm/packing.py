@@ -1,20 +1,23 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
 Several sequence lengths are permitted, each with a cost. Documents longer than the longest are cut into segments, the last
-of which is the remainder. Segments go, longest first, to the open bin that they leave with the least room; a segment that
-fits nowhere opens the bin size of least cost for what is still to come; at the end every bin is downsized to the
-shortest permitted length that holds its contents.
+of which is the remainder. Segments go, longest first, to the open bin that they leave with the least room. A segment that
+fits nowhere opens a bin: for each permitted length the sizes still to come are tried in it, and the length wins whose
+contents cost least a word. At the end every bin is downsized to the shortest permitted length that holds its contents. The
+lengths are chosen jointly: the same is done with always the shortest fitting and always the longest length, and the packing
+of least total cost, after downsizing, stays.
 
 Shards are packed apart from each other, in parallel: rows are dealt by a hash of their ids and lengths, so a hot source
-or a group of copies is spread evenly. Within a shard the state is one list of open bins for each amount of room.
+or a group of copies is spread evenly. A task holds one shard at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +26,12 @@ from folio.llm.shared import cut, table
 #: Permitted lengths in words, an end mark for each segment included.
 CAPACITIES = (256, 512, 1024, 2048)
 #: Segments of a shard, about. A shard's packing loss is a part of a bin, so it may be small beside that.
-SHARD_SEGMENTS = 8192
-#: Cost of a sequence of c words: c, plus this for each sequence, plus quadratic attention as a share of c at the longest.
-PER_SEQUENCE, ATTENTION = 8.0, 0.25
+SHARD_SEGMENTS = 2048
+#: Shards that one task packs, one after another, where there are many more shards than cores.
+TASK_SHARDS = 64
+#: Cost of a sequence of c words: c, plus this for each sequence, plus quadratic attention as a share of c at the longest. So
+#: short sequences cost by their number, long ones by attention, and those between are cheapest a word if they are full.
+PER_SEQUENCE, ATTENTION = 64.0, 0.25
 
 
 def cost(capacity: int, longest: int) -> float:
@@ -44,7 +50,7 @@ class _Rooms:
         self.some |= 1 << room
 
     def take(self, size: int):
-        """The oldest bin with the least room of at least `size`, removed: (room, bin), or None."""
+        """The bin with the least room of at least `size`, of equals the one that came to it last, removed: (room, bin), or None."""
         rest = self.some >> size
         if not rest:
             return None
@@ -55,39 +61,106 @@ class _Rooms:
         return room, b
 
 
-def pack(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes, in descending order -> for each its bin, its offset there; for each bin its final capacity.
+class _Sizes:
+    """How many segments of each size are still to come, with a bitmap of the sizes that are."""
 
-    To open a bin, each permitted length is priced by the cost of a word in it, if the sizes to come fill it as well as
-    they can: all of it where enough is left, else what is left.
-    """
-    longest = max(capacities)
-    caps = sorted(capacities)
-    rooms, used = _Rooms(longest), []
+    def __init__(self, sizes: Sequence[int], longest: int):
+        self.count = np.bincount(np.asarray(sizes, np.int64), minlength=longest + 1).tolist()
+        self.some = sum(1 << s for s, n in enumerate(self.count) if n)
+
+    def remove(self, size: int) -> None:
+        self.count[size] -= 1
+        if not self.count[size]:
+            self.some &= ~(1 << size)
+
+    def fill(self, room: int) -> int:
+        """How much of a room they fill, the largest that fits first."""
+        got, top = 0, room
+        while rest := self.some & ((1 << top + 1) - 1):
+            size = rest.bit_length() - 1
+            n = min(self.count[size], room // size)
+            got, room = got + n * size, room - n * size
+            top = min(room, size - 1)
+        return got
+
+
+def _by_contents(caps: list[int]) -> Callable[[int, _Sizes], int]:
+    """The length of least cost a word, with what the sizes to come put into it, downsized to that. Of equals the longest:
+    until it is downsized it leaves room for more."""
+    price = [cost(c, caps[-1]) for c in caps]
+
+    def choose(size: int, left: _Sizes) -> int:
+        best = None
+        for c in caps:
+            if c >= size:
+                filled = size + left.fill(c - size)
+                final = next(p for k, p in zip(caps, price, strict=True) if k >= filled)
+                if best is None or final / filled <= best[0]:
+                    best = final / filled, c
+        return best[1]
+
+    return choose
+
+
+def _pack_by(sizes: Sequence[int], caps: list[int], choose) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    rooms, left, used, opened = _Rooms(caps[-1]), _Sizes(sizes, caps[-1]), [], []
     bins, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    left = int(np.sum(sizes))
     for i, size in enumerate(sizes):
+        left.remove(size)
         got = rooms.take(size)
         if got is None:
-            fit = [c for c in caps if c >= size]
-            room = min(fit, key=lambda c: (cost(c, longest) / min(c, left), c))
-            got = (room, len(used))
+            got = (choose(size, left), len(used))
+            opened.append(got[0])
             used.append(0)
         room, b = got
         bins[i], offset[i] = b, used[b]
         used[b] += size
-        left -= size
         if room > size:
             rooms.add(room - size, b)
     used = np.array(used, np.int64)
-    return bins, offset, np.array(caps, np.int64)[np.searchsorted(caps, used)] if len(used) else used
+    return bins, offset, np.array(caps, np.int64)[np.searchsorted(caps, used)] if len(used) else used, np.array(opened, np.int64)
+
 
+def total_cost(capacities: np.ndarray, longest: int) -> float:
+    return float(sum(cost(int(c), longest) for c in capacities))
 
-def _pack_shard(capacities: Sequence[int]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id", "row_key", "segment", "copy"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
-        bins, offset, final = pack(pdf["size"].tolist(), capacities)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "segment": pdf["segment"], "start": pdf["start"], "size": pdf["size"], "bin_id": pdf["shard"].astype("int64") * (1 << 32) + bins, "offset": offset, "capacity": final[bins] if len(final) else offset})
+
+def pack(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, in descending order -> for each its bin, its offset there; for each bin its final capacity, and that it was
+    opened with."""
+    caps = sorted(set(capacities))
+    ways = [_by_contents(caps), lambda size, left: next(c for c in caps if c >= size), lambda size, left: caps[-1]]
+    return min((_pack_by(sizes, caps, way) for way in ways), key=lambda got: total_cost(got[2], caps[-1]))
+
+
+_PACKED = "doc_id long, segment long, start long, size long, bin_id long, offset long, capacity long"
+
+
+def _pack_shards(capacities: Sequence[int], shards: int):
+    """Rows of a partition, sorted by shard and then descending by size, in; a shard is held at a time."""
+
+    def packed(held: list[pa.RecordBatch], shard: int) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        bins, offset, final, _ = pack(rows["size"].to_pylist(), capacities)
+        first = (TaskContext.get().partitionId() * shards + shard) << 32
+        columns = [*(rows[c].combine_chunks() for c in ("doc_id", "segment", "start", "size")), pa.array(first + bins), pa.array(offset), pa.array(final[bins])]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "segment", "start", "size", "bin_id", "offset", "capacity"])
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shard = batch.column("shard").to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if held and shard[i] != last:
+                    yield packed(held, last)
+                    held = []
+                last = int(shard[i])
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield packed(held, last)
 
     return run
 
@@ -97,36 +170,63 @@ def word_count(text) -> F.Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def best_fit(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, length: F.Column | None = None) -> DataFrame:
-    """Packs the documents of `docs` by length (default: words of the text).
-
-    Returns one row a segment: doc_id, segment (0, 1, ...), start (first word of the segment), size (words and an end mark),
-    bin_id, offset (in the bin), capacity (of the bin). Segments of a bin don't overlap and fill at most its capacity.
-
-    Null or empty text: one segment that is only an end mark. Null doc_id is kept. Repeated rows are packed once each.
-    Empty table: empty result. Other columns are not looked at.
-    """
-    longest = max(capacities)
-    if longest < 2:
-        raise ValueError("capacities must leave room for a word and an end mark")
-    body = longest - 1
-    words = F.coalesce(word_count(F.coalesce(F.col("text").cast("string"), F.lit(""))) if length is None else length, F.lit(0).cast("long"))
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words")), "lengths")
-    segments = rows.select("doc_id", "words", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("words") / body) - 1, F.lit(0).cast("long")))).alias("segment"))
-    total = segments.count()
-    shards = max(1, -(-total // SHARD_SEGMENTS))
+def _pack(rows: DataFrame, capacities: Sequence[int], mark: int) -> DataFrame:
+    """`rows` (doc_id, length): each row's segments, with `mark` end marks of one word each, packed."""
+    body = max(capacities) - mark
+    if body < 1 or min(capacities) < 1:
+        raise ValueError("capacities must leave room for a word and its end mark")
+    rows = cut(rows.select("doc_id", F.coalesce(F.col("length").cast("long"), F.lit(0).cast("long")).alias("length")), "lengths")
+    segments = rows.select("doc_id", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("length") / body) - 1, F.lit(0).cast("long")))).alias("segment"))
+    shards = max(1, -(-segments.count() // SHARD_SEGMENTS))
+    tasks = min(shards, max(4 * rows.sparkSession.sparkContext.defaultParallelism, -(-shards // TASK_SHARDS)))
     segments = segments.select(
         F.col("doc_id"),
-        F.xxhash64("doc_id", "words").alias("row_key"),
+        F.xxhash64("doc_id", "length").alias("row_key"),
         "segment",
         (F.col("segment") * body).alias("start"),
-        (F.least(F.lit(body), F.col("words") - F.col("segment") * body) + 1).alias("size"),
-    )
+        (F.least(F.lit(body), F.col("length") - F.col("segment") * body) + mark).alias("size"),
+    ).where("size > 0")
     # equal rows are told apart by their turn, so that they are dealt evenly too
     same = segments.groupBy("doc_id", "row_key", "segment", "start", "size").agg(F.count("*").alias("n"))
     each = same.select("doc_id", "row_key", "segment", "start", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
-    each = each.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row_key", "segment", "copy"), F.lit(shards)).cast("int"))
-    return each.groupBy("shard").applyInPandas(_pack_shard(tuple(capacities)), "doc_id long, segment long, start long, size long, bin_id long, offset long, capacity long")
+    key = ("doc_id", "row_key", "segment", "copy")
+    per_task = -(-shards // tasks)
+    dealt = each.repartition(tasks, *key).withColumn("shard", F.pmod(F.xxhash64(*key), F.lit(per_task)).cast("int"))
+    dealt = dealt.sortWithinPartitions("shard", F.col("size").desc(), *key)
+    return dealt.mapInArrow(_pack_shards(tuple(capacities), per_task), _PACKED)
+
+
+def best_fit(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, length: F.Column | None = None) -> DataFrame:
+    """Packs the documents of `docs` by length (default: words of the text).
+
+    Returns one row a segment: doc_id, segment (0, 1, ...), start (first word of the segment), size (words and an end mark),
+    bin_id, offset (in the bin), capacity (of the bin). Segments of a bin don't overlap and fill at most its capacity.
+
+    Null or empty text: one segment that is only an end mark. Very long texts are cut into segments of the longest length,
+    none is left out. Null doc_id is kept. Ties of size are ordered by doc_id. Repeated rows are packed once each. Empty
+    table: empty result. Other columns, whatever their names, are not looked at.
+    """
+    words = word_count(F.coalesce(F.col("text").cast("string"), F.lit(""))) if length is None else length
+    return _pack(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("length")), capacities, 1)
+
+
+def pack_tokens(tokens: DataFrame, capacities: Sequence[int] = CAPACITIES) -> DataFrame:
+    """Packs token ids, as read_tokens() gives them (doc_id, start, n_tokens, ids; each document with its end id).
+
+    Returns one row a sequence: bin_id, capacity, n_tokens, doc_ids and offsets (where each document's segment begins), ids
+    (those of the segments one after another, at most `capacity`).
+
+    Documents without ids are in no sequence; very long ones are cut into several. Null doc_id is kept. Repeated rows have
+    places of their own in the files (`start`) and are packed once each. Empty table: empty result.
+    """
+    segments = _pack(tokens.select(F.col("start").alias("doc_id"), F.col("n_tokens").alias("length")), capacities, 0)
+    segments = segments.select(F.col("doc_id").alias("place"), F.col("start").alias("first"), "size", "bin_id", "offset", "capacity")
+    parts = segments.join(tokens.select(F.col("start").alias("place"), "doc_id", "ids"), "place")
+    part = F.struct("offset", "doc_id", F.slice("ids", (F.col("first") + 1).cast("int"), F.col("size").cast("int")).alias("ids"))
+    # a sequence has at most `capacity` ids, so a group is bounded
+    bins = parts.groupBy("bin_id", "capacity").agg(F.sum("size").alias("n_tokens"), F.array_sort(F.collect_list(part)).alias("parts"))
+    each = lambda name: F.transform("parts", lambda x: x[name])
+    return bins.select("bin_id", "capacity", "n_tokens", each("doc_id").alias("doc_ids"), each("offset").alias("offsets"), F.flatten(each("ids")).alias("ids"))
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:

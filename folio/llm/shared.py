@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,10 +15,12 @@ from pyspark.sql.types import StructType
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, with its scheme, so that Spark and workers mean the same place. Only where that is
-    unset (tests), under a local folder that is then set as the session's."""
+    unset and all runs on this machine (tests), under a local folder that is then set as the session's."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folio-"))
         base = context.getCheckpointDir()
     path = context._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
@@ -46,7 +50,16 @@ def id_text(docs: DataFrame) -> DataFrame:
 
 def carry(docs: DataFrame, fn, schema: str) -> DataFrame:
     """Runs fn over batches of (row struct, text string); it returns row and the columns of `schema`. All columns of docs
-    travel in `row`, so no name of theirs can clash."""
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    travel in `row`, so no name of theirs can clash, and the text is sent once."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     out = StructType([packed.schema["row"], *StructType.fromDDL(schema).fields])
-    return packed.mapInArrow(fn, out)
+
+    def run(batches):
+        for batch in batches:
+            row = batch.column("row")
+            text = pc.struct_field(row, "text")
+            if not pa.types.is_string(text.type) and not pa.types.is_large_string(text.type):
+                text = text.cast(pa.string())
+            yield from fn(iter([pa.RecordBatch.from_arrays([row, text], ["row", "text"])]))
+
+    return packed.mapInArrow(run, out)

@@ -3,35 +3,76 @@ import re
 from collections import defaultdict
 
 from folio.llm import packing as p
+from folio.llm import token_file as tf
 
 
 def brute(sizes, capacities):
-    """Best fit by looking at every open bin."""
-    caps, longest, bins, out = sorted(capacities), max(capacities), [], []
-    for i, s in enumerate(sizes):
-        fit = [(b[0] - b[1], -k) for k, b in enumerate(bins) if b[0] - b[1] >= s]
-        if fit:
-            room = min(fit)[0]
-            # among bins with as much room, the one that came to it last
-            k = max((k for k, b in enumerate(bins) if b[0] - b[1] == room), key=lambda k: bins[k][2])
-        else:
-            left = sum(sizes[i:])
-            bins.append([min((c for c in caps if c >= s), key=lambda c: (p.cost(c, longest) / min(c, left), c)), 0, 0])
-            k = len(bins) - 1
-        out.append((k, bins[k][1]))
-        bins[k][1] += s
-        bins[k][2] = i
-    return out, [min(c for c in caps if c >= b[1]) for b in bins]
+    """Best fit by looking at every open bin, with each way to open one; the cheapest packing."""
+    caps, longest = sorted(capacities), max(capacities)
+
+    def fill(room, rest):
+        got = 0
+        for s in rest:  # descending
+            if s <= room - got:
+                got += s
+        return got
+
+    def contents(s, rest):
+        price = {}
+        for c in caps:
+            if c >= s:
+                n = s + fill(c - s, rest)
+                price[c] = p.cost(min(x for x in caps if x >= n), longest) / n
+        return min(price, key=lambda c: (price[c], -c))
+
+    def run(choose):
+        bins, out = [], []
+        for i, s in enumerate(sizes):
+            fit = [b[0] - b[1] for b in bins if b[0] - b[1] >= s]
+            if fit:
+                # among bins with as much room, the one that came to it last
+                k = max((k for k, b in enumerate(bins) if b[0] - b[1] == min(fit)), key=lambda k: bins[k][2])
+            else:
+                bins.append([choose(s, sizes[i + 1 :]), 0, 0])
+                k = len(bins) - 1
+            out.append((k, bins[k][1]))
+            bins[k][1] += s
+            bins[k][2] = i
+        final = [min(c for c in caps if c >= b[1]) for b in bins]
+        return sum(p.cost(c, longest) for c in final), out, final, [b[0] for b in bins]
+
+    return min((run(f) for f in (contents, lambda s, rest: min(c for c in caps if c >= s), lambda s, rest: longest)), key=lambda x: x[0])[1:]
 
 
 def test_brute_force():
     r = random.Random(2)
-    for _ in range(40):
-        caps = r.choice([(16,), (8, 16, 32), (5, 7, 40)])
+    for _ in range(60):
+        caps = r.choice([(16,), (8, 16, 32), (5, 7, 40), (256, 512, 1024, 2048)])
         sizes = sorted((r.randint(1, max(caps)) for _ in range(r.randrange(60))), reverse=True)
-        bins, offset, final = p.pack(sizes, caps)
-        want, capacity = brute(sizes, caps)
-        assert list(zip(bins.tolist(), offset.tolist(), strict=True)) == want and final.tolist() == capacity
+        bins, offset, final, opened = p.pack(sizes, caps)
+        want, capacity, first = brute(sizes, caps)
+        assert list(zip(bins.tolist(), offset.tolist(), strict=True)) == want and final.tolist() == capacity and opened.tolist() == first
+
+
+def test_joint_sizes():
+    """With the production lengths, bins are opened longer than their first segment needs, some are downsized, and the whole
+    never costs more than always opening the shortest fitting length or the longest."""
+    r, larger, smaller, won = random.Random(5), 0, 0, 0
+    caps, longest = sorted(p.CAPACITIES), max(p.CAPACITIES)
+    for k in range(12):
+        draw = (lambda: r.randint(1, 300), lambda: min(longest, int(r.lognormvariate(5, 1)) + 1), lambda: r.choice((40, 90, 700, 1100)))[k % 3]
+        sizes = sorted((draw() for _ in range(2048)), reverse=True)
+        bins, _, final, opened = p.pack(sizes)
+        first = {}
+        for b, s in zip(bins.tolist(), sizes, strict=True):
+            first.setdefault(b, s)
+        larger += sum(opened[b] > next(c for c in caps if c >= s) for b, s in first.items())
+        smaller += int((final < opened).sum())
+        fixed = [p.total_cost(p._pack_by(sizes, caps, f)[2], longest) for f in (lambda s, left: next(c for c in caps if c >= s), lambda s, left: longest)]
+        assert p.total_cost(final, longest) <= min(fixed)
+        won += p.total_cost(final, longest) < min(fixed)
+    print("opened larger", larger, "downsized", smaller, "cheaper than either rule", won, "of 12")
+    assert larger > 100 and smaller > 0 and won >= 6
 
 
 def check(rows, docs, capacities):
@@ -57,6 +98,24 @@ def test_documents(spark, sf):
     assert check(p.op4_best_fit_packing(spark, sf).collect(), docs, p.CAPACITIES) > 0.97
 
 
+def test_tokens(spark, odd_docs, tmp_path):
+    """Every id of every document is in one sequence, in order, and the sequences hold what they say."""
+    tf.write_tokens(odd_docs.unionByName(odd_docs.limit(3)), f"{tmp_path}/tokens")
+    tokens = tf.read_tokens(spark, f"{tmp_path}/tokens")
+    got = p.pack_tokens(tokens, (16, 64, 256)).collect()
+    found = defaultdict(list)
+    for x in got:
+        assert len(x.ids) == x.n_tokens <= x.capacity and x.capacity == min(c for c in (16, 64, 256) if c >= x.n_tokens)
+        ends = [*x.offsets[1:], x.n_tokens]
+        for d, a, b in zip(x.doc_ids, x.offsets, ends, strict=True):
+            found[d].append(x.ids[a:b])
+    rows = tokens.collect()
+    for d in {x.doc_id for x in rows}:
+        want = [y for x in rows if x.doc_id == d for y in [x.ids[i : i + 256] for i in range(0, len(x.ids), 256)]]
+        assert sorted(found[d]) == sorted(want)
+    assert p.pack_tokens(tokens.limit(0)).count() == 0
+
+
 def test_odd(spark, odd_docs, no_docs, monkeypatch):
     monkeypatch.setattr(p, "SHARD_SEGMENTS", 5)
     docs = [(x.doc_id, x.text) for x in odd_docs.select("doc_id", "text").collect()]

@@ -10,6 +10,9 @@ asked for, and no worker holds a copy. Where the shared folder is not a local pa
 
 Longer runs are built up in the same way: a run of k words has the key `id of the first k - 1 * words + last`, and its id is its
 place among sorted keys. Texts begin with order - 1 starts. Lower orders count how many different words come before a run.
+
+Most counts are small, so counts and sums take a byte each, and rows with a greater one stand in full in a file beside them.
+A step's shuffle files go when it ends, since what it counted is written by then.
 """
 
 from __future__ import annotations
@@ -28,11 +31,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.shared import folder, id_text, partitions, table
+from folio.llm.shared import folder, id_text, partitions, table, tidy
 from folio.llm.words import Chunk, chunks, mix, words
 
 #: Stands for the end of a text; in the place of a word's hash.
 END = np.uint64(0x5D1F00D5EED0E1D5)
+#: Words of the longest run, where none is given: two words of context.
+ORDER = 3
 FLUSH = 1 << 21
 CHUNK = 2 << 20
 
@@ -95,6 +100,23 @@ def _map(path: str, name: str, dtype: str) -> np.ndarray:
         return np.memmap(to, dtype, "r") if to.tell() else np.zeros(0, dtype)
 
 
+def _write_counts(path: str, name: str, values: np.ndarray) -> None:
+    """Rows of counts, a byte each; rows with one of 255 or more stand in full in a second file, with their places."""
+    big = np.flatnonzero((values >= 255).any(axis=1))
+    _write(path, name, np.minimum(values, 255).astype(np.uint8))
+    _write(path, f"{name}-more", np.column_stack((big, values[big])).astype(np.int64))
+
+
+def _counts(path: str, name: str, width: int, rows: np.ndarray | None = None) -> np.ndarray:
+    """All rows of counts of a file, or some."""
+    small, more = _map(path, name, "u1").reshape(-1, width), _map(path, f"{name}-more", "i8").reshape(-1, width + 1)
+    out = (small if rows is None else small[rows]).astype(np.int64)
+    big = np.flatnonzero((out == 255).any(axis=1))
+    if len(big):
+        out[big] = more[np.searchsorted(more[:, 0], big if rows is None else rows[big]), 1:]
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     """What the driver knows of a model: where its files are, and sums."""
@@ -104,7 +126,7 @@ class Model:
     before: tuple[int, ...]  # words in earlier buckets
     words: int
     tokens: int
-    order: int = 2
+    order: int = 3
     grams: tuple[tuple[int, ...], ...] = ()  # runs of 2, 3 and more words in earlier buckets
     discounts: tuple[tuple[float, ...], ...] = ()  # of runs of 2, 3 and more words: of values 1, 2, 3 and more; [0] is for none
     lower: tuple[float, ...] = (0.0,) * 4  # of words that follow 1, 2, 3 and more words
@@ -147,8 +169,15 @@ class Model:
                 out[rows] = np.where(known[at] == unique[rows], before[b] + at, -1)
         return out[back]
 
-    def by_id(self, k: int, name: str, dtype: str, ids: np.ndarray, width: int = 1) -> np.ndarray:
-        """Rows of an array that is laid out by id of runs of k words, in files of their buckets."""
+    def by_id(self, k: int, name: str, ids: np.ndarray, width: int = 1) -> np.ndarray:
+        """Rows of counts that are laid out by id of runs of k words, in files of their buckets."""
+        return self._by_id(k, ids, width, lambda b, rows: _counts(self.path, f"{name}-{b:05d}", width, rows))
+
+    def keys(self, k: int, ids: np.ndarray) -> np.ndarray:
+        """Keys of runs of k words."""
+        return self._by_id(k, ids, 1, lambda b, rows: _map(self.path, f"grams{k}-{b:05d}", "u8")[rows].astype(np.int64).reshape(-1, 1))[:, 0]
+
+    def _by_id(self, k: int, ids: np.ndarray, width: int, read) -> np.ndarray:
         out = np.zeros((len(ids), width), np.int64)
         before = np.array(self.places(k))
         bucket = np.searchsorted(before, ids, "right") - 1
@@ -156,7 +185,7 @@ class Model:
         edges = np.searchsorted(bucket[order], np.arange(len(before) + 1))
         for b in np.flatnonzero(np.diff(edges)):
             rows = order[edges[b] : edges[b + 1]]
-            out[rows] = _map(self.path, f"{name}-{b:05d}", dtype).reshape(-1, width)[ids[rows] - before[b]]
+            out[rows] = read(b, ids[rows] - before[b])
         return out
 
     def after(self, k: int, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -172,7 +201,7 @@ class Model:
             return last
         middle = np.full(len(keys), self.places(k - 2)[-1], np.int64)
         inner = before < self.places(k - 1)[-1]
-        middle[inner] = self.without_first(k - 1, self.by_id(k - 1, f"grams{k - 1}", "u8", before[inner])[:, 0])
+        middle[inner] = self.without_first(k - 1, self.keys(k - 1, before[inner]))
         return self.find(k - 1, middle * self.words + last)
 
 
@@ -214,7 +243,7 @@ def _count(model: Model | None, bits: int, k: int = 1):
     return run
 
 
-def _write_keys(path: str, name: str, counts: str | None, dtype: str = "u4"):
+def _write_keys(path: str, name: str, counts: str | None):
     """Writes a bucket's sorted keys, and their counts if these have a name."""
 
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
@@ -222,7 +251,7 @@ def _write_keys(path: str, name: str, counts: str | None, dtype: str = "u4"):
         keys, n = _merge(part, 1)
         _write(path, f"{name}-{b:05d}", keys)
         if counts:
-            _write(path, f"{counts}-{b:05d}", np.minimum(n[:, 0], np.iinfo(dtype).max).astype(dtype))
+            _write_counts(path, f"{counts}-{b:05d}", n)
         return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(n.sum())], pa.int64())})
 
     return run
@@ -241,7 +270,7 @@ def _sums(model: Model, k: int):
                 if not size:
                     continue
                 keys = np.array(_map(model.path, f"grams{k}-{b:05d}", "u8")).astype(np.int64)
-                n = np.array(_map(model.path, f"gram_counts-{b:05d}", "u4") if k == model.order else _map(model.path, f"sums{k}-{b:05d}", "u4").reshape(-1, 5)[:, 3]).astype(np.int64)
+                n = _counts(model.path, f"gram_counts-{b:05d}", 1)[:, 0] if k == model.order else _counts(model.path, f"sums{k}-{b:05d}", 5)[:, 3]
                 ids = np.concatenate((keys // model.words, model.without_first(k, keys)))
                 seen, back = np.unique(ids, return_inverse=True)
                 sums = np.bincount(back * 5 + np.concatenate((np.minimum(n, 3) - 1, np.full(size, 3))), minlength=5 * len(seen)).reshape(-1, 5)
@@ -267,9 +296,9 @@ def _write_sums(model: Model, k: int):
             out = np.zeros(5, np.int64)
             for b in range(g << model.shift, min((g + 1) << model.shift, len(before) - 1)):
                 i, j = np.searchsorted(ids, before[b : b + 2])
-                dense = np.zeros((before[b + 1] - before[b], 5), np.uint64 if k == 1 else np.uint32)
+                dense = np.zeros((before[b + 1] - before[b], 5), np.int64)
                 dense[ids[i:j] - before[b]] = sums[i:j]
-                _write(model.path, f"sums{k}-{b:05d}", dense)
+                _write_counts(model.path, f"sums{k}-{b:05d}", dense)
                 out += [*(int((dense[:, 3] == x).sum()) for x in (1, 2, 3, 4)), int(dense[:, 3].sum())]
         return pa.table({"bucket": pa.array([g], pa.int32()), "times": pa.array([[int(x) for x in out]], pa.list_(pa.int64()))})
 
@@ -283,9 +312,17 @@ def discounts(n: list[int]) -> tuple[float, float, float, float]:
     return 0.0, *(float(min(max(x, 0.0), k)) for k, x in zip((1, 2, 3), d, strict=True))
 
 
-def train(docs: DataFrame, path: str, order: int = 2) -> Model:
+def train(docs: DataFrame, path: str, order: int = ORDER) -> Model:
     """Counts all rows of `docs` and writes a model of runs of up to `order` (2 or more) words under `path`, which all machines
-    reach. Each order takes one more pass over the texts. Only sums by bucket reach the driver."""
+    reach. Each order takes one more pass over the texts. Only sums by bucket reach the driver.
+
+    Null texts are the end alone. Very long texts are counted whole. Repeated rows count as often as they are there. Empty
+    table: a model of nothing. Other columns, whatever their names, are not looked at."""
+    with tidy(docs.sparkSession):
+        return _train(docs, path, order)
+
+
+def _train(docs: DataFrame, path: str, order: int) -> Model:
     if order < 2:
         raise ValueError("order: 2 or more")
     store, base = fs.FileSystem.from_uri(path)
@@ -299,7 +336,7 @@ def train(docs: DataFrame, path: str, order: int = 2) -> Model:
         size = [rows[b]["n"] if b in rows else 0 for b in range(1 << bits)]
         return tuple(int(x) for x in np.concatenate(([0], np.cumsum(size)))), sum(r["total"] for r in rows.values())
 
-    before, tokens = count(None, 1, "words", "counts", "i8")
+    before, tokens = count(None, 1, "words", "counts")
     model = Model(path, bits, before, before[-1], tokens, order)
     if not tokens:
         return model
@@ -325,9 +362,9 @@ def log_probabilities(model: Model, hashes: np.ndarray, first: np.ndarray) -> tu
     p, count = np.full(len(ids), flat), np.zeros(len(ids), np.int64)
     if model.tokens:
         unique, back = np.unique(ids[known], return_inverse=True)
-        ends = model.by_id(1, "sums1", "u8", unique, 5)[:, 3]
+        ends = model.by_id(1, "sums1", unique, 5)[:, 3]
         p[known] += ((ends - np.array(model.lower)[np.minimum(ends, 3)]) / model.pairs)[back]
-        count[known] = model.by_id(1, "counts", "i8", unique)[:, 0][back]
+        count[known] = model.by_id(1, "counts", unique)[:, 0][back]
     base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
     runs = ids
     for k in range(2, model.order + 1 if model.tokens and len(ids) else 0):
@@ -335,7 +372,7 @@ def log_probabilities(model: Model, hashes: np.ndarray, first: np.ndarray) -> tu
         before = model.after(k - 1, runs, first)
         at = np.flatnonzero(before >= 0)
         unique, back = np.unique(before[at], return_inverse=True)
-        sums = model.by_id(k - 1, f"sums{k - 1}", "u8" if k == 2 else "u4", unique, 5)
+        sums = model.by_id(k - 1, f"sums{k - 1}", unique, 5)
         total = sums[:, 4]
         share, total = (sums[:, :3] @ discount[1:] / np.maximum(total, 1))[back], total[back]
         p[at] = share * lower[at]
@@ -344,7 +381,7 @@ def log_probabilities(model: Model, hashes: np.ndarray, first: np.ndarray) -> tu
         runs[both] = model.find(k, before[both] * model.words + ids[both])
         seen = runs[at] >= 0
         unique, back = np.unique(runs[at[seen]], return_inverse=True)
-        n = (model.by_id(k, "gram_counts", "u4", unique)[:, 0] if k == model.order else model.by_id(k, f"sums{k}", "u4", unique, 5)[:, 3])[back]
+        n = (model.by_id(k, "gram_counts", unique)[:, 0] if k == model.order else model.by_id(k, f"sums{k}", unique, 5)[:, 3])[back]
         p[at[seen]] += (n - discount[np.minimum(n, 3)]) / total[seen]
         nothing = at[share == 0]  # words never followed by another
         p[nothing] = np.where(p[nothing] > 0, p[nothing], lower[nothing])
@@ -372,19 +409,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Scores each row of `docs`: doc_id, n_tokens (words and an end), n_known (met in training), base_score (log10 of the
     add-a-half unigram probability), score (log10 probability), perplexity (by token).
 
-    Null text: the end alone. Null doc_id is kept. Repeated rows are each returned. Empty table: empty result. A model of
-    nothing gives every token probability 1. Other columns are not looked at.
+    Null text: the end alone. Null doc_id is kept. Very long texts are scored whole. Ties: equal texts have equal scores.
+    Repeated rows are each returned. Empty table: empty result. A model of nothing gives every token probability 1. Other
+    columns, whatever their names, are not looked at.
     """
     got = id_text(docs).mapInArrow(_score(model), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return got.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
-def op9_kneser_ney(spark, sf_dir: str, order: int = 2) -> DataFrame:
+def op9_kneser_ney(spark, sf_dir: str, order: int = ORDER) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(trained(F.col("doc_id").cast("long"))), folder(spark, "model"), order)
     return score(docs, model).select("doc_id", (~trained(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
-
-
-def op9_kneser_ney_order3(spark, sf_dir: str) -> DataFrame:
-    """The same with two words of context."""
-    return op9_kneser_ney(spark, sf_dir, 3)

@@ -20,7 +20,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_file": token_file.op7_token_file,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_kneser_ney": kneser_ney.op9_kneser_ney,
-        "op9_kneser_ney_order3": kneser_ney.op9_kneser_ney_order3,
         "op10_warc": warc.op10_warc,
     }
 

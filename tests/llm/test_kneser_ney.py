@@ -60,7 +60,7 @@ def test_brute_force(spark, tmp_path, monkeypatch):
     make = lambda: " ".join(r.choices([f"W{int(r.paretovariate(0.7)) % 400}" for _ in range(30)], k=r.randrange(40)))
     learn, ask = [*(make() for _ in range(200)), None, ""], [*(make() for _ in range(50)), "never seen words w1", None]
     brute = Brute(learn)
-    model = kn.train(spark.createDataFrame(list(enumerate(learn)), "doc_id long, text string"), f"file://{tmp_path}/m")
+    model = kn.train(spark.createDataFrame(list(enumerate(learn)), "doc_id long, text string"), f"file://{tmp_path}/m", 2)
     assert (model.words, model.tokens, model.pairs) == (brute.v, brute.n, len(brute.bi))
     assert np.allclose((model.discount, model.lower), (brute.d, brute.dl))
     for x in kn.score(spark.createDataFrame(list(enumerate(ask)), "doc_id long, text string"), model).collect():
@@ -73,7 +73,7 @@ def test_documents(spark):
     sf = "/root/testdata/sf0.01"
     texts = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     brute = Brute([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1])
-    rows = kn.op9_kneser_ney(spark, sf).collect()
+    rows = kn.op9_kneser_ney(spark, sf, 2).collect()
     assert len(rows) == len(texts) and {x.train_tokens for x in rows} == {brute.n}
     for x in rows:
         assert x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 1)
@@ -82,10 +82,23 @@ def test_documents(spark):
     held = [x for x in rows if x.held_out]
     print("held out: base", sum(x.base_score for x in held), "model", sum(x.score for x in held))
     assert sum(x.score for x in held) > sum(x.base_score for x in held)
+    longer = [x for x in kn.op9_kneser_ney(spark, sf).collect() if x.held_out]  # two words of context tell more than one
+    assert sum(x.score for x in longer) > sum(x.score for x in held)
+    assert sum(x.base_score for x in longer) == pytest.approx(sum(x.base_score for x in held))
+
+
+def test_counts(tmp_path):
+    """Small and great counts, read whole and by place."""
+    r = np.random.default_rng(1)
+    values = r.choice([0, 1, 2, 254, 255, 256, 70000, 1 << 40], (500, 3))
+    kn._write_counts(f"file://{tmp_path}", "a", values)
+    assert (kn._counts(f"file://{tmp_path}", "a", 3) == values).all()
+    rows = r.integers(0, 500, 200)
+    assert (kn._counts(f"file://{tmp_path}", "a", 3, rows) == values[rows]).all()
 
 
 def test_odd(spark, odd_docs, no_docs, tmp_path):
-    model = kn.train(odd_docs, f"file://{tmp_path}/a")
+    model = kn.train(odd_docs, f"file://{tmp_path}/a", 2)
     brute = Brute([x.text for x in odd_docs.select("text").collect()])
     got = sorted((x.n_tokens, x.n_known, x.base_score, x.score) for x in kn.score(odd_docs, model).collect())
     assert np.allclose(got, sorted(brute.score(x.text) for x in odd_docs.select("text").collect()))
@@ -97,7 +110,7 @@ def test_odd(spark, odd_docs, no_docs, tmp_path):
 def test_other_store(spark, tmp_path, monkeypatch):
     """A worker that lives through all stages, and a folder that is no local path."""
     learn = ["a b a c", "b a b", "c a b d"]
-    model = kn.train(spark.createDataFrame(list(enumerate(learn)), "doc_id long, text string"), f"file://{tmp_path}/m")
+    model = kn.train(spark.createDataFrame(list(enumerate(learn)), "doc_id long, text string"), f"file://{tmp_path}/m", 2)
     (tmp_path / "far").mkdir()
     far = fs.SubTreeFileSystem(str(tmp_path / "far"), fs.LocalFileSystem())
     monkeypatch.setattr(kn, "fs", SimpleNamespace(FileSystem=SimpleNamespace(from_uri=lambda uri: (far, "")), LocalFileSystem=fs.LocalFileSystem, copy_files=fs.copy_files))

@@ -38,6 +38,8 @@ from folio.llm.words import Chunk, chunks, mix, words
 END = np.uint64(0x5D1F00D5EED0E1D5)
 #: Words of the longest run, where none is given: two words of context.
 ORDER = 3
+#: Tokens for each bucket of longer runs, so that what a task merges stays as it is when the corpus grows.
+BUCKET_RUNS = 1 << 20
 FLUSH = 1 << 21
 CHUNK = 2 << 20
 
@@ -117,12 +119,16 @@ def _counts(path: str, name: str, width: int, rows: np.ndarray | None = None) ->
     return out
 
 
+def _bits(before: tuple[int, ...]) -> int:
+    """log2 of the number of buckets."""
+    return (len(before) - 1).bit_length() - 1
+
+
 @dataclass(frozen=True)
 class Model:
     """What the driver knows of a model: where its files are, and sums."""
 
     path: str
-    bits: int
     before: tuple[int, ...]  # words in earlier buckets
     words: int
     tokens: int
@@ -137,10 +143,9 @@ class Model:
     def discount(self) -> tuple[float, ...]:
         return self.discounts[-1] if self.discounts else (0.0,) * 4
 
-    @property
-    def shift(self) -> int:
-        """Sums are gathered for so many buckets (log2) of words at once."""
-        return (self.bits - 1) // 2
+    def shift(self, k: int) -> int:
+        """Sums of words are gathered for so many buckets (log2) at once, those of longer runs for one: they are many more."""
+        return (_bits(self.places(k)) - 1) // 2 if k == 1 else 0
 
     def places(self, k: int) -> tuple[int, ...]:
         """Runs of k words in earlier buckets. The last number is the id of k text starts, behind all runs."""
@@ -148,18 +153,17 @@ class Model:
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of words, -1 for unknown ones."""
-        return self._find("words", self.before, hashes, hashes)
+        return self._find("words", self.before, hashes, lambda x: x)
 
     def find(self, k: int, keys: np.ndarray) -> np.ndarray:
         """Ids of runs of k words, -1 for unknown ones."""
-        keys = keys.astype(np.uint64)
-        return self._find(f"grams{k}", self.places(k), keys, mix(keys))
+        return self._find(f"grams{k}", self.places(k), keys.astype(np.uint64), mix)
 
-    def _find(self, name: str, before: tuple[int, ...], keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        unique, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        bucket = hashes[at] >> np.uint64(64 - self.bits)
+    def _find(self, name: str, before: tuple[int, ...], keys: np.ndarray, hashed) -> np.ndarray:
+        unique, back = np.unique(keys, return_inverse=True)
+        bucket = hashed(unique) >> np.uint64(64 - _bits(before))
         order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange((1 << self.bits) + 1))
+        edges = np.searchsorted(bucket[order], np.arange(len(before)))
         out = np.full(len(unique), -1, np.int64)
         for b in np.flatnonzero(np.diff(edges)):
             rows = order[edges[b] : edges[b + 1]]
@@ -275,7 +279,7 @@ def _sums(model: Model, k: int):
                 seen, back = np.unique(ids, return_inverse=True)
                 sums = np.bincount(back * 5 + np.concatenate((np.minimum(n, 3) - 1, np.full(size, 3))), minlength=5 * len(seen)).reshape(-1, 5)
                 sums[:, 4] = np.bincount(back[:size], n, len(seen))
-                yield _pack(seen.astype(np.uint64), np.minimum(sums, 2**32 - 1).astype(np.uint32), np.searchsorted(before, seen, "right") - 1 >> model.shift)
+                yield _pack(seen.astype(np.uint64), np.minimum(sums, 2**32 - 1).astype(np.uint32), np.searchsorted(before, seen, "right") - 1 >> model.shift(k - 1))
                 times = np.array([[int((n == x).sum()) for x in (1, 2, 3, 4)] + [size]], np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([times.tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["bucket", "keys", "counts"])
 
@@ -294,7 +298,7 @@ def _write_sums(model: Model, k: int):
             ids, sums = _merge(part, 5)
             ids = ids.astype(np.int64)
             out = np.zeros(5, np.int64)
-            for b in range(g << model.shift, min((g + 1) << model.shift, len(before) - 1)):
+            for b in range(g << model.shift(k), min((g + 1) << model.shift(k), len(before) - 1)):
                 i, j = np.searchsorted(ids, before[b : b + 2])
                 dense = np.zeros((before[b + 1] - before[b], 5), np.int64)
                 dense[ids[i:j] - before[b]] = sums[i:j]
@@ -328,24 +332,25 @@ def _train(docs: DataFrame, path: str, order: int) -> Model:
     store, base = fs.FileSystem.from_uri(path)
     store.create_dir(base)
     spark = docs.sparkSession
-    bits = min(12, max(1, (2 * partitions(spark) - 1).bit_length()))
+    bits = min(16, max(1, (2 * partitions(spark) - 1).bit_length()))
     texts = id_text(docs).select("text")
 
-    def count(model: Model | None, k: int, *names) -> tuple[tuple[int, ...], int]:
+    def count(model: Model | None, k: int, bits: int, *names) -> tuple[tuple[int, ...], int]:
         rows = {r["bucket"]: r for r in texts.mapInArrow(_count(model, bits, k), _PACKED).groupBy("bucket").applyInArrow(_write_keys(path, *names), "bucket int, n long, total long").collect()}
         size = [rows[b]["n"] if b in rows else 0 for b in range(1 << bits)]
         return tuple(int(x) for x in np.concatenate(([0], np.cumsum(size)))), sum(r["total"] for r in rows.values())
 
-    before, tokens = count(None, 1, "words", "counts")
-    model = Model(path, bits, before, before[-1], tokens, order)
+    before, tokens = count(None, 1, bits, "words", "counts")
+    model = Model(path, before, before[-1], tokens, order)
+    bits = max(bits, (tokens // BUCKET_RUNS).bit_length())
     if not tokens:
         return model
     for k in range(2, order + 1):
         if (model.places(k - 1)[-1] + 1) * model.words >= 1 << 63:
             raise ValueError(f"runs of {k} words: ids do not fit 64 bits")
-        model = replace(model, grams=(*model.grams, count(model, k, f"grams{k}", "gram_counts" if k == order else None)[0]))
+        model = replace(model, grams=(*model.grams, count(model, k, bits, f"grams{k}", "gram_counts" if k == order else None)[0]))
     for k in range(order, 1, -1):  # what a lower order counts are the runs of the next higher one
-        sums = spark.range(0, 1 << bits, 1, partitions(spark)).mapInArrow(_sums(model, k), _PACKED)
+        sums = spark.range(0, 1 << bits, 1, min(1 << bits, max(partitions(spark), 1 << max(0, bits - 4)))).mapInArrow(_sums(model, k), _PACKED)
         times = {r["bucket"]: r["times"] for r in sums.groupBy("bucket").applyInArrow(_write_sums(model, k - 1), "bucket int, times array<long>").collect()}
         model = replace(model, discounts=(discounts(times.pop(-1)[:4]), *model.discounts))
     of_words = np.sum(list(times.values()), axis=0).tolist()
@@ -359,29 +364,35 @@ def log_probabilities(model: Model, hashes: np.ndarray, first: np.ndarray) -> tu
     ids = model.ids(hashes)
     known = ids >= 0
     flat = model.lower_rest / (model.words + 1)
-    p, count = np.full(len(ids), flat), np.zeros(len(ids), np.int64)
+    p, count, sums = np.full(len(ids), flat), np.zeros(len(ids), np.int64), np.zeros((len(ids), 5), np.int64)  # of the run that ends at each token
     if model.tokens:
         unique, back = np.unique(ids[known], return_inverse=True)
-        ends = model.by_id(1, "sums1", unique, 5)[:, 3]
-        p[known] += ((ends - np.array(model.lower)[np.minimum(ends, 3)]) / model.pairs)[back]
+        sums[known] = model.by_id(1, "sums1", unique, 5)[back]
+        ends = sums[known, 3]
+        p[known] += (ends - np.array(model.lower)[np.minimum(ends, 3)]) / model.pairs
         count[known] = model.by_id(1, "counts", unique)[:, 0][back]
     base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
     runs = ids
     for k in range(2, model.order + 1 if model.tokens and len(ids) else 0):
         lower, discount = p.copy(), np.array(model.discounts[k - 2])
         before = model.after(k - 1, runs, first)
+        context = np.concatenate((sums[:1], sums[:-1]))
+        context[first[:-1]] = model.by_id(k - 1, f"sums{k - 1}", np.array([model.places(k - 1)[-1]]), 5)
         at = np.flatnonzero(before >= 0)
-        unique, back = np.unique(before[at], return_inverse=True)
-        sums = model.by_id(k - 1, f"sums{k - 1}", unique, 5)
-        total = sums[:, 4]
-        share, total = (sums[:, :3] @ discount[1:] / np.maximum(total, 1))[back], total[back]
+        total = context[at, 4]
+        share = context[at, :3] @ discount[1:] / np.maximum(total, 1)
         p[at] = share * lower[at]
         runs = np.full(len(ids), -1, np.int64)
         both = at[known[at]]
         runs[both] = model.find(k, before[both] * model.words + ids[both])
         seen = runs[at] >= 0
         unique, back = np.unique(runs[at[seen]], return_inverse=True)
-        n = (model.by_id(k, "gram_counts", unique)[:, 0] if k == model.order else model.by_id(k, f"sums{k}", unique, 5)[:, 3])[back]
+        if k == model.order:
+            n = model.by_id(k, "gram_counts", unique)[:, 0][back]
+        else:
+            sums = np.zeros((len(ids), 5), np.int64)
+            sums[at[seen]] = model.by_id(k, f"sums{k}", unique, 5)[back]
+            n = sums[at[seen], 3]
         p[at[seen]] += (n - discount[np.minimum(n, 3)]) / total[seen]
         nothing = at[share == 0]  # words never followed by another
         p[nothing] = np.where(p[nothing] > 0, p[nothing], lower[nothing])

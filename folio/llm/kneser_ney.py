@@ -267,21 +267,32 @@ def _sums(model: Model, k: int):
     fewer than buckets). The value is the count for the highest order; else how many different words come before."""
 
     def run(batches):
-        before = np.array(model.places(k - 1))
+        before, held, size = np.array(model.places(k - 1)), [], 0
+        times = np.zeros(5, np.uint64)
         for batch in batches:
             for b in batch.column(0).to_pylist():
-                size = model.places(k)[b + 1] - model.places(k)[b]
-                if not size:
+                many = model.places(k)[b + 1] - model.places(k)[b]
+                if not many:
                     continue
                 keys = np.array(_map(model.path, f"grams{k}-{b:05d}", "u8")).astype(np.int64)
                 n = _counts(model.path, f"gram_counts-{b:05d}", 1)[:, 0] if k == model.order else _counts(model.path, f"sums{k}-{b:05d}", 5)[:, 3]
                 ids = np.concatenate((keys // model.words, model.without_first(k, keys)))
                 seen, back = np.unique(ids, return_inverse=True)
-                sums = np.bincount(back * 5 + np.concatenate((np.minimum(n, 3) - 1, np.full(size, 3))), minlength=5 * len(seen)).reshape(-1, 5)
-                sums[:, 4] = np.bincount(back[:size], n, len(seen))
-                yield _pack(seen.astype(np.uint64), np.minimum(sums, 2**32 - 1).astype(np.uint32), np.searchsorted(before, seen, "right") - 1 >> model.shift(k - 1))
-                times = np.array([[int((n == x).sum()) for x in (1, 2, 3, 4)] + [size]], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([times.tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["bucket", "keys", "counts"])
+                sums = np.bincount(back * 5 + np.concatenate((np.minimum(n, 3) - 1, np.full(many, 3))), minlength=5 * len(seen)).reshape(-1, 5)
+                sums[:, 4] = np.bincount(back[:many], n, len(seen))
+                held.append((seen.astype(np.uint64), np.minimum(sums, 2**32 - 1).astype(np.uint32)))
+                size += len(seen)
+                times += np.array([*(int((n == x).sum()) for x in (1, 2, 3, 4)), many], np.uint64)
+                if size >= FLUSH // 2:
+                    yield pack(held, before)
+                    held, size = [], 0
+        if size:
+            yield pack(held, before)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([times.tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["bucket", "keys", "counts"])
+
+    def pack(held, before):
+        keys, sums = (np.concatenate(x) for x in zip(*held, strict=True))
+        return _pack(keys, sums, np.searchsorted(before, keys, "right") - 1 >> model.shift(k - 1))
 
     return run
 
@@ -342,7 +353,7 @@ def _train(docs: DataFrame, path: str, order: int) -> Model:
 
     before, tokens = count(None, 1, bits, "words", "counts")
     model = Model(path, before, before[-1], tokens, order)
-    bits = max(bits, (tokens // BUCKET_RUNS).bit_length())
+    bits = max(1, (tokens // BUCKET_RUNS).bit_length())
     if not tokens:
         return model
     for k in range(2, order + 1):
@@ -350,7 +361,7 @@ def _train(docs: DataFrame, path: str, order: int) -> Model:
             raise ValueError(f"runs of {k} words: ids do not fit 64 bits")
         model = replace(model, grams=(*model.grams, count(model, k, bits, f"grams{k}", "gram_counts" if k == order else None)[0]))
     for k in range(order, 1, -1):  # what a lower order counts are the runs of the next higher one
-        sums = spark.range(0, 1 << bits, 1, min(1 << bits, max(partitions(spark), 1 << max(0, bits - 4)))).mapInArrow(_sums(model, k), _PACKED)
+        sums = spark.range(0, 1 << bits, 1, min(1 << bits, max(partitions(spark), 1 << max(0, bits - 3)))).mapInArrow(_sums(model, k), _PACKED)
         times = {r["bucket"]: r["times"] for r in sums.groupBy("bucket").applyInArrow(_write_sums(model, k - 1), "bucket int, times array<long>").collect()}
         model = replace(model, discounts=(discounts(times.pop(-1)[:4]), *model.discounts))
     of_words = np.sum(list(times.values()), axis=0).tolist()

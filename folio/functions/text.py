@@ -5,7 +5,7 @@ Positions count code points from 0. Words, sentences and paragraphs are arrays o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,9 +18,18 @@ RUSSIAN_VOWELS = "[аеёиоуыэюя]+"
 LATIN_VOWELS = "[aeiouyàâäáéèêëíîïóôöúùûüœæãõ]+"
 
 
+#: What Python's split() takes for white space.
+BLANK = r"\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once, however often it is used inside folds and branches."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
 def pieces(c: Column, pattern: str) -> Column:
@@ -38,7 +47,11 @@ def paragraphs(c: Column, separator: str = "\n\n") -> Column:
 
 def tokens(c: Column) -> Column:
     """Parts between white space, punctuation attached."""
-    return F.filter(F.split(c, r"(?U)\s+"), lambda x: x != "")
+    return F.regexp_extract_all(c, F.lit(f"[^{BLANK}]+"), F.lit(0))
+
+
+def token_count(c: Column) -> Column:
+    return F.regexp_count(c, F.lit(f"[^{BLANK}]+"))
 
 
 def words(c: Column, pattern: str = LETTERS) -> Column:
@@ -57,12 +70,18 @@ def word_list(keys: Sequence[str]) -> Column:
 
 
 def count_any(text: Column, keys: Sequence[str]) -> Column:
-    """Sum of count_sub() over a word list; keys may overlap, and each counts on its own. One fold, however long the list."""
-    return F.aggregate(word_list(keys), F.lit(0.0), lambda a, k: a + count_sub(text, k))
+    """Sum of count_sub() over a word list; keys may overlap, and each counts on its own. One fold, however long the list,
+    over the keys that are there at all. Null text: null."""
+
+    def of(low: Column) -> Column:
+        there = F.filter(word_list(keys), lambda k: F.contains(low, k))
+        return F.when(low.isNotNull(), F.aggregate(there, F.lit(0.0), lambda a, k: a + count_sub(low, k)))
+
+    return let(text, of)
 
 
 def contains_any(text: Column, keys: Sequence[str]) -> Column:
-    return F.exists(word_list(keys), lambda k: text.contains(k))
+    return let(text, lambda low: F.exists(word_list(keys), lambda k: low.contains(k)))
 
 
 def count_in(array: Column, keys: Sequence[str]) -> Column:
@@ -77,7 +96,7 @@ def total(array: Column, value=lambda x: x) -> Column:
 
 def mean(array: Column, value=lambda x: x) -> Column:
     """0 for an empty array."""
-    return total(array, value) / F.greatest(F.size(array), F.lit(1))
+    return let(array, lambda a: total(a, value) / F.greatest(F.size(a), F.lit(1)))
 
 
 def variance(array: Column) -> Column:

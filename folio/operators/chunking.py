@@ -73,6 +73,40 @@ def _packed(lengths: Column, s: Strategy) -> Column:
     return F.aggregate(lengths, start, step, lambda a: F.when(a["size"] > 0, F.concat(a["ends"], F.array(a["at"]))).otherwise(a["ends"]))
 
 
+def _packed_paragraphs(units: Column, s: Strategy) -> Column:
+    """Paragraphs fill a chunk up to the most. One that is longer alone ends the chunk before it and is cut by sentences, into
+    chunks of its own. Returns end offsets."""
+    each = F.transform(units, lambda u: F.struct(F.length(u).cast("long").alias("n"), F.when(F.length(u) > s.most, _packed(F.transform(_units(u, SENTENCE_END), F.length), s)).alias("cuts")))
+    start = F.expr("named_struct('ends', cast(array() as array<bigint>), 'at', 0L, 'size', 0L)")
+
+    def step(a, x):
+        flush = F.when(a["size"] > 0, F.array(a["at"])).otherwise(F.expr("cast(array() as array<bigint>)"))
+        own = F.struct(F.concat(a["ends"], flush, F.transform(x["cuts"], lambda e: a["at"] + e)).alias("ends"), (a["at"] + x["n"]).alias("at"), F.lit(0).cast("long").alias("size"))
+        full = (a["size"] > 0) & (a["size"] + x["n"] > s.most)
+        more = F.struct(F.when(full, F.concat(a["ends"], flush)).otherwise(a["ends"]).alias("ends"), (a["at"] + x["n"]).alias("at"), F.when(full, x["n"]).otherwise(a["size"] + x["n"]).alias("size"))
+        return F.when(x["cuts"].isNotNull(), own).otherwise(more)
+
+    return F.aggregate(each, start, step, lambda a: F.when(a["size"] > 0, F.concat(a["ends"], F.array(a["at"]))).otherwise(a["ends"]))
+
+
+def requested(size: int, overlap: int, unit: str) -> Strategy:
+    """The strategy that a request stands for: sentences of about 100 characters, paragraphs of 200, or fixed sizes."""
+    if unit in ("sentence", "paragraph"):
+        return Strategy(unit=unit, per_chunk=max(1, size // (100 if unit == "sentence" else 200)), overlap=0.0)
+    return Strategy(size, min(size, 500), max(size, 4000), min(0.5, overlap / size))
+
+
+#: Characters of the blocks that a text is taken in when chunks are cut from it, so that no cut counts from the text's start.
+BLOCK = 4096
+
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters start to end of a text given in blocks."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.array_join(F.slice(blocks, first + 1, F.floor((end - 1) / BLOCK).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(some, (start - first * BLOCK + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+
 def chunk(df: DataFrame, strategy: Strategy = DEFAULT, key: str = "doc_id", text: str = "text", size: Column | None = None) -> DataFrame:
     """Cuts every text: key, chunk_index, total_chunks, start_pos, end_pos, overlap_start, overlap_end, content.
 
@@ -87,29 +121,37 @@ def chunk(df: DataFrame, strategy: Strategy = DEFAULT, key: str = "doc_id", text
     if strategy.unit == "fixed":
         ends = F.transform(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("n") / F.col("size"))), lambda i: F.least(i * F.col("size"), F.col("n")))
     else:
-        units = _units(F.col("t"), SENTENCE_END if strategy.unit == "sentence" else PARAGRAPH_END)
-        rows = rows.withColumn("units", F.transform(units, F.length))
+        rows = rows.withColumn("units", _units(F.col("t"), SENTENCE_END if strategy.unit == "sentence" else PARAGRAPH_END))
         if strategy.per_chunk:
-            sums = F.aggregate("units", F.expr("named_struct('out', cast(array() as array<bigint>), 'at', 0L)"), lambda a, x: F.struct(F.concat(a["out"], F.array(a["at"] + x)).alias("out"), (a["at"] + x).alias("at")), lambda a: a["out"])
+            sums = F.aggregate(F.transform("units", F.length), F.expr("named_struct('out', cast(array() as array<bigint>), 'at', 0L)"), lambda a, x: F.struct(F.concat(a["out"], F.array(a["at"] + x)).alias("out"), (a["at"] + x).alias("at")), lambda a: a["out"])
             rows = rows.withColumn("sums", sums)
             ends = F.filter("sums", lambda x, i: ((i + 1) % strategy.per_chunk == 0) | (i == F.size("sums") - 1))
+        elif strategy.unit == "paragraph":
+            ends = _packed_paragraphs(F.col("units"), strategy)
         else:
-            ends = _packed(F.col("units"), strategy)
+            ends = _packed(F.transform("units", F.length), strategy)
     whole = (F.col("n") <= F.col("size")) & F.lit(not strategy.per_chunk)
-    rows = rows.withColumn("ends", F.when(whole, F.array("n")).otherwise(ends))
-    rows = rows.withColumn("spans", F.transform("ends", lambda e, i: F.struct(F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("ends", i - 1)).alias("start"), e.alias("end"))))
+    rows = rows.withColumn("ends", F.when(whole, F.array("n")).otherwise(ends)).withColumn("blocks", F.regexp_extract_all("t", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+    spans = F.transform("ends", lambda e, i: F.struct(F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("ends", i - 1)).alias("start"), e.alias("end")))
     if strategy.unit != "fixed":
-        rows = rows.withColumn("spans", F.filter("spans", lambda x: (F.trim(F.regexp_replace(F.substring("t", (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")), r"\s+", " ")) != "")))
-    rows = rows.select("key", "t", "n", "size", F.size("spans").alias("total_chunks"), F.posexplode("spans").alias("chunk_index", "span"))
-    over = F.floor(F.col("size") * strategy.overlap)
-    last = F.col("chunk_index") == F.col("total_chunks") - 1
-    tail = F.when(last | (F.col("total_chunks") == 1), 0).otherwise(F.least(over, F.col("n") - F.col("span.end")))
-    # with two sides, a chunk also takes the end of the one before; with one, that end has been taken already
-    head = F.when(F.col("chunk_index") == 0, 0).otherwise(F.least(over, F.col("span.start"))) if strategy.two_sided else F.lit(0)
-    rows = rows.withColumns({"overlap_start": head.cast("long"), "overlap_end": tail.cast("long")})
-    rows = rows.withColumns({"start_pos": F.col("span.start") - F.col("overlap_start"), "end_pos": F.col("span.end") + F.col("overlap_end")})
-    content = F.substring("t", (F.col("start_pos") + 1).cast("int"), (F.col("end_pos") - F.col("start_pos")).cast("int"))
-    return rows.select(F.col("key").alias(key), "chunk_index", "total_chunks", "start_pos", "end_pos", "overlap_start", "overlap_end", content.alias("content"))
+        spans = F.filter(spans, lambda x: _cut(F.col("blocks"), x["start"], x["end"]).rlike(r"\S"))
+    rows = rows.select("key", "n", "size", "blocks", spans.alias("spans"))
+    over, total = F.floor(F.col("size") * strategy.overlap), F.size("spans")
+
+    def placed(x, i):
+        tail = F.when(i == total - 1, 0).otherwise(F.least(over, F.col("n") - x["end"])).cast("long")
+        # with two sides, a chunk also takes the end of the one before; with one, that end has been taken already
+        head = F.when(i == 0, 0).otherwise(F.least(over, x["start"])).cast("long") if strategy.two_sided else F.lit(0).cast("long")
+        start, end = x["start"] - head, x["end"] + tail
+        return F.struct(i.alias("chunk_index"), total.alias("total_chunks"), start.alias("start_pos"), end.alias("end_pos"), head.alias("overlap_start"), tail.alias("overlap_end"), _cut(F.col("blocks"), start, end).alias("content"))
+
+    # contents are cut in the text's row, so that the text is not copied into each of them
+    return rows.select(F.col("key").alias(key), F.explode(F.transform("spans", placed)).alias("__c")).select(key, "__c.*")
+
+
+def position_ratio(start: Column, length: Column) -> Column:
+    """Where in its text a chunk starts, 0 to 1."""
+    return F.when(length > 0, start / length).otherwise(0.0)
 
 
 def unique_content(content: Column, overlap_start: Column, overlap_end: Column) -> Column:

@@ -20,6 +20,7 @@ ADJECTIVES = [r"(?iU)\w+(ный|ная|ное|ые)$", r"(?iU)\w+(ий|ая|ое
 PATTERNS = {"вопрос": [r"\?"], "восклицание": ["!"], "прямая_речь": [r"[—–]\s*[А-Яа-я]", r"[\"«][^\"»]*[\"»]"], "перечисление": ["во-первых|во-вторых|в-третьих", r"\d+\)", r"•|·|\*"], "цитирование": ["как сказал|по словам|цитируя|согласно"]}
 TIMES = {"утро": ["рассвет", "утром", "восход", "раннее утро", "утренний"], "день": ["днем", "полдень", "дневной", "солнечный день"], "вечер": ["вечером", "закат", "сумерки", "вечерний", "заходящее солнце"], "ночь": ["ночью", "полночь", "ночной", "темнота", "звездная ночь"]}
 DEVICES = {"сравнение": [r"как\s+\w+", r"словно\s+\w+", r"будто\s+\w+", r"подобно\s+\w+"], "метафора": [r"\w+\s+—\s+\w+", r"\w+\s+есть\s+\w+"], "эпитеты": "прекрасный великолепный чудесный удивительный восхитительный таинственный волшебный загадочный мрачный печальный".split(), "олицетворение": [r"(солнце|луна|ветер|дождь|море|река)\s+(говорит|смеется|плачет|думает)"]}
+DESCRIPTION_GRADES = [(0.3, "недостаточный"), (0.5, "слабый"), (0.65, "удовлетворительный"), (0.8, "хороший")]
 PRONOUNS = r"(?U)\b(я|ты|мы|вы|он|она|они)\b"
 
 
@@ -33,13 +34,16 @@ def _sum(columns) -> Column:
 
 def transition(last: Column, first: Column, links=lx.LINKS, stop_words=TRANSITION_STOPS) -> Column:
     """Score of the step from a last to a first sentence: a base, connectives by category, shared words."""
-    last, first = F.lower(last), F.lower(first)
+    return t.let(F.lower(last), lambda a: t.let(F.lower(first), lambda b: _transition(a, b, links, stop_words)))
+
+
+def _transition(last: Column, first: Column, links, stop_words) -> Column:
     linked = _sum(F.when(F.exists(t.word_list(v), lambda k: F.startswith(first, k) | F.contains(first, F.concat(F.lit(" "), k, F.lit(" ")))), 0.3).otherwise(0.0) for v in links.values())
     content = lambda c: F.array_except(F.array_distinct(t.tokens(c)), t.word_list(stop_words))
     return F.least(0.5 + linked + F.least(0.1 * F.size(F.array_intersect(content(last), content(first))), F.lit(0.2)), F.lit(1.0))
 
 
-def unit_coherence(units: DataFrame, key: str = "doc_id", order: str = "chunk_index", text: str = "content", stop_words=()) -> DataFrame:
+def unit_coherence(units: DataFrame, key: str = "doc_id", order: str = "chunk_index", text: str = "content", stop_words=(), links=lx.LINKS) -> DataFrame:
     """Of neighbour units (chunks, paragraphs): mean transition score and mean Jaccard of words of four letters and more.
     One unit: 1."""
     w = Window.partitionBy(key).orderBy(order)
@@ -48,17 +52,17 @@ def unit_coherence(units: DataFrame, key: str = "doc_id", order: str = "chunk_in
     rows = units.select(key, order, F.try_element_at(s, F.lit(-1)).alias("last"), F.get(s, F.lit(0)).alias("first"), words.alias("w"))
     rows = rows.withColumns({"next": F.lead("first").over(w), "v": F.lead("w").over(w)})
     jaccard = F.when((F.size("w") > 0) & (F.size("v") > 0), F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v")))
-    out = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg(F.when(F.col("last").isNotNull() & F.col("next").isNotNull(), transition(F.col("last"), F.col("next")))).alias("t"), F.avg(jaccard).alias("j"))
+    out = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg(F.when(F.col("last").isNotNull() & F.col("next").isNotNull(), transition(F.col("last"), F.col("next"), links))).alias("t"), F.avg(jaccard).alias("j"))
     one = F.col("n") < 2
     return out.select(key, F.when(one, 1.0).otherwise(F.coalesce("t", F.lit(0.0))).alias("transitions"), F.when(one, 1.0).otherwise(F.coalesce("j", F.lit(0.0))).alias("thematic"))
 
 
 def information_density(c: Column, markers=KEY_MARKERS, facts=FACTS) -> Column:
     """(2 * key words a word + share of sentences with a fact) / 3; 0 without words."""
-    s, n = t.sentences(c), F.size(t.tokens(c))
+    s, n = t.sentences(c), t.token_count(c)
     fact = lambda x: F.exists(F.array(*map(F.lit, facts)), lambda p: F.rlike(x, p))
-    score = (2 * t.count_any(F.lower(c), markers) / _safe(n) + F.size(F.filter(s, fact)) / _safe(F.size(s))) / 3
-    return F.when((F.size(s) == 0) | (n == 0), 0.0).otherwise(score)
+    score = lambda s, n: (2 * t.count_any(F.lower(c), markers) / _safe(n) + F.size(F.filter(s, fact)) / _safe(F.size(s))) / 3
+    return t.let(s, lambda s: t.let(n, lambda n: F.when((F.size(s) == 0) | (n == 0), 0.0).otherwise(score(s, n))))
 
 
 def pattern_counts(c: Column, patterns=PATTERNS, literal: bool = False) -> Column:
@@ -116,7 +120,22 @@ def description_report(df: DataFrame, markers: dict, senses: dict, key: str = "d
     )
     fit = t.clamp(1 - F.abs(F.col("ratio") - 0.225) / 0.225)
     overall = 0.15 * fit + 0.2 * F.col("type_diversity") + 0.2 * F.col("sensory_diversity") + 0.15 * F.col("literary_diversity") + 0.15 * F.col("detail") + 0.15 * F.col("distribution")
-    return out.withColumn("overall", F.when(F.col("passages") == 0, 0.0).otherwise(overall))
+    return out.withColumn("overall", F.when(F.col("passages") == 0, 0.0).otherwise(overall)).withColumn("grade", t.ladder(F.col("overall"), DESCRIPTION_GRADES, "превосходный"))
+
+
+def description_rollup(chunks: DataFrame, markers: dict, senses: dict, key: str = "doc_id", order: str = "chunk_index", text: str = "content") -> DataFrame:
+    """Descriptions chunk by chunk, rolled up to the text over the chunks where a measure is above 0. A chunk's score is
+    of its ratio, kinds and senses."""
+    each = description_report(chunks.select(F.struct(key, order).alias("__k"), F.col(text)), markers, senses, "__k", text)
+    fit = t.clamp(1 - F.abs(F.col("ratio") - 0.225) / 0.225)
+    overall = F.when(F.col("passages") > 0, (0.15 * fit + 0.2 * F.col("type_diversity") + 0.2 * F.col("sensory_diversity")) / 0.55).otherwise(0.0)
+    rows = each.select(F.col(f"__k.{key}").alias(key), "passages", overall.alias("overall"), "ratio", "type_diversity", "sensory_diversity")
+    aggs = [F.count("*").alias("chunks"), F.sum("passages").alias("total"), F.count_if(F.col("passages") > 0).alias("chunks_with_any")]
+    for name in ("overall", "ratio", "type_diversity", "sensory_diversity"):
+        some = F.when(F.col(name) > 0, F.col(name))
+        aggs += [F.avg(some).alias(f"avg_{name}"), F.max(some).alias(f"max_{name}")]
+    out = rows.groupBy(key).agg(*aggs).withColumn("share", F.col("chunks_with_any") / F.col("chunks"))
+    return out.withColumn("grade", t.ladder(F.coalesce("avg_overall", F.lit(0.0)), DESCRIPTION_GRADES, "превосходный"))
 
 
 def overall_structure(m: dict[str, Column]) -> Column:
@@ -126,19 +145,12 @@ def overall_structure(m: dict[str, Column]) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(0.0)
 
 
-def overall_dialogue(m: dict[str, Column], count: Column) -> Column:
-    weights = {"structure": 0.25, "speech_diversity": 0.2, "emotional_diversity": 0.2, "authenticity": 0.25, "dialogue_ratio": 0.1}
-    near = dict(m) | ({"dialogue_ratio": F.greatest(F.lit(0.0), 1 - F.abs(m["dialogue_ratio"] - 0.3) / 0.3)} if "dialogue_ratio" in m else {})
-    top, bottom = t.weighted({k: near.get(k, F.lit(None).cast("double")) for k in weights}, weights)
-    return F.when((count > 0) & (bottom > 0), top / bottom).otherwise(0.0)
-
-
-def voices(speeches: Column, features=lx.SPEECH_FEATURES, threshold: float = 0.7) -> Column:
+def voices(speeches: Column, features=lx.SPEECH_FEATURES, threshold: float = 0.7, pronouns: str = PRONOUNS) -> Column:
     """Voices among the speeches of a text (an array, in order): a speech joins the first voice whose first speech has a like
     signature, else starts one. A fold, since the order matters; its state is one signature a voice."""
     names = list(features)
     low = lambda x: F.lower(x)
-    signature = lambda x: F.array(F.size(t.tokens(x)).cast("double"), t.count_any(low(x), features[names[0]]), t.count_any(low(x), features[names[1]]), t.count_sub(x, "?"), t.count_sub(x, "!"), F.regexp_count(low(x), F.lit(PRONOUNS)).cast("double"))
+    signature = lambda x: F.array(t.token_count(x).cast("double"), t.count_any(low(x), features[names[0]]), t.count_any(low(x), features[names[1]]), t.count_sub(x, "?"), t.count_sub(x, "!"), F.regexp_count(low(x), F.lit(pronouns)).cast("double"))
     like = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), 1.0).otherwise(1 - F.abs(x - y) / F.greatest(x, y, F.lit(1.0)))), F.lit(0.0), lambda s, x: s + x) / 6 >= threshold
     start = F.expr("cast(array() as array<array<double>>)")
     return F.size(F.aggregate(F.transform(speeches, signature), start, lambda a, x: F.when(F.exists(a, lambda y: like(x, y)), a).otherwise(F.concat(a, F.array(x)))))

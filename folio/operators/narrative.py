@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from folio.functions import lexicons as lx
 from folio.functions import text as t
+from folio.operators.description import FACTS, KEY_MARKERS, PATTERNS, information_density, overall_structure, pattern_counts, transition
 
 PACE = [(4.0, "slow"), (7.0, "medium")]
 WATER = [(20.0, "concise"), (50.0, "balanced")]
@@ -21,26 +22,33 @@ def _safe(n: Column) -> Column:
 
 
 def character_score(c: Column, keywords=lx.CHARACTER) -> Column:
-    n = F.size(t.tokens(c))
     marks = t.count_sub(c, "—") + t.count_sub(c, '"') + t.count_sub(c, "«")
     names = F.regexp_count(c, F.lit(r"(?<=[а-яa-z]\s)[А-ЯA-Z][а-яa-z]+"))
-    score = 0.4 * F.least(t.count_any(F.lower(c), keywords) / _safe(n), F.lit(1.0)) + 0.4 * F.least(marks / 10, F.lit(1.0)) + 0.2 * F.least(names / _safe(n), F.lit(1.0))
-    return F.when(n == 0, 0.0).when(n > 0, F.least(score, F.lit(1.0)))
+
+    def score(n):
+        found = 0.4 * F.least(t.count_any(F.lower(c), keywords) / _safe(n), F.lit(1.0)) + 0.4 * F.least(marks / 10, F.lit(1.0)) + 0.2 * F.least(names / _safe(n), F.lit(1.0))
+        return F.when(n == 0, 0.0).when(n > 0, F.least(found, F.lit(1.0)))
+
+    return t.let(t.token_count(c), score)
 
 
 def tension_score(c: Column, keywords=lx.TENSION) -> Column:
     """0 to 10."""
-    n = F.size(t.tokens(c))
-    parts = F.split(c, "[.!?]+")
-    short = F.size(F.filter(parts, lambda x: F.size(t.tokens(x)).between(1, 7)))
-    score = 5 * F.least(20 * t.count_any(F.lower(c), keywords) / _safe(n), F.lit(1.0)) + 3 * F.least(t.count_sub(c, "!") / 5, F.lit(1.0)) + 2 * short / F.size(parts)
-    return F.when(n == 0, 0.0).when(n > 0, F.least(score, F.lit(10.0)))
+    short = t.let(F.split(c, "[.!?]+"), lambda p: F.size(F.filter(p, lambda x: t.token_count(x).between(1, 7))) / F.size(p))
+
+    def score(n):
+        found = 5 * F.least(20 * t.count_any(F.lower(c), keywords) / _safe(n), F.lit(1.0)) + 3 * F.least(t.count_sub(c, "!") / 5, F.lit(1.0)) + 2 * short
+        return F.when(n == 0, 0.0).when(n > 0, F.least(found, F.lit(10.0)))
+
+    return t.let(t.token_count(c), score)
 
 
 def event_density(c: Column, events=lx.EVENTS, fast=lx.FAST, slow=lx.SLOW) -> Column:
-    n, low = F.size(t.tokens(c)), F.lower(c)
-    score = F.least(t.count_any(low, events) / _safe(n), F.lit(1.0)) + 0.3 * (t.count_any(low, fast) - t.count_any(low, slow)) / _safe(n)
-    return F.when(n == 0, 0.0).when(n > 0, t.clamp(score))
+    def score(n, low):
+        found = F.least(t.count_any(low, events) / _safe(n), F.lit(1.0)) + 0.3 * (t.count_any(low, fast) - t.count_any(low, slow)) / _safe(n)
+        return F.when(n == 0, 0.0).when(n > 0, t.clamp(found))
+
+    return t.let(t.token_count(c), lambda n: t.let(F.lower(c), lambda low: score(n, low)))
 
 
 def dialogue_ratio(c: Column) -> Column:
@@ -82,44 +90,107 @@ def tension_report(chunks: DataFrame, peak: float = 0.6, peaks: int = 15, text:
     return scored.withColumn("_n", place).groupBy(key).agg(F.avg("tension").alias("avg_tension"), F.count_if(F.col("tension") >= peak).alias("peak_count"), F.array_sort(F.collect_list(first)).alias("peaks"))
 
 
+# Patterns, marks and words that results depend on.
+SPEECH = [r"[—–]\s*([^—–\n]+?)(?=[.!?\n])", r"[\"«]([^\"»]+)[\"»]", r":\s*[—–]\s*([^—–\n]+?)(?=[.!?\n])"]
+INCOMPLETE = r"(?iu)^[а-я].*[^.!?]$"
+COLLOQUIAL = "ну вот блин типа короче слушай смотри".split()
+INTERJECTIONS = "ах ох эх ух фу ба ого ага угу".split()
+NATURAL = "ну вот да нет ага".split()
+DIALOGUE_GRADES = [(0.2, "неудовлетворительный"), (0.4, "слабый"), (0.6, "удовлетворительный"), (0.8, "хороший")]
+DIALOGUE_WEIGHTS = {"structure": 0.25, "speech_diversity": 0.2, "emotional_diversity": 0.2, "authenticity": 0.25, "dialogue_ratio": 0.1}
+
+
+def _spoken(c: Column, verbs) -> Column:
+    """Lines (stripped, blank ones left out and not counted) with direct speech: i, parts, author_words."""
+    author = "(?iu)(" + "|".join(sorted(verbs, key=len, reverse=True)) + ")"
+
+    def of(line, i):
+        parts = F.transform(F.concat(*(F.regexp_extract_all(line, F.lit(p), F.lit(1)) for p in SPEECH)), t.strip)
+        return F.struct(i.alias("i"), parts.alias("parts"), F.regexp_count(line, F.lit(author)).alias("author_words"))
+
+    return F.filter(F.transform(t.pieces(c, "\\n"), of), lambda x: F.size(x["parts"]) > 0)
+
+
 def speech(df: DataFrame, key: str = "doc_id", text: str = "text", verbs=lx.AUTHOR_VERBS) -> DataFrame:
-    """One row a line with direct speech: key, paragraph_index, parts (texts of speech after a dash, in quotes, after a colon
-    and a dash; a passage may match twice), author_words."""
-    lines = df.select(F.col(key), F.posexplode(F.split(text, "\n")).alias("paragraph_index", "line")).where("trim(line) <> ''")
-    patterns = [r"[—–]\s*([^—–\n]+?)(?=[.!?\n])", r"[\"«]([^\"»]+)[\"»]", r":\s*[—–]\s*([^—–\n]+?)(?=[.!?\n])"]
-    parts = F.concat(*(F.regexp_extract_all("line", F.lit(p), F.lit(1)) for p in patterns))
-    author = F.regexp_count("line", F.lit("(?iu)(" + "|".join(sorted(verbs, key=len, reverse=True)) + ")"))
-    return lines.select(key, "paragraph_index", parts.alias("parts"), author.alias("author_words")).where(F.size("parts") > 0)
-
-
-def dialogue_report(df: DataFrame, key: str = "doc_id", text: str = "text", emotions=lx.SPEECH_EMOTIONS, features=lx.SPEECH_FEATURES, separator: str = "\n") -> DataFrame:
-    """One row a text: counts, ratio of speech to all words, spread and longest run of dialogue lines, author words, speech
-    length and diversity, punctuation and marker rates. Texts without speech: zeros."""
-    rows = speech(df, key, text)
-    island = F.col("paragraph_index") - F.row_number().over(Window.partitionBy(key).orderBy("paragraph_index"))
-    run = rows.withColumn("island", island).groupBy(key, "island").agg(F.count("*").alias("run")).groupBy(key).agg(F.max("run").alias("longest_run"))
-    joined = F.lower(F.array_join("parts", " "))
-    per = rows.withColumns({"words": F.aggregate("parts", F.lit(0), lambda a, x: a + F.size(t.tokens(x))), "chars": F.aggregate("parts", F.lit(0), lambda a, x: a + F.length(x)), "low": joined})
-    marks = {"questions": t.count_sub(F.col("low"), "?"), "exclamations": t.count_sub(F.col("low"), "!"), "ellipses": t.count_sub(F.col("low"), "...") + t.count_sub(F.col("low"), "…")}
-    lists = {f"emotion_{i}": t.count_any(F.col("low"), v) for i, v in enumerate(emotions.values())} | {f"feature_{i}": t.count_any(F.col("low"), v) for i, v in enumerate(features.values())}
-    sums = per.groupBy(key).agg(
-        F.count("*").alias("dialogue_count"), F.sum(F.size("parts")).alias("speech_parts"), F.sum("words").alias("speech_words"), F.sum("chars").alias("speech_chars"), F.sum("author_words").alias("author_words"),
-        F.min("paragraph_index").alias("first_line"), F.max("paragraph_index").alias("last_line"), *(F.sum(v).alias(k) for k, v in (marks | lists).items()),
+    """One row a line with direct speech: key, paragraph_index (among lines that aren't blank), parts (texts of speech after a
+    dash, in quotes, after a colon and a dash, stripped; a passage may match twice), author_words."""
+    rows = df.select(F.col(key), F.explode(_spoken(F.col(text), verbs)).alias("x"))
+    return rows.select(key, F.col("x.i").alias("paragraph_index"), "x.parts", "x.author_words")
+
+
+def dialogue_report(
+    df: DataFrame, key: str = "doc_id", text: str = "text", emotions=lx.SPEECH_EMOTIONS, features=lx.SPEECH_FEATURES, verbs=lx.AUTHOR_VERBS,
+    colloquial=COLLOQUIAL, interjections=INTERJECTIONS, natural=NATURAL, separator: str = "\n",
+) -> DataFrame:
+    """One row a text, made in its own row: counts, ratio of speech to all words, spread and longest run of dialogue lines,
+    author words, speech length and diversity, marker and punctuation rates, syntax, authenticity, overall score and grade.
+    Texts without speech: zeros. Null texts: as texts without speech."""
+    c = F.col(f"`{text}`")
+    rows = df.select(F.col(key), c.alias("_t"), F.coalesce(_spoken(c, verbs), F.expr("cast(array() as array<struct<i:int,parts:array<string>,author_words:int>>)")).alias("_d"))
+    rows = rows.withColumns({"_parts": F.flatten(F.transform("_d", lambda x: x["parts"])), "_at": F.transform("_d", lambda x: x["i"])})
+    rows = rows.withColumns(
+        {"_low": F.transform("_parts", F.lower), "_len": F.transform("_parts", lambda x: t.token_count(x).cast("double")), "_n": F.size("_parts"), "_w": F.flatten(F.transform("_parts", lambda x: t.words(x, r"(?U)\b\w+\b")))}
+    )
+    # a line after one with speech goes on with its run
+    runs = F.aggregate(
+        "_at", F.expr("named_struct('last', -2, 'run', 0, 'best', 0)"),
+        lambda a, i: t.let(F.when(i == a["last"] + 1, a["run"] + 1).otherwise(1), lambda r: F.struct(i.alias("last"), r.alias("run"), F.greatest(a["best"], r).alias("best"))), lambda a: a["best"],
     )
-    base = df.select(F.col(key), F.size(t.tokens(F.col(text))).alias("text_words"), F.size(F.split(F.col(text), separator.replace("\n", "\\n"))).alias("lines"))
-    out = base.join(sums, key, "left").join(run, key, "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    ratio = zero("speech_words") / _safe(F.col("text_words"))
-    n = _safe(zero("speech_parts"))
-    emo = [F.when(zero(f"emotion_{i}") > 0, zero(f"emotion_{i}")) for i in range(len(emotions))]
-    return out.select(
-        key, zero("dialogue_count").cast("long").alias("dialogue_count"), zero("speech_words").cast("long").alias("speech_words"), zero("speech_chars").cast("long").alias("speech_chars"), ratio.alias("dialogue_ratio"),
-        F.when(ratio < 1, ratio / (1 - ratio)).otherwise(F.lit(float("inf"))).alias("speech_to_narrative"), (zero("speech_words") / n).alias("avg_speech_length"), zero("longest_run").cast("long").alias("longest_run"),
-        F.when(F.col("dialogue_count") > 0, F.when(F.col("lines") > 1, 1 - (F.col("last_line") - F.col("first_line")) / F.col("lines")).otherwise(1.0)).otherwise(0.0).alias("spread"),
-        F.when(F.col("dialogue_count") > 0, F.greatest(F.lit(0.0), 1 - F.col("longest_run") / 10)).otherwise(0.0).alias("alternation"),
-        F.least(zero("author_words") / _safe(zero("dialogue_count")) / 2, F.lit(1.0)).alias("author_integration"),
-        *((zero(m) / n).alias(f"{m}_per_utterance") for m in marks), (F.size(F.array_compact(F.array(*emo))) / len(emotions)).alias("emotion_diversity"),
+    over = lambda column, value: t.total(F.col(column), value)
+    counted = {f"_e{i}": over("_low", lambda x, v=v: t.count_any(x, v)) for i, v in enumerate(emotions.values())} | {f"_f{i}": over("_low", lambda x, v=v: t.count_any(x, v)) for i, v in enumerate(features.values())}
+    marks = {"_q": over("_low", lambda x: t.count_sub(x, "?")), "_x": over("_low", lambda x: t.count_sub(x, "!")), "_dots": over("_low", lambda x: t.count_sub(x, "...")), "_dot": over("_low", lambda x: t.count_sub(x, "…"))}
+    rows = rows.withColumns({
+        **counted, **marks, "_run": runs, "_speech_words": over("_len", lambda x: x), "_speech_chars": over("_parts", lambda x: F.length(x)), "_words": t.token_count("_t"), "_author": over("_d", lambda x: x["author_words"]),
+        "_simple": F.size(F.filter("_parts", lambda x: ~F.contains(x, F.lit(",")))), "_incomplete": F.size(F.filter("_parts", lambda x: x.rlike(INCOMPLETE))), "_open": F.size(F.filter("_parts", lambda x: ~x.rlike(r"[.!?]$"))),
+        "_natural": over("_low", lambda x: t.count_any(x, natural)), "_colloquial": t.count_in(F.col("_w"), colloquial), "_interjections": t.count_in(F.col("_w"), interjections),
+        "_distinct": F.size(F.array_distinct("_w")), "_blocks": F.size(F.split("_t", separator.replace("\n", "\\n"))), "_length_variance": t.variance(F.col("_len")),
+    })
+    n, some, of_words = _safe(F.col("_n")), F.size("_d") > 0, _safe(F.size("_w"))
+    emotional = sum((F.col(f"_e{i}") for i in range(len(emotions))), F.lit(0.0))
+    ratio = F.when(some, F.col("_speech_words") / _safe(F.col("_words"))).otherwise(0.0)
+    zero = lambda x: F.when(some, x).otherwise(0.0)
+    out = rows.select(
+        key, F.size("_d").cast("long").alias("dialogue_count"), F.col("_speech_words").cast("long").alias("speech_words"), F.col("_speech_chars").cast("long").alias("speech_chars"), ratio.alias("dialogue_ratio"),
+        F.when(ratio < 1, ratio / (1 - ratio)).otherwise(F.lit(float("inf"))).alias("speech_to_narrative"), (F.col("_speech_words") / n).alias("avg_speech_length"), F.col("_length_variance").alias("speech_length_variance"),
+        (F.col("_distinct") / of_words).alias("speech_diversity"), F.col("_run").cast("long").alias("longest_run"),
+        zero(F.when(F.col("_blocks") > 1, 1 - (F.array_max("_at") - F.array_min("_at")) / F.col("_blocks")).otherwise(1.0)).alias("spread"), zero(F.greatest(F.lit(0.0), 1 - F.col("_run") / 10)).alias("alternation"),
+        F.least(F.col("_author") / _safe(F.size("_d")) / 2, F.lit(1.0)).alias("author_integration"),
+        (F.col("_q") / n).alias("questions_per_utterance"), (F.col("_x") / n).alias("exclamations_per_utterance"), ((F.col("_dots") + F.col("_dot")) / n).alias("ellipses_per_utterance"),
+        (sum((F.when(F.col(f"_e{i}") > 0, 1).otherwise(0) for i in range(len(emotions))), F.lit(0)) / len(emotions)).alias("emotional_diversity"), (emotional / n).alias("emotional_intensity"),
+        *(F.when(emotional > 0, F.col(f"_e{i}") / emotional).otherwise(0.0).alias(f"emotion_{i}_share") for i in range(len(emotions))), *((F.col(f"_f{i}") / n).alias(f"feature_{i}_rate") for i in range(len(features))),
+        (F.col("_simple") / n).alias("simple_ratio"), (F.col("_incomplete") / n).alias("incomplete_ratio"), (F.col("_colloquial") / of_words).alias("colloquial_ratio"), (F.col("_interjections") / of_words).alias("interjection_ratio"),
+        zero(F.greatest(F.lit(0.0), 1 - F.greatest(F.lit(0.0), F.col("_speech_words") / n - 20) / 30)).alias("length_authenticity"), zero(F.least(F.col("_natural") / n, F.lit(1.0))).alias("colloquial_authenticity"),
+        zero(F.least((F.col("_x") + F.col("_q") + F.col("_dots")) / n / 2, F.lit(1.0))).alias("emotional_authenticity"), zero(F.least(F.col("_open") / n * 2, F.lit(1.0))).alias("structural_authenticity"),
     )
+    mean = lambda *names: sum((F.col(x) for x in names), F.lit(0.0)) / len(names)
+    out = out.withColumns({"structure": mean("spread", "alternation", "author_integration"), "authenticity": mean("length_authenticity", "colloquial_authenticity", "emotional_authenticity", "structural_authenticity")})
+    return out.withColumn("overall", overall_dialogue({k: F.col(k) for k in DIALOGUE_WEIGHTS}, F.col("dialogue_count"))).withColumn("grade", t.ladder(F.col("overall"), DIALOGUE_GRADES, "отличный"))
+
+
+def overall_dialogue(m: dict[str, Column], count: Column) -> Column:
+    """Weighted mean of the measures that are there; the ratio by its distance from 0.3. Without dialogues 0."""
+    near = dict(m) | ({"dialogue_ratio": F.greatest(F.lit(0.0), 1 - F.abs(m["dialogue_ratio"] - 0.3) / 0.3)} if "dialogue_ratio" in m else {})
+    top, bottom = t.weighted({k: near.get(k, F.lit(None).cast("double")) for k in DIALOGUE_WEIGHTS}, DIALOGUE_WEIGHTS)
+    return F.when((count > 0) & (bottom > 0), top / bottom).otherwise(0.0)
+
+
+def positive_rollup(df: DataFrame, by: list[str], count: Column, metrics: dict[str, Column]) -> DataFrame:
+    """Chunk measures to their text: sum of a count, chunks that have any and their share, mean and greatest of each measure
+    over the chunks where it is above 0 (none: null)."""
+    aggs = [F.count("*").alias("chunks"), F.sum(count).alias("total"), F.count_if(count > 0).alias("chunks_with_any")]
+    for name, m in metrics.items():
+        aggs += [F.avg(F.when(m > 0, m)).alias(f"avg_{name}"), F.max(F.when(m > 0, m)).alias(f"max_{name}")]
+    out = df.groupBy(*by).agg(*aggs)
+    return out.withColumn("share", F.col("chunks_with_any") / F.col("chunks"))
+
+
+def dialogue_rollup(chunks: DataFrame, key: str = "doc_id", order: str = "chunk_index", text: str = "content", **options) -> DataFrame:
+    """Dialogues chunk by chunk, rolled up to the text. A chunk's score has no structure and no authenticity part."""
+    each = dialogue_report(chunks.select(F.struct(key, order).alias("__k"), F.col(text)), "__k", text, **options)
+    overall = overall_dialogue({k: F.col(k) for k in ("speech_diversity", "emotional_diversity", "dialogue_ratio")}, F.col("dialogue_count"))
+    rows = each.withColumn("overall", overall).select(F.col(f"__k.{key}").alias(key), "dialogue_count", "overall", "dialogue_ratio", "speech_diversity", "emotional_diversity")
+    out = positive_rollup(rows, [key], F.col("dialogue_count"), {k: F.col(k) for k in ("overall", "dialogue_ratio", "speech_diversity", "emotional_diversity")})
+    return out.withColumn("grade", t.ladder(F.coalesce("avg_overall", F.lit(0.0)), DIALOGUE_GRADES, "отличный"))
 
 
 def keywords(c: Column, stop_words=lx.KEYWORD_STOPS) -> Column:
@@ -137,23 +208,28 @@ def repetitions(chunks: DataFrame, patterns=lx.REPEATS, text: str = "content", k
     """Neighbour chunks that say things again: a row for each marker phrase in either, where keyword Jaccard is over 0.3, and one
     where three or more keywords are shared: key, chunk_index, kind, phrase, similarity."""
     w = Window.partitionBy(key).orderBy(order)
-    pairs = chunks.select(key, order, F.lower(text).alias("a"), F.lead(F.lower(text)).over(w).alias("b")).where("b is not null")
-    pairs = pairs.withColumns({"ka": keywords(F.col("a")), "kb": keywords(F.col("b"))}).withColumn("similarity", jaccard(F.col("ka"), F.col("kb")))
     listed = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(p).alias("phrase")) for k, v in patterns.items() for p in v))
-    hits = F.when(F.col("similarity") > 0.3, F.filter(listed, lambda x: F.col("a").contains(x["phrase"]) | F.col("b").contains(x["phrase"]))).otherwise(F.expr("cast(array() as array<struct<kind:string,phrase:string>>)"))
-    shared = F.when(F.size(F.array_intersect("ka", "kb")) >= 3, F.array(F.struct(F.lit("keywords").alias("kind"), F.lit(None).cast("string").alias("phrase")))).otherwise(F.expr("cast(array() as array<struct<kind:string,phrase:string>>)"))
+    nothing = F.expr("cast(array() as array<struct<kind:string,phrase:string>>)")
+    # what a chunk has is found once, and only that is handed to its neighbour
+    own = chunks.select(key, order, F.array_distinct(keywords(F.col(text))).alias("ka"), t.let(F.lower(text), lambda low: F.filter(listed, lambda x: F.contains(low, x["phrase"]))).alias("pa"))
+    pairs = own.withColumns({"kb": F.lead("ka").over(w), "pb": F.lead("pa").over(w)}).where("kb is not null").withColumn("similarity", jaccard(F.col("ka"), F.col("kb")))
+    either = F.filter(listed, lambda x: F.array_contains("pa", x) | F.array_contains("pb", x))
+    hits = F.when(F.col("similarity") > 0.3, either).otherwise(nothing)
+    shared = F.when(F.size(F.array_intersect("ka", "kb")) >= 3, F.array(F.struct(F.lit("keywords").alias("kind"), F.lit(None).cast("string").alias("phrase")))).otherwise(nothing)
     return pairs.select(key, order, F.explode(F.concat(hits, shared)).alias("x"), "similarity").select(key, order, "x.*", "similarity")
 
 
-def water_report(chunks: DataFrame, patterns=lx.WATER, text: str = "content", key: str = "doc_id", order: str = "chunk_index") -> DataFrame:
+def water_report(chunks: DataFrame, patterns=lx.WATER, text: str = "content", key: str = "doc_id", order: str = "chunk_index", repeats=lx.REPEATS) -> DataFrame:
     """Share of words that carry nothing: phrases, words used more than five times, neighbours that repeat; in percent, with a
     rating. No words: 50. Phrases are sought in each chunk; counts of words are joined up over the text."""
-    low = F.lower(F.col(text))
-    phrase = sum((t.count_sub(low, p) * len(p.split()) for v in patterns.values() for p in v), F.lit(0.0))
-    words = chunks.select(key, F.explode(t.tokens(low)).alias("w")).where("length(w) > 3").groupBy(key, "w").agg(F.count("*").alias("c"))
+    words = chunks.select(key, F.explode(t.tokens(F.lower(text))).alias("w")).where("length(w) > 3").groupBy(key, "w").agg(F.count("*").alias("c"))
     often = words.groupBy(key).agg(F.sum(F.when(F.col("c") > 5, F.col("c"))).alias("repetitive"))
-    sums = chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.sum(F.size(t.tokens(low))).alias("words"), F.sum(phrase).alias("phrase_words"))
-    again = repetitions(chunks, text=text, key=key, order=order).groupBy(key).agg(F.count("*").alias("repeats"))
+    by_size: dict[int, list[str]] = {}
+    for phrase in (p for v in patterns.values() for p in v):
+        by_size.setdefault(len(phrase.split()), []).append(phrase)
+    phrases = t.let(F.lower(text), lambda low: sum((t.count_any(low, v) * k for k, v in by_size.items()), F.lit(0.0)))
+    sums = chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.sum(t.token_count(text)).alias("words"), F.sum(phrases).alias("phrase_words"))
+    again = repetitions(chunks, repeats, text, key, order).groupBy(key).agg(F.count("*").alias("repeats"))
     out = sums.join(often, key, "left").join(again, key, "left")
     part = lambda c: 100 * F.coalesce(F.col(c), F.lit(0)) / _safe(F.col("words"))
     semantic = 100 * F.coalesce("repeats", F.lit(0)) / _safe(F.col("chunks"))
@@ -162,28 +238,64 @@ def water_report(chunks: DataFrame, patterns=lx.WATER, text: str = "content", ke
     return out.withColumn("info_density", 1 - F.col("water") / 100).withColumn("rating", t.ladder(F.col("water"), WATER, "verbose"))
 
 
-def structure_report(df: DataFrame, key: str = "doc_id", text: str = "text", separator: str = "\n", word: str = t.LETTERS, links=lx.LINKS, parts=lx.COMPOSITION) -> DataFrame:
-    """Paragraph and sentence statistics, paragraph classes, connectives and composition markers, rhythm. One row a text."""
+def frequent_words(chunks: DataFrame, text: str = "content", key: str = "doc_id", least: int = 4, top: int = 10) -> DataFrame:
+    """Words of more than three characters that a text uses `least` times or more: the `top` most frequent. Ties by word."""
+    counts = chunks.select(key, F.explode(t.tokens(F.lower(text))).alias("word")).where("length(word) > 3").groupBy(key, "word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("n").desc(), "word"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+STRUCTURE_GRADES = [(0.3, "неудовлетворительная"), (0.5, "слабая"), (0.65, "удовлетворительная"), (0.8, "хорошая")]
+
+
+def structure_report(df: DataFrame, key: str = "doc_id", text: str = "text", separator: str = "\n", links=lx.LINKS, parts=lx.COMPOSITION, markers=KEY_MARKERS, facts=FACTS, patterns=PATTERNS) -> DataFrame:
+    """Paragraph and sentence statistics, paragraph classes and transitions, connectives, composition, rhythm and tempo,
+    information density, narrative patterns, overall score and grade. One row a text, made in its own row.
+
+    Lengths count parts between white space. `parts` are the composition markers by element, in order: introduction,
+    development, climax, conclusion; with other numbers of elements the type is left out."""
     c = F.col(f"`{text}`")
-    low = F.lower(c)
-    rows = df.select(F.col(key), c.alias("_t"), t.paragraphs(c, separator).alias("_p"), t.sentences(c).alias("_s"))
-    rows = rows.withColumns({"_pl": F.transform("_p", lambda x: F.size(t.words(x, word)).cast("double")), "_sl": F.transform("_s", lambda x: F.size(t.words(x, word)).cast("double"))})
-    low = F.lower("_t")
-    k = _safe(F.size("_s"))
-    kinds = {f"links_{i}": t.count_any(low, v) for i, v in enumerate(links.values())} | {f"part_{i}": t.count_any(low, v) for i, v in enumerate(parts.values())}
-    rows = rows.withColumns(kinds | {"mean_p": t.mean(F.col("_pl")), "mean_s": t.mean(F.col("_sl")), "var_p": t.variance(F.col("_pl")), "var_s": t.variance(F.col("_sl"))})
-    deviation = lambda a, m: t.mean(F.col(a), lambda x: F.abs(x - F.col(m)))
-    regular = lambda a, m: F.when(F.col(m) > 0, F.greatest(F.lit(0.0), 1 - deviation(a, m) / F.greatest(F.col(m), F.lit(1e-9)))).otherwise(0.0)
-    size = _safe(F.size("_pl"))
+    rows = df.select(F.col(key), c.alias("_t"), F.lower(c).alias("_l"), t.paragraphs(c, separator).alias("_p"), t.sentences(c).alias("_s"))
+    rows = rows.withColumns({"_pl": F.transform("_p", lambda x: t.token_count(x).cast("double")), "_sl": F.transform("_s", lambda x: t.token_count(x).cast("double")), "_ends": F.transform("_p", lambda x: t.let(t.sentences(x), lambda s: F.struct(F.get(s, F.lit(0)).alias("first"), F.try_element_at(s, F.lit(-1)).alias("last"))))})
+    steps = F.when(F.size("_ends") > 1, F.sequence(F.lit(1), F.size("_ends") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    step = lambda i: F.coalesce(transition(F.get("_ends", i - 1)["last"], F.get("_ends", i)["first"], links), F.lit(0.0))
+    kinds = {f"links_{i}": t.count_any(F.col("_l"), v) for i, v in enumerate(links.values())} | {f"part_{i}": t.count_any(F.col("_l"), v) for i, v in enumerate(parts.values())}
+    marks = {f"_m{i}": sum((t.count_sub(F.col("_t"), x) for x in v), F.lit(0.0)) for i, v in enumerate(((",", ";", ":"), ("!", "?"), ("...", "—", "–")))}
+    rows = rows.withColumns({
+        **kinds, **marks, "_words": t.token_count("_t"), "mean_p": t.mean(F.col("_pl")), "sum_p": t.total(F.col("_pl")), "mean_s": t.mean(F.col("_sl")), "var_p": t.variance(F.col("_pl")), "var_s": t.variance(F.col("_sl")),
+        "_steps": F.when(F.size("_ends") < 2, 1.0).otherwise(t.total(steps, step) / F.greatest(F.size("_ends") - 1, F.lit(1))), "information_density": information_density(F.col("_t"), markers, facts), "_kinds": pattern_counts(F.col("_t"), patterns),
+    })
+    k, size = _safe(F.size("_s")), _safe(F.size("_pl"))
+    regular = F.when(F.col("mean_p") > 0, F.greatest(F.lit(0.0), 1 - t.mean(F.col("_pl"), lambda x: F.abs(x - F.col("mean_p"))) / F.greatest("mean_p", F.lit(1e-9)))).otherwise(0.0)
     short, medium, long = (F.size(F.filter("_pl", f)) / size for f in (lambda x: x < 50, lambda x: (x >= 50) & (x <= 150), lambda x: x > 150))
     link = sum((F.col(f"links_{i}") for i in range(len(links))), F.lit(0.0))
-    there = lambda p, n: sum((F.when(F.col(f"{p}_{i}") > 0, 1).otherwise(0) for i in range(n)), F.lit(0)) / n
-    return rows.select(
-        key, F.size("_p").cast("long").alias("paragraphs"), F.size("_s").cast("long").alias("sentences"), F.col("mean_p").alias("paragraph_length"), F.col("mean_s").alias("sentence_length"), F.col("var_p").alias("paragraph_variance"), F.col("var_s").alias("sentence_variance"),
-        regular("_pl", "mean_p").alias("paragraph_regularity"), regular("_sl", "mean_s").alias("sentence_regularity"), short.alias("short_paragraphs"), medium.alias("medium_paragraphs"), long.alias("long_paragraphs"),
-        F.greatest(medium - 0.5 * short - 0.3 * long, F.lit(0.0)).alias("paragraph_balance"), (link / k).alias("connective_density"), F.least(link / k / 0.3, F.lit(1.0)).alias("logical_flow"), there("links", len(links)).alias("connective_diversity"), there("part", len(parts)).alias("completeness"),
-        F.when(F.col("mean_s") > 0, 1 - F.least(F.abs(F.sqrt("var_s") / F.greatest("mean_s", F.lit(1e-9)) - 0.5) / 0.5, F.lit(1.0))).otherwise(0.0).alias("rhythm"),
+    part = [F.col(f"part_{i}") for i in range(len(parts))]
+    whole = sum(part, F.lit(0.0))
+    there = lambda p, n: sum((F.when(F.col(f"{p}_{i}") > 0, 1).otherwise(0) for i in range(n)), F.lit(0)) / max(1, n)
+    spread = sum((F.pow(x / F.greatest(whole, F.lit(1e-9)) - 1 / max(1, len(parts)), 2) for x in part), F.lit(0.0)) / max(1, len(parts))
+    variation = F.when(F.col("mean_s") > 0, F.sqrt("var_s") / F.greatest("mean_s", F.lit(1e-9))).otherwise(0.0)
+    density = lambda x: 1000 * F.col(x) / _safe(F.length("_t"))
+    types = F.lit(None).cast("string")
+    if len(part) == 4:
+        intro, development, climax, conclusion = part
+        types = (
+            F.when((intro > 0) & (conclusion > 0) & (development > 0), "linear").when((intro > 0) & (conclusion > 0), "circular").when(development > climax + conclusion, "parallel")
+            .when((intro > 0) & (development > 0) & (climax > 0) & (conclusion > 0), "classical").otherwise("mosaic")
+        )
+    pattern_sum = F.aggregate(F.map_values("_kinds"), F.lit(0.0), lambda a, x: a + x)
+    out = rows.select(
+        key, F.size("_p").cast("long").alias("paragraphs"), F.size("_s").cast("long").alias("sentences"), F.col("mean_p").alias("paragraph_length"), F.when(F.size("_s") > 0, F.col("_words") / k).otherwise(0.0).alias("sentence_length"),
+        F.col("var_p").alias("paragraph_variance"), F.col("var_s").alias("sentence_variance"), regular.alias("paragraph_regularity"), (F.size("_s") / size).alias("sentences_per_paragraph"),
+        short.alias("short_paragraphs"), medium.alias("medium_paragraphs"), long.alias("long_paragraphs"), F.greatest(medium - 0.5 * short - 0.3 * long, F.lit(0.0)).alias("paragraph_balance"), F.col("_steps").alias("transition_quality"),
+        (link / k).alias("connective_density"), F.when(F.size("_s") > 0, F.least(link / k / 0.3, F.lit(1.0))).otherwise(0.0).alias("logical_flow"), there("links", len(links)).alias("connective_diversity"),
+        there("part", len(parts)).alias("completeness"), F.when(whole > 0, 1 - spread).otherwise(0.0).alias("composition_balance"), types.alias("composition_type"),
+        variation.alias("variation"), F.when(F.size("_s") > 0, 1 - F.abs(variation - 0.5) / 0.5).otherwise(0.0).alias("rhythm"), (1000 * F.size("_p") / F.greatest("sum_p", F.lit(1.0))).alias("pause_frequency"),
+        density("_m0").alias("slow_density"), density("_m1").alias("fast_density"), density("_m2").alias("pause_density"), (F.col("_m1") / F.greatest("_m0", F.lit(1.0))).alias("tempo_ratio"), "information_density",
+        (F.size(F.filter(F.map_values("_kinds"), lambda x: x > 0)) / max(1, len(patterns))).alias("narrative_diversity"), F.when(F.size("_s") > 0, pattern_sum / k).otherwise(0.0).alias("narrative_density"),
     )
+    structured = F.when(F.col("paragraphs") > 0, (F.col("paragraph_balance") + F.col("transition_quality")) / 2).otherwise(0.0)
+    m = {"paragraph_structure": structured} | {x: F.col(x) for x in ("logical_flow", "completeness", "rhythm", "information_density", "narrative_diversity")}
+    return out.withColumns({"paragraph_structure": structured, "overall": overall_structure(m)}).withColumn("grade", t.ladder(F.col("overall"), STRUCTURE_GRADES, "отличная"))
 
 
 def coherence(df: DataFrame, key: str = "doc_id", text: str = "text", word: str = t.LETTERS, stop_words=()) -> DataFrame:

@@ -14,7 +14,8 @@ from folio.functions import text as t
 
 GRADES = [(0.2, "very_difficult"), (0.4, "difficult"), (0.6, "medium"), (0.8, "easy")]
 LEVELS = [(0.3, "elementary"), (0.6, "intermediate"), (0.8, "advanced")]
-MARKS = ".,;:!?—–-()[]{}\"'«»"
+# The marks that count as punctuation.
+MARKS = ',;:!?-—()[]{}«»"'
 
 
 def _add(df: DataFrame, text: str, name: str, steps: list[dict[str, Column]], fields: list[str]) -> DataFrame:
@@ -30,9 +31,10 @@ def readability(
     df: DataFrame, text: str = "text", word: str = t.LETTERS, vowels: str = t.LATIN_VOWELS, separator: str = "\n",
     stop_words=lx.STOP_WORDS, suffixes=lx.COMPLEX_SUFFIXES, connectives=lx.CONNECTIVES, abstract=lx.ABSTRACT,
     enumeration: str = r"(?U)\b(во-первых|во-вторых|в-третьих|первый|второй|третий)", conditional: str = r"(?U)\b(если|когда|поскольку).*,.*то\b",
-    subordinate: str = r"(?U)\b(который|которая|которые|что|чтобы)\b", name: str = "readability",
+    subordinate: str = r"(?U)\b(который|которая|которые|что|чтобы)\b", marks: str = MARKS, name: str = "readability", fields: list[str] | None = None,
 ) -> DataFrame:
-    """Counts, five indices, lexical, organisational and cognitive measures, and the overall score with its grade."""
+    """Counts, five indices, lexical, organisational and cognitive measures, and the overall score with its grade; or only
+    the `fields` named, and what they need."""
     c, w, s = F.col(f"`{text}`"), F.col("_w"), F.col("_s")
     n, k = F.size(w), F.size(s)
     low = F.lower(c)
@@ -46,14 +48,15 @@ def readability(
     pair = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b))).otherwise(0.0)
     steps = [
         {"_w": t.words(c, word), "_s": t.sentences(c), "_p": F.split(c, separator.replace("\n", "\\n"))},
-        {"_syll": F.transform(w, lambda x: t.syllables(x, vowels)), "_content": F.filter(w, lambda x: ~is_stop(x)), "_sets": F.transform(s, content), "_pl": F.transform(t.paragraphs(c, separator), lambda x: F.size(t.tokens(x)).cast("double")), "_tok": F.size(t.tokens(c))},
+        # what is asked of each word, once: length, syllables, whether a suffix is in it
+        {"_each": F.transform(w, lambda x: F.struct(F.length(x).alias("n"), t.syllables(x, vowels).alias("y"), has_suffix(x).alias("f"))), "_syll": F.transform(w, lambda x: t.syllables(x, vowels)), "_content": F.filter(w, lambda x: ~is_stop(x)), "_sets": F.transform(s, content), "_pl": F.transform(t.paragraphs(c, separator), lambda x: t.token_count(x).cast("double")), "_tok": t.token_count(c)},
         {"_chars": F.length(F.regexp_replace(c, r"(?U)\s+", "")).cast("long"), "_words": n.cast("long"), "_sentences": k.cast("long"), "_paragraphs": F.size(t.paragraphs(c, separator)).cast("long"), "_syllables": t.total(F.col("_syll")).cast("long"), "_long": F.size(F.filter(F.col("_syll"), lambda x: x >= 3))},
         {
             "_words_per_sentence": per(F.col("_words"), F.col("_sentences")), "_sentences_per_paragraph": per(F.col("_sentences"), F.col("_paragraphs")), "_syllables_per_word": per(F.col("_syllables"), F.col("_words")), "_chars_per_word": per(F.col("_chars"), F.col("_words")),
             "_lexical_diversity": per(F.size(F.array_distinct(w)), n), "_stop_words_ratio": per(n - F.size(F.col("_content")), n),
-            "_complex_words_ratio": per(F.size(F.filter(w, lambda x: (F.length(x) > 10) | has_suffix(x) | (t.syllables(x, vowels) > 4))), n),
-            "_morphological_complexity": t.mean(w, lambda x: F.least(F.length(x) / 15, F.lit(1.0)) + F.when(has_suffix(x), 0.5).otherwise(0.0)),
-            "_punctuation_density": per((F.length(c) - F.length(F.translate(c, MARKS, ""))) * 1000.0, F.length(c)),
+            "_complex_words_ratio": per(F.size(F.filter("_each", lambda x: (x["n"] > 10) | x["f"] | (x["y"] > 4))), n),
+            "_morphological_complexity": t.mean(F.col("_each"), lambda x: F.least(x["n"] / 15, F.lit(1.0)) + F.when(x["f"], 0.5).otherwise(0.0)),
+            "_punctuation_density": per((F.length(c) - F.length(F.translate(c, marks, ""))) * 1000.0, F.length(c)),
         },
         {
             "_flesch": index(t.clamp(206.835 - 1.015 * asl - 84.6 * asw, 0.0, 100.0)), "_flesch_kincaid": index(F.greatest(0.39 * asl + 11.8 * asw - 15.59, F.lit(0.0))),
@@ -67,13 +70,13 @@ def readability(
             "_coherence": F.when(k < 2, 1.0).otherwise(t.total(F.when(k > 1, F.sequence(F.lit(1), k - 1)).otherwise(F.array(F.lit(0))), lambda i: pair(F.get("_sets", i - 1), F.get("_sets", i))) / F.greatest(k - 1, F.lit(1))),
             "_parallel": F.least(per(t.total(s, lambda x: F.lower(x).rlike(enumeration).cast("int") + F.lower(x).rlike(conditional).cast("int")), k), F.lit(1.0)),
             "_information_density": F.when(n == 0, 0.0).otherwise(F.least((F.size("_content") / F.greatest(n, F.lit(1)) + per(F.size(F.array_distinct("_content")), F.size("_content"))) / 2, F.lit(1.0))),
-            "_concept_complexity": F.when(n == 0, 0.0).otherwise(F.least(5 * (t.count_any(low, abstract) + F.size(F.filter(w, lambda x: (F.length(x) > 8) & has_suffix(x)))) / F.greatest(n, F.lit(1)), F.lit(1.0))),
+            "_concept_complexity": F.when(n == 0, 0.0).otherwise(F.least(5 * (t.count_any(low, abstract) + F.size(F.filter("_each", lambda x: (x["n"] > 8) & x["f"]))) / F.greatest(n, F.lit(1)), F.lit(1.0))),
             "_memory_load": (F.least(asl / 30, F.lit(1.0)) + F.least(per((F.regexp_count(low, F.lit(r"(?U)\b\w+,\s*\w+,\s*\w+\b")) + F.regexp_count(low, F.lit(r"\([^)]+\)")) + F.regexp_count(low, F.lit(subordinate))) * 1.0, k), F.lit(1.0))) / 2,
         },
         {"_overall": t.clamp(50 + F.col("_flesch") * 0.25 + 100 * (-0.1 * F.col("_lexical_diversity") - 0.2 * F.col("_complex_words_ratio") + 0.1 * F.col("_stop_words_ratio") + 0.15 * F.col("_coherence") + 0.15 * F.col("_organization") - 0.1 * F.col("_information_density") - 0.15 * (1 - F.least(F.abs(asl - 17.5) / 17.5, F.lit(1.0)))), 0.0, 100.0) / 100},
         {"_grade": t.ladder(F.col("_overall"), GRADES, "very_easy")},
     ]
-    fields = "chars words sentences paragraphs syllables words_per_sentence sentences_per_paragraph syllables_per_word chars_per_word flesch flesch_kincaid smog ari coleman_liau lexical_diversity complex_words_ratio stop_words_ratio morphological_complexity punctuation_density organization coherence parallel information_density concept_complexity memory_load overall grade".split()
+    fields = fields or "chars words sentences paragraphs syllables words_per_sentence sentences_per_paragraph syllables_per_word chars_per_word flesch flesch_kincaid smog ari coleman_liau lexical_diversity complex_words_ratio stop_words_ratio morphological_complexity punctuation_density organization coherence parallel information_density concept_complexity memory_load overall grade".split()
     return _add(df, text, name, steps, fields)
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folio.operators import chunking, description, narrative, readability, replies, reports, vectors
 from folio.streaming import tasks
@@ -30,44 +31,61 @@ def _docs(spark, d):
     return read(spark, d, "documents")
 
 
-def _readability(spark, d):
-    return readability.readability(_docs(spark, d), stop_words=EN_STOPS, connectives=EN_LINKS, abstract=EN_LINKS, suffixes=["tion", "ing", "ment"])
+SUFFIXES = ["tion", "ing", "ment"]
+COUNTS = ["chars", "words", "sentences", "paragraphs", "syllables"]
+RATES = ["words_per_sentence", "syllables_per_word", "chars_per_word", "lexical_diversity", "stop_words_ratio", "flesch", "flesch_kincaid", "smog", "ari", "coleman_liau"]
+
+
+def _readability(spark, d, fields=None):
+    return readability.readability(
+        _docs(spark, d), stop_words=EN_STOPS, connectives=EN_LINKS, abstract=EN_LINKS, suffixes=SUFFIXES, enumeration="the|and", conditional="that.*,.*of", subordinate="that|from", fields=fields
+    )
+
+
+def _rounded(df, key, struct, texts=(), counts=()):
+    """Fields of a struct column as columns, rounded where they are not counts or texts."""
+    names = [f.name for f in df.schema[struct].dataType.fields] if struct else [c for c in df.columns if c not in key]
+    at = lambda x: F.col(f"{struct}.{x}") if struct else F.col(x)
+    return df.select(*key, *((at(x) if x in texts or x in counts else F.round(at(x), 6)).alias(x) for x in names))
 
 
 def readability_by_lang(spark, d):
     r = F.col("readability")
-    return _readability(spark, d).groupBy("lang").agg(F.count("*").alias("documents"), F.sum(r["words"]).alias("words"), F.sum(r["sentences"]).alias("sentences"), F.sum(r["syllables"]).alias("syllables"), F.round(F.avg(r["words_per_sentence"]), 6).alias("avg_words_per_sentence"), F.round(F.avg(r["flesch"]), 6).alias("avg_flesch"), F.round(F.avg(r["ari"]), 6).alias("avg_ari"))
+    rows = _readability(spark, d, ["words", "sentences", "syllables", "words_per_sentence", "flesch", "ari"])
+    return rows.groupBy("lang").agg(F.count("*").alias("documents"), F.sum(r["words"]).alias("words"), F.sum(r["sentences"]).alias("sentences"), F.sum(r["syllables"]).alias("syllables"), F.round(F.avg(r["words_per_sentence"]), 6).alias("avg_words_per_sentence"), F.round(F.avg(r["flesch"]), 6).alias("avg_flesch"), F.round(F.avg(r["ari"]), 6).alias("avg_ari"))
 
 
 def readability_counts(spark, d):
-    fields = ["chars", "words", "sentences", "paragraphs", "syllables"]
-    rounded = ["words_per_sentence", "syllables_per_word", "chars_per_word", "lexical_diversity", "stop_words_ratio", "flesch", "flesch_kincaid", "smog", "ari", "coleman_liau"]
-    return _readability(spark, d).select("doc_id", *(F.col(f"readability.{x}") for x in fields), *(F.round(f"readability.{x}", 6).alias(x) for x in rounded))
+    return _rounded(_readability(spark, d, COUNTS + RATES), ["doc_id"], "readability", counts=COUNTS)
 
 
 def readability_full(spark, d):
-    return _readability(spark, d).select("doc_id", "readability.*")
+    return _rounded(_readability(spark, d), ["doc_id"], "readability", ["grade"], COUNTS)
 
 
-def complexity(spark, d):
-    return readability.complexity(_docs(spark, d), EN_WORDS, conjunctions=EN_LINKS).select("doc_id", "complexity.*")
+def _chunk_readability(spark, d):
+    fields = ["overall", "flesch", "words_per_sentence", "lexical_diversity", "complex_words_ratio"]
+    r = readability.readability(_chunks(spark, d), "content", stop_words=EN_STOPS, connectives=EN_LINKS, abstract=EN_LINKS, suffixes=SUFFIXES, fields=fields)
+    return readability.rollup(r, ["doc_id"], {x: F.col(f"readability.{x}") for x in fields})
 
 
-def style(spark, d):
-    return readability.style(_docs(spark, d)).select("doc_id", *(f"style.{x}" for x in ("words", "unique_words", "sentences", "paragraphs")), *(F.round(f"style.{x}", 6).alias(x) for x in ("words_per_sentence", "word_length", "long_words_ratio", "type_token_ratio")))
+def readability_rollup(spark, d):
+    return _rounded(_chunk_readability(spark, d), ["doc_id"], None, counts=["chunks"])
 
 
-def _emotion(spark, d, limit):
-    lists = {"calm": ["the", "and"], "bright": ["tion", "ing"], "dark": ["wh", "th"]}
-    return readability.emotion(_docs(spark, d), emotions=lists, positive=["bright"], negative=["dark"], limit=limit).select("doc_id", F.col("emotion.dominant"), F.col("emotion.scores")["bright"].alias("bright"), F.col("emotion.scores")["dark"].alias("dark"), "emotion.tone", F.round("emotion.tone_score", 6).alias("tone_score"))
+def complexity(spark, d):
+    c = readability.complexity(_docs(spark, d), EN_WORDS, conjunctions=EN_LINKS)
+    return _rounded(c, ["doc_id"], "complexity", ["level"], ["paragraphs"])
 
 
-def emotion(spark, d):
-    return _emotion(spark, d, 3000)  # its SQL states the opening
+def style(spark, d):
+    return readability.style(_docs(spark, d)).select("doc_id", *(f"style.{x}" for x in ("words", "unique_words", "sentences", "paragraphs")), *(F.round(f"style.{x}", 6).alias(x) for x in ("words_per_sentence", "word_length", "long_words_ratio", "type_token_ratio")))
 
 
-def emotion_full(spark, d):
-    return _emotion(spark, d, None)
+def emotion(spark, d):
+    lists = {"calm": ["the", "and"], "bright": ["tion", "ing"], "dark": ["wh", "th"]}
+    e = readability.emotion(_docs(spark, d), emotions=lists, positive=["bright"], negative=["dark"])
+    return e.select("doc_id", F.col("emotion.dominant"), F.col("emotion.scores")["bright"].alias("bright"), F.col("emotion.scores")["dark"].alias("dark"), "emotion.tone", F.round("emotion.tone_score", 6).alias("tone_score"))
 
 
 def chunks_fixed(spark, d):
@@ -88,16 +106,53 @@ def _chunks(spark, d):
     return chunking.chunk(_docs(spark, d), chunking.Strategy(1000, 250, 2000, 0.0))
 
 
+def _cut(spark, d, **values):
+    c = chunking.chunk(_docs(spark, d), chunking.Strategy(**values))
+    return c.select("doc_id", "chunk_index", "total_chunks", "start_pos", "end_pos", F.md5("content").alias("content_md5"))
+
+
+def chunks_of_sentences(spark, d):
+    return _cut(spark, d, unit="sentence", per_chunk=5, overlap=0.0)
+
+
+def chunks_of_lines(spark, d):
+    docs = _docs(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    c = chunking.chunk(docs, chunking.requested(600, 0, "paragraph"))
+    return c.select("doc_id", "chunk_index", "total_chunks", "start_pos", "end_pos", F.md5("content").alias("content_md5"))
+
+
+def chunks_by_paragraph(spark, d):
+    docs = _docs(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    c = chunking.chunk(docs, chunking.Strategy(400, 100, 600, 0.0, "paragraph"))
+    return c.select("doc_id", "chunk_index", "total_chunks", "start_pos", "end_pos", F.md5("content").alias("content_md5"))
+
+
+def chunk_overlaps(spark, d):
+    c = chunking.chunk(_docs(spark, d), chunking.Strategy(1000, 250, 2000, 0.15, two_sided=True))
+    own = chunking.unique_content(F.col("content"), F.col("overlap_start"), F.col("overlap_end"))
+    n = F.max("end_pos").over(Window.partitionBy("doc_id"))
+    return c.select("doc_id", "chunk_index", "start_pos", "end_pos", "overlap_start", "overlap_end", F.md5(own).alias("own_md5"), F.round(chunking.position_ratio(F.col("start_pos"), n), 6).alias("position"))
+
+
+def chunk_plans(spark, d):
+    n = F.col("n")
+    rows = _docs(spark, d).select("doc_id", F.length("text").alias("n"))
+    sizes = {f"size_{k}": F.lit(v.base) for k, v in (("default", chunking.DEFAULT), ("small", chunking.SMALL), ("large", chunking.LARGE))}
+    rows = rows.withColumns(sizes | {"adaptive": chunking.adaptive_size(n, 4096)})
+    return rows.select("doc_id", "adaptive", *(chunking.estimated_chunks(n, F.col(f"size_{k}"), v.overlap).alias(f"chunks_{k}") for k, v in (("default", chunking.DEFAULT), ("small", chunking.SMALL), ("large", chunking.LARGE))))
+
+
 def pace(spark, d):
-    return narrative.pace_report(narrative.pace_scores(_chunks(spark, d)))
+    return _rounded(narrative.pace_report(narrative.pace_scores(_chunks(spark, d))), ["doc_id"], None, ["pace_class"])
 
 
 def tension(spark, d):
-    return narrative.tension_report(_chunks(spark, d), peak=2.0)
+    t = narrative.tension_report(_chunks(spark, d), peak=2.0)
+    return t.select("doc_id", F.round("avg_tension", 6).alias("avg_tension"), "peak_count", F.array_join(F.transform("peaks", lambda x: x["chunk_index"].cast("string")), ",").alias("peaks"))
 
 
 def relevant_chunks(spark, d):
-    return narrative.relevant(_chunks(spark, d), "character", 0.1).select("doc_id", "chunk_index", "score", "coverage")
+    return narrative.relevant(_chunks(spark, d), "character", 0.1).select("doc_id", "chunk_index", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
 
 
 def chunk_scores(spark, d):
@@ -105,21 +160,51 @@ def chunk_scores(spark, d):
     return _docs(spark, d).select("doc_id", F.round(narrative.tension_score(c, EN_WORDS), 6).alias("tension"), F.round(narrative.event_density(c, EN_WORDS, ["ing"], ["ed"]), 6).alias("event_density"), F.round(narrative.dialogue_ratio(c), 6).alias("dialogue_ratio"))
 
 
+REPEATS = {"en": ["the", "and"]}
+
+
 def water(spark, d):
-    return narrative.water_report(_chunks(spark, d), patterns={"en": ["of the", "in the", "that the"]})
+    return _rounded(narrative.water_report(_chunks(spark, d), patterns={"en": ["of the", "in the", "that"]}, repeats=REPEATS), ["doc_id"], None, ["rating"])
 
 
 def repetitions(spark, d):
-    return narrative.repetitions(_chunks(spark, d), patterns={"en": ["the", "and"]})
+    return narrative.repetitions(_chunks(spark, d), patterns=REPEATS).withColumn("similarity", F.round("similarity", 6))
+
+
+def frequent_words(spark, d):
+    return narrative.frequent_words(_chunks(spark, d))
+
+
+#: Lists for speech in the Latin corpus, which has no dashes: commas stand for them.
+SPEECH = {
+    "emotions": {"a": ["the"], "b": ["and", "of"], "c": ["zz"]}, "features": {"formal": ["that"], "informal": ["is", "in"]}, "verbs": ["was", "said", "from"],
+    "colloquial": ["the", "der"], "interjections": ["of"], "natural": ["and", "in"],
+}
+
+
+def _dashed(df, text):
+    return df.withColumn(text, F.replace(text, F.lit(", "), F.lit(" — ")))
 
 
 def dialogue(spark, d):
-    return narrative.dialogue_report(_docs(spark, d))
+    r = narrative.dialogue_report(_dashed(_docs(spark, d), "text"), **SPEECH)
+    return _rounded(r, ["doc_id"], None, ["grade"], ["dialogue_count", "speech_words", "speech_chars", "longest_run"])
+
+
+def dialogue_rollup(spark, d):
+    r = narrative.dialogue_rollup(_dashed(_chunks(spark, d), "content"), **SPEECH)
+    return _rounded(r, ["doc_id"], None, ["grade"], ["chunks", "total", "chunks_with_any"])
+
+
+STRUCTURE = {
+    "links": {"a": ["and", "the"], "b": ["for", "from"]}, "parts": {"first": ["the"], "then": ["and"], "most": ["that"], "last": ["was", "is"]},
+    "markers": ["for", "that"], "facts": [r"[0-9]{4}", "[0-9]+%"], "patterns": {"x": [r"\?"], "y": ["!", "the"], "z": ["qqq"]},
+}
 
 
 def structure(spark, d):
-    lists = {"a": ["and"], "b": ["for", "from"]}
-    return narrative.structure_report(_docs(spark, d), links=lists, parts=lists)
+    r = narrative.structure_report(_docs(spark, d), **STRUCTURE)
+    return _rounded(r, ["doc_id"], None, ["composition_type", "grade"], ["paragraphs", "sentences"])
 
 
 def coherence(spark, d):
@@ -130,12 +215,21 @@ def tfidf_terms(spark, d):
     return narrative.top_terms(_docs(spark, d), stop_words=EN_STOPS).withColumn("score", F.round("score", 6))
 
 
+DESCRIPTION = ({"a": ["the", "of"], "b": ["and", "was"]}, {"c": ["that"], "d": ["with", "from"]})
+DESCRIBED = {"devices": {"x": ["and", "of"], "y": ["qq"]}, "times": {"m": ["the"], "n": ["zz"]}}
+
+
 def description_measures(spark, d):
-    return description.description_report(_docs(spark, d), {"a": ["the", "of"], "b": ["and", "was"]}, {"c": ["that"], "d": ["with", "from"]})
+    return _rounded(description.description_report(_docs(spark, d), *DESCRIPTION, **DESCRIBED), ["doc_id"], None, ["grade"], ["passages", "dense_areas"])
+
+
+def description_rollup(spark, d):
+    return _rounded(description.description_rollup(_chunks(spark, d), *DESCRIPTION), ["doc_id"], None, ["grade"], ["chunks", "total", "chunks_with_any"])
 
 
 def chunk_coherence(spark, d):
-    return description.unit_coherence(_chunks(spark, d)).select("doc_id", F.round("transitions", 6).alias("transitions"), F.round("thematic", 6).alias("thematic"))
+    r = description.unit_coherence(_chunks(spark, d), links=STRUCTURE["links"])
+    return r.select("doc_id", F.round("transitions", 6).alias("transitions"), F.round("thematic", 6).alias("thematic"))
 
 
 def fact_density(spark, d):
@@ -148,14 +242,15 @@ def chunk_term_sums(spark, d):
 
 
 def speech_voices(spark, d):
-    parts = narrative.speech(_docs(spark, d)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("paragraph_index", "parts"))).alias("p"))
-    found = parts.select("doc_id", description.voices(F.flatten(F.transform("p", lambda x: x["parts"]))).alias("voices"))
+    parts = narrative.speech(_dashed(_docs(spark, d), "text"), verbs=SPEECH["verbs"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("paragraph_index", "parts"))).alias("p"))
+    found = parts.select("doc_id", description.voices(F.flatten(F.transform("p", lambda x: x["parts"])), SPEECH["features"], pronouns="the|of").alias("voices"))
     return _docs(spark, d).select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("voices", F.lit(0)).alias("voices"))
 
 
 def complexity_rollup(spark, d):
     c = readability.complexity(_chunks(spark, d), EN_WORDS, text="content", conjunctions=EN_LINKS)
-    return readability.rollup(c, ["doc_id"], {x: F.col(f"complexity.{x}") for x in ("overall", "flesch", "lexical_diversity")})
+    r = readability.rollup(c, ["doc_id"], {x: F.col(f"complexity.{x}") for x in ("overall", "flesch", "lexical_diversity")})
+    return _rounded(r, ["doc_id"], None, counts=["chunks"])
 
 
 def _vectors(spark, d):
@@ -196,7 +291,8 @@ def mean_vectors(spark, d):
 
 
 def vector_water(spark, d):
-    return vectors.density_report(_vectors(spark, d), "label", "vec_id")
+    r = vectors.density_report(_vectors(spark, d), "label", "vec_id")
+    return r.select("label", F.round("water", 5).alias("water"), F.round("redundancy", 5).alias("redundancy"), F.array_join(F.transform("verbose_chunks", lambda x: x.cast("string")), ",").alias("verbose"))
 
 
 def chat_prompts(spark, d):
@@ -286,14 +382,14 @@ def metric_alerts(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    names = """readability_by_lang readability_counts readability_full complexity complexity_rollup style emotion emotion_full chunks_fixed chunks_by_sentence chunk_statistics pace
-    tension relevant_chunks chunk_scores water repetitions dialogue structure coherence tfidf_terms knn ivf_recall similar_pairs top_pairs label_averages mean_vectors vector_water
+    names = """readability_by_lang readability_counts readability_full complexity complexity_rollup style emotion chunks_fixed chunks_by_sentence chunks_of_sentences chunks_of_lines chunks_by_paragraph chunk_overlaps chunk_plans chunk_statistics pace
+    tension relevant_chunks readability_rollup dialogue_rollup frequent_words chunk_scores water repetitions dialogue structure coherence tfidf_terms knn ivf_recall similar_pairs top_pairs label_averages mean_vectors vector_water
     chat_prompts genre_replies newest_page title_search size_classes success_by_user usage_counts recent_values value_trends latency_average order_progress orders_with_lines
-    missing_customers duplicate_texts latest_events best_suppliers description_measures chunk_coherence fact_density chunk_term_sums speech_voices event_counters metric_snapshots user_life_cycles metric_alerts"""
+    missing_customers duplicate_texts latest_events best_suppliers description_measures description_rollup chunk_coherence fact_density chunk_term_sums speech_voices event_counters metric_snapshots user_life_cycles metric_alerts"""
     return {n: globals()[n] for n in names.split()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from folio.plans.sql import SQL
+    from folio.plans import sql, sql_texts
 
-    return dict(SQL)
+    return sql.SQL | sql_texts.SQL

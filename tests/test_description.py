@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import lexicons as lx
 from folio.operators import description as d
+from folio.operators import narrative
 
 MARKERS, SENSES = {"лицо": ["глаза", "губы"], "дом": ["окно"]}, {"цвет": ["синий"], "слух": ["тихий"]}
 
@@ -45,5 +46,5 @@ def test_patterns_and_spans(spark):
 
 
 def test_overall(spark):
-    x = spark.range(1).select(d.overall_structure({"logical_flow": F.lit(1.0), "rhythm": F.lit(0.0)}).alias("s"), d.overall_dialogue({"structure": F.lit(1.0), "dialogue_ratio": F.lit(0.3)}, F.lit(1)).alias("g"), d.overall_dialogue({"structure": F.lit(1.0)}, F.lit(0)).alias("z")).first()
+    x = spark.range(1).select(d.overall_structure({"logical_flow": F.lit(1.0), "rhythm": F.lit(0.0)}).alias("s"), narrative.overall_dialogue({"structure": F.lit(1.0), "dialogue_ratio": F.lit(0.3)}, F.lit(1)).alias("g"), narrative.overall_dialogue({"structure": F.lit(1.0)}, F.lit(0)).alias("z")).first()
     assert (x.s, x.g, x.z) == (pytest.approx(0.25 / 0.4), 1.0, 0.0)

@@ -122,7 +122,7 @@ def test_speech(spark):
 
 
 def test_structure_and_terms(spark):
-    x = narrative.structure_report(frame(spark, RU), separator="\n\n", word=t.RUSSIAN_WORD).first()
+    x = narrative.structure_report(frame(spark, RU), separator="\n\n").first()
     assert x.paragraphs == 2 and 0 <= x.logical_flow <= 1 and x.short_paragraphs == 1.0
     terms = narrative.top_terms(frame(spark, "дом дом лес и дом"), word="[а-яё]{2,}", stop_words=["и"]).orderBy("rank").collect()
     assert terms[0].term == "дом" and terms[0].score == pytest.approx(3 / math.sqrt(9 + 1 + 1 + 1 + 1))

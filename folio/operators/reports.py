@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from folio.functions import text as t
 
-# ---- predicates and columns
+# ---- predicates and columns; the patterns, bounds and sizes in them are fixed values
 
 
 def where_equal(df: DataFrame, **values) -> DataFrame:
@@ -56,6 +56,22 @@ def recommendations(rules: list[tuple[Column, str]], default: str) -> Column:
     return F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found)
 
 
+# What a similarity is called.
+EXPLANATIONS = [(0.3, "Тексты значительно отличаются"), (0.5, "Тексты мало похожи"), (0.7, "Тексты имеют умеренное сходство"), (0.9, "Тексты очень похожи, вероятно схожая тематика")]
+
+
+def similarity_explanation(score: Column) -> Column:
+    return t.ladder(score, EXPLANATIONS, "Тексты практически идентичны по содержанию")
+
+
+def similarity_percentage(score: Column) -> Column:
+    return score * 100
+
+
+def is_similar(score: Column, threshold: float = 0.7) -> Column:
+    return score >= threshold
+
+
 def similarity_level(score: Column) -> Column:
     return t.ladder(score, [(0.3, "very_low"), (0.5, "low"), (0.7, "medium"), (0.9, "high")], "very_high")
 
@@ -126,6 +142,12 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def cascade(removed: DataFrame, key: str, children: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Child tables without the rows of removed parents."""
+    gone = removed.select(key).distinct()
+    return {name: child.join(gone, key, "left_anti") for name, child in children.items()}
+
+
 def append_new(df: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """df with those rows whose keys it hasn't, each key once."""
     return df.unionByName(rows.dropDuplicates(keys).join(df.select(*keys).distinct(), keys, "left_anti"))
@@ -175,6 +197,11 @@ def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 50) -
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_with_total(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page, and beside it how many rows there are in all."""
+    return page(df, order, offset, limit).crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))
+
+
 def latest(df: DataFrame, by: list[str], ts: str, n: int) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(F.col(ts).desc())
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")

@@ -212,6 +212,19 @@ def top_pairs(edges: DataFrame, k: int = 5, least: bool = False) -> DataFrame:
     return edges.where("text1 < text2").orderBy(order, "text1", "text2").limit(k)
 
 
+def chunk_pairs(left: DataFrame, right: DataFrame, metric: str = "unit", top: int = 10, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """Chunks of one text against those of another: the `top` most similar pairs. Two texts are compared, not a corpus."""
+    a = left.where(F.col(column).isNotNull()).select(F.col(key).alias("chunk1"), F.col(column).alias("v1"))
+    b = right.where(F.col(column).isNotNull()).select(F.col(key).alias("chunk2"), F.col(column).alias("v2"))
+    return a.crossJoin(b).select("chunk1", "chunk2", similarity(F.col("v1"), F.col("v2"), metric).alias("score")).orderBy(F.col("score").desc(), "chunk1", "chunk2").limit(top)
+
+
+def index_totals(vectors: DataFrame, by: str, column: str = "embedding") -> DataFrame:
+    """What an index of each group holds: vectors, their number of values, and vectors of all indexes together."""
+    out = vectors.groupBy(by).agg(F.count("*").alias("vectors"), F.max(F.size(column)).alias("dimension"))
+    return out.crossJoin(F.broadcast(vectors.agg(F.count("*").alias("all_vectors"))))
+
+
 def average_similarity(edges: DataFrame) -> DataFrame:
     """Over pairs of different texts; 0 if there are none."""
     return edges.where("text1 <> text2").agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("average"))
@@ -224,6 +237,18 @@ def text_averages(edges: DataFrame) -> DataFrame:
     return both.groupBy("text").agg(F.avg("score").alias("average"))
 
 
+def group_averages(vectors: DataFrame, by: str, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """Of each vector the average cosine to the others of its group, without forming a pair: the sum of a group's unit
+    vectors times the vector, less its own share. Sums are pre-aggregated place by place. A group of one: no row."""
+    unit = vectors.where(F.col(column).isNotNull()).select(by, key, F.transform(column, lambda x: x.cast("double")).alias("v")).withColumn("n", norm(F.col("v")))
+    unit = unit.withColumn("u", F.transform("v", lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(0.0)))
+    places = unit.select(by, F.posexplode("u").alias("i", "x")).groupBy(by, "i").agg(F.sum("x").alias("x"))
+    sums = places.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("sum"))
+    sums = sums.join(unit.groupBy(by).agg(F.count("*").alias("c")), by)
+    own = F.when(F.col("n") > 0, 1.0).otherwise(0.0)
+    return unit.join(sums, by).where("c > 1").select(by, F.col(key).alias("text"), ((dot(F.col("u"), F.col("sum")) - own) / (F.col("c") - 1)).alias("average"))
+
+
 def mean_vector(vectors: DataFrame, by: str, column: str = "embedding") -> DataFrame:
     """Mean of the vectors of a group, place by place."""
     rows = vectors.select(by, F.posexplode(column).alias("i", "x")).groupBy(by, "i").agg(F.avg("x").alias("x"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio.operators import chunking, description, narrative, readability, replies, reports, vectors
+from folio.plans import records, sql, sql_texts
 from folio.streaming import tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,8 +282,7 @@ def top_pairs(spark, d):
 
 
 def label_averages(spark, d):
-    edges = vectors.pairs(_vectors(spark, d), "cosine", by=["label"])
-    return vectors.text_averages(edges).select("text", F.round("average", 5).alias("average"))
+    return vectors.group_averages(_vectors(spark, d), "label").select("text", F.round("average", 5).alias("average"))
 
 
 def mean_vectors(spark, d):
@@ -386,10 +386,8 @@ def queries() -> dict[str, Query]:
     tension relevant_chunks readability_rollup dialogue_rollup frequent_words chunk_scores water repetitions dialogue structure coherence tfidf_terms knn ivf_recall similar_pairs top_pairs label_averages mean_vectors vector_water
     chat_prompts genre_replies newest_page title_search size_classes success_by_user usage_counts recent_values value_trends latency_average order_progress orders_with_lines
     missing_customers duplicate_texts latest_events best_suppliers description_measures description_rollup chunk_coherence fact_density chunk_term_sums speech_voices event_counters metric_snapshots user_life_cycles metric_alerts"""
-    return {n: globals()[n] for n in names.split()}
+    return {n: globals()[n] for n in names.split()} | records.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from folio.plans import sql, sql_texts
-
-    return sql.SQL | sql_texts.SQL
+    return sql.SQL | sql_texts.SQL | records.SQL

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 NO_IMAGES = '[not(ancestor::*[local-name()="binary" or local-name()="image"])]'
 
@@ -66,7 +67,7 @@ def sessions_table(sessions: DataFrame, texts: DataFrame, analyzers: DataFrame,
     out = sessions.join(count(texts, "texts"), "session_id", "left").join(count(analyzers, "analyzers"), "session_id", "left")
     out = out.join(edges.where("text1 <> text2").groupBy("session_id").agg(F.avg("score").alias("similarity")), "session_id", "left")
     na = lambda c: F.coalesce(c.cast("string"), F.lit("N/A"))
-    return out.select("session_id", "name", "status", "mode", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("analyzers", F.lit(0)).alias("analyzers"), na(F.format_string("%.4f", "similarity")).alias("similarity"), na(F.col("created_at")).alias("created_at"), na(F.col("completed_at")).alias("completed_at"))
+    return out.select("session_id", "name", "status", "mode", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("analyzers", F.lit(0)).alias("analyzers"), na(F.when(F.col("similarity").isNotNull(), F.format_string("%.4f", F.round("similarity", 4)))).alias("similarity"), na(F.col("created_at")).alias("created_at"), na(F.col("completed_at")).alias("completed_at"))
 
 
 def matrix(edges: DataFrame, ids: list[str]) -> DataFrame:
@@ -85,6 +86,30 @@ def reports(sessions: DataFrame, texts: DataFrame, results: DataFrame) -> DataFr
     return sessions.join(body, "session_id", "left").select("session_id", F.concat(head, F.coalesce("body", F.lit(""))).alias("report"))
 
 
+def session_json(sessions: DataFrame, texts: DataFrame, results: DataFrame) -> DataFrame:
+    """A session with its texts and results as one JSON document: session_id, json."""
+    listed = lambda d, *c: d.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(*c))).alias("x"))
+    out = sessions.join(listed(texts, "position", "text_id", "title").withColumnRenamed("x", "texts"), "session_id", "left").join(listed(results, "text_id", "analyzer_name", "result_data").withColumnRenamed("x", "results"), "session_id", "left")
+    names = [c for c in sessions.columns if c != "session_id"]
+    data = F.struct("session_id", *names, "texts", "results")
+    return out.select("session_id", F.to_json(F.struct(F.lit("json").alias("export_format"), F.lit("1.0").alias("export_version"), data.alias("data"))).alias("json"))
+
+
+def full_report(sessions: DataFrame, texts: DataFrame, results: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
+    """A Markdown report a session: heading with status, texts with lengths, results cut to 100 characters, average similarity
+    and the `top` most similar pairs. session_id, report."""
+    line = lambda part, order, *text: F.struct(F.lit(part).alias("p"), order.cast("long").alias("o"), F.concat(*text).alias("line"))
+    head = sessions.select("session_id", line(0, F.lit(0), F.lit("# "), "name", F.lit("\n\nStatus: "), "status", F.lit("\n\n## Texts\n")).alias("l"))
+    rows = texts.select("session_id", line(1, F.col("position"), F.lit("- "), F.coalesce("title", F.lit("N/A")), F.lit(" ("), F.col("length").cast("string"), F.lit(")")).alias("l"))
+    found = F.when(F.length("result_data") > 100, F.concat(F.left("result_data", F.lit(100)), F.lit("..."))).otherwise(F.col("result_data"))
+    rows = rows.union(results.select("session_id", line(2, F.col("position"), F.lit("- "), "analyzer_name", F.lit(": "), found).alias("l"))).union(head)
+    rows = rows.union(edges.groupBy("session_id").agg(F.avg("score").alias("a")).select("session_id", line(3, F.lit(0), F.lit("Average similarity: "), F.format_string("%.4f", F.round("a", 4))).alias("l")))
+    rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("score").desc(), "text1", "text2"))
+    best = edges.withColumn("r", rank).where(F.col("r") <= top)
+    rows = rows.union(best.select("session_id", line(4, F.col("r"), F.lit("| "), F.col("text1").cast("string"), F.lit(" | "), F.col("text2").cast("string"), F.lit(" | "), F.format_string("%.4f", F.round("score", 4)), F.lit(" |")).alias("l")))
+    return rows.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("report"))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -135,8 +135,9 @@ def edited_fingerprints(docs: DataFrame, fraction: float = FRACTION) -> DataFram
     Returns one row a row of `docs`: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next
     (Jaccard estimates), contained_edited, contained_next (containment of the text in the other).
 
-    Null text: the empty text. Null doc_id comes before all others; rows of one id are ordered by text, and each is the
-    next of the one before. A single row is its own next. Empty table: empty result. Other columns are not looked at.
+    Null text: the empty text. Very long texts are sketched whole. Null doc_id comes before all others; ties and repeated
+    rows, of one id, are ordered by text, and each is the next of the one before. A single row is its own next. Empty table:
+    empty result. Other columns, whatever their names, are not looked at.
     """
     return with_next(docs).mapInArrow(_compare(fraction), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double, contained_next double")
 

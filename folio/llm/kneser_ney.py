@@ -39,8 +39,9 @@ END = np.uint64(0x5D1F00D5EED0E1D5)
 #: Words of the longest run, where none is given: two words of context.
 ORDER = 3
 #: Tokens for each bucket of longer runs, so that what a task merges stays as it is when the corpus grows.
-BUCKET_RUNS = 1 << 20
-FLUSH = 1 << 21
+BUCKET_RUNS = 1 << 19
+#: Keys that a task holds before it hands their counts on.
+FLUSH = 1 << 20
 CHUNK = 2 << 20
 
 

@@ -99,8 +99,9 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 def secret_report(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """One row a row of `docs`: doc_id, n_assign, n_access, n_hex, base_sha256 (of the strong spans), spans, n_spans.
 
-    Null or empty text, or nothing found: zero counts, the digest of the empty string, empty spans. Null doc_id is kept.
-    Repeated rows are each returned. Empty table: empty result. Other columns are not looked at.
+    Null or empty text, or nothing found: zero counts, the digest of the empty string, empty spans. Very long texts are
+    scanned whole. Null doc_id is kept. Ties: of spans that start together, the kind listed first comes first. Repeated rows
+    are each returned. Empty table: empty result. Other columns, whatever their names, are not looked at.
     """
     text = F.concat_ws(":", "kind", "start", "end")
     spans = secret_spans(docs, scope).withColumn("item", F.struct("start", "rank", text.alias("text")))
@@ -116,26 +117,56 @@ def secret_report(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     return rows.join(each, "row_key", "left").select("doc_id", zero("n_assign"), zero("n_access"), zero("n_hex"), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), zero("n_spans"))
 
 
+#: Spans that are cut out of one piece of a text, so that a text of very many is not copied once for each.
+PIECE_SPANS = 64
+
+
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with each span (sorted, apart from each other) replaced. The text is first cut into pieces before every
+    PIECE_SPANS-th span; within a piece the fold keeps what follows the last span, and the result so far."""
+    n = F.size(spans)
+    first = F.sequence(F.lit(0), F.ceil(n / PIECE_SPANS).cast("int") - 1)
+    start = lambda k: F.when(k == 0, F.lit(0).cast("long")).otherwise(F.get(spans, k * PIECE_SPANS)["start"].cast("long"))
+
+    def cut_next(a, k):
+        at, last = start(k), k == F.ceil(n / PIECE_SPANS).cast("int") - 1
+        size = F.when(last, F.length(a["rest"])).otherwise(start(k + 1) - at).cast("int")
+        piece = F.struct(F.left(a["rest"], size).alias("text"), at.alias("at"), k.alias("k"))
+        return F.struct(F.concat(a["out"], F.array(piece)).alias("out"), F.substring(a["rest"], size + 1, F.length(a["rest"])).alias("rest"))
+
+    empty = F.expr("cast(array() as array<struct<text:string,at:bigint,k:int>>)")
+    pieces = F.aggregate(first, F.struct(empty.alias("out"), text.alias("rest")), cut_next, lambda a: a["out"])
+
+    def mask_one(p):
+        own = F.slice(spans, p["k"] * PIECE_SPANS + 1, PIECE_SPANS)
+
+        def step(s, x):
+            gone = (x["end"] - s["at"]).cast("int")
+            return F.struct(F.concat(s["out"], F.left(s["rest"], (x["start"] - s["at"]).cast("int")), F.lit(mask)).alias("out"), x["end"].cast("long").alias("at"), F.substring(s["rest"], gone + 1, F.length(s["rest"])).alias("rest"))
+
+        return F.aggregate(own, F.struct(F.lit("").alias("out"), p["at"].alias("at"), p["text"].alias("rest")), step, lambda s: F.concat(s["out"], s["rest"]))
+
+    return F.array_join(F.transform(pieces, mask_one), "")
+
+
 def redact_secrets(docs: DataFrame, scope: int = SCOPE, mask: str = "[SECRET]") -> DataFrame:
     """`docs` with every span found (overlapping ones taken together) replaced by `mask`; n_chars, if there, follows the text.
-    Null texts stay null."""
+
+    Null texts stay null, empty ones empty. Very long texts are masked whole. Ties: spans that share a character are one.
+    Repeated rows are each masked. All columns are carried, whatever their names. Empty table: empty result."""
     w = Window.partitionBy("row_key").orderBy("start", F.col("end").desc(), "rank").rowsBetween(Window.unboundedPreceding, -1)
     spans = secret_spans(docs, scope).withColumn("reach", F.max("end").over(w))
     upto = Window.partitionBy("row_key").orderBy("start", F.col("end").desc(), "rank")
     island = spans.withColumn("island", F.sum(F.when(F.col("reach") > F.col("start"), 0).otherwise(1)).over(upto))
     merged = island.groupBy("row_key", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    each = cut(merged.groupBy(F.col("row_key").alias("__row_key")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans")), "redact")
+    each = cut(merged.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")), "redact")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.withColumn("__row_key", key).join(each, "__row_key", "left")
-    # the fold keeps the text after the last span, and the result so far
-    masked = F.expr(
-        f"aggregate(__spans, named_struct('out', '', 'at', 0L, 'rest', text), (s, x) -> named_struct('out', concat(s.out, left(s.rest, int(x.start - s.at)), '{mask}'),"
-        " 'at', x.end, 'rest', substr(s.rest, int(x.end - s.at + 1))), s -> concat(s.out, s.rest))"
-    )
-    joined = joined.withColumn("text", F.when(F.col("__spans").isNotNull(), masked).otherwise(F.col("text")))
+    rows = docs.select(key.alias("row_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(each, "row_key", "left").withColumn("masked", F.when(F.col("spans").isNotNull(), _masked(F.col("text"), F.col("spans"), mask)).otherwise(F.col("text")))
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("masked")}
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(docs.columns)
+        out["n_chars"] = F.length("masked").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(v.alias(c) for c, v in out.items()))
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:

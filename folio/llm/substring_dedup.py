@@ -215,9 +215,10 @@ def substring_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
     Returns one row a row of `docs`: doc_id, n_words, n_removed, kept_sha256, spans (removed words, end exclusive), kept.
 
-    Null or empty text, and texts of fewer words: nothing removed (no words: the digest of the empty text). Null doc_id:
-    counts as after all others, and such rows not against each other. Repeated rows and rows of one doc_id: not against
-    each other, each is returned. Empty table: empty result. Other columns are not looked at.
+    Null or empty text, and texts of fewer words: nothing removed (no words: the digest of the empty text). Very long texts
+    are compared whole. Null doc_id: counts as after all others, and such rows not against each other. Ties, repeated rows
+    and rows of one doc_id: not against each other, each is returned. Empty table: empty result. Other columns, whatever
+    their names, are not looked at.
     """
     base = id_text(docs).withColumn("row_key", F.xxhash64("doc_id", "text")).withColumn("id", F.coalesce("doc_id", F.lit(LAST)))
     texts = base.select("id", "row_key", "text")

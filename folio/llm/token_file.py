@@ -139,8 +139,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     """Writes one row a row of `docs` under `path`, ascending by doc_id (null first; of one id, by text): part (number of the
     range), doc_id, part_start (ids before it in its range), n_tokens, ids.
 
-    Null text: encoded as the empty text, which gives the end id alone. Repeated rows are each written. Empty table:
-    no rows. Other columns are not looked at.
+    Null text: encoded as the empty text, which gives the end id alone. Very long texts are encoded whole, piece by piece.
+    Ties and repeated rows are each written, in the order of their texts. Empty table: no rows. Other columns, whatever
+    their names, are not looked at.
     """
     rows = id_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     coded = rows.mapInArrow(_encode(tokenizer or public_tokenizers.path(TOKENIZER), end_id), "doc_id long, part_start long, n_tokens long, ids array<int>")

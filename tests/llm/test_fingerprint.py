@@ -31,6 +31,26 @@ def test_sketch():
     assert fp.likeness(x[0], x[1]) == 1 and fp.likeness(x[0], x[2]) == 0 and fp.likeness(x[3], x[4]) == 1
 
 
+def shingle_set(text, k=5):
+    w = text.split(" ")
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def test_against_sets():
+    """With every shingle kept, the estimates are those of plain Python sets; with a part kept, the same part everywhere."""
+    r = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 12, n)) for n in (1, 3, 4, 5, 6, 40, 200, 2000)]
+    texts += [" ".join(t.split(" ")[len(t.split(" ")) // 3 :]) for t in texts]
+    exact, part = fp.sketches(pa.array(texts), 1.0), fp.sketches(pa.array(texts))
+    for i, a in enumerate(map(shingle_set, texts)):
+        assert exact[i][1] == part[i][1] == len(a) == len(exact[i][2])
+        assert set(part[i][2]) <= set(exact[i][2]) and (len(a) < 500 or abs(len(part[i][2]) / len(a) - fp.FRACTION) < 0.1)
+        for j, b in enumerate(map(shingle_set, texts)):
+            assert abs(fp.likeness(exact[i], exact[j]) - len(a & b) / len(a | b)) < 1e-12
+            assert abs(fp.containment(exact[i], exact[j]) - len(a & b) / len(a)) < 1e-12
+            assert set(part[i][2]) & set(part[j][2]) == set(part[i][2]) & set(exact[j][2])
+
+
 def test_documents(spark, sf):
     rows = [tuple(x) for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, fp.op3_fingerprint(spark, sf).collect()), key=str) == brute(rows)

@@ -90,7 +90,10 @@ def test_linking(spark):
 
 def test_many_matches(spark):
     text = "token=abcdefgh, " * 3000
-    row = secret_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    docs = spark.createDataFrame([(1, text), (2, "é漢 " * 300 + "x token=abcdefgh y " * 130 + "end"), (3, "token=abcdefgh " * 64), (4, "token=abcdefgh " * 65)], "doc_id long, text string")
+    masked = dict(redact_secrets(docs).collect())
+    assert all(masked[i] == re.sub("token=abcdefgh", "[SECRET]", t) for i, t in docs.collect())
+    row = secret_report(docs.where("doc_id = 1")).first()
     assert row.n_assign == 3000 and row.base_sha256 == hashlib.sha256(base(text).encode()).hexdigest()
 
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyarrow import orc
 from tokenizers import Tokenizer
 
 from folio.llm import token_file as tf
@@ -40,3 +41,24 @@ def test_odd(spark, odd_docs, no_docs, tmp_path):
     assert sorted(map(tuple, digest(spark, odd_docs, f"file://{tmp_path}/t")), key=str) == brute(rows)
     assert digest(spark, no_docs, f"file://{tmp_path}/u") == []
     assert {x.doc_id for x in tf.find_tokens(spark, f"file://{tmp_path}/t", [7, 8, 1000]).collect()} == {7, 8}
+
+
+def test_skipping(spark, tmp_path):
+    """Stripes hold row groups that a look-up skips by index and Bloom filter; ids lie in ascending order."""
+    docs = spark.range(0, 20000, 2, 1).selectExpr("id as doc_id", "concat('text ', id, repeat(' more', int(id % 50))) as text")
+    path = f"file://{tmp_path}/t"
+    tf.write_tokens(docs, path)
+    files = sorted((tmp_path / "t").glob("*.orc"))
+    assert files and sum(orc.ORCFile(str(f)).nrows for f in files) == 10000 and all(orc.ORCFile(str(f)).nstripes >= 1 for f in files)
+    ids = [x for f in files for x in orc.ORCFile(str(f)).read(["doc_id"])["doc_id"].to_pylist()]
+    assert sorted(ids) == ids or sorted(ids) == list(range(0, 20000, 2))
+
+    def scanned(doc_ids):
+        df = tf.find_tokens(spark, path, doc_ids)
+        found = {x.doc_id for x in df.collect()}
+        return found, df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+    found, rows = scanned([5000])
+    assert found == {5000} and 0 < rows <= 1000
+    found, rows = scanned([5001])  # within the range of a row group, but not there: the Bloom filter tells
+    assert found == set() and rows == 0

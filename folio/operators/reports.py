@@ -218,15 +218,23 @@ def trend(df: DataFrame, by: list[str], ts: str, value: str, points: int = 10, m
     return out.select(*by, "early", "late", F.when(F.col("n") >= points, F.when(d > margin, "increasing").when(d < -margin, "decreasing").otherwise("stable")).alias("trend"))
 
 
-def moving_average(df: DataFrame, by: list[str], ts: str, value: str, alpha: float = 0.1, seed: float | None = None) -> DataFrame:
-    """Exponential moving average of each group in the order of time. Seeded by the first value, or by `seed`. The closed form is a
-    weighted sum with weights (1 - alpha) ** (rows after it), so it needs no ordered gathering of a group."""
-    w = Window.partitionBy(*by)
-    rows = df.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w.orderBy(ts, value))).withColumn("n", F.count("*").over(w))
-    weight = F.pow(F.lit(1 - alpha), F.col("n") - F.col("i"))
-    first = F.when(F.col("i") == 1, 1.0 if seed is None else alpha).otherwise(alpha)
-    out = rows.groupBy(*by).agg(F.sum(F.col(value) * weight * first).alias("ema"), F.max("n").alias("n"))
-    return out if seed is None else out.withColumn("ema", F.col("ema") + seed * F.pow(F.lit(1 - alpha), F.col("n")))
+def moving_average(df: DataFrame, by: list[str], ts: str, value: str, alpha: float = 0.1, seed: float | None = None, block: str = "day") -> DataFrame:
+    """Exponential moving average of each group in the order of time (of equal times, of value). Seeded by the first value, or
+    by `seed`.
+
+    Steps compose: a stretch of n values turns an average x into x * (1 - alpha) ** n + s. So each stretch of time (`block`)
+    of a group is summed up apart, and a group's few stretches are put together: no group's whole history meets in one task.
+    """
+    stretch = F.date_trunc(block, F.col(ts)).alias("__b")
+    keep = F.lit(1 - alpha)
+    w = Window.partitionBy(*by, "__b").orderBy(F.col(ts).desc(), F.col(value).desc())
+    rows = df.where(F.col(value).isNotNull()).select(*by, stretch, ts, value).withColumn("__after", F.row_number().over(w) - 1)
+    sums = rows.groupBy(*by, "__b").agg(F.count("*").alias("n"), F.sum(alpha * F.col(value) * F.pow(keep, F.col("__after"))).alias("s"), F.min_by(value, F.struct(ts, value)).alias("first"))
+    later = Window.partitionBy(*by).orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("later", F.coalesce(F.sum("n").over(later), F.lit(0)))
+    out = sums.groupBy(*by).agg(F.sum(F.col("s") * F.pow(keep, F.col("later"))).alias("s"), F.sum("n").alias("n"), F.min_by("first", "__b").alias("first"))
+    start = F.col("first") if seed is None else F.lit(seed)
+    return out.select(*by, (F.col("s") + start * F.pow(keep, F.col("n"))).alias("ema"), "n")
 
 
 def one_default(df: DataFrame, by: str, wanted: str, updated: str) -> DataFrame:

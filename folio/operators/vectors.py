@@ -10,10 +10,13 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-#: Query vectors in one broadcast block, at most; more are searched block by block.
-QUERY_BLOCK = 20_000
+#: Query vectors in one broadcast block, at most; more are searched block by block. Queries that are scored at once.
+QUERY_BLOCK, TILE = 20_000, 512
+#: Vectors, or queries, of a cell that one task compares; rows of a group on a side of a tile of pairs.
+CELL_ROWS, PAIR_ROWS = 20_000, 2_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,28 +67,49 @@ def remove(store: DataFrame, ids: DataFrame, key: str = "vec_id") -> DataFrame:
     return store.join(ids.select(key).distinct(), key, "left_anti")
 
 
+def _unit_rows(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+
+
+def _top(score: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, key and score of the k best of each row, ties by key. Only what reaches the k-th score is sorted."""
+    k = min(k, score.shape[1])
+    least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+    row, at = np.nonzero(score >= least[:, None])
+    key = keys[at] if keys.ndim == 1 else keys[row, at]
+    value = score[row, at]
+    order = np.lexsort((key, -value, row))
+    row, key, value = row[order], key[order], value[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], key[keep], value[keep]
+
+
+def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Of rows of two matrices, which are unit rows for cosine."""
+    if metric == "l2":
+        return -((q**2).sum(axis=1)[:, None] - 2 * q @ v.T + (v**2).sum(axis=1)[None, :])
+    return q @ v.T
+
+
 def _search(queries, k: int, metric: str):
-    """Scores of one block of queries against batches of vectors; each batch gives out its k best a query."""
+    """Scores of one block of queries against a partition's vectors, a tile at a time: its k best a query come out once."""
 
     def run(batches):
         ids, matrix = queries.value
+        best = [(np.zeros((min(TILE, len(ids) - i), 0), np.int64), np.zeros((min(TILE, len(ids) - i), 0))) for i in range(0, len(ids), TILE)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column("vec_id").to_numpy()
-            v = np.array(batch.column("embedding").to_pylist(), np.float64)
-            if metric == "l2":
-                score = -((matrix**2).sum(axis=1)[:, None] - 2 * matrix @ v.T + (v**2).sum(axis=1)[None, :])
-            else:
-                if metric == "cosine":
-                    n = np.linalg.norm(v, axis=1, keepdims=True)
-                    v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
-                score = matrix @ v.T
-            m = min(k, score.shape[1])
-            order = np.lexsort((np.broadcast_to(keys, score.shape), -score), axis=1)[:, :m]
-            rows = np.repeat(np.arange(len(ids)), m)
-            best = order.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(keys[best]), pa.array(score[rows, best])], ["query_id", "vec_id", "score"])
+            keys, v = batch.column("vec_id").to_numpy(), np.array(batch.column("embedding").to_pylist(), np.float64)
+            v = _unit_rows(v) if metric == "cosine" else v
+            for t, (old_keys, old) in enumerate(best):
+                score = np.hstack((old, _scores(matrix[t * TILE : (t + 1) * TILE], v, metric)))
+                _, key, value = _top(score, np.hstack((old_keys, np.broadcast_to(keys, (len(score), len(keys))))), k)
+                best[t] = key.reshape(len(score), -1), value.reshape(len(score), -1)
+        for t, (keys, score) in enumerate(best):
+            if keys.size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[t * TILE : (t + 1) * TILE], keys.shape[1])), pa.array(keys.ravel()), pa.array(score.ravel())], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -104,10 +128,7 @@ def _blocks(queries: DataFrame, metric: str):
 
 def _block(ids, rows, metric):
     m = np.array(rows, np.float64)
-    if metric == "cosine":
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-    return np.array(ids), m
+    return np.array(ids), _unit_rows(m) if metric == "cosine" else m
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -117,7 +138,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", threshold: float | None = None) -> DataFrame:
     """Exact nearest neighbours: query_id, vec_id, score (l2: minus the squared distance), rank; min(k, n) rows a query. Both
-    tables have vec_id and embedding. Blocks of queries go to all tasks; only k rows a query and batch are shuffled."""
+    tables have vec_id and embedding. Blocks of queries go to all tasks; only k rows a query and task are shuffled."""
     spark, out = vectors.sparkSession, None
     data = vectors.select("vec_id", "embedding").where("embedding is not null")
     for block in _blocks(queries, metric):
@@ -135,21 +156,64 @@ def _sample(data: DataFrame, size: int) -> DataFrame:
     return data if n <= size else data.where(F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // size))) == 0)
 
 
-def ivf(vectors: DataFrame, cells: int, seed: int = 42, sample: int = 100_000) -> tuple[DataFrame, list[list[float]]]:
-    """Vectors with the cell of their nearest centre. Centres are fitted on about `sample` vectors at most, chosen
-    by hash; all vectors are given cells."""
-    data = vectors.withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
-    model = KMeans(k=cells, seed=seed, maxIter=10, initSteps=2).fit(_sample(data, sample))
-    return model.transform(data).drop("features").withColumnRenamed("prediction", "cell"), [c.tolist() for c in model.clusterCenters()]
+def ivf(vectors: DataFrame, cells: int, seed: int = 42, sample: int = 100_000, copies: int = 1) -> tuple[DataFrame, list[list[float]]]:
+    """Vectors with the cell of their nearest centre, or a row for each of the `copies` nearest: where cells are not well
+    apart, a neighbour across a border is then found with fewer probes. Centres are fitted on about `sample` vectors at
+    most, chosen by hash; all vectors are given cells."""
+    data = vectors.where("embedding is not null")
+    fitted = _sample(data, sample).select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+    centres = [c.tolist() for c in KMeans(k=cells, seed=seed, maxIter=10, initSteps=2).fit(fitted).clusterCenters()]
+    given = vectors.sparkSession.sparkContext.broadcast(np.array(centres, np.float64))
+    kind = StructType([StructField("vec_id", LongType()), StructField("embedding", vectors.schema["embedding"].dataType), StructField("cell", IntegerType())])
+    return data.select("vec_id", "embedding").mapInArrow(_nearest(given, copies, ["vec_id", "embedding", "cell"]), kind), centres
+
+
+def _nearest(centres, probes: int, names: list[str]):
+    """Vectors in -> a row for each of their nearest cells."""
+
+    def run(batches):
+        c = centres.value
+        for batch in batches:
+            if batch.num_rows:
+                q = np.array(batch.column("embedding").to_pylist(), np.float64)
+                row, cell, _ = _top(_scores(q, c, "l2"), np.arange(len(c)), probes)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(row)), batch.column("embedding").take(pa.array(row)), pa.array(cell.astype(np.int32))], names)
+
+    return run
+
+
+def _compare(k: int, metric: str):
+    """Some queries and some vectors of a cell -> the k best of each query."""
+
+    def run(asked: pa.Table, some: pa.Table) -> pa.Table:
+        out = []
+        if asked.num_rows and some.num_rows:
+            ids, keys = asked["query_id"].to_numpy(), some["vec_id"].to_numpy()
+            q, v = (np.array(x.to_pylist(), np.float64) for x in (asked["q"], some["embedding"]))
+            if metric == "cosine":
+                q, v = _unit_rows(q), _unit_rows(v)
+            for i in range(0, len(ids), TILE):
+                row, key, value = _top(_scores(q[i : i + TILE], v, metric), keys, k)
+                out.append(pa.table({"query_id": ids[i + row], "vec_id": key, "score": value}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+    return run
 
 
 def ivf_search(queries: DataFrame, indexed: DataFrame, centres: list, probes: int, k: int = 10, metric: str = "cosine") -> DataFrame:
-    """Approximate neighbours: each query meets the vectors of its `probes` nearest cells, by an equi-join on the cell."""
-    listed = F.array(*(F.struct(F.lit(i).alias("cell"), F.array(*map(F.lit, c)).alias("centre")) for i, c in enumerate(centres)))
-    near = F.slice(F.array_sort(F.transform(listed, lambda x: F.struct((-similarity(F.col("q"), x["centre"], "euclidean")).alias("d"), x["cell"].alias("cell")))), 1, probes)
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).select("query_id", "q", F.explode(near).alias("n")).select("query_id", "q", F.col("n.cell").alias("cell"))
-    found = indexed.join(asked, "cell").select("query_id", "vec_id", similarity(F.col("q"), F.col("embedding"), metric).alias("score"))
-    return _best(found, k)
+    """Approximate neighbours: each query meets the vectors of its `probes` nearest cells. Centres are broadcast (at most
+    10,000). A cell of very many vectors or queries is split on both sides, so no task holds more than CELL_ROWS of either."""
+    near = queries.select("vec_id", "embedding").where("embedding is not null")
+    given = queries.sparkSession.sparkContext.broadcast(np.array(centres, np.float64))
+    asked = near.mapInArrow(_nearest(given, probes, ["query_id", "q", "cell"]), StructType([StructField("query_id", LongType()), StructField("q", near.schema["embedding"].dataType), StructField("cell", IntegerType())]))
+    split = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias(name))
+    sizes = F.broadcast(split(indexed, "vs").join(split(asked, "qs"), "cell"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    some = indexed.select("vec_id", "embedding", "cell").join(sizes, "cell").withColumn("x", F.pmod(F.xxhash64("vec_id"), "vs").cast("int")).withColumn("y", every("qs"))
+    asked = asked.join(sizes, "cell").withColumn("y", F.pmod(F.xxhash64("query_id"), "qs").cast("int")).withColumn("x", every("vs"))
+    grid = ["cell", "x", "y"]
+    found = asked.select("query_id", "q", *grid).groupBy(*grid).cogroup(some.select("vec_id", "embedding", *grid).groupBy(*grid)).applyInArrow(_compare(k, metric), "query_id long, vec_id long, score double")
+    return _best(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)  # a vector may lie in several cells
 
 
 def pq(vectors: DataFrame, parts: int, codes: int = 256, seed: int = 42, sample: int = 20_000) -> tuple[DataFrame, list]:
@@ -196,10 +260,15 @@ def pairs(vectors: DataFrame, metric: str | Callable[[Column, Column], Column] =
     of two columns. Rows without a vector are left out."""
     by = by or []
     some = vectors.where(F.col(column).isNotNull())
-    a = some.select(*by, F.col(key).alias("text1"), F.col(column).alias("v1"))
-    b = some.select(*by, F.col(key).alias("text2"), F.col(column).alias("v2"))
+    # a large group is taken tile by tile, so that its pairs are made by many tasks
+    size = F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("__n")
+    sizes = some.groupBy(*by).agg(size)
+    some = some.join(sizes, by) if by else some.crossJoin(F.broadcast(sizes))
+    part, every = lambda c: F.pmod(F.xxhash64(c), "__n").cast("int"), F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    a = some.select(*by, F.col(key).alias("text1"), F.col(column).alias("v1"), part(key).alias("__x"), every.alias("__y"))
+    b = some.select(*by, F.col(key).alias("text2"), F.col(column).alias("v2"), part(key).alias("__y"), every.alias("__x"))
     on = F.col("text1") <= F.col("text2") if with_self else F.col("text1") < F.col("text2")
-    joined = a.join(b, by).where(on) if by else a.join(b, on)
+    joined = a.join(b, [*by, "__x", "__y"]).where(on)
     score = metric(F.col("v1"), F.col("v2")) if callable(metric) else similarity(F.col("v1"), F.col("v2"), metric)
     out = joined.select(*by, "text1", "text2", score.alias("score"))
     if mirrored:

@@ -45,6 +45,38 @@ def life_cycle(updates: DataFrame, task: str = "task_id", status: str = "status"
     return out.withColumn("seconds", F.col("ended").cast("timestamp").cast("double") - F.col("started").cast("timestamp").cast("double"))
 
 
+ENDED = ("completed", "failed", "cancelled")
+
+
+def _follow(timeout_ms: int):
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        started, last, status = state.get if state.exists else (None, None, None)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"task_id": [key[0]], "status": ["lost"], "started": [pd.Timestamp(started, unit="us")], "seconds": [(last - started) / 1e6]})
+            return
+        for pdf in batches:
+            for t, s in sorted(zip(pdf["ts"].astype("datetime64[us]").astype("int64"), pdf["status"], strict=True)):
+                started = t if started is None else min(started, t)
+                if last is None or t >= last:
+                    last, status = t, s
+        if status in ENDED:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((started, last, status))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, last // 1000 + timeout_ms))
+        yield pd.DataFrame({"task_id": [key[0]], "status": [status], "started": [pd.Timestamp(started, unit="us")], "seconds": [(last - started) / 1e6]})
+
+    return step
+
+
+def followed(updates: DataFrame, delay: str = DELAY, timeout_hours: float = 24.0) -> DataFrame:
+    """A stream of (task_id, ts, status): each task's latest status with the seconds since it started, whenever it changes.
+    Its state goes when it ends, or, as `lost`, when nothing was heard of it for so many hours: state doesn't grow with
+    the tasks that have been."""
+    rows = updates.select(F.col("task_id").cast("string").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("status").cast("string").alias("status")).withWatermark("ts", delay)
+    return rows.groupBy("task_id").applyInPandasWithState(_follow(int(timeout_hours * 3_600_000)), "task_id string, status string, started timestamp, seconds double", "started long, last long, status string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def rules() -> list[tuple[str, str, Column]]:
@@ -69,18 +101,24 @@ def health(metrics: DataFrame) -> DataFrame:
     return metrics.withColumns({"healthy": ok, "status": F.element_at(F.array(F.lit("healthy"), F.lit("degraded"), F.lit("unhealthy")), (worst + 1).cast("int"))})
 
 
-def _average(alpha: float):
+def _average(alpha: float, timeout_ms: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         value, n = state.get if state.exists else (None, 0)
         for pdf in batches:
             for x in pdf.sort_values("ts", kind="stable")["value"]:
                 value, n = (x if value is None else alpha * x + (1 - alpha) * value), n + 1
         state.update((value, n))
+        state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({"key": [key[0]], "ema": [value], "n": [n]})
 
     return step
 
 
-def moving_averages(values: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """Exponential moving average of each key of a stream (key, ts, value), kept as state; a batch is taken in the order of ts."""
-    return values.select("key", "ts", "value").groupBy("key").applyInPandasWithState(_average(alpha), "key string, ema double, n long", "ema double, n long", "update", GroupStateTimeout.NoTimeout)
+def moving_averages(values: DataFrame, alpha: float = 0.1, timeout_hours: float = 24.0) -> DataFrame:
+    """Exponential moving average of each key of a stream (key, ts, value), kept as state; a batch is taken in the order of ts.
+    A key not heard of for so many hours is forgotten, and starts anew."""
+    step = _average(alpha, int(timeout_hours * 3_600_000))
+    return values.select("key", "ts", "value").groupBy("key").applyInPandasWithState(step, "key string, ema double, n long", "ema double, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)

@@ -13,7 +13,7 @@ from folio.streaming import tasks
 T0 = datetime(2024, 5, 1)
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     r = np.random.default_rng(3)
     data = r.normal(size=(60, 8)).astype(np.float32)
     data[5] = 0
@@ -25,6 +25,19 @@ def test_vectors(spark):
     assert vectors.knn(v.limit(1), v.limit(2), 10).count() == 2 and vectors.knn(v.limit(0), v).count() == 0
     x = v.where("vec_id = 1").select(vectors.cosine(F.col("embedding"), F.col("embedding")).alias("a"), vectors.cosine(F.col("embedding"), F.transform("embedding", lambda y: y * 0)).alias("b"), vectors.norm(vectors.normalised(F.col("embedding"))).alias("c")).first()
     assert (x.a, x.b, x.c) == (pytest.approx(1), 0.0, pytest.approx(1))
+    plain = {(min(i, j), max(i, j)) for i in range(20) for j in range(20) if i != j}
+    for rows in (2000, 3):  # one tile, and many
+        monkeypatch.setattr(vectors, "PAIR_ROWS", rows)
+        found = vectors.pairs(v.where("vec_id < 20"), "cosine").collect()
+        assert len(found) == len(plain) and {(x.text1, x.text2) for x in found} == plain
+        assert all(x.score == pytest.approx(float(unit[x.text1] @ unit[x.text2]), abs=1e-5) for x in found)
+    indexed, centres = vectors.ivf(v, 6)
+    exact = {(x.query_id, x.vec_id, x["rank"]) for x in vectors.knn(v.where("vec_id < 9"), v, 5).collect()}
+    for rows in (20000, 4):  # all cells probed: as exact search, also where cells are split on both sides
+        monkeypatch.setattr(vectors, "CELL_ROWS", rows)
+        assert {(x.query_id, x.vec_id, x["rank"]) for x in vectors.ivf_search(v.where("vec_id < 9"), indexed, centres, 6, 5).collect()} == exact
+    averages = {x.text: x.average for x in vectors.group_averages(v.withColumn("g", F.lit(1)), "g").collect()}
+    assert all(averages[i] == pytest.approx((unit @ unit[i]).sum() / 59 - (1 / 59 if i != 5 else 0), abs=1e-5) for i in range(60))
     edges = vectors.pairs(v.limit(6), "unit", mirrored=True, with_self=True)
     assert edges.count() == 36 and vectors.top_pairs(edges, 3).count() == 3
     assert vectors.average_similarity(edges.limit(0)).first().average == 0.0
@@ -138,6 +151,9 @@ def test_streams(spark, tmp_path):
     metric = static.select("ts", F.lit(95).alias("memory_percent"), F.lit(10).alias("temperature"), F.lit(60).alias("hit_rate"), F.lit(90).alias("success_rate"))
     assert {(x.alert, x.severity) for x in tasks.alerts(metric).collect()} == {("memory", "critical")}
     assert {(x.healthy, x.status) for x in tasks.health(metric).collect()} == {(False, "unhealthy")}
+    steps = run_stream(spark, tasks.followed(stream(), "2 hours"), "followed", "update").collect()
+    last = {x.task_id: x for x in sorted(steps, key=lambda x: x.seconds)}
+    assert {k: (x.status, x.seconds) for k, x in last.items()} == {f"t{i}": ("completed", 540.0) for i in range(3)}
     averages = run_stream(spark, tasks.moving_averages(stream().select(F.col("task_id").alias("key"), "ts", "value")), "averages", "update")
     value = None
     for x in (0, 3, 6, 9):

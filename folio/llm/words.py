@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once; a single longer text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _BASE_BYTE = 0x9E3779B97F4A7C15
 _BASE_WORD = 0xD6E8FEB86659FD93

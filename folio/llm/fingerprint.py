@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from folio.llm.words import chunks, runs, whole, words
 
 FRACTION = 1 / 4
 SHINGLE = 5
+#: Documents of a range, where there are more ranges than shuffle partitions; at most so many ranges.
+RANGE_ROWS, MOST_RANGES = 50_000, 10_000
 
 
 def sketches(texts: pa.Array, fraction: float = FRACTION, k: int = SHINGLE) -> list[tuple[int, int, np.ndarray]]:
@@ -85,10 +88,17 @@ def with_next(docs: DataFrame) -> DataFrame:
     copy, doc_id, text, sorted within partitions. Each bucket, a range of ids, ends with a copy of the row that follows it
     (the last one: of the first row of all). Only range bounds, a few numbers a partition, reach the driver."""
     base = id_text(docs).withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    n = partitions(docs.sparkSession)
+    n = min(max(partitions(docs.sparkSession), base.count() // RANGE_ROWS), MOST_RANGES)
     bounds = base.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
     bounds = sorted(set(bounds or []))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b <= F.col("id")))
+    # how many bounds are not above an id: first among every so many, then within these
+    width = max(1, math.isqrt(len(bounds)))
+    below = lambda listed: F.size(F.filter(listed, lambda b: b <= F.col("id")))
+    array = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
+    coarse = below(array(bounds[width - 1 :: width]))
+    fine = F.array(*(array(bounds[i : i + width]) for i in range(0, len(bounds) + 1, width)))
+    base = base.withColumn("coarse", coarse)
+    bucket = F.col("coarse") * width + below(F.get(fine, F.col("coarse")))
     base = base.withColumn("bucket", bucket)
     least = base.groupBy("bucket").agg(F.min("id").alias("id")).orderBy("bucket").collect()
     if not least:

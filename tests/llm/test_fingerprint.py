@@ -56,6 +56,16 @@ def test_documents(spark, sf):
     assert sorted(map(tuple, fp.op3_fingerprint(spark, sf).collect()), key=str) == brute(rows)
 
 
+def test_ranges(spark, monkeypatch):
+    """More ranges than shuffle partitions, and ids that are far from even."""
+    monkeypatch.setattr(fp, "RANGE_ROWS", 7)
+    r = np.random.default_rng(2)
+    rows = [(int(i), f"text {i} " * int(1 + i % 5)) for i in np.unique(np.concatenate((r.integers(0, 50, 30), r.integers(-(10**12), 10**12, 90))))] + [(None, "x"), (None, None), (7, "a"), (7, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert fp.with_next(docs).select("bucket").distinct().count() > 10
+    assert sorted(map(tuple, fp.edited_fingerprints(docs).collect()), key=str) == brute(rows)
+
+
 def test_odd(spark, odd_docs, no_docs):
     rows = [(x.doc_id, x.text) for x in odd_docs.select("doc_id", "text").collect()]
     assert sorted(map(tuple, fp.edited_fingerprints(odd_docs).collect()), key=str) == brute(rows)

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from folio.functions import lexicons as lx
 from folio.functions import text as t
 from folio.operators.description import FACTS, KEY_MARKERS, PATTERNS, information_density, overall_structure, pattern_counts, transition
+from folio.operators.readability import rollup
 
 PACE = [(4.0, "slow"), (7.0, "medium")]
 WATER = [(20.0, "concise"), (50.0, "balanced")]
@@ -298,6 +299,14 @@ def structure_report(df: DataFrame, key: str = "doc_id", text: str = "text", sep
     return out.withColumns({"paragraph_structure": structured, "overall": overall_structure(m)}).withColumn("grade", t.ladder(F.col("overall"), STRUCTURE_GRADES, "отличная"))
 
 
+def structure_rollup(chunks: DataFrame, key: str = "doc_id", order: str = "chunk_index", text: str = "content", **options) -> DataFrame:
+    """Structure chunk by chunk, rolled up to the text with its consistency. A chunk's score is of its logical flow and rhythm."""
+    each = structure_report(chunks.select(F.struct(key, order).alias("__k"), F.col(text)), "__k", text, **options)
+    each = each.withColumn("overall", overall_structure({k: F.col(k) for k in ("logical_flow", "rhythm")})).select(F.col(f"__k.{key}").alias(key), "overall", "logical_flow", "rhythm", "connective_density")
+    out = rollup(each, [key], {k: F.col(k) for k in ("overall", "logical_flow", "rhythm", "connective_density")})
+    return out.withColumn("grade", t.ladder(F.col("avg_overall"), STRUCTURE_GRADES, "отличная"))
+
+
 def coherence(df: DataFrame, key: str = "doc_id", text: str = "text", word: str = t.LETTERS, stop_words=()) -> DataFrame:
     """Overlap of the word sets of neighbour sentences, divided by the larger, averaged; texts of one sentence: 1."""
     s = df.select(F.col(key), F.posexplode_outer(t.sentences(F.col(text))).alias("i", "sentence"))

@@ -82,6 +82,18 @@ def next_status(status: Column, wanted: str) -> Column:
     return F.when(status.isin(allowed), F.lit(wanted)).otherwise(status)
 
 
+def session_checks(texts: Column, analyzers: Column, comparator: Column) -> Column:
+    """(valid, errors) of a session: a text and an analyzer at least, and a comparator where there are several texts."""
+    return checks({"texts": texts >= 1, "analyzers": analyzers >= 1, "comparator": (texts <= 1) | comparator.isNotNull()})
+
+
+def finished_once(history: DataFrame, updates: DataFrame, key: str, status: str, ts: str) -> DataFrame:
+    """The history with tasks that have ended since, each once, by its first end."""
+    ended = updates.where(F.col(status).isin("completed", "failed", "cancelled"))
+    first = ended.groupBy(key).agg(F.min(F.struct(ts, status)).alias("e")).select(key, f"e.{status}", f"e.{ts}")
+    return append_new(history.select(key, status, ts), first, [key])
+
+
 def seconds_between(start: Column, end: Column) -> Column:
     return end.cast("timestamp").cast("double") - start.cast("timestamp").cast("double")
 

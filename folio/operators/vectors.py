@@ -250,6 +250,13 @@ def recommended(count: int, priority: str = "balanced") -> dict:
     return {"method": method, "cells": cells, "probes": max(1, cells // 10)}
 
 
+def search_plan(count: Column, size: int, parts: int = 8, bits: int = 8) -> Column:
+    """recommended() as a column of the number of vectors, with the size of codes and centres in MB."""
+    cells = F.least(F.greatest(F.floor(F.sqrt(count)), F.lit(10)), F.lit(10_000)).cast("int")
+    method = F.when(count < 10_000, "exact").when(count < 1_000_000, "ivf").otherwise("ivf_pq")
+    return F.struct(method.alias("method"), cells.alias("cells"), F.greatest(F.floor(cells / 10), F.lit(1)).cast("int").alias("probes"), ((count * parts * bits / 8 + cells * size * 4) / 2**20).alias("memory_mb"))
+
+
 def memory_estimate_mb(count: int, parts: int, bits: int, cells: int, size: int) -> float:
     return (count * parts * bits / 8 + cells * size * 4) / 2**20
 

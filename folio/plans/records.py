@@ -171,9 +171,40 @@ def health_report(spark, d):
     return tasks.health(m).select("event_id", "healthy", "status")
 
 
+@query(
+    "WITH h AS (SELECT user_id, 'failed' AS event_type, TIMESTAMP '2023-01-01' AS ts FROM events WHERE user_id % 3 = 0 GROUP BY 1), e AS (SELECT user_id, arg_min(s, {'t': ts, 's': s}) AS event_type, min(ts) AS ts FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS s FROM events WHERE event_type IN ('purchase', 'error')) GROUP BY 1) "
+    "SELECT * FROM h UNION ALL SELECT * FROM e WHERE user_id NOT IN (SELECT user_id FROM h)"
+)
+def task_history(spark, d):
+    e = read(spark, d, "events")
+    history = e.where("user_id % 3 = 0").groupBy("user_id").agg(F.lit("failed").alias("event_type"), F.lit("2023-01-01").cast("timestamp_ntz").alias("ts"))
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
+    return reports.finished_once(history, e.withColumn("event_type", status), "user_id", "event_type", "ts")
+
+
+@query(
+    "SELECT n_nationkey, len(e) = 0 AS valid, array_to_string(e, ',') AS errors FROM (SELECT n_nationkey, list_filter([CASE WHEN NOT t >= 1 THEN 'texts' END, CASE WHEN NOT a >= 10 THEN 'analyzers' END, CASE WHEN t > 1 AND n_regionkey >= 3 THEN 'comparator' END], lambda x: x IS NOT NULL) AS e "
+    "FROM (SELECT n_nationkey, n_regionkey, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS t, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS a FROM nation))"
+)
+def session_validity(spark, d):
+    count = lambda n, k: read(spark, d, n).groupBy(F.col(k).alias("n_nationkey")).agg(F.count("*").alias(n))
+    rows = read(spark, d, "nation").join(count("supplier", "s_nationkey"), "n_nationkey", "left").join(count("customer", "c_nationkey"), "n_nationkey", "left")
+    number = lambda c: F.coalesce(c, F.lit(0))
+    c = reports.session_checks(number("supplier"), F.floor(number("customer") / 10), F.when(F.col("n_regionkey") < 3, "cosine"))
+    return rows.select("n_nationkey", c.alias("c")).select("n_nationkey", "c.valid", F.array_join("c.errors", ",").alias("errors"))
+
+
 # ---- chunks as records
 
 
+@query("SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN text ELSE 'file: ' || text END) AS content_md5 FROM documents")
+def resolved_texts(spark, d):
+    docs = read(spark, d, "documents")
+    path = F.concat(F.lit("texts/"), F.col("doc_id").cast("string"))
+    texts = docs.select("doc_id", path.alias("file_path"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("content"))
+    return books.resolve(texts, docs.select(path.alias("file_path"), F.concat(F.lit("file: "), "text").alias("content"))).select("doc_id", F.md5("content").alias("content_md5"))
+
+
 @query(
     f"SELECT doc_id, chunk_index, b AS in_timeline, c AS in_sample FROM (SELECT doc_id, chunk_index, i % greatest(CAST(floor(n * 0.25) AS BIGINT), 1) = 0 AS b, i % greatest(CAST(floor(n / 3) AS BIGINT), 1) = 0 AND i / greatest(floor(n / 3), 1) < 3 AS c "
     f"FROM (SELECT doc_id, chunk_index, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1 AS i FROM ({chunks()}))) WHERE b OR c"
@@ -420,6 +451,14 @@ def knn_l2(spark, d):
     return vectors.knn(v.where("vec_id % 20 = 0"), v, 5, "l2").select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
+@query(
+    "SELECT label, CASE WHEN n < 10000 THEN 'exact' WHEN n < 1000000 THEN 'ivf' ELSE 'ivf_pq' END AS method, c AS cells, CAST(greatest(floor(c / 10), 1) AS INT) AS probes, round((n * 8 * 8 / 8 + c * 64 * 4) / 1048576, 6) AS memory_mb FROM (SELECT label, n, CAST(least(greatest(floor(sqrt(n)), 10), 10000) AS INT) AS c FROM (SELECT label, count(*) * 100 AS n FROM embeddings GROUP BY 1))"
+)
+def search_plans(spark, d):
+    rows = read(spark, d, "embeddings").groupBy("label").agg((F.count("*") * 100).alias("n"))
+    return rows.select("label", vectors.search_plan(F.col("n"), 64).alias("p")).select("label", "p.method", "p.cells", "p.probes", F.round("p.memory_mb", 6).alias("memory_mb"))
+
+
 def pq_recall(spark, d):
     """Share of the 10 nearest by product codes that are among the 50 nearest."""
     v = read(spark, d, "embeddings")

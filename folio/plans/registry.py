@@ -208,6 +208,10 @@ def structure(spark, d):
     return _rounded(r, ["doc_id"], None, ["composition_type", "grade"], ["paragraphs", "sentences"])
 
 
+def structure_rollup(spark, d):
+    return _rounded(narrative.structure_rollup(_chunks(spark, d), **STRUCTURE), ["doc_id"], None, ["grade"], ["chunks"])
+
+
 def coherence(spark, d):
     return narrative.coherence(_docs(spark, d)).withColumn("coherence", F.round("coherence", 6))
 
@@ -387,7 +391,7 @@ def metric_alerts(spark, d):
 
 def queries() -> dict[str, Query]:
     names = """readability_by_lang readability_counts readability_full complexity complexity_rollup style emotion chunks_fixed chunks_by_sentence chunks_of_sentences chunks_of_lines chunks_by_paragraph chunk_overlaps chunk_plans chunk_statistics pace
-    tension relevant_chunks readability_rollup dialogue_rollup frequent_words chunk_scores water repetitions dialogue structure coherence tfidf_terms knn ivf_recall similar_pairs top_pairs label_averages mean_vectors vector_water
+    tension relevant_chunks readability_rollup dialogue_rollup frequent_words chunk_scores water repetitions dialogue structure structure_rollup coherence tfidf_terms knn ivf_recall similar_pairs top_pairs label_averages mean_vectors vector_water
     chat_prompts genre_replies newest_page title_search size_classes success_by_user usage_counts recent_values value_trends latency_average order_progress orders_with_lines
     missing_customers duplicate_texts latest_events best_suppliers description_measures description_rollup chunk_coherence fact_density chunk_term_sums speech_voices event_counters metric_snapshots user_life_cycles metric_alerts"""
     return {n: globals()[n] for n in names.split()} | records.QUERIES

@@ -288,8 +288,8 @@ SELECT doc_id, round(CASE WHEN n < 2 THEN 1 ELSE coalesce(t, 0) END, 6) AS trans
 """
 
 _PARTS = {"first": ["the"], "then": ["and"], "most": ["that"], "last": ["was", "is"]}
-_STRUCTURE = f"""
-WITH t AS (SELECT doc_id, text, lower(text) AS l, {pieces("text", chr(10))} AS p, {sentences("text")} AS s, len({tokens("text")}) AS words FROM documents),
+_STRUCTURED = f"""
+WITH t AS (SELECT *, lower(text) AS l, {pieces("text", chr(10))} AS p, {sentences("text")} AS s, len({tokens("text")}) AS words FROM (ROWS)),
 u AS (SELECT *, list_transform(p, lambda x: len({tokens("x")})) AS pl, list_transform(s, lambda x: len({tokens("x")})) AS sl, list_transform(p, lambda x: lower({sentences("x")}[1])) AS firsts, list_transform(p, lambda x: lower({sentences("x")}[-1])) AS lasts,
   {any_of("l", _LISTS["a"])} AS la, {any_of("l", _LISTS["b"])} AS lb, {", ".join(f"{any_of('l', v)} AS p{i}" for i, v in enumerate(_PARTS.values()))},
   {sub("text", ",")} + {sub("text", ";")} + {sub("text", ":")} AS m0, {sub("text", "!")} + {sub("text", "?")} AS m1, {sub("text", "...")} + {sub("text", "—")} + {sub("text", "–")} AS m2,
@@ -308,8 +308,14 @@ x AS (SELECT *, mp AS paragraph_length, CASE WHEN sentences > 0 THEN words / sen
 y AS (SELECT *, greatest(medium_paragraphs - 0.5 * short_paragraphs - 0.3 * long_paragraphs, 0) AS paragraph_balance, CASE WHEN sentences > 0 THEN 1 - abs(variation - 0.5) / 0.5 ELSE 0 END AS rhythm FROM x),
 z AS (SELECT *, CASE WHEN paragraphs > 0 THEN (paragraph_balance + transition_quality) / 2 ELSE 0 END AS paragraph_structure FROM y),
 f AS (SELECT *, 0.2 * paragraph_structure + 0.25 * logical_flow + 0.2 * completeness + 0.15 * rhythm + 0.1 * information_density + 0.1 * narrative_diversity AS overall FROM z)
+"""
+_STRUCTURE = _STRUCTURED.replace("ROWS", "SELECT doc_id, text FROM documents") + f"""
 SELECT doc_id, paragraphs, sentences, composition_type, {rounded("paragraph_length sentence_length paragraph_variance sentence_variance paragraph_regularity sentences_per_paragraph short_paragraphs medium_paragraphs long_paragraphs paragraph_balance transition_quality connective_density logical_flow connective_diversity completeness composition_balance variation rhythm pause_frequency slow_density fast_density pause_density tempo_ratio information_density narrative_diversity narrative_density paragraph_structure overall")}, {ladder("overall", nv.STRUCTURE_GRADES, "отличная")} AS grade FROM f
 """
+_STRUCTURE_ROLLUP = (
+    _STRUCTURED.replace("ROWS", f"SELECT doc_id, content AS text FROM ({chunks()})").rstrip() + ", final AS (SELECT doc_id, logical_flow, rhythm, connective_density, (0.25 * logical_flow + 0.15 * rhythm) / 0.4 AS overall FROM z), rolled AS ("
+    + _rollup("", "doc_id", ["overall", "logical_flow", "rhythm", "connective_density"]) + f") SELECT *, {ladder('avg_overall', nv.STRUCTURE_GRADES, 'отличная')} AS grade FROM rolled"
+)
 
 # ---- dialogue
 
@@ -413,6 +419,7 @@ SQL: dict[str, str] = {
     "frequent_words": _FREQUENT,
     "chunk_coherence": _COHERENCE,
     "structure": _STRUCTURE,
+    "structure_rollup": _STRUCTURE_ROLLUP,
     "dialogue": f"{_SPOKEN} SELECT doc_id, dialogue_count, CAST(speech_words AS BIGINT) AS speech_words, CAST(speech_chars AS BIGINT) AS speech_chars, longest_run, {rounded(_DIALOGUE)}, {ladder('overall', nv.DIALOGUE_GRADES, 'отличный')} AS grade FROM d8",
     "dialogue_rollup": _DIALOGUE_ROLLUP,
     "speech_voices": _VOICES,

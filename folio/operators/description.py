@@ -73,10 +73,14 @@ def pattern_counts(c: Column, patterns=PATTERNS, literal: bool = False) -> Colum
 
 def descriptiveness(sentence: Column, markers: dict, senses: dict) -> Column:
     """0.1 for each marker word, 0.15 for each sensory word, half the share of adjective endings at the sentence's end."""
-    w = t.tokens(F.lower(sentence))
-    endings = _sum(F.regexp_count(sentence, F.lit(p)) for p in ADJECTIVES)
-    score = 0.1 * _sum(t.count_in(w, v) for v in markers.values()) + 0.15 * _sum(t.count_in(w, v) for v in senses.values()) + 0.5 * endings / _safe(F.size(w))
-    return F.when(F.size(w) == 0, 0.0).otherwise(F.least(score, F.lit(1.0)))
+
+    def score(w):
+        # an ending stands at the end, so it lies in the last word
+        endings = _sum(F.when(F.element_at(w, -1).rlike(p), 1.0).otherwise(0.0) for p in ADJECTIVES)
+        found = 0.1 * _sum(t.count_in(w, v) for v in markers.values()) + 0.15 * _sum(t.count_in(w, v) for v in senses.values()) + 0.5 * endings / F.size(w)
+        return F.when(F.size(w) == 0, 0.0).otherwise(F.least(found, F.lit(1.0)))
+
+    return t.let(t.tokens(F.lower(sentence)), score)
 
 
 def passages(df: DataFrame, markers: dict, senses: dict, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -151,3 +151,19 @@ def duration(seconds: Column) -> Column:
     s = F.floor(seconds)
     h, m = F.floor(s / 3600), F.floor(s % 3600 / 60)
     return F.concat_ws(" ", F.when(h > 0, F.concat(h, F.lit("h"))), F.when((m > 0) | (h > 0), F.concat(m, F.lit("m"))), F.concat(s % 60, F.lit("s")))
+
+
+# The words of shown numbers and times.
+
+
+def abbreviated(n: Column) -> Column:
+    """Thousands and millions with one decimal."""
+    short = lambda size, name: F.concat(F.format_string("%.1f", F.round(n / size, 1)), F.lit(name))
+    return F.when(n >= 1_000_000, short(1_000_000, " млн")).when(n >= 1_000, short(1_000, " тыс")).otherwise(n.cast("string"))
+
+
+def ago(then: Column, now: Column) -> Column:
+    """How long ago in minutes, hours or days; the date from a week on."""
+    s = now.cast("timestamp").cast("double") - then.cast("timestamp").cast("double")
+    whole = lambda unit, name: F.concat(F.floor(s / unit).cast("string"), F.lit(name))
+    return F.when(s < 60, "только что").when(s < 3600, whole(60, " мин назад")).when(s < 86_400, whole(3600, " ч назад")).when(s < 604_800, whole(86_400, " д назад")).otherwise(F.date_format(then, "dd.MM.yyyy"))

@@ -301,6 +301,11 @@ def index_totals(vectors: DataFrame, by: str, column: str = "embedding") -> Data
     return out.crossJoin(F.broadcast(vectors.agg(F.count("*").alias("all_vectors"))))
 
 
+def activity_totals(log: DataFrame, by: str, kind: str, kinds: list[str]) -> DataFrame:
+    """How often each kind of activity (searches, additions, removals) was logged for each index, and in all."""
+    return log.groupBy(by).agg(*(F.count_if(F.col(kind) == k).alias(k) for k in kinds), F.count("*").alias("total"))
+
+
 def average_similarity(edges: DataFrame) -> DataFrame:
     """Over pairs of different texts; 0 if there are none."""
     return edges.where("text1 <> text2").agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("average"))

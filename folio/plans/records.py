@@ -81,6 +81,18 @@ def execution_times(spark, d):
     return rows.select("l_orderkey", "l_linenumber", F.round(reports.seconds_between(F.col("o_orderdate"), F.col("l_shipdate")), 3).alias("seconds"))
 
 
+@query(
+    "SELECT event_id, CASE WHEN n >= 1000000 THEN printf('%.1f', round(n / 1000000, 1)) || ' млн' WHEN n >= 1000 THEN printf('%.1f', round(n / 1000, 1)) || ' тыс' ELSE CAST(n AS VARCHAR) END AS shown, "
+    "CASE WHEN s < 60 THEN 'только что' WHEN s < 3600 THEN CAST(floor(s / 60) AS BIGINT) || ' мин назад' WHEN s < 86400 THEN CAST(floor(s / 3600) AS BIGINT) || ' ч назад' WHEN s < 604800 THEN CAST(floor(s / 86400) AS BIGINT) || ' д назад' ELSE strftime(ts, '%d.%m.%Y') END AS since, "
+    "concat_ws(' ', CASE WHEN n >= 3600 THEN n // 3600 || 'h' END, CASE WHEN n >= 60 THEN n % 3600 // 60 || 'm' END, n % 60 || 's') AS lasted "
+    "FROM (SELECT event_id, ts, CAST(floor(value * value * 10) AS BIGINT) AS n, epoch_us(TIMESTAMP '2024-01-31 00:00:00') / 1000000.0 - epoch_us(ts) / 1000000.0 AS s FROM events)"
+)
+def shown_texts(spark, d):
+    n = F.floor(F.col("value") * F.col("value") * 10).cast("long")
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    return read(spark, d, "events").select("event_id", t.abbreviated(n).alias("shown"), t.ago(F.col("ts"), now).alias("since"), t.duration(n).alias("lasted"))
+
+
 # ---- joins, changes, pages
 
 
@@ -436,6 +448,11 @@ def index_totals(spark, d):
     return vectors.index_totals(read(spark, d, "embeddings"), "label")
 
 
+@query("SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'signup') AS signup, count(*) FILTER (event_type = 'error') AS error, count(*) AS total FROM events GROUP BY 1")
+def index_activity(spark, d):
+    return vectors.activity_totals(read(spark, d, "events"), "user_id", "event_type", ["click", "signup", "error"])
+
+
 @query("SELECT vec_id, round(list_sum(list_transform(u, lambda x: x * x)), 4) AS length, round(u[1], 4) AS first FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings)")
 def unit_vectors(spark, d):
     v = vectors.valid(read(spark, d, "embeddings"), 64).select("vec_id", vectors.normalised(F.col("embedding")).alias("u"))

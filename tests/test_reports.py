@@ -130,8 +130,10 @@ def test_sinks(spark, tmp_path):
 
 
 def run_stream(spark, df, name, mode):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # a state store for each partition is what takes time here
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination(120)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     return spark.table(name)
 
 

@@ -106,19 +106,21 @@ def _average(alpha: float, timeout_ms: int):
         if state.hasTimedOut:
             state.remove()
             return
-        value, n = state.get if state.exists else (None, 0)
+        value, n, last = *(state.get if state.exists else (None, 0)), 0
         for pdf in batches:
+            last = max(last, pdf["ts"].astype("datetime64[ms]").astype("int64").max())
             for x in pdf.sort_values("ts", kind="stable")["value"]:
                 value, n = (x if value is None else alpha * x + (1 - alpha) * value), n + 1
         state.update((value, n))
-        state.setTimeoutDuration(timeout_ms)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(last) + timeout_ms))
         yield pd.DataFrame({"key": [key[0]], "ema": [value], "n": [n]})
 
     return step
 
 
-def moving_averages(values: DataFrame, alpha: float = 0.1, timeout_hours: float = 24.0) -> DataFrame:
+def moving_averages(values: DataFrame, alpha: float = 0.1, delay: str = DELAY, timeout_hours: float = 24.0) -> DataFrame:
     """Exponential moving average of each key of a stream (key, ts, value), kept as state; a batch is taken in the order of ts.
     A key not heard of for so many hours is forgotten, and starts anew."""
     step = _average(alpha, int(timeout_hours * 3_600_000))
-    return values.select("key", "ts", "value").groupBy("key").applyInPandasWithState(step, "key string, ema double, n long", "ema double, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = values.select("key", F.col("ts").cast("timestamp").alias("ts"), "value").withWatermark("ts", delay)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, ema double, n long", "ema double, n long", "update", GroupStateTimeout.EventTimeTimeout)

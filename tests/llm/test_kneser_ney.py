@@ -35,11 +35,11 @@ class Brute:
             self.total[a] += c
         times = lambda x: [sum(c == k for c in x.values()) for k in (1, 2, 3, 4)]
         self.d, self.dl = kn.discounts(times(self.bi)), kn.discounts(times(self.ends))
+        self.rest = sum(self.dl[min(c, 3)] for c in self.ends.values()) / len(self.bi) if self.bi else 1.0
 
     def lower(self, b):
-        rest = sum(self.dl[min(c, 3)] for c in self.ends.values()) / len(self.bi) if self.bi else 1.0
         c = self.ends[b]
-        return ((c - self.dl[min(c, 3)]) / len(self.bi) if self.bi else 0) + rest / (self.v + 1)
+        return ((c - self.dl[min(c, 3)]) / len(self.bi) if self.bi else 0) + self.rest / (self.v + 1)
 
     def p(self, a, b):
         if not self.total[a]:

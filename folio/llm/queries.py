@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontamination, fingerprint, kneser_ney, ngram_join, packing, quality, secret_scan, substring_dedup, token_file, warc, whitening
+from folio.llm import chat_format, decontamination, fingerprint, kneser_ney, ngram_join, packing, quality, secret_scan, substring_dedup, token_file, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_kneser_ney": kneser_ney.op9_kneser_ney,
         "op10_warc": warc.op10_warc,
+        "op11_chat_format": chat_format.op11_chat_format,
         "op13_whitening": whitening.op13_whitening,
     }
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_ngram_jaccard": ngram_join.SQL,
         "op8_decontamination": decontamination.SQL,
         "op10_warc": warc.SQL,
+        "op11_chat_format": chat_format.SQL,
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import chat_format, decontamination, fingerprint, kneser_ney, ngram_join, packing, quality, secret_scan, substring_dedup, token_file, warc, whitening
+from folio.llm import chat_format, decontamination, fingerprint, kneser_ney, ngram_join, packing, prefix_trie, quality, secret_scan, substring_dedup, token_file, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_kneser_ney": kneser_ney.op9_kneser_ney,
         "op10_warc": warc.op10_warc,
         "op11_chat_format": chat_format.op11_chat_format,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
         "op13_whitening": whitening.op13_whitening,
     }
 
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_decontamination": decontamination.SQL,
         "op10_warc": warc.SQL,
         "op11_chat_format": chat_format.SQL,
+        "op12_prefix_trie": prefix_trie.SQL,
     }

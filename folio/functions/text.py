@@ -18,8 +18,9 @@ RUSSIAN_VOWELS = "[аеёиоуыэюя]+"
 LATIN_VOWELS = "[aeiouyàâäáéèêëíîïóôöúùûüœæãõ]+"
 
 
-#: What Python's split() takes for white space.
-BLANK = r"\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: What Python's split() takes for white space: a run of anything else as a pattern, and all characters of it.
+TOKEN = r"(?U)[^\s\x1C-\x1F]+"
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -27,9 +28,16 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def free(df, *names: str) -> list[str]:
+    """Names that no column of `df` has, nor any other of them: these, with as many underscores before as that takes."""
+    taken = {c.lower() for c in df.columns}
+    under = next("_" * n for n in range(1, len(taken) + 3) if not any("_" * n + x in taken for x in names))
+    return [under + x for x in names]
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, f"^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def pieces(c: Column, pattern: str) -> Column:
@@ -47,11 +55,11 @@ def paragraphs(c: Column, separator: str = "\n\n") -> Column:
 
 def tokens(c: Column) -> Column:
     """Parts between white space, punctuation attached."""
-    return F.regexp_extract_all(c, F.lit(f"[^{BLANK}]+"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
 
 
 def token_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"[^{BLANK}]+"))
+    return F.regexp_count(c, F.lit(TOKEN))
 
 
 def words(c: Column, pattern: str = LETTERS) -> Column:

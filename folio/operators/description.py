@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 
 from folio.functions import lexicons as lx
 from folio.functions import text as t
+from folio.functions.markers import count_lists
 
 # Results depend on these lists and patterns.
 TRANSITION_STOPS = "и в на с по для от до при за через".split()
@@ -57,12 +59,14 @@ def unit_coherence(units: DataFrame, key: str = "doc_id", order: str = "chunk_in
     return out.select(key, F.when(one, 1.0).otherwise(F.coalesce("t", F.lit(0.0))).alias("transitions"), F.when(one, 1.0).otherwise(F.coalesce("j", F.lit(0.0))).alias("thematic"))
 
 
-def information_density(c: Column, markers=KEY_MARKERS, facts=FACTS) -> Column:
-    """(2 * key words a word + share of sentences with a fact) / 3; 0 without words."""
-    s, n = t.sentences(c), t.token_count(c)
-    fact = lambda x: F.exists(F.array(*map(F.lit, facts)), lambda p: F.rlike(x, p))
-    score = lambda s, n: (2 * t.count_any(F.lower(c), markers) / _safe(n) + F.size(F.filter(s, fact)) / _safe(F.size(s))) / 3
-    return t.let(s, lambda s: t.let(n, lambda n: F.when((F.size(s) == 0) | (n == 0), 0.0).otherwise(score(s, n))))
+def information_density(c: Column, markers=KEY_MARKERS, facts=FACTS, hits: Column | None = None, sentences: Column | None = None) -> Column:
+    """(2 * key words a word + share of sentences with a fact) / 3; 0 without words. `hits` (occurrences of the key words) and
+    `sentences` can be given where they are known already."""
+    hits = count_lists(F.lower(c), {"keys": markers})["keys"] if hits is None else hits
+    fact = lambda x: reduce(lambda a, b: a | b, [F.rlike(x, F.lit(p)) for p in facts], F.lit(False))
+    score = lambda x: (2 * x["hits"] / _safe(x["n"]) + F.size(F.filter(x["s"], fact)) / _safe(F.size(x["s"]))) / 3
+    known = F.struct((t.sentences(c) if sentences is None else sentences).alias("s"), t.token_count(c).alias("n"), hits.alias("hits"))
+    return t.let(known, lambda x: F.when((F.size(x["s"]) == 0) | (x["n"] == 0), 0.0).otherwise(score(x)))
 
 
 def pattern_counts(c: Column, patterns=PATTERNS, literal: bool = False) -> Column:
@@ -99,7 +103,9 @@ def description_report(df: DataFrame, markers: dict, senses: dict, key: str = "d
     segment = F.floor(F.col("sentences") / 5)
     placed = found.join(base, key).withColumn("segment", F.when(segment == 0, 4).otherwise(F.least(F.floor(F.col("place") / _safe(segment)), F.lit(4))))
     low = F.lower("sentence")
-    per = {f"sense_{i}": t.count_any(low, v) for i, v in enumerate(senses.values())} | {f"device_{i}": pattern_counts(low, {"x": v})["x"] for i, v in enumerate(devices.values())} | {f"time_{i}": t.count_any(low, v) for i, v in enumerate(times.values())}
+    lists = {f"sense_{i}": v for i, v in enumerate(senses.values())} | {f"time_{i}": v for i, v in enumerate(times.values())}
+    placed = placed.withColumn("hits", count_lists(low, lists))
+    per = {name: F.col("hits")[name] for name in lists} | {f"device_{i}": pattern_counts(low, {"x": v})["x"] for i, v in enumerate(devices.values())}
     sums = placed.groupBy(key).agg(
         F.count("*").alias("n"), F.sum("length").alias("described"), F.avg("length").alias("mean_length"), F.max("length").alias("max_length"), F.stddev_pop("length").alias("sd"), F.avg("score").alias("mean_score"),
         F.count_distinct("segment").alias("segments"), F.size(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"), *(F.sum(v).alias(k) for k, v in per.items()),

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from folio.functions import lexicons as lx
 from folio.functions import text as t
+from folio.functions.markers import count_lists, count_lists_in, keys_in
 from folio.operators.description import FACTS, KEY_MARKERS, PATTERNS, information_density, overall_structure, pattern_counts, transition
 from folio.operators.readability import rollup
 
@@ -22,34 +23,42 @@ def _safe(n: Column) -> Column:
     return F.greatest(n, F.lit(1))
 
 
+def _counted(c: Column, lists) -> Column:
+    """Number of words, and occurrences of word lists in the lower-cased text."""
+    return F.struct(t.token_count(c).alias("n"), count_lists(F.lower(c), lists).alias("hits"))
+
+
 def character_score(c: Column, keywords=lx.CHARACTER) -> Column:
     marks = t.count_sub(c, "—") + t.count_sub(c, '"') + t.count_sub(c, "«")
     names = F.regexp_count(c, F.lit(r"(?<=[а-яa-z]\s)[А-ЯA-Z][а-яa-z]+"))
 
-    def score(n):
-        found = 0.4 * F.least(t.count_any(F.lower(c), keywords) / _safe(n), F.lit(1.0)) + 0.4 * F.least(marks / 10, F.lit(1.0)) + 0.2 * F.least(names / _safe(n), F.lit(1.0))
+    def score(x):
+        n = x["n"]
+        found = 0.4 * F.least(x["hits"]["key"] / _safe(n), F.lit(1.0)) + 0.4 * F.least(marks / 10, F.lit(1.0)) + 0.2 * F.least(names / _safe(n), F.lit(1.0))
         return F.when(n == 0, 0.0).when(n > 0, F.least(found, F.lit(1.0)))
 
-    return t.let(t.token_count(c), score)
+    return t.let(_counted(c, {"key": keywords}), score)
 
 
 def tension_score(c: Column, keywords=lx.TENSION) -> Column:
     """0 to 10."""
     short = t.let(F.split(c, "[.!?]+"), lambda p: F.size(F.filter(p, lambda x: t.token_count(x).between(1, 7))) / F.size(p))
 
-    def score(n):
-        found = 5 * F.least(20 * t.count_any(F.lower(c), keywords) / _safe(n), F.lit(1.0)) + 3 * F.least(t.count_sub(c, "!") / 5, F.lit(1.0)) + 2 * short
+    def score(x):
+        n = x["n"]
+        found = 5 * F.least(20 * x["hits"]["key"] / _safe(n), F.lit(1.0)) + 3 * F.least(t.count_sub(c, "!") / 5, F.lit(1.0)) + 2 * short
         return F.when(n == 0, 0.0).when(n > 0, F.least(found, F.lit(10.0)))
 
-    return t.let(t.token_count(c), score)
+    return t.let(_counted(c, {"key": keywords}), score)
 
 
 def event_density(c: Column, events=lx.EVENTS, fast=lx.FAST, slow=lx.SLOW) -> Column:
-    def score(n, low):
-        found = F.least(t.count_any(low, events) / _safe(n), F.lit(1.0)) + 0.3 * (t.count_any(low, fast) - t.count_any(low, slow)) / _safe(n)
+    def score(x):
+        n, hits = x["n"], x["hits"]
+        found = F.least(hits["events"] / _safe(n), F.lit(1.0)) + 0.3 * (hits["fast"] - hits["slow"]) / _safe(n)
         return F.when(n == 0, 0.0).when(n > 0, t.clamp(found))
 
-    return t.let(t.token_count(c), lambda n: t.let(F.lower(c), lambda low: score(n, low)))
+    return t.let(_counted(c, {"events": events, "fast": fast, "slow": slow}), score)
 
 
 def dialogue_ratio(c: Column) -> Column:
@@ -58,7 +67,8 @@ def dialogue_ratio(c: Column) -> Column:
 
 
 def relevant(chunks: DataFrame, kind: str, threshold: float | None = None, text: str = "content", key: str = "doc_id") -> DataFrame:
-    """Chunks whose score for `kind` (character, tension; others keep all) reaches the threshold, with coverage of their text."""
+    """Chunks whose score for `kind` (character, tension; others keep all) reaches the threshold, with coverage of their text.
+    Columns called score or coverage are replaced."""
     score, least = {"character": (character_score(F.col(text)), 0.3), "tension": (tension_score(F.col(text)), 0.5)}.get(kind, (F.lit(1.0), 0.0))
     least = least if threshold is None else threshold
     w = Window.partitionBy(key)
@@ -79,13 +89,14 @@ def pace_report(scored: DataFrame, key: str = "doc_id") -> DataFrame:
 def timeline(scored: DataFrame, rate: float = 0.1, key: str = "doc_id", order: str = "chunk_index") -> DataFrame:
     """Every max(int(n * rate), 1)-th chunk."""
     w = Window.partitionBy(key)
-    step = F.greatest(F.floor(F.count("*").over(w) * rate), F.lit(1))
-    return scored.withColumn("step", step).withColumn("ordinal", F.row_number().over(w.orderBy(order)) - 1).where(F.col("ordinal") % F.col("step") == 0).drop("step", "ordinal")
+    step, ordinal = t.free(scored, "step", "ordinal")
+    rows = scored.withColumns({step: F.greatest(F.floor(F.count("*").over(w) * rate), F.lit(1)), ordinal: F.row_number().over(w.orderBy(order)) - 1})
+    return rows.where(F.col(ordinal) % F.col(step) == 0).drop(step, ordinal)
 
 
 def tension_report(chunks: DataFrame, peak: float = 0.6, peaks: int = 15, text: str = "content", key: str = "doc_id", order: str = "chunk_index") -> DataFrame:
     """Mean tension of each text and its first `peaks` chunks over the threshold, in order."""
-    scored = chunks.withColumn("tension", tension_score(F.col(text)))
+    scored = chunks.select(key, order, tension_score(F.col(text)).alias("tension"))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("tension") < peak, order))
     first = F.when((F.col("tension") >= peak) & (F.col("_n") <= peaks), F.struct(F.col(order), "tension"))
     return scored.withColumn("_n", place).groupBy(key).agg(F.avg("tension").alias("avg_tension"), F.count_if(F.col("tension") >= peak).alias("peak_count"), F.array_sort(F.collect_list(first)).alias("peaks"))
@@ -138,12 +149,14 @@ def dialogue_report(
         lambda a, i: t.let(F.when(i == a["last"] + 1, a["run"] + 1).otherwise(1), lambda r: F.struct(i.alias("last"), r.alias("run"), F.greatest(a["best"], r).alias("best"))), lambda a: a["best"],
     )
     over = lambda column, value: t.total(F.col(column), value)
-    counted = {f"_e{i}": over("_low", lambda x, v=v: t.count_any(x, v)) for i, v in enumerate(emotions.values())} | {f"_f{i}": over("_low", lambda x, v=v: t.count_any(x, v)) for i, v in enumerate(features.values())}
+    lists = {f"_e{i}": v for i, v in enumerate(emotions.values())} | {f"_f{i}": v for i, v in enumerate(features.values())} | {"_natural": natural}
+    rows = rows.withColumn("_hits", count_lists_in(F.col("_low"), lists))
+    counted = {name: F.col("_hits")[name] for name in lists}
     marks = {"_q": over("_low", lambda x: t.count_sub(x, "?")), "_x": over("_low", lambda x: t.count_sub(x, "!")), "_dots": over("_low", lambda x: t.count_sub(x, "...")), "_dot": over("_low", lambda x: t.count_sub(x, "…"))}
     rows = rows.withColumns({
         **counted, **marks, "_run": runs, "_speech_words": over("_len", lambda x: x), "_speech_chars": over("_parts", lambda x: F.length(x)), "_words": t.token_count("_t"), "_author": over("_d", lambda x: x["author_words"]),
         "_simple": F.size(F.filter("_parts", lambda x: ~F.contains(x, F.lit(",")))), "_incomplete": F.size(F.filter("_parts", lambda x: x.rlike(INCOMPLETE))), "_open": F.size(F.filter("_parts", lambda x: ~x.rlike(r"[.!?]$"))),
-        "_natural": over("_low", lambda x: t.count_any(x, natural)), "_colloquial": t.count_in(F.col("_w"), colloquial), "_interjections": t.count_in(F.col("_w"), interjections),
+        "_colloquial": t.count_in(F.col("_w"), colloquial), "_interjections": t.count_in(F.col("_w"), interjections),
         "_distinct": F.size(F.array_distinct("_w")), "_blocks": F.size(F.split("_t", separator.replace("\n", "\\n"))), "_length_variance": t.variance(F.col("_len")),
     })
     n, some, of_words = _safe(F.col("_n")), F.size("_d") > 0, _safe(F.size("_w"))
@@ -212,7 +225,8 @@ def repetitions(chunks: DataFrame, patterns=lx.REPEATS, text: str = "content", k
     listed = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(p).alias("phrase")) for k, v in patterns.items() for p in v))
     nothing = F.expr("cast(array() as array<struct<kind:string,phrase:string>>)")
     # what a chunk has is found once, and only that is handed to its neighbour
-    own = chunks.select(key, order, F.array_distinct(keywords(F.col(text))).alias("ka"), t.let(F.lower(text), lambda low: F.filter(listed, lambda x: F.contains(low, x["phrase"]))).alias("pa"))
+    found = chunks.select(key, order, F.array_distinct(keywords(F.col(text))).alias("ka"), keys_in(F.lower(text), [p for v in patterns.values() for p in v]).alias("found"))
+    own = found.select(key, order, "ka", F.filter(listed, lambda x: F.array_contains("found", x["phrase"])).alias("pa"))
     pairs = own.withColumns({"kb": F.lead("ka").over(w), "pb": F.lead("pa").over(w)}).where("kb is not null").withColumn("similarity", jaccard(F.col("ka"), F.col("kb")))
     either = F.filter(listed, lambda x: F.array_contains("pa", x) | F.array_contains("pb", x))
     hits = F.when(F.col("similarity") > 0.3, either).otherwise(nothing)
@@ -228,7 +242,8 @@ def water_report(chunks: DataFrame, patterns=lx.WATER, text: str = "content", ke
     by_size: dict[int, list[str]] = {}
     for phrase in (p for v in patterns.values() for p in v):
         by_size.setdefault(len(phrase.split()), []).append(phrase)
-    phrases = t.let(F.lower(text), lambda low: sum((t.count_any(low, v) * k for k, v in by_size.items()), F.lit(0.0)))
+    hits = count_lists(F.lower(text), {f"words_{k}": v for k, v in by_size.items()})
+    phrases = sum((hits[f"words_{k}"] * k for k in by_size), F.lit(0.0))
     sums = chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.sum(t.token_count(text)).alias("words"), F.sum(phrases).alias("phrase_words"))
     again = repetitions(chunks, repeats, text, key, order).groupBy(key).agg(F.count("*").alias("repeats"))
     out = sums.join(often, key, "left").join(again, key, "left")
@@ -260,11 +275,13 @@ def structure_report(df: DataFrame, key: str = "doc_id", text: str = "text", sep
     rows = rows.withColumns({"_pl": F.transform("_p", lambda x: t.token_count(x).cast("double")), "_sl": F.transform("_s", lambda x: t.token_count(x).cast("double")), "_ends": F.transform("_p", lambda x: t.let(t.sentences(x), lambda s: F.struct(F.get(s, F.lit(0)).alias("first"), F.try_element_at(s, F.lit(-1)).alias("last"))))})
     steps = F.when(F.size("_ends") > 1, F.sequence(F.lit(1), F.size("_ends") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
     step = lambda i: F.coalesce(transition(F.get("_ends", i - 1)["last"], F.get("_ends", i)["first"], links), F.lit(0.0))
-    kinds = {f"links_{i}": t.count_any(F.col("_l"), v) for i, v in enumerate(links.values())} | {f"part_{i}": t.count_any(F.col("_l"), v) for i, v in enumerate(parts.values())}
+    lists = {f"links_{i}": v for i, v in enumerate(links.values())} | {f"part_{i}": v for i, v in enumerate(parts.values())}
+    rows = rows.withColumn("_hits", count_lists(F.col("_l"), {**lists, "_keys": markers}))
+    kinds = {name: F.col("_hits")[name] for name in lists}
     marks = {f"_m{i}": sum((t.count_sub(F.col("_t"), x) for x in v), F.lit(0.0)) for i, v in enumerate(((",", ";", ":"), ("!", "?"), ("...", "—", "–")))}
     rows = rows.withColumns({
         **kinds, **marks, "_words": t.token_count("_t"), "mean_p": t.mean(F.col("_pl")), "sum_p": t.total(F.col("_pl")), "mean_s": t.mean(F.col("_sl")), "var_p": t.variance(F.col("_pl")), "var_s": t.variance(F.col("_sl")),
-        "_steps": F.when(F.size("_ends") < 2, 1.0).otherwise(t.total(steps, step) / F.greatest(F.size("_ends") - 1, F.lit(1))), "information_density": information_density(F.col("_t"), markers, facts), "_kinds": pattern_counts(F.col("_t"), patterns),
+        "_steps": F.when(F.size("_ends") < 2, 1.0).otherwise(t.total(steps, step) / F.greatest(F.size("_ends") - 1, F.lit(1))), "information_density": information_density(F.col("_t"), markers, facts, F.col("_hits")["_keys"], F.col("_s")), "_kinds": pattern_counts(F.col("_t"), patterns),
     })
     k, size = _safe(F.size("_s")), _safe(F.size("_pl"))
     regular = F.when(F.col("mean_p") > 0, F.greatest(F.lit(0.0), 1 - t.mean(F.col("_pl"), lambda x: F.abs(x - F.col("mean_p"))) / F.greatest("mean_p", F.lit(1e-9)))).otherwise(0.0)
@@ -308,13 +325,16 @@ def structure_rollup(chunks: DataFrame, key: str = "doc_id", order: str = "chunk
 
 
 def coherence(df: DataFrame, key: str = "doc_id", text: str = "text", word: str = t.LETTERS, stop_words=()) -> DataFrame:
-    """Overlap of the word sets of neighbour sentences, divided by the larger, averaged; texts of one sentence: 1."""
-    s = df.select(F.col(key), F.posexplode_outer(t.sentences(F.col(text))).alias("i", "sentence"))
-    words = F.array_except(F.array_distinct(t.words(F.col("sentence"), word)), t.word_list(list(stop_words)))
-    s = s.select(key, "i", words.alias("w")).withColumn("v", F.lag("w").over(Window.partitionBy(key).orderBy("i")))
-    pair = F.when((F.size("w") > 0) & (F.size("v") > 0), F.size(F.array_intersect("w", "v")) / F.greatest(F.size("w"), F.size("v")))
-    out = s.groupBy(key).agg(F.count("i").alias("n"), F.sum(pair).alias("s"))
-    return out.select(key, F.when(F.col("n") < 2, 1.0).otherwise(F.coalesce("s", F.lit(0.0)) / F.greatest(F.col("n") - 1, F.lit(1))).alias("coherence"))
+    """Overlap of the word sets of neighbour sentences, divided by the larger, averaged; texts of one sentence or none: 1. One
+    row a text, made in its own row."""
+    sets = F.transform(t.sentences(F.lower(text)), lambda x: F.array_except(F.array_distinct(F.regexp_extract_all(x, F.lit(word), F.lit(0))), t.word_list(list(stop_words))))
+    pair = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b))).otherwise(0.0)
+
+    def score(w):
+        steps = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), pair)
+        return F.when(F.size(w) < 2, 1.0).otherwise(t.total(steps) / (F.size(w) - 1))
+
+    return df.select(key, F.coalesce(t.let(sets, score), F.lit(1.0)).alias("coherence"))
 
 
 def top_terms(df: DataFrame, key: str = "doc_id", text: str = "text", word: str = r"\p{L}{2,}", stop_words=(), features: int = 100, top: int = 20) -> DataFrame:

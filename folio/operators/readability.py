@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import lexicons as lx
 from folio.functions import text as t
+from folio.functions.markers import count_lists
 
 GRADES = [(0.2, "very_difficult"), (0.4, "difficult"), (0.6, "medium"), (0.8, "easy")]
 LEVELS = [(0.3, "elementary"), (0.6, "intermediate"), (0.8, "advanced")]
@@ -19,12 +20,14 @@ MARKS = ',;:!?-—()[]{}«»"'
 
 
 def _add(df: DataFrame, text: str, name: str, steps: list[dict[str, Column]], fields: list[str]) -> DataFrame:
-    """Adds helper columns step by step, packs the named ones, and drops the rest."""
-    keep = df.columns
+    """Adds helper columns step by step, packs the named ones, and drops the rest. Meanwhile the columns of `df` go by
+    their numbers, so that no helper can take the name of one; one that is called `name` is replaced. Steps know the text as _text."""
+    keep = [(i, c) for i, c in enumerate(df.columns) if c != name]
+    made = df.select(*(F.col(f"`{c}`").alias(f"{i}") for i, c in keep), F.col(f"`{text}`").alias("_text"))
     for step in steps:
-        df = df.withColumns(step)
-    packed = F.when(F.col(f"`{text}`").isNotNull(), F.struct(*(F.col(f"_{f}").alias(f) for f in fields)))
-    return df.select(*(F.col(f"`{c}`") for c in keep), packed.alias(name))
+        made = made.withColumns(step)
+    packed = F.when(F.col("_text").isNotNull(), F.struct(*(F.col(f"_{f}").alias(f) for f in fields)))
+    return made.select(*(F.col(f"`{i}`").alias(c) for i, c in keep), packed.alias(name))
 
 
 def readability(
@@ -34,23 +37,26 @@ def readability(
     subordinate: str = r"(?U)\b(который|которая|которые|что|чтобы)\b", marks: str = MARKS, name: str = "readability", fields: list[str] | None = None,
 ) -> DataFrame:
     """Counts, five indices, lexical, organisational and cognitive measures, and the overall score with its grade; or only
-    the `fields` named, and what they need."""
-    c, w, s = F.col(f"`{text}`"), F.col("_w"), F.col("_s")
+    the `fields` named, and what they need. Words are sought sentence by sentence, so none goes past a sentence's end."""
+    c, w, s = F.col("_text"), F.col("_w"), F.col("_s")
     n, k = F.size(w), F.size(s)
-    low = F.lower(c)
+    low = F.col("_low")
     is_stop = lambda x: F.array_contains(t.word_list(stop_words), x)
     has_suffix = lambda x: t.contains_any(x, suffixes)
     asl, asw, cpw = F.col("_words_per_sentence"), F.col("_syllables_per_word"), F.col("_chars_per_word")
     some = (F.col("_words") > 0) & (F.col("_sentences") > 0)
     index = lambda x: F.when(some, x).otherwise(0.0)
     per = lambda a, b: a / F.greatest(b, F.lit(1))
-    content = lambda x: F.array_except(F.array_distinct(t.words(x, word)), t.word_list(stop_words))
+    content = lambda x: F.array_except(F.array_distinct(x), t.word_list(stop_words))
     pair = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b))).otherwise(0.0)
     steps = [
-        {"_w": t.words(c, word), "_s": t.sentences(c), "_p": F.split(c, separator.replace("\n", "\\n"))},
+        {"_low": F.lower(c)},
+        {"_s": t.sentences(low), "_p": F.split(c, separator.replace("\n", "\\n")), "_hits": count_lists(low, {"connectives": connectives, "abstract": abstract})},
+        {"_by_sentence": F.transform(s, lambda x: F.regexp_extract_all(x, F.lit(word), F.lit(0)))},
+        {"_w": F.flatten("_by_sentence")},
         # what is asked of each word, once: length, syllables, whether a suffix is in it
-        {"_each": F.transform(w, lambda x: F.struct(F.length(x).alias("n"), t.syllables(x, vowels).alias("y"), has_suffix(x).alias("f"))), "_syll": F.transform(w, lambda x: t.syllables(x, vowels)), "_content": F.filter(w, lambda x: ~is_stop(x)), "_sets": F.transform(s, content), "_pl": F.transform(t.paragraphs(c, separator), lambda x: t.token_count(x).cast("double")), "_tok": t.token_count(c)},
-        {"_chars": F.length(F.regexp_replace(c, r"(?U)\s+", "")).cast("long"), "_words": n.cast("long"), "_sentences": k.cast("long"), "_paragraphs": F.size(t.paragraphs(c, separator)).cast("long"), "_syllables": t.total(F.col("_syll")).cast("long"), "_long": F.size(F.filter(F.col("_syll"), lambda x: x >= 3))},
+        {"_each": F.transform(w, lambda x: F.struct(F.length(x).alias("n"), t.syllables(x, vowels).alias("y"), has_suffix(x).alias("f"))), "_content": F.filter(w, lambda x: ~is_stop(x)), "_sets": F.transform("_by_sentence", content), "_pl": F.transform(t.paragraphs(c, separator), lambda x: t.token_count(x).cast("double")), "_tok": t.token_count(c)},
+        {"_chars": F.length(F.regexp_replace(c, r"(?U)\s+", "")).cast("long"), "_words": n.cast("long"), "_sentences": k.cast("long"), "_paragraphs": F.size(t.paragraphs(c, separator)).cast("long"), "_syllables": t.total(F.col("_each"), lambda x: x["y"]).cast("long"), "_long": F.size(F.filter("_each", lambda x: x["y"] >= 3))},
         {
             "_words_per_sentence": per(F.col("_words"), F.col("_sentences")), "_sentences_per_paragraph": per(F.col("_sentences"), F.col("_paragraphs")), "_syllables_per_word": per(F.col("_syllables"), F.col("_words")), "_chars_per_word": per(F.col("_chars"), F.col("_words")),
             "_lexical_diversity": per(F.size(F.array_distinct(w)), n), "_stop_words_ratio": per(n - F.size(F.col("_content")), n),
@@ -66,11 +72,11 @@ def readability(
             "_organization": F.least(
                 F.when(F.size("_p") > 1, 0.3).otherwise(0.0)
                 + F.when(F.size("_pl") > 0, 0.3 / (1 + t.variance(F.col("_pl")) / F.pow(F.greatest(t.mean(F.col("_pl")), F.lit(1e-9)), 2))).otherwise(0.0)
-                + F.least(per(t.count_any(low, connectives), F.col("_tok")) * 10, F.lit(0.4)), F.lit(1.0)),
+                + F.least(per(F.col("_hits")["connectives"], F.col("_tok")) * 10, F.lit(0.4)), F.lit(1.0)),
             "_coherence": F.when(k < 2, 1.0).otherwise(t.total(F.when(k > 1, F.sequence(F.lit(1), k - 1)).otherwise(F.array(F.lit(0))), lambda i: pair(F.get("_sets", i - 1), F.get("_sets", i))) / F.greatest(k - 1, F.lit(1))),
-            "_parallel": F.least(per(t.total(s, lambda x: F.lower(x).rlike(enumeration).cast("int") + F.lower(x).rlike(conditional).cast("int")), k), F.lit(1.0)),
+            "_parallel": F.least(per(t.total(s, lambda x: x.rlike(enumeration).cast("int") + x.rlike(conditional).cast("int")), k), F.lit(1.0)),
             "_information_density": F.when(n == 0, 0.0).otherwise(F.least((F.size("_content") / F.greatest(n, F.lit(1)) + per(F.size(F.array_distinct("_content")), F.size("_content"))) / 2, F.lit(1.0))),
-            "_concept_complexity": F.when(n == 0, 0.0).otherwise(F.least(5 * (t.count_any(low, abstract) + F.size(F.filter("_each", lambda x: (x["n"] > 8) & x["f"]))) / F.greatest(n, F.lit(1)), F.lit(1.0))),
+            "_concept_complexity": F.when(n == 0, 0.0).otherwise(F.least(5 * (F.col("_hits")["abstract"] + F.size(F.filter("_each", lambda x: (x["n"] > 8) & x["f"]))) / F.greatest(n, F.lit(1)), F.lit(1.0))),
             "_memory_load": (F.least(asl / 30, F.lit(1.0)) + F.least(per((F.regexp_count(low, F.lit(r"(?U)\b\w+,\s*\w+,\s*\w+\b")) + F.regexp_count(low, F.lit(r"\([^)]+\)")) + F.regexp_count(low, F.lit(subordinate))) * 1.0, k), F.lit(1.0))) / 2,
         },
         {"_overall": t.clamp(50 + F.col("_flesch") * 0.25 + 100 * (-0.1 * F.col("_lexical_diversity") - 0.2 * F.col("_complex_words_ratio") + 0.1 * F.col("_stop_words_ratio") + 0.15 * F.col("_coherence") + 0.15 * F.col("_organization") - 0.1 * F.col("_information_density") - 0.15 * (1 - F.least(F.abs(asl - 17.5) / 17.5, F.lit(1.0)))), 0.0, 100.0) / 100},
@@ -85,7 +91,7 @@ def complexity(
 ) -> DataFrame:
     """Linguistic, structural, lexical and syntactic complexity, and the overall score with its level. `common_words` is the list
     of words that don't count as rare; it has no default."""
-    c, w, s = F.col(f"`{text}`"), F.col("_w"), F.col("_s")
+    c, w, s = F.col("_text"), F.col("_w"), F.col("_s")
     n, k = F.size(w), F.size(s)
     asl, asw, share = F.col("_words_per_sentence"), F.col("_syllables_per_word"), F.col("_complex_words_ratio")
     some = (n > 0) & (k > 0)
@@ -102,8 +108,11 @@ def complexity(
         lambda a: a["sum"] + F.when(a["run"] > 0, a["run"] * F.log2(a["run"])).otherwise(0.0),
     )
     steps = [
-        {"_w": t.words(c, word), "_s": t.sentences(c)},
-        {"_lengths": F.transform(s, lambda x: F.size(t.words(x, word)).cast("double")), "_syll": F.transform(w, lambda x: t.syllables(x, vowels)), "_sorted": F.array_sort(w), "_paragraphs": F.size(t.paragraphs(c, separator)).cast("long")},
+        {"_low": F.lower(c)},
+        {"_s": t.sentences(F.col("_low")), "_hits": count_lists(F.col("_low"), {"conjunctions": conjunctions})},
+        {"_by_sentence": F.transform(s, lambda x: F.regexp_extract_all(x, F.lit(word), F.lit(0)))},
+        {"_w": F.flatten("_by_sentence")},
+        {"_lengths": F.transform("_by_sentence", lambda x: F.size(x).cast("double")), "_syll": F.transform(w, lambda x: t.syllables(x, vowels)), "_sorted": F.array_sort(w), "_paragraphs": F.size(t.paragraphs(c, separator)).cast("long")},
         {"_words_per_sentence": of(n / F.greatest(k, F.lit(1))), "_syllables_per_word": of(per(t.total(F.col("_syll")), n)), "_complex_words_ratio": of(per(F.size(F.filter(F.col("_syll"), lambda x: x > 3)), n)), "_word_length": per(t.total(w, lambda x: F.length(x)), n)},
         {
             "_flesch": of(t.clamp(206.835 - 1.52 * asl - 65.14 * asw, 0.0, 100.0) / 100), "_ari": of(t.clamp(4.71 * F.col("_word_length") + 0.5 * asl - 21.43, 0.0, 20.0) / 20), "_fog": of(t.clamp(0.4 * (asl + 100 * share), 0.0, 20.0) / 20),
@@ -112,8 +121,8 @@ def complexity(
             "_sentences_per_paragraph": per(k, F.col("_paragraphs")),
             "_lexical_diversity": F.when(n > 0, per(F.size(distinct), n)), "_rare_words_ratio": F.when(n > 0, per(n - t.count_in(w, common_words), n)),
             "_lexical_entropy": F.when(n > 0, F.least((F.log2(F.greatest(n, F.lit(1)).cast("double")) - per(runs, n)) / 10, F.lit(1.0))),
-            "_comma_density": per(t.count_sub(c, ",") * 1000, F.length(c)), "_conjunction_density": per(t.count_any(F.lower(c), conjunctions), n),
-            "_complex_sentence_ratio": per(F.size(F.filter(s, lambda x: (t.count_sub(x, ",") > 2) | t.contains_any(F.lower(x), conjunctions) | (F.size(t.words(x, word)) > 20))), k),
+            "_comma_density": per(t.count_sub(c, ",") * 1000, F.length(c)), "_conjunction_density": per(F.col("_hits")["conjunctions"], n),
+            "_complex_sentence_ratio": per(F.size(F.filter(F.zip_with(s, "_lengths", lambda x, y: (t.count_sub(x, ",") > 2) | t.contains_any(x, conjunctions) | (y > 20)), lambda x: x)), k),
             "_commas_per_sentence": per(t.count_sub(c, ","), k),
         },
     ]
@@ -126,7 +135,7 @@ def complexity(
 
 def style(df: DataFrame, text: str = "text", separator: str = "\n", name: str = "style") -> DataFrame:
     """Word, sentence and paragraph counts, mean lengths, share of words over 7 characters, type-token ratio."""
-    c, w = F.col(f"`{text}`"), F.col("_w")
+    c, w = F.col("_text"), F.col("_w")
     n = F.size(w)
     per = lambda a, b: a / F.greatest(b, F.lit(1))
     steps = [
@@ -140,11 +149,11 @@ def style(df: DataFrame, text: str = "text", separator: str = "\n", name: str =
 def emotion(df: DataFrame, text: str = "text", emotions=lx.EMOTIONS, positive=("радость",), negative=("грусть", "гнев", "страх", "отвращение"), limit: int | None = None, name: str = "emotion") -> DataFrame:
     """Lexicon emotions of the whole text, or of its first `limit` characters: occurrences a word, times 10, rounded to
     3 places; the dominant one (the first of equals, in the order given), tone and tone score."""
-    c = F.col(f"`{text}`") if limit is None else F.left(F.col(f"`{text}`"), F.lit(limit))
+    c = F.col("_text") if limit is None else F.left("_text", F.lit(limit))
     n = F.greatest(F.size(t.tokens(c)), F.lit(1))
     keys = list(emotions)
-    score = {k: F.round(t.count_any(F.lower(c), v) / n * 10, 3) for k, v in emotions.items()}
-    steps = [{f"_e{i}": score[k] for i, k in enumerate(keys)}]
+    steps = [{"_hits": count_lists(F.lower(c), {f"e{i}": emotions[k] for i, k in enumerate(keys)}), "_n": n}]
+    steps += [{f"_e{i}": F.round(F.col("_hits")[f"e{i}"] / F.col("_n") * 10, 3) for i in range(len(keys))}]
     of = lambda names: sum((F.col(f"_e{keys.index(k)}") for k in names), F.lit(0.0))
     p, q = F.col("_p"), F.col("_q")
     best = F.array_max(F.array(*(F.struct(F.col(f"_e{i}").alias("s"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, k in enumerate(keys))))

@@ -248,6 +248,18 @@ def _count(model: Model | None, bits: int, k: int = 1):
     return run
 
 
+def _narrow(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and rows of sums of 64 bits -> keys and rows of 32 bits that add up to these: what a row can't hold stands in
+    further rows of its key."""
+    most = (1 << 32) - 1
+    out, rest = [(keys, np.minimum(sums, most))], np.maximum(sums - most, 0)
+    while (at := np.flatnonzero(rest.any(axis=1))).size:
+        keys, rest = keys[at], rest[at]
+        out.append((keys, np.minimum(rest, most)))
+        rest = np.maximum(rest - most, 0)
+    return np.concatenate([k for k, _ in out]), np.concatenate([n for _, n in out]).astype(np.uint32)
+
+
 def _write_keys(path: str, name: str, counts: str | None):
     """Writes a bucket's sorted keys, and their counts if these have a name."""
 
@@ -280,8 +292,8 @@ def _sums(model: Model, k: int):
                 ids = np.concatenate((keys // model.words, model.without_first(k, keys)))
                 seen, back = np.unique(ids, return_inverse=True)
                 sums = np.bincount(back * 5 + np.concatenate((np.minimum(n, 3) - 1, np.full(many, 3))), minlength=5 * len(seen)).reshape(-1, 5)
-                sums[:, 4] = np.bincount(back[:many], n, len(seen))
-                held.append((seen.astype(np.uint64), np.minimum(sums, 2**32 - 1).astype(np.uint32)))
+                sums[:, 4] = np.bincount(back[:many], n, len(seen))  # exact: fewer tokens than 2^53
+                held.append(_narrow(seen.astype(np.uint64), sums))
                 size += len(seen)
                 times += np.array([*(int((n == x).sum()) for x in (1, 2, 3, 4)), many], np.uint64)
                 if size >= FLUSH // 2:
@@ -332,6 +344,9 @@ def train(docs: DataFrame, path: str, order: int = ORDER) -> Model:
     """Counts all rows of `docs` and writes a model of runs of up to `order` (2 or more) words under `path`, which all machines
     reach. Each order takes one more pass over the texts. Only sums by bucket reach the driver.
 
+    A run's key is a number of 63 bits: (different runs of order - 1 words + 1) * different words has to stay below 2^63
+    (for order 3, say, 10^9 words with 9 * 10^9 pairs of them); a larger corpus raises ValueError before the order is counted.
+
     Null texts are the end alone. Very long texts are counted whole. Repeated rows count as often as they are there. Empty
     table: a model of nothing. Other columns, whatever their names, are not looked at."""
     with tidy(docs.sparkSession):

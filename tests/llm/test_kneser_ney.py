@@ -10,6 +10,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyarrow import fs
 
@@ -162,3 +163,22 @@ def test_order(spark, tmp_path, order):
     for x in kn.score(spark.createDataFrame(list(enumerate(ask)), "doc_id long, text string"), model).collect():
         w = [*pad, *tokens(ask[x.doc_id])]
         assert x.score == pytest.approx(sum(math.log10(p(order, tuple(w[i : i + order]))) for i in range(len(w) - order + 1)))
+
+
+def test_sums_past_32_bits(spark, tmp_path, monkeypatch):
+    """Sums that a row of 32 bits can't hold go on in further rows; nothing is cut. Counts are patched to reach that."""
+    keys, sums = np.array([3, 5, 9], np.uint64), np.array([[1, 0, 0, 2, 2**33], [0, 1, 0, 0, 7], [0, 0, 1, 1, 5 * 2**32 + 11]], np.int64)
+    k, narrow = kn._narrow(keys, sums)
+    assert narrow.dtype == np.uint32 and len(k) > 3
+    assert all(narrow[k == key].sum(axis=0, dtype=np.int64).tolist() == row.tolist() for key, row in zip(keys, sums, strict=True))
+    got, back = kn._merge(pa.Table.from_batches([kn._pack(k, narrow, np.zeros(len(k), np.int64))]), 5)
+    assert got.tolist() == keys.tolist() and back.tolist() == sums.tolist()
+
+    docs = spark.createDataFrame([(i, "a b a c a b") for i in range(3)], "doc_id long, text string")
+    model = kn.train(docs, f"file://{tmp_path}/m", 2)
+    real = kn._counts
+    monkeypatch.setattr(kn, "_counts", lambda path, name, *a: real(path, name, *a) * (2**32 if name.startswith("gram_counts") else 1))
+    rows = pa.Table.from_batches(list(kn._sums(model, 2)(iter([pa.record_batch([pa.array(range(len(model.places(2)) - 1))], ["id"])]))))
+    rows = rows.filter(pc.not_equal(rows["bucket"], -1))
+    total = sum(int(kn._merge(rows.filter(pc.equal(rows["bucket"], b)), 5)[1][:, 4].sum()) for b in set(rows["bucket"].to_pylist()))
+    assert total == 3 * 7 * 2**32  # 7 pairs a text, with its start and end

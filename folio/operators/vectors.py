@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
+from folio.functions.text import let
+from folio.operators.ranges import ranks, with_next
+
 #: Query vectors in one broadcast block, at most; more are searched block by block. Queries that are scored at once.
 QUERY_BLOCK, TILE = 20_000, 512
 #: Vectors, or queries, of a cell that one task compares; rows of a group on a side of a tile of pairs.
@@ -216,33 +219,6 @@ def ivf_search(queries: DataFrame, indexed: DataFrame, centres: list, probes: in
     return _best(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)  # a vector may lie in several cells
 
 
-def pq(vectors: DataFrame, parts: int, codes: int = 256, seed: int = 42, sample: int = 20_000) -> tuple[DataFrame, list]:
-    """Product quantisation: each of `parts` slices gets the number of its nearest code; returns codes and code books."""
-    size = len(vectors.select("embedding").first()[0])
-    if size % parts:
-        raise ValueError("the number of values must be divisible by parts")
-    d, books, out = size // parts, [], vectors
-    for p in range(parts):
-        out = out.withColumn("features", array_to_vector(F.transform(F.slice("embedding", p * d + 1, d), lambda x: x.cast("double"))))
-        model = KMeans(k=codes, seed=seed + p, maxIter=5, initSteps=1, predictionCol=f"code_{p}").fit(_sample(out, sample))
-        out = model.transform(out).drop("features")
-        books.append([c.tolist() for c in model.clusterCenters()])
-    return out.withColumn("codes", F.array(*(F.col(f"code_{p}").cast("short") for p in range(parts)))).drop(*(f"code_{p}" for p in range(parts))), books
-
-
-def pq_search(queries: DataFrame, coded: DataFrame, books: list, k: int = 10) -> DataFrame:
-    """Neighbours by the sum of inner products with code words, from a table for each query."""
-    table = F.array(*(F.array(*(dot(F.slice("q", p * len(b[0]) + 1, len(b[0])), F.array(*map(F.lit, c))) for c in b)) for p, b in enumerate(books)))
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).select("query_id", table.alias("table"))
-    score = F.aggregate(F.zip_with("codes", "table", lambda c, t: F.get(t, c.cast("int"))), F.lit(0.0), lambda s, x: s + x)
-    blocks, out = max(1, -(-queries.count() // QUERY_BLOCK)), None
-    for i in range(blocks):  # a block of queries, of about QUERY_BLOCK rows, meets all vectors
-        some = F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
-        found = coded.select("vec_id", "codes").crossJoin(some).select("query_id", "vec_id", score.alias("score"))
-        out = found if out is None else out.union(found)
-    return _best(out, k)
-
-
 def recommended(count: int, priority: str = "balanced") -> dict:
     """Which search to use for so many vectors, and its settings."""
     cells = min(max(int(count**0.5), 10), 10_000)
@@ -288,13 +264,6 @@ def top_pairs(edges: DataFrame, k: int = 5, least: bool = False) -> DataFrame:
     return edges.where("text1 < text2").orderBy(order, "text1", "text2").limit(k)
 
 
-def chunk_pairs(left: DataFrame, right: DataFrame, metric: str = "unit", top: int = 10, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """Chunks of one text against those of another: the `top` most similar pairs. Two texts are compared, not a corpus."""
-    a = left.where(F.col(column).isNotNull()).select(F.col(key).alias("chunk1"), F.col(column).alias("v1"))
-    b = right.where(F.col(column).isNotNull()).select(F.col(key).alias("chunk2"), F.col(column).alias("v2"))
-    return a.crossJoin(b).select("chunk1", "chunk2", similarity(F.col("v1"), F.col("v2"), metric).alias("score")).orderBy(F.col("score").desc(), "chunk1", "chunk2").limit(top)
-
-
 def index_totals(vectors: DataFrame, by: str, column: str = "embedding") -> DataFrame:
     """What an index of each group holds: vectors, their number of values, and vectors of all indexes together."""
     out = vectors.groupBy(by).agg(F.count("*").alias("vectors"), F.max(F.size(column)).alias("dimension"))
@@ -336,15 +305,28 @@ def mean_vector(vectors: DataFrame, by: str, column: str = "embedding") -> DataF
     return rows.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(column))
 
 
+def density(chunks: DataFrame, key: str = "doc_id", order: str = "chunk_index", column: str = "embedding") -> DataFrame:
+    """Information density of chunk vectors: key, order, redundancy (cosine to the next chunk of the text; null for the last),
+    density (variance over the text's greatest, averaged with 1 - redundancy), low (among the lowest fifth of the text; one at
+    least). Texts of any number of chunks are shared by tasks, range by range."""
+    rows = with_next(chunks.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(column).alias("v")), "k", "o", {"next": "v"})
+    rows = rows.select("k", "o", variance_of(F.col("v")).alias("var"), F.when(F.col("next").isNotNull(), cosine(F.col("v"), F.col("next"))).alias("redundancy"))
+    rows = rows.join(rows.groupBy("k").agg(F.max("var").alias("most")), "k")
+    scaled = F.col("var") / F.greatest("most", F.lit(1e-300))
+    rows = rows.select("k", "o", "redundancy", F.when(F.col("redundancy").isNull(), scaled).otherwise((scaled + 1 - F.col("redundancy")) / 2).alias("density"))
+    placed = ranks(rows, "k", ["density", "o"], "place", "n")
+    low = F.col("place") <= F.greatest(F.floor(F.col("n") * 0.2), F.lit(1))
+    return placed.select(F.col("k").alias(key), F.col("o").alias(order), "redundancy", "density", low.alias("low"))
+
+
+def variance_of(a: Column) -> Column:
+    """Population variance of the values of a vector."""
+    v = F.transform(a, lambda x: x.cast("double"))
+    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    return let(mean, lambda m: F.aggregate(v, F.lit(0.0), lambda s, x: s + F.pow(x - m, 2)) / F.size(a))
+
+
 def density_report(chunks: DataFrame, key: str = "doc_id", order: str = "chunk_index", column: str = "embedding") -> DataFrame:
-    """Information density of chunk vectors: variance scaled by the text's greatest, with the cosine to the next chunk; per text
-    the water percentage, redundancy, and chunks of the lowest fifth."""
-    w = Window.partitionBy(key)
-    v = F.transform(column, lambda x: x.cast("double"))
-    m = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(column)
-    rows = chunks.withColumns({"var": F.aggregate(v, F.lit(0.0), lambda a, x: a + F.pow(x - m, 2)) / F.size(column), "next": F.lead(column).over(w.orderBy(order))})
-    rows = rows.withColumn("redundancy", F.when(F.col("next").isNotNull(), cosine(F.col(column), F.col("next")))).withColumn("scaled", F.col("var") / F.greatest(F.max("var").over(w), F.lit(1e-300)))
-    rows = rows.withColumn("density", F.when(F.col("redundancy").isNull(), F.col("scaled")).otherwise((F.col("scaled") + 1 - F.col("redundancy")) / 2))
-    low = F.row_number().over(w.orderBy("density", order)) <= F.greatest(F.floor(F.count("*").over(w) * 0.2), F.lit(1))
-    rows = rows.withColumn("low", low)
-    return rows.groupBy(key).agg((100 * (1 - F.avg("density"))).alias("water"), F.coalesce(F.avg("redundancy"), F.lit(0.0)).alias("redundancy"), F.array_sort(F.collect_list(F.when(F.col("low"), F.col(order)))).alias("verbose_chunks"))
+    """density() by text: water percentage, redundancy, and how many chunks are in the lowest fifth."""
+    rows = density(chunks, key, order, column)
+    return rows.groupBy(key).agg((100 * (1 - F.avg("density"))).alias("water"), F.coalesce(F.avg("redundancy"), F.lit(0.0)).alias("redundancy"), F.count_if("low").alias("verbose"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.functions import text as t
-from folio.operators import analyzers, chunking, description, narrative, replies, reports, vectors
+from folio.operators import analyzers, chunking, description, index, narrative, replies, reports, tiles, vectors
 from folio.plans.sql_texts import BLANK, chunks, strip, tokens
 from folio.sources import books
 from folio.streaming import tasks
@@ -416,31 +416,35 @@ SELECT label, CASE WHEN s < 0.3 THEN 'very_low' WHEN s < 0.5 THEN 'low' WHEN s <
 count(*) AS pairs, count(*) FILTER (s >= 0.7) AS similar, round(avg(s * 100), 4) AS percentage FROM p GROUP BY 1, 2"""
 )
 def similarity_levels(spark, d):
-    p, s = vectors.pairs(read(spark, d, "embeddings"), "unit", by=["label"]), F.col("score")
-    rows = p.groupBy("label", reports.similarity_level(s).alias("level"))
-    return rows.agg(F.min(reports.similarity_explanation(s)).alias("explanation"), F.count("*").alias("pairs"), F.count_if(reports.is_similar(s)).alias("similar"), F.round(F.avg(reports.similarity_percentage(s)), 4).alias("percentage"))
+    # rows of the matrix are counted by level where they are; each pair is in two of them
+    scores = tiles.matrix(read(spark, d, "embeddings"), "unit", by=["label"], with_self=False).select("label", "scores")
+    here = lambda level: F.filter("scores", lambda s: reports.similarity_level(s) == level)
+    of = lambda level: t.let(here(level), lambda x: F.struct(F.lit(level).alias("level"), F.size(x).alias("pairs"), F.size(F.filter(x, reports.is_similar)).alias("similar"), t.total(x, reports.similarity_percentage).alias("sum"), F.array_max(x).alias("one")))
+    rows = scores.select("label", F.explode(F.array(*map(of, ("very_low", "low", "medium", "high", "very_high")))).alias("x")).select("label", "x.*").where("pairs > 0")
+    sums = rows.groupBy("label", "level").agg(F.min(reports.similarity_explanation(F.col("one"))).alias("explanation"), F.sum("pairs").alias("pairs"), F.sum("similar").alias("similar"), F.sum("sum").alias("sum"))
+    return sums.select("label", "level", "explanation", (F.col("pairs") / 2).cast("long").alias("pairs"), (F.col("similar") / 2).cast("long").alias("similar"), F.round(F.col("sum") / F.col("pairs"), 4).alias("percentage"))
 
 
 @query(f"SELECT round(avg({_UNIT}), 5) AS average FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
 def average_similarity(spark, d):
-    return vectors.average_similarity(vectors.pairs(read(spark, d, "embeddings"), "unit", by=["label"])).select(F.round("average", 5).alias("average"))
+    return tiles.average(read(spark, d, "embeddings"), ["label"]).select(F.round("average", 5).alias("average"))
 
 
 @query(f"SELECT a.label, a.vec_id AS text1, count(*) AS n, round(sum({_UNIT}), 4) AS total FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY 1, 2")
 def similarity_matrix(spark, d):
-    p = vectors.pairs(read(spark, d, "embeddings"), "unit", by=["label"], with_self=True, mirrored=True)
-    return p.groupBy("label", "text1").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
+    m = tiles.matrix(read(spark, d, "embeddings"), "unit", by=["label"])
+    return m.groupBy("label", F.col("text").alias("text1")).agg(F.sum(F.size("scores")).alias("n"), F.round(F.sum(t.total(F.col("scores"))), 4).alias("total"))
 
 
 @query(f"SELECT a.vec_id AS chunk1, b.vec_id AS chunk2, round({_UNIT}, 5) AS score FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label = 1 ORDER BY {_UNIT} DESC, 1, 2 LIMIT 10")
 def chunk_pairs(spark, d):
     v = read(spark, d, "embeddings")
-    return vectors.chunk_pairs(v.where("label = 0"), v.where("label = 1")).withColumn("score", F.round("score", 5))
+    return tiles.between(v.where("label = 0"), v.where("label = 1")).withColumn("score", F.round("score", 5))
 
 
 @query(f"SELECT label, text1, text2, round(s, 5) AS score FROM (SELECT a.label, a.vec_id AS text1, b.vec_id AS text2, {_UNIT} AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) ORDER BY s, text1, text2 LIMIT 15")
 def least_similar(spark, d):
-    return vectors.top_pairs(vectors.pairs(read(spark, d, "embeddings"), "unit", by=["label"]), 15, least=True).withColumn("score", F.round("score", 5))
+    return tiles.top_pairs(read(spark, d, "embeddings"), 15, "unit", least=True, by=["label"]).withColumn("score", F.round("score", 5))
 
 
 @query("SELECT label, count(*) AS vectors, CAST(max(len(embedding)) AS INT) AS dimension, (SELECT count(*) FROM embeddings) AS all_vectors FROM embeddings GROUP BY 1")
@@ -477,13 +481,13 @@ def search_plans(spark, d):
 
 
 def pq_recall(spark, d):
-    """Share of the 10 nearest by product codes that are among the 50 nearest."""
+    """Share of the 10 exact neighbours that the index of residual codes finds, as it is recommended and measured."""
     v = read(spark, d, "embeddings")
     q = v.where("vec_id % 20 = 0")
-    coded, code_books = vectors.pq(v, 16, 16)
-    near = vectors.knn(q, v, 50, "dot").select("query_id", "vec_id", F.lit(1).alias("near"))
-    found = vectors.pq_search(q, coded, code_books, 10).select("query_id", "vec_id")
-    return found.join(near, ["query_id", "vec_id"], "left").groupBy("query_id").agg((F.count("near") / F.count("*")).alias("recall"))
+    made = index.build(v)
+    near = vectors.knn(q, v, 10).select("query_id", "vec_id")
+    found = index.search(q, made, v).select("query_id", "vec_id", F.lit(1).alias("found"))
+    return near.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg((F.count("found") / F.count("*")).alias("recall"))
 
 
 QUERIES["pq_recall"] = pq_recall

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folio.operators import chunking, description, narrative, readability, replies, reports, vectors
+from folio.operators import chunking, description, narrative, readability, replies, reports, tiles, vectors
 from folio.plans import records, sql, sql_texts
 from folio.streaming import tasks
 
@@ -282,11 +282,11 @@ def ivf_recall(spark, d):
 
 
 def similar_pairs(spark, d):
-    return vectors.pairs(_vectors(spark, d), "cosine", by=["label"]).where("score >= 0.25").select("label", "text1", "text2", F.round("score", 5).alias("score"))
+    return tiles.pairs_over(_vectors(spark, d), 0.25, "cosine", by=["label"]).select("label", "text1", "text2", F.round("score", 5).alias("score"))
 
 
 def top_pairs(spark, d):
-    return vectors.top_pairs(vectors.pairs(_vectors(spark, d), "unit", by=["label"]), 20).select("text1", "text2", F.round("score", 5).alias("score"))
+    return tiles.top_pairs(_vectors(spark, d), 20, "unit", by=["label"]).select("text1", "text2", F.round("score", 5).alias("score"))
 
 
 def label_averages(spark, d):
@@ -299,8 +299,10 @@ def mean_vectors(spark, d):
 
 
 def vector_water(spark, d):
-    r = vectors.density_report(_vectors(spark, d), "label", "vec_id")
-    return r.select("label", F.round("water", 5).alias("water"), F.round("redundancy", 5).alias("redundancy"), F.array_join(F.transform("verbose_chunks", lambda x: x.cast("string")), ",").alias("verbose"))
+    r = vectors.density(_vectors(spark, d), "label", "vec_id")
+    low = F.array_sort(F.collect_list(F.when(F.col("low"), F.col("vec_id"))))  # the listed ids are the result
+    sums = r.groupBy("label").agg((100 * (1 - F.avg("density"))).alias("water"), F.coalesce(F.avg("redundancy"), F.lit(0.0)).alias("redundancy"), low.alias("low"))
+    return sums.select("label", F.round("water", 5).alias("water"), F.round("redundancy", 5).alias("redundancy"), F.array_join(F.transform("low", lambda x: x.cast("string")), ",").alias("verbose"))
 
 
 def chat_prompts(spark, d):

@@ -42,8 +42,6 @@ def test_vectors(spark, monkeypatch):
     assert edges.count() == 36 and vectors.top_pairs(edges, 3).count() == 3
     assert vectors.average_similarity(edges.limit(0)).first().average == 0.0
     assert vectors.add(v, v.limit(3)).agg(F.max("vec_id")).first()[0] == 62 and vectors.remove(v, v.limit(3)).count() == 57
-    coded, code_books = vectors.pq(v, 4, 8)
-    assert vectors.pq_search(v.where("vec_id < 3"), coded, code_books, 5).count() == 15
     assert vectors.recommended(100)["method"] == "exact" and vectors.recommended(50_000)["method"] == "ivf"
 
 

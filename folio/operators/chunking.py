@@ -96,6 +96,12 @@ def requested(size: int, overlap: int, unit: str) -> Strategy:
     return Strategy(size, min(size, 500), max(size, 4000), min(0.5, overlap / size))
 
 
+def by_flags(paragraphs: bool, sentences: bool, per_chunk: int = 1, otherwise: Strategy = DEFAULT) -> Strategy:
+    """The strategy that flags ask for: paragraphs before sentences, and fixed sizes if neither is set."""
+    unit = "paragraph" if paragraphs else "sentence" if sentences else None
+    return Strategy(unit=unit, per_chunk=per_chunk, overlap=0.0) if unit else otherwise
+
+
 #: Characters of the blocks that a text is taken in when chunks are cut from it, so that no cut counts from the text's start.
 BLOCK = 4096
 

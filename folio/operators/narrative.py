@@ -75,6 +75,16 @@ def relevant(chunks: DataFrame, kind: str, threshold: float | None = None, text:
     return chunks.withColumn("score", score).withColumn("coverage", F.count_if(F.col("score") >= least).over(w) / F.count("*").over(w)).where(F.col("score") >= least)
 
 
+# How many chunks of a text each analyzer takes.
+MOST_CHUNKS = {"character": 30, "style": 3, "dialogue": 3}
+
+
+def first_chunks(chunks: DataFrame, most: int, key: str = "doc_id", order: str = "chunk_index") -> DataFrame:
+    """The first `most` chunks of each text; Spark keeps no more of a text in any task."""
+    (place,) = t.free(chunks, "place")
+    return chunks.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col(place) <= most).drop(place)
+
+
 def pace_scores(chunks: DataFrame, text: str = "content") -> DataFrame:
     """Pace of each chunk: min(10 * (7 * events + 3 * dialogue), 10)."""
     out = chunks.withColumns({"event_density": event_density(F.col(text)), "dialogue_ratio": dialogue_ratio(F.col(text))})
@@ -236,15 +246,16 @@ def repetitions(chunks: DataFrame, patterns=lx.REPEATS, text: str = "content", k
 
 def water_report(chunks: DataFrame, patterns=lx.WATER, text: str = "content", key: str = "doc_id", order: str = "chunk_index", repeats=lx.REPEATS) -> DataFrame:
     """Share of words that carry nothing: phrases, words used more than five times, neighbours that repeat; in percent, with a
-    rating. No words: 50. Phrases are sought in each chunk; counts of words are joined up over the text."""
+    rating. No words: 50. Phrases are sought in the text of all chunks, joined by blanks; words are counted over it too."""
     words = chunks.select(key, F.explode(t.tokens(F.lower(text))).alias("w")).where("length(w) > 3").groupBy(key, "w").agg(F.count("*").alias("c"))
     often = words.groupBy(key).agg(F.sum(F.when(F.col("c") > 5, F.col("c"))).alias("repetitive"))
     by_size: dict[int, list[str]] = {}
     for phrase in (p for v in patterns.values() for p in v):
         by_size.setdefault(len(phrase.split()), []).append(phrase)
-    hits = count_lists(F.lower(text), {f"words_{k}": v for k, v in by_size.items()})
-    phrases = sum((hits[f"words_{k}"] * k for k in by_size), F.lit(0.0))
-    sums = chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.sum(t.token_count(text)).alias("words"), F.sum(phrases).alias("phrase_words"))
+    sums = chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.sum(t.token_count(text)).alias("words"), F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text).alias("c")))).alias("parts"))
+    whole = F.lower(F.array_join(F.transform("parts", lambda x: x["c"]), " "))  # a text again, as long as it was
+    sums = sums.withColumn("hits", count_lists(whole, {f"words_{k}": v for k, v in by_size.items()}))
+    sums = sums.select(key, "chunks", "words", sum((F.col("hits")[f"words_{k}"] * k for k in by_size), F.lit(0.0)).alias("phrase_words"))
     again = repetitions(chunks, repeats, text, key, order).groupBy(key).agg(F.count("*").alias("repeats"))
     out = sums.join(often, key, "left").join(again, key, "left")
     part = lambda c: 100 * F.coalesce(F.col(c), F.lit(0)) / _safe(F.col("words"))

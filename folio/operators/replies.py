@@ -27,14 +27,27 @@ def fill(template: Column, values: dict[str, Column]) -> Column:
     return F.struct(F.when(F.size(missing) == 0, out).alias("prompt"), missing.alias("missing"))
 
 
-def prompts(df: DataFrame, template: str, text: str, limit: int, by: str | None = None, order: str | None = None, context: int = 0) -> DataFrame:
-    """Adds `prompt`: the template with {text} cut to `limit` characters, and {context}, the end of the chunk before."""
+# Characters of a text that prompts of each analyzer hold, and of the chunk before; how many of a list are named.
+PROMPT_LIMITS = {"genre": 4000, "style": 3000, "theme": 1200, "tension": 1000, "character": 1500}
+OTHER_LIMIT, CONTEXT, MOST_LISTED = 2000, {"character": 500}, {"tension": 5, "character": 30}
+
+
+def prompts(df: DataFrame, template: str, text: str, limit: int, by: str | None = None, order: str | None = None, context: int = 0, context_start: bool = False, lists: dict[str, list[str]] | None = None, most: int | None = None) -> DataFrame:
+    """Adds `prompt`: the template with {text} cut to `limit` characters; {context}, the end (or start) of the chunk before; and a
+    slot for each of the fixed `lists`, of which the first `most` are named, joined by commas."""
     values = {"text": F.left(F.col(text), F.lit(limit))}
     if context:
-        values["context"] = F.coalesce(F.right(F.lag(text).over(Window.partitionBy(by).orderBy(order)), F.lit(context)), F.lit(""))
+        take = F.left if context_start else F.right
+        values["context"] = F.coalesce(take(F.lag(text).over(Window.partitionBy(by).orderBy(order)), F.lit(context)), F.lit(""))
+    values |= {name: F.lit(", ".join(items[:most])) for name, items in (lists or {}).items()}
     return df.withColumn("prompt", fill(F.lit(template), values)["prompt"])
 
 
+def analyzer_prompts(chunks: DataFrame, analyzer: str, template: str, lists: dict[str, list[str]] | None = None, text: str = "content", key: str = "doc_id", order: str = "chunk_index") -> DataFrame:
+    """prompts() with the limits of an analyzer: chunks in, those that were selected, if a selection comes before."""
+    return prompts(chunks, template, text, PROMPT_LIMITS.get(analyzer, OTHER_LIMIT), key, order, CONTEXT.get(analyzer, 0), True, lists, MOST_LISTED.get(analyzer))
+
+
 def transcripts(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """A conversation as one prompt: a tagged line a turn, in order, and the assistant's tag at the end. Turns without a role are
     the user's; null texts are empty."""
@@ -107,8 +120,15 @@ def themes(mentions: DataFrame, key: str = "text_id", most: int = 10, examples:
     """Mentions (theme, description, example, position) merged by lower-cased theme: frequency, first distinct descriptions and
     examples, mean position; the most frequent first."""
     rows = mentions.withColumn("low", F.lower(F.trim("theme"))).where(F.col("low").isNotNull() & ~F.col("low").isin(NO_THEMES))
-    listed = lambda c: F.slice(F.array_distinct(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("position", c))), lambda x: x[c]), lambda v: v.isNotNull() & (v != ""))), 1, examples)
-    out = rows.groupBy(key, "low").agg(F.min_by("theme", "position").alias("theme"), F.count("*").alias("frequency"), listed("description").alias("descriptions"), listed("example").alias("examples"), F.avg("position").alias("avg_position"))
+    out = rows.groupBy(key, "low").agg(F.min_by("theme", "position").alias("theme"), F.count("*").alias("frequency"), F.avg("position").alias("avg_position"))
+    # each text once, where it comes first, and only the first few of a theme meet in an array
+    said = rows.select(key, "low", "position", F.explode(F.array(F.struct(F.lit("description").alias("kind"), F.col("description").alias("x")), F.struct(F.lit("example").alias("kind"), F.col("example").alias("x")))).alias("s"))
+    said = said.select(key, "low", "position", "s.*").where("x is not null and x <> ''").groupBy(key, "low", "kind", "x").agg(F.min("position").alias("position"))
+    first = said.withColumn("n", F.row_number().over(Window.partitionBy(key, "low", "kind").orderBy("position", "x"))).where(F.col("n") <= examples)
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("n", "x")))), lambda s: s["x"]).alias(f"{kind}s")
+    out = out.join(first.groupBy(key, "low").agg(listed("description"), listed("example")), [key, "low"], "left")
+    none = F.expr("cast(array() as array<string>)")
+    out = out.select(key, "low", "theme", "frequency", F.coalesce("descriptions", none).alias("descriptions"), F.coalesce("examples", none).alias("examples"), "avg_position")
     order = Window.partitionBy(key).orderBy(F.col("frequency").desc(), "low")
     return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("low")
 

@@ -82,9 +82,40 @@ def next_status(status: Column, wanted: str) -> Column:
     return F.when(status.isin(allowed), F.lit(wanted)).otherwise(status)
 
 
-def session_checks(texts: Column, analyzers: Column, comparator: Column) -> Column:
-    """(valid, errors) of a session: a text and an analyzer at least, and a comparator where there are several texts."""
-    return checks({"texts": texts >= 1, "analyzers": analyzers >= 1, "comparator": (texts <= 1) | comparator.isNotNull()})
+def session_checks(texts: Column, analyzers: Column, comparator: Column, mode: Column | None = None, chunking: Column | None = None) -> Column:
+    """(valid, errors) of a session: a text and an analyzer at least, a comparator where there are several texts, and, if the
+    mode is given, the id of a chunking strategy where it is chunked."""
+    rules = {"texts": texts >= 1, "analyzers": analyzers >= 1, "comparator": (texts <= 1) | comparator.isNotNull()}
+    if mode is not None:
+        rules["chunking"] = ~mode.eqNullSafe(F.lit("chunked")) | chunking.isNotNull()
+    return checks(rules)
+
+
+def has_error(error: Column) -> Column:
+    """Whether a result carries an error."""
+    return error.isNotNull()
+
+
+def results_of(results: DataFrame, session, text=None, key: str = "session_id", text_key: str = "text_id", ts: str = "created_at") -> DataFrame:
+    """Results of one session, or of one text in it, by text in the order of their times: the filters reach the scan."""
+    rows = results.where(F.col(key) == F.lit(session))
+    rows = rows if text is None else rows.where(F.col(text_key) == F.lit(text))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(text_key).orderBy(ts)))
+
+
+def model_summary(models: DataFrame, kind: Column, busy: Column, memory: Column, most: float) -> DataFrame:
+    """One row on a table of models: how many there are by kind (llm, embedding), busy and free ones, their memory, and the share of
+    the `most` there is, in percent. No models: zeros."""
+    used = F.coalesce(F.sum(memory), F.lit(0.0))
+    return models.agg(
+        F.count("*").alias("total_models"), F.count_if(kind == "llm").alias("llm_models"), F.count_if(kind == "embedding").alias("embedding_models"), F.count_if(busy).alias("busy_models"), F.count_if(~busy).alias("available_models"),
+        used.alias("total_memory"), (100 * used / most).alias("memory_percent"),
+    )
+
+
+def with_metadata(found: DataFrame, metadata: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Search results with what is known of each vector; those of which nothing is known stay, with nulls."""
+    return found.join(metadata, key, "left")
 
 
 def finished_once(history: DataFrame, updates: DataFrame, key: str, status: str, ts: str) -> DataFrame:
@@ -111,6 +142,28 @@ def work_estimate(length: Column, base: float, per_thousand: float) -> Column:
     return base + per_thousand * length / 1000
 
 
+# Seconds to begin with, what is counted for how many make a second, the share of that a chunk takes, and the
+# seconds of a model.
+ESTIMATES = {
+    "dialogue": (0.8, {"marks": 100}, 0.3, 2.0), "structure": (1.5, {"paragraphs": 20, "sentences": 100}, 0.5, 2.5), "description": (1.2, {"sentences": 200}, 0.4, 1.8),
+    "readability": (0.5, {"length": 10000}, 0.2, 1.5), "complexity": (1.0, {"length": 5000}, 0.3, 2.0),
+}
+
+
+def analyzer_estimate(c: Column, analyzer: str, chunked: bool = False, model: bool = False, size: int = 2000) -> Column:
+    """Seconds that an analyzer takes for a text, by its length, marks of speech, sentence ends or blank lines; chunk by chunk, or
+    whole and then with a model or without. A dialogue without marks needs no model. Null text: null."""
+    base, units, share, seconds = ESTIMATES[analyzer]
+    sub = lambda *keys: sum((t.count_sub(c, k) for k in keys), F.lit(0.0))
+    count = {"length": F.length(c), "marks": sub("—", '"', "«"), "sentences": sub(".", "!", "?"), "paragraphs": sub("\n\n") + 1}
+    work = base + sum((count[u] / n for u, n in units.items()), F.lit(0.0))
+    if chunked:
+        return work * F.greatest(F.floor(F.length(c) / size), F.lit(1)) * share
+    if not model:
+        return work
+    return work + (F.when(count["marks"] > 0, seconds).otherwise(0.0) if "marks" in units else seconds)
+
+
 def memory_estimate_mb(name: Column, quantisation: Column) -> Column:
     size = F.when(F.lower(name).contains("3b"), 6000).when(F.lower(name).contains("7b"), 14000).when(F.lower(name).contains("13b"), 26000).otherwise(2000)
     return size * F.when(quantisation == "4bit", 0.25).when(quantisation == "8bit", 0.5).otherwise(1.0)

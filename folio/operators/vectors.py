@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from folio.functions.text import let
 from folio.operators.ranges import ranks, with_next
+from folio.sources.shared import cut
 
 #: Query vectors in one broadcast block, at most; more are searched block by block. Queries that are scored at once.
 QUERY_BLOCK, TILE = 20_000, 512
@@ -54,16 +55,19 @@ def valid(vectors: DataFrame, size: int, column: str = "embedding") -> DataFrame
     return vectors.where(F.col(column).isNotNull() & (F.size(column) == size))
 
 
-def add(store: DataFrame, new: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """The store with new vectors, normalised, under ids that go on from the greatest."""
-    base = store.agg(F.coalesce(F.max(key), F.lit(-1))).first()[0]
-    counts = new.withColumn("part", F.spark_partition_id()).groupBy("part").count().orderBy("part").collect()  # a row a partition
-    before, total = {}, base + 1
-    for r in counts:
-        before[r["part"]], total = total, total + r["count"]
-    start = F.create_map(*(F.lit(x) for p in before.items() for x in p)) if before else F.create_map(F.lit(-1), F.lit(0))
-    place = F.monotonically_increasing_id() % (1 << 33) + start[F.spark_partition_id()]
-    return store.select(key, column).unionByName(new.select(place.cast("long").alias(key), normalised(F.col(column)).alias(column)))
+def add(store: DataFrame, new: DataFrame, key: str = "vec_id", column: str = "embedding", size: int | None = None) -> DataFrame:
+    """The store with new vectors, normalised, under ids that go on from the greatest. New vectors are written with their numbers within
+    each part, and then get what comes before their part: they are made once, whatever makes them. A vector that isn't there,
+    or hasn't `size` values (that of the store's, where it is not given), raises an error; valid() leaves such ones out."""
+    base, own = store.agg(F.coalesce(F.max(key), F.lit(-1)), F.max(F.size(column))).first()
+    size = size or own
+    fit = F.col(column).isNotNull() & (F.size(column) == size if size else F.lit(True))
+    checked = new.select(F.when(fit, normalised(F.col(column))).otherwise(F.raise_error(F.lit(f"a vector without {size or 'any'} values"))).alias(column))
+    local = cut(checked.select(F.spark_partition_id().alias("__part"), (F.monotonically_increasing_id() % (1 << 33)).alias("__place"), column), "added")
+    parts = local.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = parts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a part
+    numbered = local.join(F.broadcast(before), "__part").select((F.lit(base + 1) + F.col("__before") + F.col("__place")).cast("long").alias(key), column)
+    return store.select(key, column).unionByName(numbered)
 
 
 def remove(store: DataFrame, ids: DataFrame, key: str = "vec_id") -> DataFrame:

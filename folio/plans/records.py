@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.functions import text as t
+from folio.functions.spans import register, with_spans
 from folio.operators import analyzers, chunking, description, index, narrative, replies, reports, tiles, vectors
 from folio.plans.sql_texts import BLANK, chunks, strip, tokens
 from folio.sources import books
@@ -250,8 +251,24 @@ def filled_templates(spark, d):
     "SELECT doc_id, CAST(len(m) AS INT) AS matches, CAST(coalesce(list_sum(s), 0) AS BIGINT) AS starts, md5(array_to_string(m, ',')) AS texts_md5 FROM p"
 )
 def pattern_spans(spark, d):
-    s = description.find_spans(read(spark, d, "documents"), "[A-Z][a-z]{7,}")
-    return s.select("doc_id", F.size("spans").alias("matches"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["start"]).alias("starts"), F.md5(F.array_join(F.transform("spans", lambda x: x["text"]), ",")).alias("texts_md5"))
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("start", "span"))), lambda x: x["span"])  # one text's
+    found = with_spans(docs, ["[A-Z][a-z]{7,}"]).groupBy("doc_id").agg(F.count("*").cast("int").alias("matches"), F.sum("start").alias("starts"), listed.alias("spans"))
+    s, none = docs.select("doc_id").join(found, "doc_id", "left"), F.expr("cast(array() as array<string>)")
+    return s.select("doc_id", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("starts", F.lit(0)).alias("starts"), F.md5(F.array_join(F.coalesce("spans", none), ",")).alias("texts_md5"))
+
+
+def speech_spans(spark, d):
+    """Places of direct speech by kind, asked for in SQL."""
+    register(spark)
+    docs = read(spark, d, "documents").select("doc_id", F.replace("text", F.lit(", "), F.lit(" — ")).alias("text"))
+    docs.createOrReplaceTempView("spoken_texts")
+    patterns = dict(zip(("dash", "quote", "colon"), narrative.SPEECH, strict=True))
+    found = spark.sql("SELECT doc_id, s.* FROM spoken_texts, LATERAL spans(text, :dash, :quote, :colon) s WHERE s.group = 1", args=patterns)
+    return found.groupBy("doc_id", "pattern").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+
+
+QUERIES["speech_spans"] = speech_spans
 
 
 # ---- mentions
@@ -419,7 +436,7 @@ def similarity_levels(spark, d):
     # rows of the matrix are counted by level where they are; each pair is in two of them
     scores = tiles.matrix(read(spark, d, "embeddings"), "unit", by=["label"], with_self=False).select("label", "scores")
     here = lambda level: F.filter("scores", lambda s: reports.similarity_level(s) == level)
-    of = lambda level: t.let(here(level), lambda x: F.struct(F.lit(level).alias("level"), F.size(x).alias("pairs"), F.size(F.filter(x, reports.is_similar)).alias("similar"), t.total(x, reports.similarity_percentage).alias("sum"), F.array_max(x).alias("one")))
+    of = lambda level: t.let(here(level), lambda x: F.struct(F.lit(level).alias("level"), F.size(x).alias("pairs"), F.size(F.filter(x, lambda s: reports.is_similar(s))).alias("similar"), t.total(x, reports.similarity_percentage).alias("sum"), F.array_max(x).alias("one")))
     rows = scores.select("label", F.explode(F.array(*map(of, ("very_low", "low", "medium", "high", "very_high")))).alias("x")).select("label", "x.*").where("pairs > 0")
     sums = rows.groupBy("label", "level").agg(F.min(reports.similarity_explanation(F.col("one"))).alias("explanation"), F.sum("pairs").alias("pairs"), F.sum("similar").alias("similar"), F.sum("sum").alias("sum"))
     return sums.select("label", "level", "explanation", (F.col("pairs") / 2).cast("long").alias("pairs"), (F.col("similar") / 2).cast("long").alias("similar"), F.round(F.col("sum") / F.col("pairs"), 4).alias("percentage"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio.operators import chunking, description, narrative, readability, replies, reports, tiles, vectors
-from folio.plans import records, sql, sql_texts
+from folio.plans import records, sessions, sql, sql_texts
 from folio.streaming import tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -396,8 +396,8 @@ def queries() -> dict[str, Query]:
     tension relevant_chunks readability_rollup dialogue_rollup frequent_words chunk_scores water repetitions dialogue structure structure_rollup coherence tfidf_terms knn ivf_recall similar_pairs top_pairs label_averages mean_vectors vector_water
     chat_prompts genre_replies newest_page title_search size_classes success_by_user usage_counts recent_values value_trends latency_average order_progress orders_with_lines
     missing_customers duplicate_texts latest_events best_suppliers description_measures description_rollup chunk_coherence fact_density chunk_term_sums speech_voices event_counters metric_snapshots user_life_cycles metric_alerts"""
-    return {n: globals()[n] for n in names.split()} | records.QUERIES
+    return {n: globals()[n] for n in names.split()} | records.QUERIES | sessions.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.SQL | sql_texts.SQL | records.SQL
+    return sql.SQL | sql_texts.SQL | records.SQL | sessions.SQL

@@ -259,7 +259,7 @@ h AS (SELECT doc_id, chunk_index, 'en' AS kind, p AS phrase, similarity FROM q,
 _REPETITIONS = f"WITH {_REPEATED} SELECT doc_id, chunk_index, kind, phrase, round(similarity, 6) AS similarity FROM h"
 _WATER = f"""
 WITH {_REPEATED}, c AS ({_CHUNK}), v AS (SELECT doc_id, unnest({tokens("l")}) AS w FROM c), f AS (SELECT doc_id, w, count(*) AS c FROM v WHERE length(w) > 3 GROUP BY ALL), o AS (SELECT doc_id, sum(c) FILTER (c > 5) AS repetitive FROM f GROUP BY doc_id),
-s AS (SELECT doc_id, count(*) AS chunks, sum(n) AS words, sum(2 * {any_of("l", ["of the", "in the"])} + {any_of("l", ["that"])}) AS phrases FROM c GROUP BY doc_id), a AS (SELECT doc_id, count(*) AS repeats FROM h GROUP BY doc_id),
+s AS (SELECT doc_id, chunks, words, 2 * {any_of("l", ["of the", "in the"])} + {any_of("l", ["that"])} AS phrases FROM (SELECT doc_id, count(*) AS chunks, sum(n) AS words, string_agg(l, ' ' ORDER BY chunk_index) AS l FROM c GROUP BY doc_id)), a AS (SELECT doc_id, count(*) AS repeats FROM h GROUP BY doc_id),
 m AS (SELECT doc_id, words, 100 * phrases / greatest(words, 1) AS phrase_water, 100 * coalesce(repetitive, 0) / greatest(words, 1) AS repetition_water, 100 * coalesce(repeats, 0) / greatest(chunks, 1) AS semantic_water FROM s LEFT JOIN o USING (doc_id) LEFT JOIN a USING (doc_id)),
 z AS (SELECT *, CASE WHEN words = 0 THEN 50 ELSE least(phrase_water + repetition_water + semantic_water, 100) END AS water FROM m)
 SELECT doc_id, {rounded("water phrase_water repetition_water semantic_water")}, round(1 - water / 100, 6) AS info_density, {ladder("water", nv.WATER, "verbose")} AS rating FROM z

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-NO_IMAGES = '[not(ancestor::*[local-name()="binary" or local-name()="image"])]'
+from folio.sources import xml_books
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -29,26 +29,10 @@ def ingest(texts: DataFrame, inline: int = 1000) -> DataFrame:
 
 def parse_books(files: DataFrame, content: str = "content") -> DataFrame:
     """Body text and metadata of XML books, one row a file: parse_error, is_book, body, genre, title, author parts, annotation,
-    language, series, series_number, publisher, year, isbn. Files that aren't well-formed keep their row, with parse_error
-    and nulls. Notes, binaries and images are left out of the body, and white space is collapsed. Bad numbers are null."""
-    good = F.from_xml(F.col(content), "struct<_corrupt_record:string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = files.withColumn("parse_error", F.col(content).isNull() | good["_corrupt_record"].isNotNull())
-    x = F.when(~F.col("parse_error"), F.regexp_replace(F.col(content), r"^\s*<\?xml[^>]*\?>", "")).otherwise("<none/>")
-    rows = rows.withColumn("__x", x)
-    n = lambda *names: "/".join(f'*[local-name()="{v}"]' for v in names)
-    one = lambda path: F.nullif(F.trim(F.xpath_string("__x", F.lit(path))), F.lit(""))
-    info = "//" + n("title-info")
-    body = F.xpath("__x", F.lit(f'//*[local-name()="body"][not(@name="notes")]//text(){NO_IMAGES}'))
-    clean = F.trim(F.regexp_replace(F.array_join(body, " "), r"\s+", " "))
-    number = lambda c: F.expr(f"try_cast({c} as int)")
-    out = rows.withColumns(
-        {
-            "is_book": ~F.col("parse_error") & F.xpath_boolean("__x", F.lit('local-name(/*)="FictionBook"')), "body": F.when(~F.col("parse_error"), clean), "genre": F.xpath("__x", F.lit(f"{info}/{n('genre')}/text()")), "title": one(f"{info}/{n('book-title')}"),
-            "first_name": one(f"{info}/{n('author')}/{n('first-name')}"), "middle_name": one(f"{info}/{n('author')}/{n('middle-name')}"), "last_name": one(f"{info}/{n('author')}/{n('last-name')}"), "annotation": one(f"{info}/{n('annotation')}"),
-            "language": one(f"{info}/{n('lang')}"), "series": one(f"{info}/{n('sequence')}/@name"), "__number": one(f"{info}/{n('sequence')}/@number"), "publisher": one(f"//{n('publish-info', 'publisher')}"), "__year": one(f"//{n('publish-info', 'year')}"), "isbn": one(f"//{n('publish-info', 'isbn')}"),
-        }
-    )
-    return out.withColumns({"series_number": number("__number"), "year": number("__year")}).drop("__x", "__number", "__year")
+    language, series, series_number, publisher, year, isbn. Each is parsed once. Files that aren't well-formed keep their row,
+    with parse_error and nulls. Notes, binaries and images are left out of the body, and white space is collapsed. Bad
+    numbers are null. Of an element that occurs several times the first counts."""
+    return xml_books.parsed(files, content)
 
 
 def cache_vectors(store: DataFrame, new: DataFrame) -> DataFrame:
@@ -86,12 +70,17 @@ def reports(sessions: DataFrame, texts: DataFrame, results: DataFrame) -> DataFr
     return sessions.join(body, "session_id", "left").select("session_id", F.concat(head, F.coalesce("body", F.lit(""))).alias("report"))
 
 
-def session_json(sessions: DataFrame, texts: DataFrame, results: DataFrame) -> DataFrame:
-    """A session with its texts and results as one JSON document: session_id, json."""
-    listed = lambda d, *c: d.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(*c))).alias("x"))
-    out = sessions.join(listed(texts, "position", "text_id", "title").withColumnRenamed("x", "texts"), "session_id", "left").join(listed(results, "text_id", "analyzer_name", "result_data").withColumnRenamed("x", "results"), "session_id", "left")
-    names = [c for c in sessions.columns if c != "session_id"]
-    data = F.struct("session_id", *names, "texts", "results")
+def session_json(sessions: DataFrame, texts: DataFrame, results: DataFrame, analyzers: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """A session with its texts and results as one JSON document: session_id, json; with its `analyzers` (session_id, name) and the
+    pairs of its matrix (session_id, text1, text2, score), where these are given."""
+    listed = lambda d, name, x: d.groupBy("session_id").agg(F.array_sort(F.collect_list(x)).alias(name))
+    parts = [listed(texts, "texts", F.struct("position", "text_id", "title")), listed(results, "results", F.struct("text_id", "analyzer_name", "result_data"))]
+    parts += [] if analyzers is None else [listed(analyzers, "analyzers", F.col("name"))]
+    parts += [] if edges is None else [listed(edges, "matrix", F.struct("text1", "text2", "score"))]
+    out, names = sessions, [c for c in sessions.columns if c != "session_id"]
+    for part in parts:
+        out = out.join(part, "session_id", "left")
+    data = F.struct("session_id", *names, *(p.columns[1] for p in parts))
     return out.select("session_id", F.to_json(F.struct(F.lit("json").alias("export_format"), F.lit("1.0").alias("export_version"), data.alias("data"))).alias("json"))
 
 

@@ -3,12 +3,11 @@ tables, where the watermark has no effect."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+from folio.streaming import state
 
 DELAY = "2 hours"
 
@@ -29,54 +28,36 @@ def snapshots(metrics: DataFrame, ts: str = "ts", name: str = "name", value: str
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), name, "avg", "min", "max", "n")
 
 
-def latest_status(updates: DataFrame, task: str = "task_id", ts: str = "ts", delay: str = DELAY) -> DataFrame:
-    """Last update of each task; repeated updates count once."""
+def latest_status(updates: DataFrame, task: str = "task_id", ts: str = "ts", delay: str = DELAY, status: str = "status", idle_hours: float = 24.0) -> DataFrame:
+    """Last update of each task; repeated updates count once. On a stream, a task's latest update whenever there is one; its state
+    goes when `status` (if there is such a column) says that it ended and the delay is over, or when nothing was heard of
+    it for so many hours."""
     fields = [c for c in updates.columns if c not in (task, ts)]
-    rows = updates.withWatermark(ts, delay)
-    if updates.isStreaming:
-        rows = rows.dropDuplicatesWithinWatermark([task, ts, *fields])
-    return rows.groupBy(task).agg(F.max(F.struct(ts, *fields)).alias("last")).select(task, "last.*")
+    if not updates.isStreaming:
+        return updates.groupBy(task).agg(F.max(F.struct(ts, *fields)).alias("last")).select(task, "last.*")
+    got = state.tasks(updates, task, ts, status if status in fields else None, fields, delay, idle_hours)
+    kind = StructType([f for f in updates.schema.fields if f.name in fields])
+    back = F.from_json("payload", kind).alias("last")
+    return got.select(F.col("key").alias(task), F.timestamp_micros("last").cast(updates.schema[ts].dataType).alias(ts), back).select(task, ts, *(F.col("last")[c].alias(c) for c in fields))
 
 
-def life_cycle(updates: DataFrame, task: str = "task_id", status: str = "status", ts: str = "ts", delay: str = DELAY) -> DataFrame:
-    """Start, end and duration of each task, and how it ended."""
-    ended = F.col(status).isin("completed", "failed", "cancelled")
-    out = updates.withWatermark(ts, delay).groupBy(task).agg(F.min(ts).alias("started"), F.max(F.when(ended, F.col(ts))).alias("ended"), F.max_by(status, F.when(ended, F.col(ts))).alias("outcome"))
+def life_cycle(updates: DataFrame, task: str = "task_id", status: str = "status", ts: str = "ts", delay: str = DELAY, idle_hours: float = 24.0) -> DataFrame:
+    """Start, end and duration of each task, and how it ended; on a stream, whenever one of these changes, with state that goes as
+    that of latest_status()."""
+    if updates.isStreaming:
+        got, time = state.tasks(updates, task, ts, status, [], delay, idle_hours), updates.schema[ts].dataType
+        out = got.select(F.col("key").alias(task), F.timestamp_micros("started").cast(time).alias("started"), F.timestamp_micros("ended").cast(time).alias("ended"), "outcome")
+    else:
+        ended = F.col(status).isin(*state.ENDED)
+        out = updates.groupBy(task).agg(F.min(ts).alias("started"), F.max(F.when(ended, F.col(ts))).alias("ended"), F.max_by(status, F.when(ended, F.col(ts))).alias("outcome"))
     return out.withColumn("seconds", F.col("ended").cast("timestamp").cast("double") - F.col("started").cast("timestamp").cast("double"))
 
 
-ENDED = ("completed", "failed", "cancelled")
-
-
-def _follow(timeout_ms: int):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        started, last, status = state.get if state.exists else (None, None, None)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"task_id": [key[0]], "status": ["lost"], "started": [pd.Timestamp(started, unit="us")], "seconds": [(last - started) / 1e6]})
-            return
-        for pdf in batches:
-            for t, s in sorted(zip(pdf["ts"].astype("datetime64[us]").astype("int64"), pdf["status"], strict=True)):
-                started = t if started is None else min(started, t)
-                if last is None or t >= last:
-                    last, status = t, s
-        if status in ENDED:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((started, last, status))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, last // 1000 + timeout_ms))
-        yield pd.DataFrame({"task_id": [key[0]], "status": [status], "started": [pd.Timestamp(started, unit="us")], "seconds": [(last - started) / 1e6]})
-
-    return step
-
-
 def followed(updates: DataFrame, delay: str = DELAY, timeout_hours: float = 24.0) -> DataFrame:
-    """A stream of (task_id, ts, status): each task's latest status with the seconds since it started, whenever it changes.
-    Its state goes when it ends, or, as `lost`, when nothing was heard of it for so many hours: state doesn't grow with
-    the tasks that have been."""
-    rows = updates.select(F.col("task_id").cast("string").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("status").cast("string").alias("status")).withWatermark("ts", delay)
-    return rows.groupBy("task_id").applyInPandasWithState(_follow(int(timeout_hours * 3_600_000)), "task_id string, status string, started timestamp, seconds double", "started long, last long, status string", "update", GroupStateTimeout.EventTimeTimeout)
+    """A stream of (task_id, ts, status): each task's latest status with the seconds since it started, whenever it changes; `lost`
+    when nothing was heard of it for so many hours. State doesn't grow with the tasks that have been."""
+    got = state.tasks(updates, "task_id", "ts", "status", [], delay, timeout_hours, lost=True)
+    return got.select(F.col("key").alias("task_id"), "status", F.timestamp_micros("started").alias("started"), ((F.col("last") - F.col("started")) / 1e6).alias("seconds"))
 
 
 def rules() -> list[tuple[str, str, Column]]:
@@ -101,26 +82,7 @@ def health(metrics: DataFrame) -> DataFrame:
     return metrics.withColumns({"healthy": ok, "status": F.element_at(F.array(F.lit("healthy"), F.lit("degraded"), F.lit("unhealthy")), (worst + 1).cast("int"))})
 
 
-def _average(alpha: float, timeout_ms: int):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        value, n, last = *(state.get if state.exists else (None, 0)), 0
-        for pdf in batches:
-            last = max(last, pdf["ts"].astype("datetime64[ms]").astype("int64").max())
-            for x in pdf.sort_values("ts", kind="stable")["value"]:
-                value, n = (x if value is None else alpha * x + (1 - alpha) * value), n + 1
-        state.update((value, n))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(last) + timeout_ms))
-        yield pd.DataFrame({"key": [key[0]], "ema": [value], "n": [n]})
-
-    return step
-
-
 def moving_averages(values: DataFrame, alpha: float = 0.1, delay: str = DELAY, timeout_hours: float = 24.0) -> DataFrame:
     """Exponential moving average of each key of a stream (key, ts, value), kept as state; a batch is taken in the order of ts.
     A key not heard of for so many hours is forgotten, and starts anew."""
-    step = _average(alpha, int(timeout_hours * 3_600_000))
-    rows = values.select("key", F.col("ts").cast("timestamp").alias("ts"), "value").withWatermark("ts", delay)
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, ema double, n long", "ema double, n long", "update", GroupStateTimeout.EventTimeTimeout)
+    return state.averages(values, alpha, delay, timeout_hours)

@@ -145,7 +145,7 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, tasks.counters(static, "ts", "status", "5 minutes").collect()))
     cycle = {x.task_id: x for x in tasks.life_cycle(static).collect()}
     assert cycle["t0"].seconds == 540.0 and cycle["t0"].outcome == "completed"
-    got = run_stream(spark, tasks.life_cycle(stream()), "cycle", "complete")
+    got = run_stream(spark, tasks.life_cycle(stream()), "cycle", "update")
     assert {x.task_id: x.seconds for x in got.collect()} == {k: v.seconds for k, v in cycle.items()}
     assert {x.task_id: x.value for x in tasks.latest_status(static).collect()} == {"t0": 9.0, "t1": 10.0, "t2": 11.0}
     metric = static.select("ts", F.lit(95).alias("memory_percent"), F.lit(10).alias("temperature"), F.lit(60).alias("hit_rate"), F.lit(90).alias("success_rate"))

@@ -1,4 +1,4 @@
-"""Variable-capacity best-fit packing of documents into training sequences.
+"""Variable-capacity best-fit packing of documents into training sequences of token ids.
 
 Several sequence lengths are permitted, each with a cost. Documents longer than the longest are cut into segments, the last
 of which is the remainder. Segments go, longest first, to the open bin that they leave with the least room. A segment that
@@ -16,14 +16,17 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.shared import cut, table
+from folio.llm.shared import cut, id_text, table
+from folio.llm.token_file import END_ID, TOKENIZER, _encoder
+from folio.llm.words import chunks
 
-#: Permitted lengths in words, an end mark for each segment included.
+#: Permitted lengths in tokens, each document's end id included.
 CAPACITIES = (256, 512, 1024, 2048)
 #: Segments of a shard, about. A shard's packing loss is a part of a bin, so it may be small beside that.
 SHARD_SEGMENTS = 2048
@@ -136,15 +139,20 @@ def pack(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> tuple[
 _PACKED = "doc_id long, segment long, start long, size long, bin_id long, offset long, capacity long"
 
 
-def _pack_shards(capacities: Sequence[int], shards: int):
+def _places(rows: pa.Table, bins: np.ndarray, offset: np.ndarray, final: np.ndarray, first: int) -> pa.RecordBatch:
+    """Segments and where they go -> one row a segment."""
+    rows = rows.combine_chunks()
+    columns = [*(rows[c].combine_chunks() for c in ("doc_id", "segment", "start", "size")), pa.array(first + bins), pa.array(offset), pa.array(final[bins])]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "segment", "start", "size", "bin_id", "offset", "capacity"])
+
+
+def _pack_shards(capacities: Sequence[int], shards: int, give=_places):
     """Rows of a partition, sorted by shard and then descending by size, in; a shard is held at a time."""
 
     def packed(held: list[pa.RecordBatch], shard: int) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held).combine_chunks()
+        rows = pa.Table.from_batches(held)
         bins, offset, final, _ = pack(rows["size"].to_pylist(), capacities)
-        first = (TaskContext.get().partitionId() * shards + shard) << 32
-        columns = [*(rows[c].combine_chunks() for c in ("doc_id", "segment", "start", "size")), pa.array(first + bins), pa.array(offset), pa.array(final[bins])]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "segment", "start", "size", "bin_id", "offset", "capacity"])
+        return give(rows, bins, offset, final, (TaskContext.get().partitionId() * shards + shard) << 32)
 
     def run(batches):
         held, last = [], None
@@ -210,24 +218,70 @@ def best_fit(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, length: F.
     return _pack(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("length")), capacities, 1)
 
 
-def pack_tokens(tokens: DataFrame, capacities: Sequence[int] = CAPACITIES) -> DataFrame:
-    """Packs token ids, as read_tokens() gives them (doc_id, start, n_tokens, ids; each document with its end id).
+def _segments(path: str, longest: int):
+    """Rows in -> the token ids of each, with its end id, cut into segments."""
+    names = ["doc_id", "row", "segment", "start", "size", "ids"]
+
+    def run(batches):
+        encoder = _encoder(path)
+        for batch in batches:
+            for chunk in chunks(batch.column("text")):
+                ids, first = encoder.encode(chunk)
+                n = np.diff(first) + 1
+                flat = np.full(len(ids) + len(n), END_ID, np.int32)
+                flat[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n - 1)] = ids.view(np.int32)
+                many = -(-n // longest)  # segments of each document
+                doc = np.repeat(np.arange(len(n)), many)
+                segment = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                size = np.minimum(longest, n[doc] - segment * longest)
+                of = lambda c, chunk=chunk, doc=doc: batch.column(c).take(pa.array(chunk.first + doc))  # noqa: B023, E731
+                off = np.concatenate(([0], np.cumsum(size))).astype(np.int32)  # segments lie one after another as they are
+                yield pa.RecordBatch.from_arrays([of("doc_id"), of("row"), pa.array(segment), pa.array(segment * longest), pa.array(size), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names)
+
+    return run
+
 
-    Returns one row a sequence: bin_id, capacity, n_tokens, doc_ids and offsets (where each document's segment begins), ids
-    (those of the segments one after another, at most `capacity`).
+def _sequences(rows: pa.Table, bins: np.ndarray, offset: np.ndarray, final: np.ndarray, first: int) -> pa.RecordBatch:
+    """Segments and where they go -> one row a sequence."""
+    order = np.lexsort((offset, bins))
+    rows = rows.take(pa.array(order)).combine_chunks()
+    count = np.bincount(bins, minlength=len(final))
+    parts = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+    size = rows["size"].to_numpy()
+    total = np.concatenate(([0], np.cumsum(size)))[parts]
+    column = lambda c: pa.concat_arrays(rows[c].chunks)
+    listed = lambda x: pa.ListArray.from_arrays(pa.array(parts), x)
+    columns = [pa.array(first + np.arange(len(final))), pa.array(final), pa.array(np.diff(total)), listed(column("doc_id")), listed(column("start")), listed(pa.array(offset[order])), pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), column("ids").flatten())]
+    return pa.RecordBatch.from_arrays(columns, ["bin_id", "capacity", "n_tokens", "doc_ids", "starts", "offsets", "ids"])
 
-    Documents without ids are in no sequence; very long ones are cut into several. Null doc_id is kept. Repeated rows have
-    places of their own in the files (`start`) and are packed once each. Empty table: empty result.
+
+_SEQUENCES = "bin_id long, capacity long, n_tokens long, doc_ids array<long>, starts array<long>, offsets array<long>, ids array<int>"
+
+
+def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, tokenizer: str | None = None) -> DataFrame:
+    """Packs the token ids of the documents of `docs` into training sequences.
+
+    Returns one row a sequence: bin_id, capacity, n_tokens, then for each segment in it doc_ids, starts (first id of the segment in
+    its document) and offsets (in the sequence), and ids (those of the segments one after another, at most `capacity`). Each document
+    ends with the end id; one of more ids than the longest length is cut into segments of that length and a rest.
+
+    Null or empty text: one segment that is only the end id. Very long texts are encoded whole, none is left out. Null
+    doc_id is kept. Ties of size are ordered by the place of a row in its table. Repeated rows are packed once each. Empty
+    table: empty result. Other columns, whatever their names, are not looked at.
     """
-    segments = _pack(tokens.select(F.col("start").alias("doc_id"), F.col("n_tokens").alias("length")), capacities, 0)
-    segments = segments.select(F.col("doc_id").alias("place"), F.col("start").alias("first"), "size", "bin_id", "offset", "capacity")
-    parts = segments.join(tokens.select(F.col("start").alias("place"), "doc_id", "ids"), "place")
-    part = F.struct("offset", "doc_id", F.slice("ids", (F.col("first") + 1).cast("int"), F.col("size").cast("int")).alias("ids"))
-    # a sequence has at most `capacity` ids, so a group is bounded
-    bins = parts.groupBy("bin_id", "capacity").agg(F.sum("size").alias("n_tokens"), F.array_sort(F.collect_list(part)).alias("parts"))
-    each = lambda name: F.transform("parts", lambda x: x[name])
-    return bins.select("bin_id", "capacity", "n_tokens", each("doc_id").alias("doc_ids"), each("offset").alias("offsets"), F.flatten(each("ids")).alias("ids"))
+    longest = max(capacities)
+    if min(capacities) < 1:
+        raise ValueError("capacities must be positive")
+    rows = id_text(docs).withColumn("row", F.monotonically_increasing_id())
+    # about how many segments there will be: a token has some three bytes
+    guess = rows.agg(F.coalesce(F.sum(F.ceil((F.octet_length("text") + 1) / (3 * longest))), F.lit(0))).first()[0]
+    shards = max(1, -(-guess // SHARD_SEGMENTS))
+    tasks = min(shards, max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-shards // TASK_SHARDS)))
+    per_task = -(-shards // tasks)
+    segments = rows.mapInArrow(_segments(tokenizer or public_tokenizers.path(TOKENIZER), longest), "doc_id long, row long, segment long, start long, size long, ids array<int>")
+    dealt = segments.repartition(tasks, "row", "segment").withColumn("shard", F.pmod(F.xxhash64("row", "segment"), F.lit(per_task)).cast("int"))
+    return dealt.sortWithinPartitions("shard", F.col("size").desc(), "row", "segment").mapInArrow(_pack_shards(tuple(capacities), per_task, _sequences), _SEQUENCES)
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return best_fit(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"))

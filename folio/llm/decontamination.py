@@ -35,16 +35,36 @@ SHARD_WORDS = 1 << 20
 SAMPLE = 8
 
 
+class _Bits:
+    """A bit vector packed into words of 64 bits, with the number of ones before each word."""
+
+    def __init__(self, bit: np.ndarray):
+        packed = np.zeros((len(bit) // 64 + 1) * 8, np.uint8)  # a word past the end, so that every place has one
+        some = np.packbits(bit, bitorder="little")
+        packed[: len(some)] = some
+        self.words = packed.view(np.uint64)
+        ones = np.bitwise_count(self.words)
+        self.before = (np.cumsum(ones, dtype=np.int64) - ones).astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.words[word] & below).astype(np.int64)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)).astype(np.int64) & 1
+
+
 class WaveletTree:
     """Ranks of symbols in a sequence: one bit vector a level, with counts before each 64 bits."""
 
     def __init__(self, symbols: np.ndarray, levels: int):
-        self.levels, self.ones, self.zeros, self.bits = levels, [], [], []
+        self.levels, self.zeros, self.bits = levels, [], []
         for level in range(levels - 1, -1, -1):
             bit = (symbols >> level & 1).astype(bool)
-            self.ones.append(np.concatenate(([0], np.cumsum(bit))).astype(np.int32))
             self.zeros.append(int(len(bit) - bit.sum()))
-            self.bits.append(bit)
+            self.bits.append(_Bits(bit))
             symbols = np.concatenate((symbols[~bit], symbols[bit]))  # a wavelet matrix: zeros first
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -52,7 +72,7 @@ class WaveletTree:
         low = np.zeros_like(at)
         for k in range(self.levels):
             bit = symbol >> (self.levels - 1 - k) & 1
-            one_at, one_low = self.ones[k][at], self.ones[k][low]
+            one_at, one_low = self.bits[k].rank(at), self.bits[k].rank(low)
             at = np.where(bit, self.zeros[k] + one_at, at - one_at)
             low = np.where(bit, self.zeros[k] + one_low, low - one_low)
         return at - low
@@ -60,8 +80,7 @@ class WaveletTree:
     def get(self, at: np.ndarray) -> np.ndarray:
         out = np.zeros(len(at), np.int64)
         for k in range(self.levels):
-            bit = self.bits[k][at]
-            one = self.ones[k][at]
+            bit, one = self.bits[k].get(at), self.bits[k].rank(at)
             at = np.where(bit, self.zeros[k] + one, at - one)
             out = out << 1 | bit
         return out

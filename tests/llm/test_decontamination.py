@@ -95,3 +95,15 @@ def test_odd(spark, odd_docs, no_docs):
     assert dc.clean(odd_docs, bench).columns == odd_docs.columns
     assert not any(x.contaminated for x in dc.report(dc.decontaminate(odd_docs, bench.limit(0))).collect())
     assert dc.decontaminate(no_docs, bench).count() == 0 and dc.clean(no_docs, bench).count() == 0
+
+
+def test_packed_ranks():
+    """Ranks and symbols from packed words, at every place and past the last."""
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 63, 64, 65, 200):
+        symbols = rng.integers(0, 11, n)
+        tree = dc.WaveletTree(symbols, 4)
+        assert tree.get(np.arange(n)).tolist() == symbols.tolist()
+        for s in range(11):
+            want = [int((symbols[:i] == s).sum()) for i in range(n + 1)]
+            assert tree.rank(np.full(n + 1, s), np.arange(n + 1)).tolist() == want

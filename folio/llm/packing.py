@@ -31,7 +31,7 @@ CAPACITIES = (256, 512, 1024, 2048)
 #: Segments of a shard, about. A shard's packing loss is a part of a bin, so it may be small beside that.
 SHARD_SEGMENTS = 2048
 #: Shards that one task packs, one after another, where there are many more shards than cores.
-TASK_SHARDS = 64
+TASK_SHARDS = 16
 #: Cost of a sequence of c words: c, plus this for each sequence, plus quadratic attention as a share of c at the longest. So
 #: short sequences cost by their number, long ones by attention, and those between are cheapest a word if they are full.
 PER_SEQUENCE, ATTENTION = 64.0, 0.25

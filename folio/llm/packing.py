@@ -32,7 +32,9 @@ CAPACITIES = (256, 512, 1024, 2048)
 SHARD_SEGMENTS = 2048
 #: Shards that one task packs, one after another, where there are many more shards than cores.
 TASK_SHARDS = 16
-#: Cost of a sequence of c words: c, plus this for each sequence, plus quadratic attention as a share of c at the longest. So
+#: Pieces of texts that a worker keeps encoded.
+PIECES = 1 << 19
+#: Cost of a sequence of c tokens: c, plus this for each sequence, plus quadratic attention as a share of c at the longest. So
 #: short sequences cost by their number, long ones by attention, and those between are cheapest a word if they are full.
 PER_SEQUENCE, ATTENTION = 64.0, 0.25
 
@@ -223,7 +225,7 @@ def _segments(path: str, longest: int):
     names = ["doc_id", "row", "segment", "start", "size", "ids"]
 
     def run(batches):
-        encoder = _encoder(path)
+        encoder = _encoder(path, PIECES)
         for batch in batches:
             for chunk in chunks(batch.column("text")):
                 ids, first = encoder.encode(chunk)

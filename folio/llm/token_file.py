@@ -61,9 +61,10 @@ def _cuts(chunk: Chunk) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes chunks of texts, remembering pieces in sorted arrays: some thirty bytes a piece."""
+    """Encodes chunks of texts, remembering up to so many pieces in sorted arrays: some thirty bytes a piece."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int | None = None):
+        self.pieces = pieces
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -93,7 +94,7 @@ class Encoder:
         start, end = cut[:-1], cut[1:]
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(chunk) + 1, np.int64)
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > (self.pieces or CACHE_PIECES):
             self._forget()
         hashes, at, back = np.unique(piece_hashes(chunk, start, end), return_index=True, return_inverse=True)
         found = np.searchsorted(self.known, hashes)
@@ -110,9 +111,9 @@ class Encoder:
 
 
 @functools.cache
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, pieces: int | None = None) -> Encoder:
     """One for each worker process, which serves many tasks."""
-    return Encoder(path)
+    return Encoder(path, pieces)
 
 
 def _encode(path: str, end_id: int):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from folio.functions import lexicons as lx
 from folio.functions import text as t
 from folio.functions.markers import count_lists
+from folio.operators.terms import best_terms, summed
 
 # Results depend on these lists and patterns.
 TRANSITION_STOPS = "и в на с по для от до при за через".split()
@@ -180,11 +181,4 @@ def find_spans(df: DataFrame, pattern: str, text: str = "text", name: str = "spa
 
 def chunk_terms(chunks: DataFrame, key: str = "doc_id", order: str = "chunk_index", text: str = "content", word: str = r"\p{L}{2,}", stop_words=(), top: int = 20) -> DataFrame:
     """Term scores of chunks (normalised counts of words and pairs) summed over the text: key, term, score, rank, terms."""
-    w = F.filter(t.words(F.col(text), word), lambda x: ~F.array_contains(t.word_list(list(stop_words)), x))
-    rows = chunks.select(key, order, w.alias("w"))
-    pairs = F.slice(F.transform("w", lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1))), 1, F.greatest(F.size("w") - 1, F.lit(0)))
-    counts = rows.select(key, order, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, order, "term").agg(F.count("*").alias("c"))
-    scores = counts.withColumn("s", F.col("c") / F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(key, order))))
-    sums = scores.groupBy(key, "term").agg(F.sum("s").alias("score"))
-    sums = sums.withColumns({"rank": F.row_number().over(Window.partitionBy(key).orderBy(F.round("score", 9).desc(), "term")), "terms": F.count("*").over(Window.partitionBy(key))})
-    return sums.where(F.col("rank") <= top)
+    return best_terms(chunks, key, order, text, word, stop_words, partial(summed, top=top))

@@ -121,15 +121,17 @@ def chunks_by_flags(spark, d):
     f"LEFT JOIN (SELECT session_id, count(*) AS p, sum(score) AS s FROM ({_EDGES}) GROUP BY 1) ON session_id = n_nationkey"
 )
 def session_records(spark, d):
-    """JSON records of sessions with analyzers and matrix, read back."""
+    """JSON records of sessions with analyzers, and of the pairs of their matrix, read back."""
     sessions, texts, found, edges = _sessions(spark, d)
     used = found.select("session_id", F.col("analyzer_name").alias("name")).distinct()
-    j = books.session_json(sessions.select("session_id", "name"), texts, found, used, edges)
-    kind = "struct<data:struct<texts:array<struct<text_id:bigint>>,results:array<struct<text_id:bigint>>,analyzers:array<string>,matrix:array<struct<text1:bigint,text2:bigint,score:double>>>>"
+    j = books.session_json(sessions.select("session_id", "name"), texts, found, used)
+    kind = "struct<data:struct<texts:array<struct<text_id:bigint>>,results:array<struct<text_id:bigint>>,analyzers:array<string>>>"
     x = F.from_json("json", kind)["data"]
     n = lambda c: F.coalesce(F.size(x[c]), F.lit(0)).alias(c)
-    scores = F.coalesce(t.total(x["matrix"], lambda m: m["score"]), F.lit(0.0))
-    return j.select("session_id", n("texts"), n("results"), F.coalesce(F.array_join(x["analyzers"], ","), F.lit("")).alias("analyzers"), F.coalesce(F.size(x["matrix"]), F.lit(0)).alias("pairs"), F.round(scores, 4).alias("total"))
+    pairs = books.matrix_json(edges).select("session_id", F.from_json("json", "text1 bigint, text2 bigint, score double")["score"].alias("score"))
+    sums = pairs.groupBy("session_id").agg(F.count("*").cast("int").alias("pairs"), F.sum("score").alias("sum"))
+    rows = j.select("session_id", n("texts"), n("results"), F.coalesce(F.array_join(x["analyzers"], ","), F.lit("")).alias("analyzers"))
+    return rows.join(sums, "session_id", "left").withColumns({"pairs": F.coalesce("pairs", F.lit(0)), "total": F.round(F.coalesce("sum", F.lit(0.0)), 4)}).drop("sum")
 
 
 @query(

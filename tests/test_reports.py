@@ -168,3 +168,15 @@ def test_best_edges(spark, texts):
     edges = spark.createDataFrame(pairs, "session_id int, text1 int, text2 int, score double")
     got = sorted((x.session_id, x.r, x.text1, x.text2) for x in books.best_edges(edges).collect())
     assert got == [(k, i + 1, a, b) for k in range(3) for i, (_, a, b) in enumerate(sorted((-s, a, b) for j, a, b, s in pairs if j == k)[:5])]
+
+
+def test_matrix_lines_need_no_exchange(spark):
+    """Pairs become JSON in their own rows; a session's document holds none of them."""
+    s = spark.createDataFrame([("s1", "n")], "session_id string, name string")
+    texts = spark.createDataFrame([("s1", "t1", "a", 1), ("s1", "t2", "b", 2)], "session_id string, text_id string, title string, position int")
+    edges = spark.createDataFrame([("s1", "t1", "t2", 0.1), ("s1", "t1", "t3", 0.25)], "session_id string, text1 string, text2 string, score double")
+    lines = books.matrix_json(edges)
+    assert sorted(x.json for x in lines.collect()) == [f'{{"session_id":"s1","text1":"t1","text2":"{b}","score":{v}}}' for b, v in (("t2", 0.1), ("t3", 0.25))]
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+    results = spark.createDataFrame([("s1", "t1", "x", "y")], "session_id string, text_id string, analyzer_name string, result_data string")
+    assert "matrix" not in books.session_json(s, texts, results).first().json

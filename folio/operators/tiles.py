@@ -202,6 +202,20 @@ def matrix(vectors: DataFrame, metric: str = "unit", by: Sequence[str] = (), key
     return _products(left, right, by, use, [StructField("text", LongType()), StructField("others", ArrayType(LongType())), StructField("scores", ArrayType(DoubleType()))], metric)
 
 
+def bins(vectors: DataFrame, bounds: Sequence[float], metric: str = "unit", by: Sequence[str] = (), key: str = "vec_id", column: str = "embedding", rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs of a group, each once, by the ranges that ascending `bounds` cut scores into: the group's columns, pairs, sum, one (a score
+    of the range). A tile gives a row for each range that it meets; a range may have several rows."""
+
+    def use(i, j, s, same):
+        v = s[i[:, None] < j[None, :] if same else i[:, None] != j[None, :]]
+        at = np.searchsorted(bounds, v, "right")
+        found = [x for x in (v[at == b] for b in range(len(bounds) + 1)) if len(x)]
+        return [pa.array([len(x) for x in found], pa.int64()), pa.array([x.sum() for x in found], pa.float64()), pa.array([x[0] for x in found], pa.float64())]
+
+    left, right = _grid(blocked(vectors, by, key, column, rows), by)
+    return _products(left, right, by, use, [StructField("pairs", LongType()), StructField("sum", DoubleType()), StructField("one", DoubleType())], metric)
+
+
 def average(vectors: DataFrame, by: Sequence[str] = (), key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The average `unit` similarity of all pairs of a group, over all groups, without forming a pair: the square of a group's sum of
     unit vectors holds each pair's cosine twice, and each row's own. No pairs: 0."""

@@ -130,3 +130,16 @@ def test_index(spark, metric):
 def test_recall(spark, sf):
     rows = records.pq_recall(spark, f"/root/testdata/sf{sf}").collect()
     assert sum(r.recall for r in rows) / len(rows) >= 0.9
+
+
+def test_bins_give_few_rows(spark):
+    """Counts of each range over tiles of a few rows, a row a range and tile."""
+    v = np.random.default_rng(5).normal(size=(30, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    s = ((u @ u.T + 1) / 2)[np.triu_indices(30, 1)]
+    rows = tiles.bins(df, [0.3, 0.7], rows=10).collect()
+    at = lambda x: int(np.searchsorted([0.3, 0.7], x, "right"))
+    got = [sum(r.pairs for r in rows if at(r.one) == b) for b in range(3)]
+    assert got == np.bincount(np.searchsorted([0.3, 0.7], s, "right"), minlength=3).tolist() and len(rows) <= 18
+    assert abs(sum(r["sum"] for r in rows) - s.sum()) < 1e-6

@@ -32,3 +32,15 @@ def test_entry(spark):
 def test_recall(spark):
     rows = registry.ivf_recall(spark, SF).collect()
     assert sum(r.recall for r in rows) / len(rows) >= 0.9
+
+
+def test_grade_of_rounded_average(spark, con, tmp_path):
+    """An average that is 0.8 when rounded and a little less before."""
+    text = (
+        "anortion | inerershon, | edlysh | thortionnd | tition | eresingnd | onntst | whinwh | erreou | ononrehe | enwhor | onanhe. | Ofbleenhe | anhalyea | tiatnd | thatti | thonhesh | ananing | "
+        "attionheedthth | thinha | heorsh | theringble | edeshe | thenan | ofinthin | tionon | thndha | lyatth | thersh | edouea |"
+    )
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = con.cursor()
+    own.execute(f"CREATE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert compare(registry.structure_rollup(spark, str(tmp_path)), own, registry.oracle_sql()["structure_rollup"]) is None

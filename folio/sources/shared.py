@@ -5,9 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of texts that a worker turns into Python objects at a time, about.
+SLICE_BYTES = 2_000_000
+
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir. Only where that is unset and all runs on this machine, one under a local folder."""
@@ -26,3 +33,15 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts (or binaries) in `column` have up to `most` bytes in all, or are one; nothing is copied."""
+    sizes = pc.fill_null(pc.cast(pc.binary_length(batch.column(column)), pa.int64()), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end

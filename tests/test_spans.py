@@ -1,14 +1,17 @@
 """The table function of spans, and the event parser of books."""
 
 import re
+import tracemalloc
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import spans
 from folio.operators import narrative
 from folio.plans import records
-from folio.sources import books, xml_books
+from folio.sources import books, shared, xml_books
 
 TEXTS = ["— Да, — сказал он.\nИ ушёл.", "no speech", "", None, '"a" and «b» 🙂 "c"', "x: — так.\n"]
 
@@ -62,3 +65,18 @@ def test_read_books(spark, tmp_path):
     got = books.parse_books(odd).first()
     assert (got.row, got.x, got.content, got.title) == ("mine", 2, "<a/>", None)
     assert books.parse_books(odd.limit(0)).collect() == []
+
+
+def test_batches_in_parts():
+    """A batch of 100 MB of files needs the room of a few of them, and gives each its row."""
+    book = f"<FictionBook><body>{'one two ' * 12_500}</body></FictionBook>"
+    batch = pa.record_batch({"row": pa.array([{"i": i} for i in range(1000)]), "content": pa.array([None if i % 10 == 3 else book for i in range(1000)], pa.string())})
+    seen = []
+    tracemalloc.start()
+    for part in xml_books.parse_batches([batch]):
+        seen += zip((x["i"] for x in part.column("row").to_pylist()), part.column("parse_error").to_pylist(), pc.utf8_length(part.column("body")).to_pylist(), strict=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == [(i, True, None) if i % 10 == 3 else (i, False, 99_999) for i in range(1000)] and peak < 20e6
+    whole = [x.num_rows for x in shared.slices(pa.record_batch({"c": pa.array(["abc", "", None, "abcdef", "a", "b"], pa.string())}), "c", 4)]
+    assert whole == [3, 1, 2] and list(shared.slices(pa.record_batch({"c": pa.array([], pa.string())}), "c")) == []

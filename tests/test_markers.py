@@ -1,7 +1,10 @@
 """One-pass counts of word lists against a count of each key by itself."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folio.functions import markers as m
@@ -61,3 +64,14 @@ def test_clashing_columns(spark):
     got = narrative.timeline(odd).orderBy("chunk_index").collect()
     assert [r.chunk_index for r in got] == list(range(0, 25, 2)) and all(r[n] == f"mine {n}" for r in got for n in names)
     assert all(r[n] == f"mine {n}" for r in narrative.relevant(odd, "character", 0.0).collect() for n in names)
+
+
+def test_one_text_at_a_time():
+    """A batch of 100 MB needs the room of one text, not of all."""
+    texts = pa.array(["the one and two " * 62_500] * 100)
+    tracemalloc.start()
+    found = m.counts_of(texts, (("the", "one"), ("two",), ()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[99].as_py() == {"c0": 125_000.0, "c1": 62_500.0, "c2": 0.0} and peak < 20e6
+    assert [np.isnan(x.as_py()["c0"]) for x in m.counts_of(pa.array(["a", None], pa.string()), (("a",),))] == [False, True]

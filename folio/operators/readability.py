@@ -6,11 +6,13 @@ Null text: all measures are null. Empty text: counts are 0 and ratios divide by
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import lexicons as lx
 from folio.functions import text as t
+from folio.functions import vocabulary as v
 from folio.functions.markers import count_lists
 
 GRADES = [(0.2, "very_difficult"), (0.4, "difficult"), (0.6, "medium"), (0.8, "easy")]
@@ -37,46 +39,50 @@ def readability(
     subordinate: str = r"(?U)\b(который|которая|которые|что|чтобы)\b", marks: str = MARKS, name: str = "readability", fields: list[str] | None = None,
 ) -> DataFrame:
     """Counts, five indices, lexical, organisational and cognitive measures, and the overall score with its grade; or only
-    the `fields` named, and what they need. Words are sought sentence by sentence, so none goes past a sentence's end."""
-    c, w, s = F.col("_text"), F.col("_w"), F.col("_s")
-    n, k = F.size(w), F.size(s)
+    the `fields` named, and what they need. Words are sought sentence by sentence, so none goes past a sentence's end.
+    `vowels` is a pattern as RE2 (Arrow) reads it: classes, groups and repeats, as in Java, but no look-around."""
+    c, s = F.col("_text"), F.col("_s")
+    n, k = F.col("_n"), F.size(s)
     low = F.col("_low")
-    is_stop = lambda x: F.array_contains(t.word_list(stop_words), x)
-    has_suffix = lambda x: t.contains_any(x, suffixes)
+    of = lambda x: F.col("_sums")[x]
+    stops, endings = tuple(stop_words), tuple(suffixes)
+
+    def measure(words):
+        size, y, suffix = v.lengths(words), v.syllables(words, vowels), v.with_any(words, endings)
+        return y, y >= 3, (size > 10) | suffix | (y > 4), np.minimum(size / 15, 1.0) + 0.5 * suffix, (size > 8) & suffix, ~v.listed(words, stops)
+
+    asked = ["syllables", "long", "complex", "morphology", "concepts", "content"]
     asl, asw, cpw = F.col("_words_per_sentence"), F.col("_syllables_per_word"), F.col("_chars_per_word")
     some = (F.col("_words") > 0) & (F.col("_sentences") > 0)
     index = lambda x: F.when(some, x).otherwise(0.0)
     per = lambda a, b: a / F.greatest(b, F.lit(1))
-    content = lambda x: F.array_except(F.array_distinct(x), t.word_list(stop_words))
-    pair = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b))).otherwise(0.0)
     steps = [
         {"_low": F.lower(c)},
-        {"_s": t.sentences(low), "_p": F.split(c, separator.replace("\n", "\\n")), "_hits": count_lists(low, {"connectives": connectives, "abstract": abstract})},
+        {"_s": t.sentences(low)},
         {"_by_sentence": F.transform(s, lambda x: F.regexp_extract_all(x, F.lit(word), F.lit(0)))},
-        {"_w": F.flatten("_by_sentence")},
-        # what is asked of each word, once: length, syllables, whether a suffix is in it
-        {"_each": F.transform(w, lambda x: F.struct(F.length(x).alias("n"), t.syllables(x, vowels).alias("y"), has_suffix(x).alias("f"))), "_content": F.filter(w, lambda x: ~is_stop(x)), "_sets": F.transform("_by_sentence", content), "_pl": F.transform(t.paragraphs(c, separator), lambda x: t.token_count(x).cast("double")), "_tok": t.token_count(c)},
-        {"_chars": F.length(F.regexp_replace(c, r"(?U)\s+", "")).cast("long"), "_words": n.cast("long"), "_sentences": k.cast("long"), "_paragraphs": F.size(t.paragraphs(c, separator)).cast("long"), "_syllables": t.total(F.col("_each"), lambda x: x["y"]).cast("long"), "_long": F.size(F.filter("_each", lambda x: x["y"] >= 3))},
+        # what is asked of each word; both run in Python, so they stand in one step
+        {"_sums": v.word_sums(F.col("_by_sentence"), asked, measure, stops), "_hits": count_lists(low, {"connectives": connectives, "abstract": abstract})},
+        {"_n": t.total(F.col("_by_sentence"), F.size), "_p": F.split(c, separator.replace("\n", "\\n")), "_pl": F.transform(t.paragraphs(c, separator), lambda x: t.token_count(x).cast("double")), "_tok": t.token_count(c)},
+        {"_chars": F.length(F.regexp_replace(c, r"(?U)\s+", "")).cast("long"), "_words": n.cast("long"), "_sentences": k.cast("long"), "_paragraphs": F.size(t.paragraphs(c, separator)).cast("long"), "_syllables": of("syllables").cast("long")},
         {
             "_words_per_sentence": per(F.col("_words"), F.col("_sentences")), "_sentences_per_paragraph": per(F.col("_sentences"), F.col("_paragraphs")), "_syllables_per_word": per(F.col("_syllables"), F.col("_words")), "_chars_per_word": per(F.col("_chars"), F.col("_words")),
-            "_lexical_diversity": per(F.size(F.array_distinct(w)), n), "_stop_words_ratio": per(n - F.size(F.col("_content")), n),
-            "_complex_words_ratio": per(F.size(F.filter("_each", lambda x: (x["n"] > 10) | x["f"] | (x["y"] > 4))), n),
-            "_morphological_complexity": t.mean(F.col("_each"), lambda x: F.least(x["n"] / 15, F.lit(1.0)) + F.when(x["f"], 0.5).otherwise(0.0)),
+            "_lexical_diversity": per(of("distinct"), n), "_stop_words_ratio": per(n - of("content"), n),
+            "_complex_words_ratio": per(of("complex"), n), "_morphological_complexity": per(of("morphology"), n),
             "_punctuation_density": per((F.length(c) - F.length(F.translate(c, marks, ""))) * 1000.0, F.length(c)),
         },
         {
             "_flesch": index(t.clamp(206.835 - 1.015 * asl - 84.6 * asw, 0.0, 100.0)), "_flesch_kincaid": index(F.greatest(0.39 * asl + 11.8 * asw - 15.59, F.lit(0.0))),
-            "_smog": index(F.when(F.col("_sentences") >= 3, 1.043 * F.sqrt(30.0 * F.col("_long") / F.greatest(F.col("_sentences"), F.lit(1))) + 3.1291).otherwise(0.0)),
+            "_smog": index(F.when(F.col("_sentences") >= 3, 1.043 * F.sqrt(30.0 * of("long") / F.greatest(F.col("_sentences"), F.lit(1))) + 3.1291).otherwise(0.0)),
             "_ari": index(F.greatest(4.71 * cpw + 0.5 * asl - 21.43, F.lit(0.0))),
             "_coleman_liau": index(F.greatest(0.0588 * cpw * 100 - 0.296 * per(100.0 * F.col("_sentences"), F.col("_words")) - 15.8, F.lit(0.0))),
             "_organization": F.least(
                 F.when(F.size("_p") > 1, 0.3).otherwise(0.0)
                 + F.when(F.size("_pl") > 0, 0.3 / (1 + t.variance(F.col("_pl")) / F.pow(F.greatest(t.mean(F.col("_pl")), F.lit(1e-9)), 2))).otherwise(0.0)
                 + F.least(per(F.col("_hits")["connectives"], F.col("_tok")) * 10, F.lit(0.4)), F.lit(1.0)),
-            "_coherence": F.when(k < 2, 1.0).otherwise(t.total(F.when(k > 1, F.sequence(F.lit(1), k - 1)).otherwise(F.array(F.lit(0))), lambda i: pair(F.get("_sets", i - 1), F.get("_sets", i))) / F.greatest(k - 1, F.lit(1))),
+            "_coherence": F.when(k < 2, 1.0).otherwise(of("shared") / F.greatest(k - 1, F.lit(1))),
             "_parallel": F.least(per(t.total(s, lambda x: x.rlike(enumeration).cast("int") + x.rlike(conditional).cast("int")), k), F.lit(1.0)),
-            "_information_density": F.when(n == 0, 0.0).otherwise(F.least((F.size("_content") / F.greatest(n, F.lit(1)) + per(F.size(F.array_distinct("_content")), F.size("_content"))) / 2, F.lit(1.0))),
-            "_concept_complexity": F.when(n == 0, 0.0).otherwise(F.least(5 * (F.col("_hits")["abstract"] + F.size(F.filter("_each", lambda x: (x["n"] > 8) & x["f"]))) / F.greatest(n, F.lit(1)), F.lit(1.0))),
+            "_information_density": F.when(n == 0, 0.0).otherwise(F.least((per(of("content"), n) + per(of("distinct_kept"), of("content"))) / 2, F.lit(1.0))),
+            "_concept_complexity": F.when(n == 0, 0.0).otherwise(F.least(5 * (F.col("_hits")["abstract"] + of("concepts")) / F.greatest(n, F.lit(1)), F.lit(1.0))),
             "_memory_load": (F.least(asl / 30, F.lit(1.0)) + F.least(per((F.regexp_count(low, F.lit(r"(?U)\b\w+,\s*\w+,\s*\w+\b")) + F.regexp_count(low, F.lit(r"\([^)]+\)")) + F.regexp_count(low, F.lit(subordinate))) * 1.0, k), F.lit(1.0))) / 2,
         },
         {"_overall": t.clamp(50 + F.col("_flesch") * 0.25 + 100 * (-0.1 * F.col("_lexical_diversity") - 0.2 * F.col("_complex_words_ratio") + 0.1 * F.col("_stop_words_ratio") + 0.15 * F.col("_coherence") + 0.15 * F.col("_organization") - 0.1 * F.col("_information_density") - 0.15 * (1 - F.least(F.abs(asl - 17.5) / 17.5, F.lit(1.0)))), 0.0, 100.0) / 100},

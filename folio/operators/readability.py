@@ -96,37 +96,35 @@ def complexity(
     df: DataFrame, common_words, text: str = "text", word: str = t.LETTERS, vowels: str = t.LATIN_VOWELS, separator: str = "\n", conjunctions=lx.CONJUNCTIONS, name: str = "complexity"
 ) -> DataFrame:
     """Linguistic, structural, lexical and syntactic complexity, and the overall score with its level. `common_words` is the list
-    of words that don't count as rare; it has no default."""
-    c, w, s = F.col("_text"), F.col("_w"), F.col("_s")
-    n, k = F.size(w), F.size(s)
+    of words that don't count as rare; it has no default.
+    `vowels` is a pattern as RE2 (Arrow) reads it."""
+    c, s = F.col("_text"), F.col("_s")
+    n, k = F.col("_n"), F.size(s)
     asl, asw, share = F.col("_words_per_sentence"), F.col("_syllables_per_word"), F.col("_complex_words_ratio")
     some = (n > 0) & (k > 0)
     of = lambda x: F.when(some, x).otherwise(0.0)
     per = lambda a, b: a / F.greatest(b, F.lit(1))
-    distinct = F.array_distinct(w)
-    # counts of equal words from the sorted array: one pass instead of one for each word
-    runs = F.aggregate(
-        F.col("_sorted"),
-        F.struct(F.lit(None).cast("string").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum")),
-        lambda a, x: F.when(a["last"].eqNullSafe(x), F.struct(x.alias("last"), (a["run"] + 1).alias("run"), a["sum"].alias("sum"))).otherwise(
-            F.struct(x.alias("last"), F.lit(1.0).alias("run"), (a["sum"] + F.when(a["run"] > 0, a["run"] * F.log2(a["run"])).otherwise(0.0)).alias("sum"))
-        ),
-        lambda a: a["sum"] + F.when(a["run"] > 0, a["run"] * F.log2(a["run"])).otherwise(0.0),
-    )
+    sums = lambda x: F.col("_sums")[x]
+    known = tuple(common_words)
+
+    def measure(words):
+        y = v.syllables(words, vowels)
+        return y, y > 3, v.lengths(words), ~v.listed(words, known)
+
     steps = [
         {"_low": F.lower(c)},
-        {"_s": t.sentences(F.col("_low")), "_hits": count_lists(F.col("_low"), {"conjunctions": conjunctions})},
+        {"_s": t.sentences(F.col("_low"))},
         {"_by_sentence": F.transform(s, lambda x: F.regexp_extract_all(x, F.lit(word), F.lit(0)))},
-        {"_w": F.flatten("_by_sentence")},
-        {"_lengths": F.transform("_by_sentence", lambda x: F.size(x).cast("double")), "_syll": F.transform(w, lambda x: t.syllables(x, vowels)), "_sorted": F.array_sort(w), "_paragraphs": F.size(t.paragraphs(c, separator)).cast("long")},
-        {"_words_per_sentence": of(n / F.greatest(k, F.lit(1))), "_syllables_per_word": of(per(t.total(F.col("_syll")), n)), "_complex_words_ratio": of(per(F.size(F.filter(F.col("_syll"), lambda x: x > 3)), n)), "_word_length": per(t.total(w, lambda x: F.length(x)), n)},
+        {"_sums": v.word_sums(F.col("_by_sentence"), ["syllables", "complex", "chars", "rare"], measure), "_hits": count_lists(F.col("_low"), {"conjunctions": conjunctions})},
+        {"_lengths": F.transform("_by_sentence", lambda x: F.size(x).cast("double")), "_n": t.total(F.col("_by_sentence"), F.size), "_paragraphs": F.size(t.paragraphs(c, separator)).cast("long")},
+        {"_words_per_sentence": of(n / F.greatest(k, F.lit(1))), "_syllables_per_word": of(per(sums("syllables"), n)), "_complex_words_ratio": of(per(sums("complex"), n)), "_word_length": per(sums("chars"), n)},
         {
             "_flesch": of(t.clamp(206.835 - 1.52 * asl - 65.14 * asw, 0.0, 100.0) / 100), "_ari": of(t.clamp(4.71 * F.col("_word_length") + 0.5 * asl - 21.43, 0.0, 20.0) / 20), "_fog": of(t.clamp(0.4 * (asl + 100 * share), 0.0, 20.0) / 20),
             "_sentence_length_variance": t.variance(F.col("_lengths")),
             "_sentence_length_ratio": F.when(k > 0, (F.array_max("_lengths") - F.array_min("_lengths")) / F.greatest(F.array_max("_lengths"), F.lit(1.0))).otherwise(0.0),
             "_sentences_per_paragraph": per(k, F.col("_paragraphs")),
-            "_lexical_diversity": F.when(n > 0, per(F.size(distinct), n)), "_rare_words_ratio": F.when(n > 0, per(n - t.count_in(w, common_words), n)),
-            "_lexical_entropy": F.when(n > 0, F.least((F.log2(F.greatest(n, F.lit(1)).cast("double")) - per(runs, n)) / 10, F.lit(1.0))),
+            "_lexical_diversity": F.when(n > 0, per(sums("distinct"), n)), "_rare_words_ratio": F.when(n > 0, per(sums("rare"), n)),
+            "_lexical_entropy": F.when(n > 0, F.least((F.log2(F.greatest(n, F.lit(1)).cast("double")) - per(sums("spread"), n)) / 10, F.lit(1.0))),
             "_comma_density": per(t.count_sub(c, ",") * 1000, F.length(c)), "_conjunction_density": per(F.col("_hits")["conjunctions"], n),
             "_complex_sentence_ratio": per(F.size(F.filter(F.zip_with(s, "_lengths", lambda x, y: (t.count_sub(x, ",") > 2) | t.contains_any(x, conjunctions) | (y > 20)), lambda x: x)), k),
             "_commas_per_sentence": per(t.count_sub(c, ","), k),

@@ -54,6 +54,7 @@ def test_words():
 def test_words_are_not_measured_by_folds(spark):
     """No expression of Spark's runs over the words of a text one by one."""
     rows = spark.createDataFrame([("One two. Two three!",)], "text string")
-    plan = readability.readability(rows)._jdf.queryExecution().optimizedPlan().toString()
-    assert "flatten" not in plan and "array_distinct" not in plan and "array_contains" not in plan
+    for made in (readability.readability(rows), readability.complexity(rows, ["one"])):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "flatten" not in plan and "array_distinct" not in plan and "array_contains" not in plan
     assert readability.readability(rows).select(F.col("readability.words")).first()[0] == 4

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import vocabulary as v
-from folio.operators import readability
+from folio.operators import narrative, readability
 
 TEXTS = [[["aa", "b", "aa"], ["b", "ccc"], []], None, [], [["b"], ["the", "the"], ["b", "the"]], [[]], [["ёж", "ёж", "aa"], ["ёж"]]]
 
@@ -58,3 +58,24 @@ def test_words_are_not_measured_by_folds(spark):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "flatten" not in plan and "array_distinct" not in plan and "array_contains" not in plan
     assert readability.readability(rows).select(F.col("readability.words")).first()[0] == 4
+
+
+@pytest.mark.parametrize("at_once", [1, 1 << 20])
+def test_often_used(monkeypatch, at_once):
+    monkeypatch.setattr(v, "WORDS", at_once)
+    texts = pa.array([["long", "abc"] * 6, None, [], ["longer"] * 5, ["ёлка"] * 7 + ["long"] * 6 + ["once"]])
+    assert np.concatenate([v.often_used_of(part, 3, 5) for part in v._parts(texts)]).tolist() == [6, 0, 0, 0, 13]
+
+
+def test_water_exchanges_no_words(spark):
+    """Words of a text are counted in its row: no row a word."""
+    rows = spark.createDataFrame([(1, 0, "many " * 4), (1, 1, "many " * 2 + "\x1cfew"), (2, 0, None), (3, 0, "")], "doc_id long, chunk_index int, content string")
+    made = narrative.water_report(rows, patterns={"a": ["few"]}, repeats={"a": ["few"]})
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("explode(") == 1  # of what repeats
+    got = {r.doc_id: (r.repetition_water, r.phrase_water, r.water) for r in made.collect()}
+    assert got[1] == (100 * 6 / 7, 100 / 7, 100.0) and got[3][2] == 50.0
+
+
+def test_keywords(spark):
+    rows = spark.createDataFrame([("a-b-c-d-e it's, hou-ses abcd abcde12f\x1cghijk",)], "c string")
+    assert rows.select(narrative.keywords(F.col("c"))).first()[0] == ["abcde", "houses", "abcdef", "ghijk"]

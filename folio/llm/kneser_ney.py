@@ -53,9 +53,18 @@ def trained(doc_id) -> F.Column:
 # ---- packed counts
 
 
+def _by_bucket(bucket: np.ndarray) -> np.ndarray:
+    """Stable order by bucket; numpy sorts 16 bits by radix."""
+    small = len(bucket) and bucket.min() >= 0 and bucket.max() < 1 << 16
+    return np.argsort(bucket.astype(np.uint16) if small else bucket, kind="stable")
+
+
 def _pack(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     """Distinct keys with counts (a row each) by bucket: keys as differences, both by byte place, which compresses well."""
-    order = np.lexsort((keys, bucket))
+    if (keys[1:] < keys[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        keys, counts, bucket = keys[order], counts[order], bucket[order]
+    order = _by_bucket(bucket)
     keys, counts, bucket = keys[order], counts[order], bucket[order]
     cuts = np.concatenate((np.flatnonzero(np.diff(bucket, prepend=-1)), [len(bucket)]))
     planes = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
@@ -95,12 +104,12 @@ def _map(path: str, name: str, dtype: str) -> np.ndarray:
     store it is copied when first asked for, into a nameless file that ends with the worker."""
     if urlparse(path).scheme in ("", "file"):
         file = os.path.join(urlparse(path).path, name)
-        return np.memmap(file, dtype, "r") if os.path.getsize(file) else np.zeros(0, dtype)
+        return np.asarray(np.memmap(file, dtype, "r")) if os.path.getsize(file) else np.zeros(0, dtype)
     store, base = fs.FileSystem.from_uri(path)
     with store.open_input_stream(f"{base}/{name}", compression=None) as source, tempfile.TemporaryFile() as to:
         shutil.copyfileobj(source, to, 1 << 20)
         to.flush()
-        return np.memmap(to, dtype, "r") if to.tell() else np.zeros(0, dtype)
+        return np.asarray(np.memmap(to, dtype, "r")) if to.tell() else np.zeros(0, dtype)
 
 
 def _write_counts(path: str, name: str, values: np.ndarray) -> None:
@@ -113,9 +122,10 @@ def _write_counts(path: str, name: str, values: np.ndarray) -> None:
 def _counts(path: str, name: str, width: int, rows: np.ndarray | None = None) -> np.ndarray:
     """All rows of counts of a file, or some."""
     small, more = _map(path, name, "u1").reshape(-1, width), _map(path, f"{name}-more", "i8").reshape(-1, width + 1)
-    out = (small if rows is None else small[rows]).astype(np.int64)
-    big = np.flatnonzero((out == 255).any(axis=1))
-    if len(big):
+    some = small if rows is None else small[rows]
+    out, full = some.astype(np.int64), some == 255
+    if full.any():
+        big = np.flatnonzero(full.any(axis=1))
         out[big] = more[np.searchsorted(more[:, 0], big if rows is None else rows[big]), 1:]
     return out
 
@@ -161,10 +171,20 @@ class Model:
         return self._find(f"grams{k}", self.places(k), keys.astype(np.uint64), mix)
 
     def _find(self, name: str, before: tuple[int, ...], keys: np.ndarray, hashed) -> np.ndarray:
+        found, back = self._find_once(name, before, keys, hashed)
+        return found[back]
+
+    def find_once(self, k: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the different ones among runs of k words, -1 for unknown ones, and which of them each run is."""
+        if k == 1:
+            return self._find_once("words", self.before, keys, lambda x: x)
+        return self._find_once(f"grams{k}", self.places(k), keys.astype(np.uint64), mix)
+
+    def _find_once(self, name: str, before: tuple[int, ...], keys: np.ndarray, hashed) -> tuple[np.ndarray, np.ndarray]:
         unique, back = np.unique(keys, return_inverse=True)
         bucket = hashed(unique) >> np.uint64(64 - _bits(before))
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(len(before)))
+        order = _by_bucket(bucket)
+        edges = np.searchsorted(bucket[order], np.arange(len(before)).astype(bucket.dtype))
         out = np.full(len(unique), -1, np.int64)
         for b in np.flatnonzero(np.diff(edges)):
             rows = order[edges[b] : edges[b + 1]]
@@ -172,7 +192,7 @@ class Model:
                 known = _map(self.path, f"{name}-{b:05d}", "u8")
                 at = np.minimum(np.searchsorted(known, unique[rows]), len(known) - 1)
                 out[rows] = np.where(known[at] == unique[rows], before[b] + at, -1)
-        return out[back]
+        return out, back
 
     def by_id(self, k: int, name: str, ids: np.ndarray, width: int = 1) -> np.ndarray:
         """Rows of counts that are laid out by id of runs of k words, in files of their buckets."""
@@ -186,7 +206,7 @@ class Model:
         out = np.zeros((len(ids), width), np.int64)
         before = np.array(self.places(k))
         bucket = np.searchsorted(before, ids, "right") - 1
-        order = np.argsort(bucket, kind="stable")
+        order = _by_bucket(bucket)
         edges = np.searchsorted(bucket[order], np.arange(len(before) + 1))
         for b in np.flatnonzero(np.diff(edges)):
             rows = order[edges[b] : edges[b + 1]]
@@ -388,41 +408,49 @@ def _train(docs: DataFrame, path: str, order: int) -> Model:
 
 def log_probabilities(model: Model, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of texts (where each starts in `first`) -> log10 probabilities, and those of the base; which are known."""
-    ids = model.ids(hashes)
-    known = ids >= 0
+    ids, back = model.find_once(1, hashes)
     flat = model.lower_rest / (model.words + 1)
-    p, count, sums = np.full(len(ids), flat), np.zeros(len(ids), np.int64), np.zeros((len(ids), 5), np.int64)  # of the run that ends at each token
+    once = np.full(len(ids), flat)  # what a word has by itself is computed once a word
+    count, met = np.zeros(len(ids), np.int64), ids >= 0
+    share, total = np.zeros(len(ids)), np.zeros(len(ids), np.int64)  # of what follows a run: what goes to lower orders, and all
+
+    def follows(k: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return sums[:, :3] @ np.array(model.discounts[k - 1])[1:] / np.maximum(sums[:, 4], 1), sums[:, 4]
+
     if model.tokens:
-        unique, back = np.unique(ids[known], return_inverse=True)
-        sums[known] = model.by_id(1, "sums1", unique, 5)[back]
-        ends = sums[known, 3]
-        p[known] += (ends - np.array(model.lower)[np.minimum(ends, 3)]) / model.pairs
-        count[known] = model.by_id(1, "counts", unique)[:, 0][back]
-    base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
+        sums = model.by_id(1, "sums1", ids[met], 5)
+        ends = sums[:, 3]
+        once[met] += (ends - np.array(model.lower)[np.minimum(ends, 3)]) / model.pairs
+        count[met] = model.by_id(1, "counts", ids[met])[:, 0]
+        share[met], total[met] = follows(1, sums)
+    base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.words + 1)))[back]
+    p, ids, known, share, total = once[back], ids[back], met[back], share[back], total[back]
     runs = ids
     for k in range(2, model.order + 1 if model.tokens and len(ids) else 0):
         lower, discount = p.copy(), np.array(model.discounts[k - 2])
         before = model.after(k - 1, runs, first)
-        context = np.concatenate((sums[:1], sums[:-1]))
-        context[first[:-1]] = model.by_id(k - 1, f"sums{k - 1}", np.array([model.places(k - 1)[-1]]), 5)
+        start = follows(k - 1, model.by_id(k - 1, f"sums{k - 1}", np.array([model.places(k - 1)[-1]]), 5))
+        share, total = (np.concatenate((x[:1], x[:-1])) for x in (share, total))
+        share[first[:-1]], total[first[:-1]] = start[0][0], start[1][0]
         at = np.flatnonzero(before >= 0)
-        total = context[at, 4]
-        share = context[at, :3] @ discount[1:] / np.maximum(total, 1)
-        p[at] = share * lower[at]
-        runs = np.full(len(ids), -1, np.int64)
+        p[at] = share[at] * lower[at]
         both = at[known[at]]
-        runs[both] = model.find(k, before[both] * model.words + ids[both])
-        seen = runs[at] >= 0
-        unique, back = np.unique(runs[at[seen]], return_inverse=True)
+        found, back = model.find_once(k, before[both] * model.words + ids[both])
+        met = found >= 0
+        n = np.zeros(len(found), np.int64)
+        follow = np.zeros(len(found)), np.zeros(len(found), np.int64)
         if k == model.order:
-            n = model.by_id(k, "gram_counts", unique)[:, 0][back]
+            n[met] = model.by_id(k, "gram_counts", found[met])[:, 0]
         else:
-            sums = np.zeros((len(ids), 5), np.int64)
-            sums[at[seen]] = model.by_id(k, f"sums{k}", unique, 5)[back]
-            n = sums[at[seen], 3]
-        p[at[seen]] += (n - discount[np.minimum(n, 3)]) / total[seen]
-        nothing = at[share == 0]  # words never followed by another
+            sums = model.by_id(k, f"sums{k}", found[met], 5)
+            n[met] = sums[:, 3]
+            follow[0][met], follow[1][met] = follows(k, sums)
+        seen = met[back]
+        p[both[seen]] += (n - discount[np.minimum(n, 3)])[back[seen]] / total[both[seen]]
+        nothing = at[share[at] == 0]  # words never followed by another
         p[nothing] = np.where(p[nothing] > 0, p[nothing], lower[nothing])
+        runs, share, total = np.full(len(ids), -1, np.int64), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        runs[both], share[both], total[both] = found[back], follow[0][back], follow[1][back]
     return np.log10(p), base, known
 
 

@@ -182,3 +182,23 @@ def test_sums_past_32_bits(spark, tmp_path, monkeypatch):
     rows = rows.filter(pc.not_equal(rows["bucket"], -1))
     total = sum(int(kn._merge(rows.filter(pc.equal(rows["bucket"], b)), 5)[1][:, 4].sum()) for b in set(rows["bucket"].to_pylist()))
     assert total == 3 * 7 * 2**32  # 7 pairs a text, with its start and end
+
+
+def test_order_by_bucket():
+    """Stable, with numbers of 16 bits (sorted by radix) and with larger ones."""
+    for top in (7, 1 << 16, 1 << 20):
+        bucket = np.random.default_rng(1).integers(0, top, 5000)
+        assert (kn._by_bucket(bucket) == np.argsort(bucket, kind="stable")).all()
+    assert len(kn._by_bucket(np.zeros(0, np.int64))) == 0
+
+
+def test_equal_runs_are_looked_up_once(spark, tmp_path):
+    """What a word or a run has is read once for all places that have it."""
+    docs = spark.createDataFrame([(i, "a b c a b d") for i in range(40)], "doc_id long, text string")
+    model = kn.train(docs, f"file://{tmp_path}/once", 3)
+    chunk = next(kn.chunks(pa.array(["a b c a b d x"] * 500), 1 << 20))
+    hashes, first = kn._tokens(chunk)
+    ids, back = model.find_once(1, hashes)
+    assert len(ids) == 6 and (ids[back] == model.ids(hashes)).all()  # a, b, c, d, x, the end
+    score, base, known = kn.log_probabilities(model, hashes, first)
+    assert (score.reshape(500, -1) == score[:8]).all() and known.reshape(500, -1)[0].tolist() == [True] * 6 + [False, True]

@@ -1,6 +1,9 @@
 """Blocks, ranges and the index against plain computations."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +146,90 @@ def test_bins_give_few_rows(spark):
     got = [sum(r.pairs for r in rows if at(r.one) == b) for b in range(3)]
     assert got == np.bincount(np.searchsorted([0.3, 0.7], s, "right"), minlength=3).tolist() and len(rows) <= 18
     assert abs(sum(r["sum"] for r in rows) - s.sum()) < 1e-6
+
+
+class Given:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_opened_lists_are_few_at_a_time():
+    """A thousand queries that open 200 lists each: a query goes once to a shelf, and no batch holds a copy for each list."""
+    rng = np.random.default_rng(6)
+    centres, q = rng.normal(size=(256, 64)), rng.normal(size=(1000, 64))
+    shelf, split = index._shelves({i: 100 for i in range(256) if i != 9}, 256)
+    batch = pa.RecordBatch.from_pydict({"vec_id": np.arange(1000), "embedding": pa.array(list(q))})
+    tracemalloc.start()
+    out = [(b, b.nbytes) for b in index._open(Given((centres, shelf, np.array(split, np.int32))), 200, "dot")(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and max(n for _, n in out) < 20e6 and len(split) == 9 and set(split) == {1} and shelf[9] == -1
+    near = ((q[:, None] - centres[None]) ** 2).sum(2).argsort(1)[:, :200]
+    opened = {i: [] for i in range(1000)}
+    for b, _ in out:
+        for r in b.to_pylist():
+            assert np.array_equal(r["q"], q[r["query_id"]]) and {shelf[c] for c in r["cells"]} == {r["shelf"]}
+            assert np.allclose(r["base"], centres[r["cells"]] @ q[r["query_id"]])
+            opened[r["query_id"]] += r["cells"]
+    assert all(sorted(opened[i]) == sorted(set(near[i].tolist()) - {9}) for i in range(1000)) and sum(b.num_rows for b, _ in out) <= 9000
+
+
+@pytest.mark.parametrize("metric", ["dot", "l2"])
+@pytest.mark.parametrize("few", [False, True])
+def test_scan_by_tiles(monkeypatch, metric, few):
+    """Tiles of 8 queries and some codes give what a plain look-up gives; each query opens lists of its own, some that aren't there."""
+    monkeypatch.setattr(index, "TILE", 8)
+    monkeypatch.setattr(index, "SCORES", 8 * 37)
+    rng = np.random.default_rng(7)
+    centres, books = rng.normal(size=(30, 8)), rng.normal(size=(4, 16, 2))
+    q, codes, cell = rng.normal(size=(50, 8)), rng.integers(0, 16, (400, 4)).astype(np.uint8), rng.integers(0, 25, 400).astype(np.int32)
+    codes[200:260], cell[200:260] = codes[0], cell[0]  # copies: ties by id
+    opens = [np.sort(rng.choice(30, 2 if few else 20, False)).astype(np.int32) for _ in q]
+    base = [centres[c] @ x if metric == "dot" else np.zeros(len(c)) for x, c in zip(q, opens, strict=True)]
+    asked = pa.table({"query_id": np.arange(50), "q": pa.array(list(q)), "cells": pa.array(opens), "base": pa.array(base)})
+    some = pa.table({"vec_id": np.arange(400), "codes": pa.array([c.tobytes() for c in codes], pa.binary()), "cell": cell})
+    got = index._scan(Given((centres, books)), metric, 12)((), asked, some).to_pylist()
+    kept = centres[cell] + np.concatenate([books[p][codes[:, p]] for p in range(4)], 1)
+    for i, x in enumerate(q):
+        score = kept @ x if metric == "dot" else -((kept - x) ** 2).sum(1)
+        want = sorted((-round(float(score[j]), 9), j) for j in range(400) if cell[j] in opens[i])[:12]
+        assert [(r["vec_id"], round(r["score"], 9)) for r in got if r["query_id"] == i] == [(j, -s) for s, j in want]
+    assert index._scan(Given((centres, books)), metric, 12)((), asked.slice(0, 0), some).num_rows == 0
+
+
+def test_shelves(spark, monkeypatch):
+    """Shelves of 30 codes and tasks of 7 queries find the same; a list of a hundred copies is parted."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(400, 8)).round(3)
+    v[100:200] = v[3]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    made, q = index.build(df, 4), df.where("vec_id % 20 = 0")
+    rows = lambda: sorted((r.query_id, r.vec_id, r["rank"], round(r.score, 9)) for r in index.search(q, made, df, 5).collect())
+    whole = rows()
+    monkeypatch.setattr(index, "SHELF_ROWS", 30)
+    monkeypatch.setattr(index, "ASKED_ROWS", 7)
+    split = index._shelves({r["cell"]: r["count"] for r in made.lists.groupBy("cell").count().collect()}, len(made.centres))[1]
+    assert max(split) >= 4 and rows() == whole and len(whole) == 100
+
+
+@pytest.mark.parametrize("rows", [1, 3000])
+def test_batches_are_searched_in_parts(rows):
+    """No matrix of scores is of a whole batch, in an exact search nor where cells are sought."""
+    rng = np.random.default_rng(9)
+    v, q = rng.normal(size=(rows, 4)), rng.normal(size=(1000, 4))
+    batch = pa.RecordBatch.from_pydict({"vec_id": np.arange(rows), "embedding": pa.array(list(v))})
+    seen = []
+    scores = vectors._scores
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(vectors, "_scores", lambda a, b, metric: seen.append(len(a) * len(b)) or scores(a, b, metric))
+        found = list(vectors._search(Given((np.arange(1000), q)), 3, "dot")(iter([batch])))
+        cells = list(vectors._nearest(Given(q), 2, ["vec_id", "embedding", "cell"])(iter([batch])))
+    assert max(seen) <= 1_000_000
+    got = {}
+    for b in found:
+        for r in b.to_pylist():
+            got.setdefault(r["query_id"], []).append((-round(r["score"], 9), r["vec_id"]))
+    exact = q @ v.T
+    assert all(sorted(got[i]) == sorted((-round(float(s), 9), j) for j, s in enumerate(exact[i]))[:3] for i in range(1000))
+    near = ((v[:, None] - q[None]) ** 2).sum(2).argsort(1)[:, :2]
+    assert sorted((r["vec_id"], r["cell"]) for b in cells for r in b.to_pylist()) == sorted((i, int(c)) for i in range(rows) for c in near[i])

@@ -18,10 +18,13 @@ A step's shuffle files go when it ends, since what it counted is written by then
 from __future__ import annotations
 
 import functools
+import mmap
 import os
 import shutil
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from urllib.parse import urlparse
 
@@ -43,6 +46,10 @@ BUCKET_RUNS = 1 << 19
 #: Keys that a task holds before it hands their counts on.
 FLUSH = 1 << 20
 CHUNK = 2 << 20
+#: Rows of sums that meet in one group, about, as far as there are buckets to deal them to.
+GROUP_SUMS = 1 << 20
+#: Files that a worker keeps mapped; Linux lets a process have some 65,000 maps.
+MAPS = 40_000
 
 
 def trained(doc_id) -> F.Column:
@@ -98,18 +105,23 @@ def _write(path: str, name: str, values: np.ndarray) -> None:
     store.move(part, f"{base}/{name}")
 
 
-@functools.cache
+def _mapped(file, dtype: str) -> np.ndarray:
+    """Without a file descriptor, where Python can: there are more files than a process may have open."""
+    return np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {})), dtype)
+
+
+@functools.lru_cache(MAPS)
 def _map(path: str, name: str, dtype: str) -> np.ndarray:
     """A file of the model, which has to be there: callers ask only for what the driver knows to be written. From another
     store it is copied when first asked for, into a nameless file that ends with the worker."""
     if urlparse(path).scheme in ("", "file"):
-        file = os.path.join(urlparse(path).path, name)
-        return np.asarray(np.memmap(file, dtype, "r")) if os.path.getsize(file) else np.zeros(0, dtype)
+        with open(os.path.join(urlparse(path).path, name), "rb") as file:
+            return _mapped(file, dtype) if os.fstat(file.fileno()).st_size else np.zeros(0, dtype)
     store, base = fs.FileSystem.from_uri(path)
     with store.open_input_stream(f"{base}/{name}", compression=None) as source, tempfile.TemporaryFile() as to:
         shutil.copyfileobj(source, to, 1 << 20)
         to.flush()
-        return np.asarray(np.memmap(to, dtype, "r")) if to.tell() else np.zeros(0, dtype)
+        return _mapped(to, dtype) if to.tell() else np.zeros(0, dtype)
 
 
 def _write_counts(path: str, name: str, values: np.ndarray) -> None:
@@ -155,8 +167,10 @@ class Model:
         return self.discounts[-1] if self.discounts else (0.0,) * 4
 
     def shift(self, k: int) -> int:
-        """Sums of words are gathered for so many buckets (log2) at once, those of longer runs for one: they are many more."""
-        return (_bits(self.places(k)) - 1) // 2 if k == 1 else 0
+        """Sums of words are gathered for so many buckets (log2) at once, those of longer runs for one: they are many more.
+        A pair of words gives two rows of sums at most."""
+        bits = _bits(self.places(k))
+        return max(0, min((bits - 1) // 2, bits - (2 * self.places(2)[-1] // GROUP_SUMS).bit_length())) if k == 1 else 0
 
     def places(self, k: int) -> tuple[int, ...]:
         """Runs of k words in earlier buckets. The last number is the id of k text starts, behind all runs."""
@@ -331,24 +345,28 @@ def _sums(model: Model, k: int):
 
 
 def _write_sums(model: Model, k: int):
-    """Sums by id of runs of k words, laid out densely; gives out counts of counts of the runs that these end."""
+    """Sums by id of runs of k words, laid out densely; gives out counts of counts of the runs that these end. Rows are added
+    blob by blob: a group's words grow far slower than the rows of sums that tasks have for them."""
     before = np.array((*model.places(k), model.places(k)[-1] + 1))
 
-    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-        g = key[0].as_py()
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, out = key[0].as_py(), np.zeros(5, np.int64)
         if g < 0:
-            out = np.sum([np.frombuffer(x, np.uint64) for x in part["keys"].to_pylist()], axis=0)
+            for batch in batches:
+                out += np.sum([np.frombuffer(x, np.int64) for x in batch["keys"].to_pylist()], axis=0)
         else:
-            ids, sums = _merge(part, 5)
-            ids = ids.astype(np.int64)
-            out = np.zeros(5, np.int64)
-            for b in range(g << model.shift(k), min((g + 1) << model.shift(k), len(before) - 1)):
-                i, j = np.searchsorted(ids, before[b : b + 2])
-                dense = np.zeros((before[b + 1] - before[b], 5), np.int64)
-                dense[ids[i:j] - before[b]] = sums[i:j]
-                _write_counts(model.path, f"sums{k}-{b:05d}", dense)
-                out += [*(int((dense[:, 3] == x).sum()) for x in (1, 2, 3, 4)), int(dense[:, 3].sum())]
-        return pa.table({"bucket": pa.array([g], pa.int32()), "times": pa.array([[int(x) for x in out]], pa.list_(pa.int64()))})
+            buckets = range(g << model.shift(k), min((g + 1) << model.shift(k), len(before) - 1))
+            start = before[buckets[0]]
+            dense = np.zeros((before[buckets[-1] + 1] - start, 5), np.int64)
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    ids, sums = _merge(batch.slice(i, 1), 5)
+                    dense[ids.astype(np.int64) - start] += sums
+            for b in buckets:
+                part = dense[before[b] - start : before[b + 1] - start]
+                _write_counts(model.path, f"sums{k}-{b:05d}", part)
+                out += [*(int((part[:, 3] == x).sum()) for x in (1, 2, 3, 4)), int(part[:, 3].sum())]
+        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([[int(x) for x in out]], pa.list_(pa.int64()))], ["bucket", "times"])
 
     return run
 

@@ -1,9 +1,12 @@
 import dataclasses
 import math
+import os
 import random
 import re
 import shutil
+import sys
 import tempfile
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from types import SimpleNamespace
@@ -202,3 +205,31 @@ def test_equal_runs_are_looked_up_once(spark, tmp_path):
     assert len(ids) == 6 and (ids[back] == model.ids(hashes)).all()  # a, b, c, d, x, the end
     score, base, known = kn.log_probabilities(model, hashes, first)
     assert (score.reshape(500, -1) == score[:8]).all() and known.reshape(500, -1)[0].tolist() == [True] * 6 + [False, True]
+
+
+def test_sums_of_a_group_are_added_blob_by_blob(tmp_path):
+    """Tasks have rows of sums for the same words again and again: 4 million here, 112 MB, which were merged at once."""
+    n, blobs = 20_000, 200
+    model = kn.Model(f"file://{tmp_path}", (0, n), n, n, 3, ((0, n), (0, n)))
+    keys, sums = np.arange(n, dtype=np.uint64), np.tile(np.array([1, 0, 2, 300, 5], np.uint32), (n, 1))
+    blob = kn._pack(keys, sums, np.zeros(n, np.int64))
+    tracemalloc.start()
+    (got,) = kn._write_sums(model, 1)((pa.scalar(0),), (blob for _ in range(blobs)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [{"bucket": 0, "times": [0, 0, 0, 0, 300 * blobs * n]}]
+    assert (kn._counts(model.path, "sums1-00000", 5) == sums[0].astype(int) * blobs).all()
+    assert peak < 20e6
+
+
+def test_sums_of_words_are_dealt_by_their_number():
+    model = kn.Model("", tuple(range(1025)), 1024, 1, 3, ((0, 3 * 10**8),))
+    assert [dataclasses.replace(model, grams=((0, n),)).shift(1) for n in (10, 10**7, 10**8, 3 * 10**8, 10**10)] == [4, 4, 2, 0, 0]
+
+
+def test_mapped_files_stay_closed(tmp_path):
+    for i in range(50):
+        kn._write(f"file://{tmp_path}", f"x{i}", np.arange(i, dtype=np.uint64))
+    before = len(os.listdir("/proc/self/fd"))
+    assert all((kn._map(f"file://{tmp_path}", f"x{i}", "u8") == np.arange(i)).all() for i in range(50))
+    assert len(os.listdir("/proc/self/fd")) <= before + 2 or sys.version_info < (3, 13)
